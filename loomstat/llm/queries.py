@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, chat, exact_dedup, token_counts
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
-SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
+QUERIES = {
+    "op2_chat_format": chat.op2_chat_format,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_bpe": bpe.op4_bpe,
+    "op6_token_counts": token_counts.op6_token_counts,
+}
+SQL = {"op2_chat_format": chat.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
