@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, so that very long texts don't gather in a Python worker.
 
-    A batch is also held to 16 MB where the session knows ``maxBytesPerBatch``.
+    A batch is also held to 16 MB where the session has not set a lower bound.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("-1", "9223372036854775807", "2147483647"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    if not _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{16 << 20}b")
+
+
+def _bytes(size: str) -> float:
+    n, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(n) * 1024 ** "bkmgtp".index((unit or "b")[0]) if int(n) > 0 else float("inf")
 
 
 def salted(*cols: str | Column) -> Column:
