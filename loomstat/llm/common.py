@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Salts that a join key is dealt over, so that a key with a third of all rows stays divisible.
@@ -59,3 +59,23 @@ def group_lookup(rows: DataFrame, keys: list[str], salt: Column, aggs: dict[str,
     total = part.groupBy(*keys).agg(*[b.alias(n) for n, (_, b) in aggs.items()])
     told = part.select(*keys, "_salt").join(total, keys)
     return rows.join(told, [*keys, "_salt"]).drop("_salt")
+
+
+def running(rows: DataFrame, by: list[str], bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Add ``name``, the sum of ``value`` over the rows of the same ``by`` that come before, and ``<name>_all`` over all.
+
+    ``bucket``, of a bounded number of values, must not contradict ``order``. Sums by bucket are few; rows meet only
+    within their bucket, so a group with a third of all rows is spread over many tasks. ``by`` must not be null.
+    """
+    rows = rows.withColumns({"_bucket": bucket, "_value": value})
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
+    sums = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(*by)).alias(f"{name}_all"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    made = rows.join(sums, [*by, "_bucket"]).withColumn(name, F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return made.drop("_bucket", "_value", "_before")
+
+
+def hash_bucket(h: str, bits: int = 10) -> Column:
+    """The upper bits of a 64-bit hash: in its order, and even."""
+    return F.shiftright(h, 64 - bits).cast("int")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, token_counts
+from . import bpe, chat, exact_dedup, lang_id, mixing, quality, sharding, token_counts
 
 QUERIES = {
+    "op1_lang_id": lang_id.op1_lang_id,
     "op2_chat_format": chat.op2_chat_format,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_quality": quality.op9_quality,
+    "op10_sharding": sharding.op10_sharding,
 }
 SQL = {"op2_chat_format": chat.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
