@@ -47,16 +47,16 @@ def salted(*cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
 
-def group_lookup(rows: DataFrame, keys: list[str], salt: Column, aggs: dict[str, tuple[Column, Column]]) -> DataFrame:
+def group_lookup(rows: DataFrame, keys: list[str], salt: Column, aggs: dict[str, tuple[Column, Column]], having: str = "true") -> DataFrame:
     """Aggregate ``rows`` by ``keys`` and give each row its group's values, without gathering a group in one task.
 
     ``aggs``: name -> (aggregate over rows, the same over partial results, where ``_p_<name>`` is the partial).
     Partial results are kept by key and salt; each of those at most ``SALTS`` rows of a key gets the key's total, and
-    rows join on key and salt. Keys must not be null.
+    rows join on key and salt. Keys must not be null. Rows of groups that fail ``having`` go.
     """
     rows = rows.withColumn("_salt", salt)
     part = rows.groupBy(*keys, "_salt").agg(*[a.alias(f"_p_{n}") for n, (a, _) in aggs.items()])
-    total = part.groupBy(*keys).agg(*[b.alias(n) for n, (_, b) in aggs.items()])
+    total = part.groupBy(*keys).agg(*[b.alias(n) for n, (_, b) in aggs.items()]).where(having)
     told = part.select(*keys, "_salt").join(total, keys)
     return rows.join(told, [*keys, "_salt"]).drop("_salt")
 
