@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, lang_id, mixing, quality, sharding, token_counts
+from . import bpe, chat, exact_dedup, lang_id, mixing, near_dedup, quality, sharding, token_counts
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
     "op2_chat_format": chat.op2_chat_format,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
