@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, lang_id, mixing, near_dedup, quality, sharding, token_counts
+from . import bpe, chat, exact_dedup, lang_id, line_dedup, mixing, near_dedup, quality, sharding, token_counts
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
-SQL = {"op2_chat_format": chat.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
+SQL = {"op2_chat_format": chat.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
