@@ -194,18 +194,21 @@ def _parts(texts: list[str], chars: int = 1 << 20) -> Iterator[list[int]]:
         yield part
 
 
+TYPES = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+
+
 def _map(docs: DataFrame, path: str, columns: list[tuple[str, str, object]], id_col: str, text_col: str) -> DataFrame:
     common.small_batches(docs.sparkSession)
-    kinds = [pa.from_numpy_dtype(np.int64) if k == "long" else pa.string() if k == "string" else pa.list_(pa.int64()) for _, k, _ in columns]
+    kinds = [TYPES[k] for _, k, _ in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
         for b in batches:
             texts, made = b.column(1).to_pylist(), [[] for _ in columns]
             for part in _parts(texts):
-                for ids in bpe.encode([texts[i] for i in part]):
+                for i, ids in zip(part, bpe.encode([texts[i] for i in part]), strict=True):
                     for out, (_, _, f) in zip(made, columns, strict=True):
-                        out.append(f(bpe, ids))
+                        out.append(f(bpe, ids, texts[i]))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, made, kinds)], names=["id", *(n for n, _, _ in columns)])
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -214,20 +217,30 @@ def _map(docs: DataFrame, path: str, columns: list[tuple[str, str, object]], id_
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: its id, ``ids`` (array of long) and ``decoded``, the text read back from them.
+    """One row per row: its id, ``ids`` (array of int) and ``decoded``, the text read back from them.
 
     Ids are those of the tokenizers library without added special tokens; a special string in a text is its special
     id. Null texts are empty: no ids, an empty text. Rows are independent, so repeats and null ids give rows alike.
     """
-    return _map(docs, path, [("ids", "array<long>", lambda bpe, ids: ids.astype(np.int64)), ("decoded", "string", lambda bpe, ids: bpe.decode(ids))], id_col, text_col)
+    return _map(docs, path, [("ids", "array<int>", lambda bpe, ids, text: ids.astype(np.int32)), ("decoded", "string", lambda bpe, ids, text: bpe.decode(ids))], id_col, text_col)
+
+
+def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`encode_texts`, with ``n_tokens``, ``ids`` and ``round_trip``, whether decoding gives the text back."""
+    columns = [
+        ("n_tokens", "long", lambda bpe, ids, text: len(ids)),
+        ("ids", "array<int>", lambda bpe, ids, text: ids.astype(np.int32)),
+        ("round_trip", "boolean", lambda bpe, ids, text: bpe.decode(ids) == text),
+    ]
+    return _map(docs, path, columns, id_col, text_col)
 
 
 def digest_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`encode_texts`, with ``n_tokens`` and SHA-256 digests of ids and decoded text in place of both."""
     columns = [
-        ("n_tokens", "long", lambda bpe, ids: len(ids)),
-        ("ids_sha256", "string", lambda bpe, ids: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()),
-        ("decoded_sha256", "string", lambda bpe, ids: hashlib.sha256(bpe.decode(ids).encode()).hexdigest()),
+        ("n_tokens", "long", lambda bpe, ids, text: len(ids)),
+        ("ids_sha256", "string", lambda bpe, ids, text: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()),
+        ("decoded_sha256", "string", lambda bpe, ids, text: hashlib.sha256(bpe.decode(ids).encode()).hexdigest()),
     ]
     return _map(docs, path, columns, id_col, text_col)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,3 +80,48 @@ def running(rows: DataFrame, by: list[str], bucket: Column, order: list[str], va
 def hash_bucket(h: str, bits: int = 10) -> Column:
     """The upper bits of a 64-bit hash: in its order, and even."""
     return F.shiftright(h, 64 - bits).cast("int")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomstat-"))
+    path = f"{sc.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Rows of a drop list that are broadcast at most, about 100 MB in memory; more are joined by a shuffle.
+BROADCAST_DROPS = 500_000
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (``id``, ``t``, ``kept``) don't drop; ``t`` is xxhash64 of the text, null as empty.
+
+    Rows that repeat both id and text and are kept are left once.
+    """
+    key = fresh(docs, "_t")
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    by = decisions.groupBy(F.col("id").alias("_id"), F.col("t").alias("_u")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    by = cut(by.where("n > 1 or not kept"))
+
+    def match(other: DataFrame):
+        return rows[id_col].eqNullSafe(other["_id"]) & (rows[key] == other["_u"])
+
+    listed = by.select("_id", "_u")
+    if listed.count() <= BROADCAST_DROPS:
+        listed = F.broadcast(listed)
+    out = rows.join(listed, match(listed), "left_anti")
+    twins = by.where("kept").select("_id", "_u")
+    if not twins.isEmpty():
+        out = out.unionByName(rows.join(twins, match(twins), "left_semi").dropDuplicates([id_col, key]))
+    return out.drop(key)

@@ -22,16 +22,16 @@ def normalised(text: str | Column) -> Column:
 
 
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, with_hash: bool = False) -> DataFrame:
-    """One row per row of ``docs``: the id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+    """One row per row of ``docs``: the id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and ``text_xxhash64``.
 
     Of equal normalised texts the least id stays; null ids come last. Rows that repeat both id and text count in
     ``group_size``, and each of them is ``kept`` if its id is ``keep_id``. Null texts are empty texts, which are equal
     to each other. A group of rows with null ids only has a null ``keep_id`` and keeps none of them but where it has
     one row. ``text_sha256`` is null for rows that no other row shares a length and prefix with, unless ``with_hash``
-    asks to report it for all. An empty table gives an empty result; other columns of ``docs`` are not read.
+    asks to report it for all; ``text_xxhash64`` is of the text as it is. An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_text"))
+    text = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"), normalised(text_col).alias("_text"))
     prefix = F.xxhash64(F.substring("_text", 1, prefix_chars))
     seen = common.cut(text.select(F.octet_length("_text").alias("_len"), prefix.alias("_prefix")).groupBy("_len", "_prefix").agg(F.count("*").alias("_n")))
     lengths = seen.groupBy("_len").agg(F.sum("_n").alias("_m")).where("_m > 1").select("_len")
@@ -41,19 +41,19 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
         full = full.join(F.broadcast(keys.withColumn("_open", F.lit(True))), ["_len", "_prefix"], "left")
         full = full.withColumn("_open", F.coalesce("_open", F.lit(False)))
         sha = F.sha2("_text", 256) if with_hash else F.when(F.col("_open"), F.sha2("_text", 256))
-        full = common.cut(full.select("_id", "_open", F.unhex(sha).alias("_sha")))
+        full = common.cut(full.select("_id", "_t", "_open", F.unhex(sha).alias("_sha")))
     else:  # too many keys for a broadcast: hash where the text is read rather than shuffle texts
-        full = common.cut(full.select("_id", F.lit(True).alias("_open"), F.unhex(F.sha2("_text", 256)).alias("_sha")))
+        full = common.cut(full.select("_id", "_t", F.lit(True).alias("_open"), F.unhex(F.sha2("_text", 256)).alias("_sha")))
     size, least = F.count("*"), F.min("_id")
-    groups = common.group_lookup(full.where("_open").select("_id", "_sha"), ["_sha"], common.salted("_id"), {"keep_id": (least, F.min("_p_keep_id")), "group_size": (size, F.sum("_p_group_size"))})
-    alone = full.where("not _open").select("_id", "_sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    groups = common.group_lookup(full.where("_open").select("_id", "_t", "_sha"), ["_sha"], common.salted("_id"), {"keep_id": (least, F.min("_p_keep_id")), "group_size": (size, F.sum("_p_group_size"))})
+    alone = full.where("not _open").select("_id", "_t", "_sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     both = groups.select(*alone.columns).unionByName(alone)
     kept = F.coalesce(F.col("_id") == F.col("keep_id"), F.col("group_size") == 1)
-    return both.select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
+    return both.select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"), F.col("_t").alias("text_xxhash64"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refine(common.table(spark, sf_dir, "documents"), with_hash=True)
+    return refine(common.table(spark, sf_dir, "documents"), with_hash=True).drop("text_xxhash64")
 
 
 OP3_SQL = r"""

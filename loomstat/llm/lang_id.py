@@ -117,26 +117,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model([(r[0], r[1], r[2]) for r in counts.orderBy("lang", "word").toPandas().itertuples(index=False)])
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """One row per row: its id, ``lang_pred`` and ``score`` (the share of the best language's likelihood, 0 to 1).
-
-    The whole text decides, and nothing else. Null texts and texts without a letter are ``und`` with score 0; so are
-    all texts if nothing could be learned. Ties go to the first language by code point. With ``keep`` the rows keep
-    all their columns, and ``lang_pred`` and ``score`` must not be among them.
-    """
-    common.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def told(spark: SparkSession, model: Model, text_col: str) -> Column:
+    """A struct of ``lang_pred`` and ``score`` of the whole text, from nothing else."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def told(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for b in texts:
             yield pd.DataFrame([scorer.predict(x) for x in b], columns=["lang_pred", "score"])
 
-    rows = docs if keep else docs.select(F.col(id_col), F.col(text_col))
-    made = rows.withColumn("_told", told(F.col(text_col)))
-    cols = [F.col(c) for c in docs.columns] if keep else [F.col(id_col)]
-    return made.select(*cols, "_told.lang_pred", "_told.score")
+    return run(F.col(text_col))
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: its id, ``lang_pred`` and ``score`` (the share of the best language's likelihood, 0 to 1).
+
+    Null texts and texts without a letter are ``und`` with score 0; so are all texts if nothing could be learned. Ties go
+    to the first language by code point. Repeated rows get the same; an empty table gives an empty result.
+    """
+    common.small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    made = rows.withColumn("_told", told(docs.sparkSession, model, "_text"))
+    return made.select(F.col("_id").alias(id_col), "_told.lang_pred", "_told.score")
 
 
 def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

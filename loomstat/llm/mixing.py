@@ -62,7 +62,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Two tables: the documents' account, and the mixture's slots.
 
     Account, one row per row of ``docs``: the id, ``source``, ``size`` (words), ``source_size``, ``target`` of the source
-    and ``taken``, the words of the document that the mixture holds, repeats counted, at most ``most`` times its size.
+    ``taken``, the words of the document that the mixture holds, repeats counted, at most ``most`` times its size, and
+    ``text_xxhash64``.
     Slots: ``shard``, ``source``, ``slot`` (counted within the source) and ``block``, an index of ``block`` words of the
     source's stream (the last may have fewer).
 
@@ -71,8 +72,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     target of 0. One row for each source, and one for each source and shard, reaches the driver; documents never do.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), word_count(text_col).alias("size"))
-    rows = common.cut(rows.withColumn("_h", F.xxhash64(F.lit(seed), "_id", "_source", "size")))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), word_count(text_col).alias("size"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
+    rows = common.cut(rows.withColumn("_h", F.xxhash64(F.lit(seed), "_id", "_source", "size", "_t")))
     found = sorted((r["_none"], r["_source"], r["n"]) for r in rows.groupBy("_none", "_source").agg(F.sum("size").alias("n")).collect())
     sizes = [n for _, _, n in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most) if sizes else []
@@ -90,17 +91,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = slots.select("shard", "_s", "_none", "_source", "slot", index.alias("block"))
 
     rows = rows.join(F.broadcast(facts), ["_none", "_source"])
-    placed = common.running(rows.where("size > 0"), ["_s"], common.hash_bucket("_h"), ["_h", "_id", "size"], F.col("size"), "_at")
+    placed = common.running(rows.where("size > 0"), ["_s"], common.hash_bucket("_h"), ["_h", "_id", "size", "_t"], F.col("size"), "_at")
     pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))))
     words = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("_at"), F.col("block") * block)
     used = slots.groupBy("_s", "block").agg(F.count("*").alias("_times"))
     pieces = pieces.select("_s", "_at", "block", words.alias("_words")).join(used, ["_s", "block"])
     taken = pieces.groupBy("_s", "_at").agg(F.sum(F.col("_words") * F.col("_times")).alias("taken"))
-    account = placed.select("_s", "_at", "_id", "size", "_none", "_source", "source_size", "target").join(taken, ["_s", "_at"], "left")
-    empty = rows.where("size = 0").select("_id", "size", "_none", "_source", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    account = placed.select("_s", "_at", "_id", "_t", "size", "_none", "_source", "source_size", "target").join(taken, ["_s", "_at"], "left")
+    empty = rows.where("size = 0").select("_id", "_t", "size", "_none", "_source", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     account = account.select(*empty.columns[:-1], F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(empty)
     source = F.when(~F.col("_none"), F.col("_source")).alias("source")
-    return account.select(F.col("_id").alias(id_col), source, "size", "source_size", "target", "taken"), slots.select("shard", source, "slot", "block")
+    return account.select(F.col("_id").alias(id_col), source, "size", "source_size", "target", "taken", F.col("_t").alias("text_xxhash64")), slots.select("shard", source, "slot", "block")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

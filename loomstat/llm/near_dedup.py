@@ -72,7 +72,7 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """(``id``, ``n``, ``s0``, ``s1``, ``sketch``) of each row of (``id``, ``text``); s0 and s1 are a 128-bit hash of the set."""
+    """(``id``, ``n``, ``s0``, ``s1``, ``sketch``, ``t``) of each row of (``id``, ``text``); s0 and s1 are a 128-bit hash of the set, t one of the text."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,9 +80,10 @@ def features(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             sets = [shingles(x, k, hashes) for x in b["text"]]
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "s0": keys[:, 0], "s1": keys[:, 1], "sketch": [sketch(s) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "s0": keys[:, 0], "s1": keys[:, 1], "sketch": [sketch(s) if len(s) else None for s in sets], "t": b["t"]})
 
-    return docs.mapInPandas(run, "id long, n long, s0 long, s1 long, sketch binary")
+    docs = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.mapInPandas(run, "id long, n long, s0 long, s1 long, sketch binary, t long")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], key: str, rows: int) -> Iterator[pd.DataFrame]:
@@ -305,7 +306,8 @@ class Join:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, seed: int = 1) -> DataFrame:
-    """One row per row: its id, ``n_shingles``, ``component_id`` and ``kept`` (the row with its component's least id).
+    """One row per row: its id, ``n_shingles``, ``component_id``, ``kept`` (the row with its component's least id) and
+    ``text_xxhash64``.
 
     Rows are linked if the sets of distinct ``k``-word shingles of their whole texts have 100 * intersection >=
     ``percent`` * union; components are what links connect. ``percent`` is 80 or more: the number of trees is made for
@@ -316,14 +318,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common.small_batches(docs.sparkSession)
     join = Join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), k, percent, seed)
     join.run()
-    linked = join.rows.where("n > 0 and id is not null").select("id", "n", "s0", "s1")
+    linked = join.rows.where("n > 0 and id is not null").select("id", "n", "s0", "s1", "t")
     linked = common.group_lookup(linked, ["s0", "s1"], common.salted("id"), {"rep": (F.min("id"), F.min("_p_rep"))})
-    linked = linked.select("id", "n", "rep")
+    linked = linked.select("id", "n", "t", "rep")
     if join.comps is not None:
-        linked = linked.join(join.comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("rep"))
-    rest = join.rows.where("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("rep"))
-    return linked.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.col("id").eqNullSafe(F.col("rep")).alias("kept"))
+        linked = linked.join(join.comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", "t", F.coalesce("comp", "rep").alias("rep"))
+    rest = join.rows.where("not (n > 0 and id is not null)").select("id", "n", "t", F.col("id").alias("rep"))
+    return linked.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.col("id").eqNullSafe(F.col("rep")).alias("kept"), F.col("t").alias("text_xxhash64"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"), k=2)
+    return near_duplicates(common.table(spark, sf_dir, "documents"), k=2).drop("text_xxhash64")
