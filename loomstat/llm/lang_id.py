@@ -32,8 +32,12 @@ class Model:
         self.langs = sorted({lang for lang, _, _ in counts})
         at = {x: i for i, x in enumerate(self.langs)}
         tables: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(at))) for _ in range(1 + len(ORDERS))]
+        seen = Counter()
+        for _, word, n in counts:
+            seen[word] += n
         for lang, word, n in counts:
-            tables[0][word][at[lang]] += n
+            if seen[word] > 1:
+                tables[0][word][at[lang]] += n
             for t, k in zip(tables[1:], ORDERS, strict=True):
                 for g in grams(word, k):
                     t[g][at[lang]] += n
@@ -62,11 +66,17 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__(model.words)
-        self.model, self.table, self.fresh = model, model.word_scores, []
+        self.model = model
+        self.table = np.empty((2 * len(model.words) + 1024, len(model.langs)))
+        if model.words:
+            self.table[: len(model.words)] = model.word_scores
 
     def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.fresh.append(word)
+        at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[at] = self.model.unseen(word)
+        self[word] = at
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -74,11 +84,9 @@ class Scorer(dict):
         if not any(c.isalpha() for w in words for c in w) or not self.model.langs:
             return UNDETERMINED, 0.0
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            self.table = np.concatenate([self.table, [self.model.unseen(w) for w in self.fresh]])
-            self.fresh.clear()
         total = self.table[at].sum(axis=0)
         if len(self) > len(self.model.words) + CACHE_WORDS:
+            self.clear()
             self.__init__(self.model)
         share = np.exp(total - total.max())
         share /= share.sum()
@@ -94,7 +102,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on about ``rows_per_lang`` whole texts of each language, drawn by a hash of the id (the documented bound).
 
     Rows whose ``crc32(id as text) % 4`` is 2 are held out; rows with null id, text or language aren't learned from.
-    Words seen once in a language's sample aren't kept as words. The sample bounds what reaches the driver.
+    Words seen once in the sample count as n-grams only. The sample bounds what reaches the driver.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     rows = rows.where(remainder("id") != 2)
