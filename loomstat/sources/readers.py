@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 
 import numpy as np
@@ -48,8 +49,8 @@ def files(spark: SparkSession, path: str, glob: str = "*", ignored: tuple[str, .
     """Files under ``path``, recursively, with paths relative to it."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    root = F.lit(path.rstrip("/") + "/")
-    relative = F.substring_index(F.concat(F.lit("\x00"), F.col("path")), root, -1)
+    root = re.sub(r"^[a-z][a-z0-9+.-]*:(?=/)", "", path.rstrip("/")) + "/"
+    relative = F.substring_index("path", root, -1)
     cols = [relative.alias("path"), F.col("length").alias("bytes"), *([F.col("content")] if content else [])]
     return found.where(~name.isin(*ignored) & ~name.startswith("._")).select(*cols)
 
