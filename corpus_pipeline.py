@@ -70,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = common.stage_table(docs)
+            docs = common.cut(docs)
     return docs

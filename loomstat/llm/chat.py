@@ -46,17 +46,17 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """
     rows = turns.select(F.col(conv).alias("_conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("_turn"))
     sorted_turns = rows.groupBy("_conv").agg(F.array_sort(F.collect_list("_turn")).alias("t"))
-    with_starts = sorted_turns.withColumn("n", F.size("t")).withColumn("s", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("t", i).role != F.get("t", i - 1).role)))
-    blocks = with_starts.withColumn("b", F.transform("s", lambda at, k: _block(at, k))).select("_conv", "b")
+    blocks = sorted_turns.select("_conv", common.let(F.col("t"), _blocks).alias("b"))
     formatted = F.array_join(F.transform("b", lambda b: F.concat(F.lit(HEAD), escape(b.role, ROLE_ESCAPES), F.lit(COLON), F.array_join(b.texts, NEXT), F.lit(END))), "")
     mask = F.flatten(F.transform("b", lambda b: _segments(b, loss_role)))
     return blocks.select(F.col("_conv").alias(conv), formatted.alias("formatted"), mask.alias("mask"))
 
 
-def _block(at: Column, k: Column) -> Column:
-    """Of the run of turns that starts at ``at``: its role and escaped texts."""
-    end = F.coalesce(F.get("s", k + 1), F.col("n"))
-    return F.struct(F.get("t", at).role.alias("role"), F.transform(F.slice("t", at + 1, end - at), lambda x: escape(x.text)).alias("texts"))
+def _blocks(t: Column) -> Column:
+    """Runs of turns of one role: the role and the escaped texts."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i).role != F.get(t, i - 1).role))
+    spans = common.let(starts, lambda s: F.arrays_zip(s.alias("at"), F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(t))).alias("end")))
+    return F.transform(spans, lambda x: F.struct(F.get(t, x["at"]).role.alias("role"), F.transform(F.slice(t, x["at"] + 1, x["end"] - x["at"]), lambda y: escape(y.text)).alias("texts")))
 
 
 def _segments(b: Column, loss_role: str) -> Column:
@@ -83,6 +83,10 @@ def _read_block(b: Column) -> Column:
 
 def loss_text(formatted: Column, mask: Column) -> Column:
     """All text under the mask, unescaped."""
+    return common.let(F.struct(formatted.alias("f"), mask.alias("m")), lambda v: _under(v.f, v.m))
+
+
+def _under(formatted: Column, mask: Column) -> Column:
     def step(acc: Column, seg: Column) -> Column:
         at = acc.at + seg.chars
         return F.struct(at.alias("at"), F.when(seg.loss, F.concat(acc.spans, F.array(F.struct(acc.at.alias("at"), seg.chars.alias("chars"))))).otherwise(acc.spans).alias("spans"))

@@ -13,15 +13,32 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
+#: Folders that :func:`cut` has written in this process.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once, in the folder that the cluster shares (``spark.checkpoint.dir``), and drop its lineage.
+    """``df`` written once as Parquet in the folder that the cluster shares (``spark.checkpoint.dir``), and read again.
 
-    The folder is set here only where the session names none, as in tests on one machine.
+    This cuts the lineage, survives lost executors, and gives later plans the true size (a checkpoint keeps estimates, whose
+    products grow without bound over the rounds of a loop). The folder is set here only where the session names none,
+    as in tests on one machine. :func:`sweep` deletes what was written.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomstat-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that :func:`cut` wrote for results that are no longer read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,16 +107,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def stage_table(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared checkpoint folder and read again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomstat-"))
-    path = f"{sc.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 #: Rows of a drop list that are broadcast at most, about 100 MB in memory; more are joined by a shuffle.
 BROADCAST_DROPS = 500_000
 
@@ -125,3 +132,8 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str)
     if not twins.isEmpty():
         out = out.unionByName(rows.join(twins, match(twins), "left_semi").dropDuplicates([id_col, key]))
     return out.drop(key)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a variable that holds ``value``: evaluated once, where a lambda would evaluate an inlined column for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
