@@ -17,7 +17,7 @@ from .core import M as MEASURED
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 D = 64
-SIM = 0.5
+SIM = 0.4
 
 
 def query(sql: str | None = None):
