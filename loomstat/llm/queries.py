@@ -16,4 +16,21 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
-SQL = {"op2_chat_format": chat.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
+#: Near duplicates by the definition: all pairs that share a shingle, and what links connect.
+OP5_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, unnest(list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM t),
+n AS (SELECT doc_id, count(s) AS n FROM t LEFT JOIN h USING (doc_id) GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+z AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, z.b FROM r JOIN z ON r.y = z.a),
+g AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN g ON x = doc_id
+"""
+SQL = {
+    "op2_chat_format": chat.OP2_SQL,
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_near_dedup": OP5_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
+}
