@@ -5,7 +5,8 @@ the 64 places, and its sets go to a child for each place and token. A pair with
 probability s, so with two choices a node a similar pair survives in some child almost surely while unlike sets part.
 Nodes of few sets are compared exhaustively by their sketches; larger ones are compared in parts and branch on. What
 sketches suggest is confirmed on full sets. Nodes whose sets are all in one confirmed component already have no link to
-add and end there, which keeps large groups of near copies linear. At the depth limit the rest is compared completely.
+add and end there; nodes that hold few sets outside of their largest component are finished by comparing those with
+all, which keeps large groups of near copies linear. At the depth limit what is left is compared completely.
 """
 
 from __future__ import annotations
@@ -22,16 +23,18 @@ from . import common
 PLACES = 64
 TREES = 4
 DEPTH = 6
-#: Sets of a node that are compared exhaustively.
-SMALL = 400
+#: Sets, and shingles in all, of a node that is compared exhaustively, or of a part of one: what a task holds at once.
+SMALL, SMALL_SHINGLES = 2000, 4_000_000
 #: Equal tokens of 64 that make a pair a candidate. At similarity 0.8 fewer are seen once in some 10**6 pairs.
 CANDIDATE = 34
 #: Candidate components of so many sets and shingles at most are confirmed in one piece.
 UNIT_SETS, UNIT_SHINGLES = 300, 2_000_000
 #: Ids that are broadcast at most to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Edges that one task connects at most.
+IN_ONE_TASK = 1_000_000
 #: Words whose hashes a worker remembers at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -120,9 +123,9 @@ def joined_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def suggest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows (``node``, ``rep``, ``n``, ``sketch``) sorted by node: candidate groups, as rows (``gid``, ``rep``).
+    """From rows (``node``, ``rep``, ``n``, ``sketch``) sorted by node and n: candidate groups, as rows (``gid``, ``rep``).
 
-    All pairs of a node are compared. Groups are what candidate pairs connect; a group has the same gid wherever it
+    All pairs of a node are compared whose sizes allow a similarity of 0.8. Groups are what candidate pairs connect; a group has the same gid wherever it
     is found.
     """
     for df in whole_groups(batches, "node", 8192):
@@ -131,7 +134,8 @@ def suggest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left, right, d = [], [], 1
         at = np.flatnonzero(node[:-1] == node[1:])
         while len(at):
-            fit = at[(np.minimum(n[at], n[at + d]) * 100 >= 80 * np.maximum(n[at], n[at + d])) & (rep[at] != rep[at + d])]
+            at = at[n[at] * 100 >= 80 * n[at + d]]  # sizes only grow from here
+            fit = at[rep[at] != rep[at + d]]
             fit = fit[(tokens[fit, :16] == tokens[fit + d, :16]).sum(axis=1) >= 3]
             hit = fit[(tokens[fit] == tokens[fit + d]).sum(axis=1) >= CANDIDATE]
             left.append(hit)
@@ -155,44 +159,64 @@ def confirm(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         """From rows (``unit``, ``rep``, ``sh``) sorted by unit: links (``a``, ``b``) that connect what exact similarity connects."""
         for df in whole_groups(batches, "unit", 256):
             for _, g in df.groupby("unit", sort=False):
-                rep, sets = g["rep"].to_numpy(), list(g["sh"])
-                a, b = exact_links(sets, percent)
-                label = joined_labels(len(sets), a, b)
-                own = label != np.arange(len(sets))
+                rep = g["rep"].to_numpy()
+                label = linked_labels(list(g["sh"]), percent)
+                own = label != np.arange(len(label))
                 yield pd.DataFrame({"a": rep[label[own]], "b": rep[own]})
 
     return run
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of sets with 100 * intersection >= percent * union."""
-    n = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), n)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((len(sets), len(sets)))
-    width = max(1, 8_000_000 // len(sets))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, (at, at + width))
-        part = np.zeros((len(sets), min(width, int(column[-1]) + 1 - at)), np.float32)
-        part[owner[lo:hi], column[lo:hi] - at] = 1
-        both += part @ part.T
-    both = both.astype(np.int64)
-    return np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None] - both), 1))
+def linked_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the least number of one that links of 100 * intersection >= percent * union connect it with.
+
+    Sets are compared with all others one by one, through lists of the sets that hold a shingle, until every set outside
+    of the largest component has been: then no two components can have a link between them.
+    """
+    k = len(sets)
+    n = np.array([len(x) for x in sets], np.int64)
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(k), n)[np.argsort(column, kind="stable")]
+    start, first = np.cumsum(count) - count, np.cumsum(n) - n
+    label, done = np.arange(k), np.zeros(k, bool)
+    while True:
+        size = np.bincount(label, minlength=k)
+        open_ = np.flatnonzero(~done & (label != size.argmax()))
+        if not len(open_):
+            return label
+        i = int(open_[0])
+        done[i] = True
+        mine = column[first[i] : first[i] + n[i]]
+        mine = mine[count[mine] > 1]
+        if not len(mine):
+            continue
+        held, ends = count[mine], np.cumsum(count[mine])
+        both = np.bincount(owner[np.arange(ends[-1]) + np.repeat(start[mine] - ends + held, held)], minlength=k)
+        both[i] = n[i]
+        near = np.flatnonzero(100 * both >= percent * (n + n[i] - both))
+        low = label[near].min()
+        label[np.isin(label, np.unique(label[near]))] = low
+
+
+def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All edges (``a``, ``b``) of a table, at most ``IN_ONE_TASK``: (``id``, ``comp``) of their ends."""
+    held = [b[["a", "b"]].to_numpy() for b in batches if len(b)]
+    if held:
+        ids, at = np.unique(np.concatenate(held), return_inverse=True)
+        at = at.reshape(-1, 2)
+        yield pd.DataFrame({"id": ids, "comp": ids[joined_labels(len(ids), at[:, 0], at[:, 1])]})
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(``id``, ``comp``) of each end of ``edges`` (a, b): ``comp`` is the least id that it is connected with.
 
-    Every vertex moves to the neighbour that comes first in a random order, or stays if it does itself; edges are
-    contracted, until none is left. The order makes the number of rounds grow with the logarithm of the vertices.
+    While there are more than ``IN_ONE_TASK`` edges, every vertex moves to the neighbour that comes first in a random order,
+    or stays if it does itself, and edges are contracted; the order makes their number fall geometrically. The rest is
+    connected in one task, whose memory the bound holds.
     """
     edges = common.cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     steps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while edges.count() > IN_ONE_TASK:
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = ends.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("to"))).alias("m"))
         own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("to"))
@@ -201,14 +225,15 @@ def components(edges: DataFrame) -> DataFrame:
         first, second = step.select(F.col("id").alias("a"), F.col("to").alias("ta")), step.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(first, "a").join(second, "b")
         edges = common.cut(moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    last = edges.coalesce(1).mapInPandas(connect, "id long, comp long")
     if not steps:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+        return common.cut(last)
     label = steps[0]
-    for step in steps[1:]:
+    for step in [*steps[1:], last.withColumnRenamed("comp", "to")]:
         label = label.join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to"))
     label = common.cut(label)
     least = label.groupBy("to").agg(F.min("id").alias("comp"))
-    return label.join(least, "to").select("id", "comp")
+    return common.cut(label.join(least, "to").select("id", "comp"))
 
 
 def branch(rows: DataFrame, seed: int) -> DataFrame:
@@ -234,21 +259,27 @@ class Join:
         roots = F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)]))
         nodes = branch(self.classes.select(roots.alias("node"), "rep", "n", "sketch"), self.seed)
         for depth in range(1, DEPTH + 1):
-            nodes = common.cut(self.sized(nodes).select("node", "rep", "n", "sketch", "size"))
-            part = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / SMALL))
-            self.take(nodes.withColumn("node", F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.xxhash64("node", part))))
-            large = nodes.where(F.col("size") > SMALL).drop("size")
+            nodes = common.cut(self.sized(nodes))
+            part = F.pmod(F.xxhash64("rep", "node"), F.col("parts"))
+            self.take(nodes.withColumn("node", F.when(F.col("parts") == 1, F.col("node")).otherwise(F.xxhash64("node", part))))
+            large = self.unsettled(nodes.where("parts > 1"))
             if large.isEmpty():
                 return
-            large = self.unsettled(large)
-            if depth < DEPTH:
-                nodes = branch(large.drop("comp"), self.seed + 2 * depth)
-            elif not (large := common.cut(large)).isEmpty():
-                self.take(self.completed(large))
+            large = common.cut(self.spread(large))
+            now = F.lit(depth == DEPTH) | (F.col("outside") <= 2 * SMALL)
+            if not (few := large.where(now)).isEmpty():
+                self.take(self.completed(few))
+            nodes = large.where(~now)
+            if nodes.isEmpty():
+                return
+            nodes = branch(nodes.select("node", "rep", "n", "sketch"), self.seed + 2 * depth)
 
     def sized(self, nodes: DataFrame) -> DataFrame:
-        one = F.count("*")
-        return common.group_lookup(nodes, ["node"], common.salted("rep"), {"size": (one, F.sum("_p_size"))}, having="size > 1")
+        """The rows of nodes of more than one set, with ``parts``, in how many pieces a node is compared."""
+        sums = {"size": (F.count("*"), F.sum("_p_size")), "total": (F.sum("n"), F.sum("_p_total"))}
+        rows = common.group_lookup(nodes, ["node"], common.salted("rep"), sums, having="size > 1")
+        parts = F.ceil(F.greatest(F.col("size") / SMALL, F.col("total") / SMALL_SHINGLES))
+        return rows.select("node", "rep", "n", "sketch", parts.alias("parts"))
 
     def unsettled(self, nodes: DataFrame) -> DataFrame:
         """The rows of nodes with more than one component, with ``comp``."""
@@ -258,20 +289,24 @@ class Join:
         spans = {"_lo": (F.min("comp"), F.min("_p__lo")), "_hi": (F.max("comp"), F.max("_p__hi"))}
         return common.group_lookup(nodes, ["node"], common.salted("rep"), spans, having="_lo < _hi").drop("_lo", "_hi")
 
+    def spread(self, nodes: DataFrame) -> DataFrame:
+        """Add the node's largest component ``main``, the number of sets ``outside`` of it, and the ``rests`` these are dealt into."""
+        by = nodes.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+        top = by.groupBy("node").agg(F.max(F.struct("c", "comp", "m")).alias("top"), F.sum("c").alias("all"), F.sum("m").alias("total"))
+        outside, left = F.col("all") - F.col("top.c"), F.col("total") - F.col("top.m")
+        rests = F.ceil(F.greatest(outside / SMALL, left / SMALL_SHINGLES))
+        return nodes.join(top.select("node", F.col("top.comp").alias("main"), outside.alias("outside"), rests.alias("rests")), "node")
+
     def completed(self, nodes: DataFrame) -> DataFrame:
-        """Parts of nodes in which every pair of two components meets: all sets, in parts, with all sets outside of the largest component, in parts."""
-        by = nodes.groupBy("node", "comp").agg(F.count("*").alias("c"))
-        top = by.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
-        top = top.select("node", F.col("top.comp").alias("main"), F.ceil(F.col("all") / SMALL).alias("parts"), F.ceil((F.col("all") - F.col("top.c")) / SMALL).alias("rests"))
-        nodes = nodes.join(top, "node")
-        part, rest = F.pmod(F.xxhash64("rep", "node"), F.col("parts")), F.pmod(F.xxhash64("rep", "node"), F.col("rests"))
+        """Pieces of nodes in which every two sets of different components meet: all sets, in parts, with those outside of the largest component, in rests."""
+        part, rest = F.pmod(F.xxhash64("rep", "node"), F.col("parts")), F.pmod(F.xxhash64("node", "rep"), F.col("rests"))
         every = nodes.withColumn("_p", part).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
         others = nodes.where("comp <> main").withColumn("_r", rest).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         return every.unionByName(others.select(*every.columns)).select(F.xxhash64("node", "_p", "_r").alias("node"), "rep", "n", "sketch")
 
     def take(self, nodes: DataFrame) -> None:
         """Compare the pairs of each node, confirm what they suggest, and add the links."""
-        spread = nodes.select("node", "rep", "n", "sketch").repartition("node").sortWithinPartitions("node", "rep")
+        spread = nodes.select("node", "rep", "n", "sketch").repartition("node").sortWithinPartitions("node", "n", "rep")
         found = common.cut(spread.mapInPandas(suggest, "gid long, rep long").distinct())
         if self.comps is not None:  # groups that are in one component already add nothing
             found = found.join(self.comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -290,7 +325,7 @@ class Join:
         joined = units.join(self.sets(like.select(F.col("rep").alias("id"))), "rep").repartition("unit").sortWithinPartitions("unit", "rep")
         links = common.cut(joined.select("unit", "rep", "sh").mapInPandas(confirm(self.percent), "a long, b long").distinct())
         self.links = links if self.links is None else self.links.unionByName(links)
-        self.comps = common.cut(components(self.links))
+        self.comps = components(self.links)
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(``rep``, ``sh``): the shingles of the texts with these ids."""

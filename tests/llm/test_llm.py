@@ -202,6 +202,7 @@ def test_near_dedup_brute(spark, monkeypatch, k, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "UNIT_SETS", small)
     monkeypatch.setattr(near_dedup, "DEPTH", 2)
+    monkeypatch.setattr(near_dedup, "IN_ONE_TASK", 10 * small)
     rows = [*near_rows(), (1, None), (2, ""), (3, "One"), (4, "oNE"), (5, "one two"), (6, "One\tTWO"), (7, "É x"), (8, "é x")]
     got = near_dedup.near_duplicates(docs(spark, [*rows, (None, "one")]), k=k).collect()
     want = brute_components(rows, k, 80)
@@ -229,7 +230,9 @@ def test_linked_labels(percent):
     assert near_dedup.joined_labels(6, np.array([5, 4, 1]), np.array([4, 2, 0])).tolist() == [0, 0, 2, 3, 2, 2]
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("bound", [0, 20, 10**6])
+def test_components_of_a_path(spark, monkeypatch, bound):
+    monkeypatch.setattr(near_dedup, "IN_ONE_TASK", bound)
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["id"]: r["comp"] for r in near_dedup.components(edges).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100}
