@@ -7,9 +7,9 @@ its character n-grams (with word ends marked) that are known in some language: t
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from itertools import chain
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -22,32 +22,48 @@ WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Unseen words whose scores a worker remembers at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+
+
+class Table:
+    """Counts by name and language in one growing array."""
+
+    def __init__(self, langs: int):
+        self.index: dict[str, int] = {}
+        self.n = np.zeros((1024, langs))
+
+    def add(self, name: str, counts: np.ndarray) -> None:
+        at = self.index.setdefault(name, len(self.index))
+        if at == len(self.n):
+            self.n = np.concatenate([self.n, np.zeros_like(self.n)])
+        self.n[at] += counts
+
+    def logs(self, smoothing: float) -> np.ndarray:
+        n = self.n[: len(self.index)] + smoothing
+        return np.log(n / n.sum(axis=0)) if len(n) else n
 
 
 class Model:
-    """Log frequencies of words and of character n-grams by language; plain data, sent to the workers once."""
+    """Log frequencies of words and of character n-grams by language; plain data, sent to the workers once.
+
+    ``counts``: (word, language, n), rows of a word together.
+    """
 
-    def __init__(self, counts: list[tuple[str, str, int]], smoothing: float = 0.5):
-        self.langs = sorted({lang for lang, _, _ in counts})
+    def __init__(self, langs: list[str], counts: Iterable[tuple[str, str, int]], smoothing: float = 0.5):
+        self.langs = sorted(langs)
         at = {x: i for i, x in enumerate(self.langs)}
-        tables: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(at))) for _ in range(1 + len(ORDERS))]
-        seen = Counter()
-        for _, word, n in counts:
-            seen[word] += n
-        for lang, word, n in counts:
-            if seen[word] > 1:
-                tables[0][word][at[lang]] += n
-            for t, k in zip(tables[1:], ORDERS, strict=True):
+        words, *tables = (Table(len(at)) for _ in range(1 + len(ORDERS)))
+        for word, rows in groupby(counts, lambda r: r[0]):
+            n = np.zeros(len(at))
+            for _, lang, k in rows:
+                n[at[lang]] += k
+            if n.sum() > 1:
+                words.add(word, n)
+            for t, k in zip(tables, ORDERS, strict=True):
                 for g in grams(word, k):
-                    t[g][at[lang]] += n
-        self.words, *self.grams = ({x: i for i, x in enumerate(t)} for t in tables)
-        self.word_scores, *self.gram_scores = (self._logs(t, smoothing) for t in tables)
-
-    @staticmethod
-    def _logs(t: dict[str, np.ndarray], smoothing: float) -> np.ndarray:
-        n = np.array(list(t.values())) + smoothing
-        return np.log(n / n.sum(axis=0)) if len(t) else n
+                    t.add(g, n)
+        self.words, *self.grams = (t.index for t in (words, *tables))
+        self.word_scores, *self.gram_scores = (t.logs(smoothing) for t in (words, *tables))
 
     def unseen(self, word: str) -> np.ndarray:
         for k, index, scores in zip(ORDERS, self.grams, self.gram_scores, strict=True):
@@ -98,7 +114,7 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 2000, seed: int = 1) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 1000, seed: int = 1) -> Model:
     """Fit on about ``rows_per_lang`` whole texts of each language, drawn by a hash of the id (the documented bound).
 
     Rows whose ``crc32(id as text) % 4`` is 2 are held out; rows with null id, text or language aren't learned from.
@@ -108,7 +124,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.where(remainder("id") != 2)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([])
+        return Model([], [])
     limit = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, rows_per_lang / n))) for k, n in sizes.items()))
     draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < limit[F.col("lang")]).select("lang", "text")
@@ -122,7 +138,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     common.small_batches(docs.sparkSession)
     counts = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model([(r[0], r[1], r[2]) for r in counts.orderBy("lang", "word").toPandas().itertuples(index=False)])
+    return Model(list(sizes), counts.select("word", "lang", "n").orderBy("word", "lang").toPandas().itertuples(index=False, name=None))
 
 
 def told(spark: SparkSession, model: Model, text_col: str) -> Column:
