@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A chunk ends after a line whose rolling hash begins with one of these hexadecimal digits: after one line in four.
-ENDS = ("0", "1", "2", "3")
+#: A chunk ends after a line whose rolling hash, the sum of the codes of the first digits of its hash and of the hash before,
+#: is divisible by this: after one line in four.
+EVERY = 4
 #: Hashes of repeated chunks that are broadcast at most; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
 
@@ -21,16 +22,19 @@ BROADCAST_HASHES = 1_000_000
 def with_chunks(rows: DataFrame, text: Column) -> DataFrame:
     """Add ``_lines``, their hashes ``_h``, and ``_ends``, the 1-based numbers of lines that end a chunk; null where ``text`` is.
 
-    The rolling hash of a line is that of its hash and the one before; the last line ends a chunk too.
+    The rolling hash of a line is over its hash and the one before; the last line ends a chunk too.
     """
     rows = rows.withColumn("_lines", F.split(text, "\n", -1))
     rows = rows.withColumn("_h", F.transform("_lines", lambda x: F.substring(F.md5(x.cast("binary")), 1, 16)))
 
-    def rolled(n: Column) -> Column:
-        return F.md5(F.concat(F.coalesce(F.get("_h", n - 2), F.lit("")), F.get("_h", n - 1)).cast("binary"))
+    first = F.filter(F.array(F.lit("")), lambda _: F.size("_h") > 0)
+    pairs = F.arrays_zip(F.col("_h").alias("h"), F.slice(F.concat(first, "_h"), F.lit(1), F.size("_h")).alias("p"), F.sequence(F.lit(1), F.size("_h")).alias("i"))
 
-    n = F.size("_h")
-    return rows.withColumn("_ends", F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.substring(rolled(i), 1, 1).isin(*ENDS))))
+    def ends(z: Column) -> Column:
+        last = F.size(z)
+        return F.transform(F.filter(z, lambda x: (x.i == last) | ((F.ascii(x.h) + F.ascii(x.p)) % EVERY == 0)), lambda x: x.i)
+
+    return rows.withColumn("_ends", F.when(F.size("_h") > 0, common.let(pairs, ends)))
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,7 +47,7 @@ def exploded(rows: DataFrame, min_lines: int) -> DataFrame:
     rows = rows.select("_id", "_t", "_lines", "_h", "_ends", F.posexplode("_ends").alias("_j", "_end"))
     rows = rows.withColumn("_from", F.coalesce(F.get("_ends", F.col("_j") - 1), F.lit(0)) + 1)
     rows = rows.withColumn("_len", F.col("_end") - F.col("_from") + 1).where(F.col("_len") >= min_lines)
-    return rows.withColumn("_c", F.unhex(F.md5(F.array_join(F.slice("_h", F.col("_from"), F.col("_len")), "").cast("binary"))))
+    return rows.withColumn("_c", F.xxhash64(F.slice("_h", F.col("_from"), F.col("_len"))))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
@@ -61,7 +65,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = held.select("_c", "_id", "_t", "_j", "_len", F.array_join(F.slice("_lines", F.col("_from"), F.col("_len")), "\n").alias("_chunk"))
     held = held.where(F.col("_chunk").rlike(r"[^\x20\x09-\x0D]"))
     at = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_t").alias("t"), F.col("_j").alias("j"))
-    held = held.withColumn("_at", at)
+    held = common.cut(held.withColumn("_at", at))
     held = common.group_lookup(held, ["_c", "_chunk"], common.salted("_id", "_t", "_j"), {"_first": (F.min("_at"), F.min("_p__first"))})
     gone = held.where(F.col("_at") != F.col("_first")).select("_id", "_t", "_j", "_len").distinct()
     gone = gone.groupBy("_id", "_t").agg(F.collect_list("_j").alias("_gone"), F.sum("_len").cast("long").alias("n_removed"))
@@ -70,9 +74,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("_t", F.xxhash64("text"))
     rows = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_t") == F.col("_gt")), "left")
     rows = with_chunks(rows, F.when(F.col("_gone").isNotNull(), F.col("text")))
-    left = F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), lambda j: ~F.array_contains("_gone", j))
-    first = lambda j: F.coalesce(F.get("_ends", j - 1), F.lit(0)) + 1
-    kept = F.array_join(F.flatten(F.transform(left, lambda j: F.slice("_lines", first(j), F.get("_ends", j) - first(j) + 1))), "\n")
+    starts = F.transform(F.slice(F.concat(F.array(F.lit(0)), "_ends"), F.lit(1), F.size("_ends")), lambda e: e + 1)
+    numbered = F.arrays_zip(starts.alias("from"), F.col("_ends").alias("to"), F.sequence(F.lit(0), F.size("_ends") - 1).alias("j"))
+    left = F.filter(numbered, lambda x: ~F.array_contains("_gone", x.j))
+    cut_out = common.let(F.struct(F.col("_lines").alias("l"), left.alias("x")), lambda v: F.flatten(F.transform(v.x, lambda x: F.slice(v.l, x["from"], x.to - x["from"] + 1))))
+    kept = F.array_join(cut_out, "\n")
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     return rows.select(F.col("_id").alias(id_col), F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"), n_lines.alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
 
@@ -86,7 +92,7 @@ OP7_SQL = r"""
 WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 h AS (SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
 r AS (SELECT *, substr(md5(line), 1, 16) AS h, lag(substr(md5(line), 1, 16), 1, '') OVER w AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-e AS (SELECT *, CASE WHEN i = n OR substr(md5(p || h), 1, 1) IN ('0', '1', '2', '3') THEN 1 ELSE 0 END AS ends FROM r),
+e AS (SELECT *, CASE WHEN i = n OR (ascii(h) + CASE WHEN p = '' THEN 0 ELSE ascii(p) END) % 4 = 0 THEN 1 ELSE 0 END AS ends FROM r),
 j AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS j FROM e),
 c AS (SELECT doc_id, j, count(*) AS k, string_agg(line, chr(10) ORDER BY i) AS chunk FROM j GROUP BY doc_id, j),
 f AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, j) AS occ FROM c WHERE k >= 2 AND regexp_matches(chunk, '[^\x20\x09-\x0D]')),
