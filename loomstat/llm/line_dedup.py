@@ -7,7 +7,7 @@ candidates; only their texts are shuffled, grouped byte for byte, and all but th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -17,6 +17,8 @@ from . import common
 EVERY = 4
 #: Hashes of repeated chunks that are broadcast at most; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
+#: A passage has more words than this.
+PASSAGE_WORDS = 50
 
 
 def with_chunks(rows: DataFrame, text: Column) -> DataFrame:
@@ -88,6 +90,68 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """For each line with a word the shortest runs of two such lines or more with over ``PASSAGE_WORDS`` words that begin and that end
+    with it: ``_from`` and ``_to`` (1-based line numbers) and ``_c``, an MD5 over the lines' MD5s and places.
+
+    A shared run of over ``PASSAGE_WORDS`` words is covered by the shortest runs inside it, so nothing longer is needed.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    told = F.transform(F.split("_text", "\n", -1), lambda x: F.struct(F.md5(x.cast("binary")).alias("d"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("w")))
+    rows = rows.select("_id", F.xxhash64("_text").alias("_t"), told.alias("_l")).groupBy("_id", "_t").agg(F.first("_l").alias("_l"))
+    rows = rows.select("_id", "_t", F.posexplode("_l").alias("_i", "_x")).where("_x.w > 0")
+    of = Window.partitionBy("_id", "_t")
+    rows = rows.withColumn("_p", F.sum("_x.w").over(of.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_s", F.col("_p") - F.col("_x.w"))
+    # lines have a word each, so a frame has at most PASSAGE_WORDS + 1 of them
+    x = F.struct((F.col("_i") + 1).alias("i"), F.col("_x.d").alias("d"), F.col("_s").alias("s"), F.col("_p").alias("p"))
+    ahead, back = of.orderBy("_s"), of.orderBy("_p")
+    rows = rows.select("_id", "_t", x.alias("_x"), F.collect_list(x).over(ahead.rangeBetween(0, PASSAGE_WORDS)).alias("_f"), F.lead(x).over(ahead).alias("_next"), F.collect_list(x).over(back.rangeBetween(-PASSAGE_WORDS, 0)).alias("_b"), F.lag(x).over(back).alias("_last"))
+    runs = F.array(F.when(F.size("_f") > 1, F.col("_f")).otherwise(F.array("_x", "_next")), F.when(F.size("_b") > 1, F.col("_b")).otherwise(F.array("_last", "_x")))
+    runs = F.filter(F.array_distinct(runs), lambda r: F.get(r, F.size(r) - 1)["p"] - F.get(r, F.lit(0))["s"] > PASSAGE_WORDS)
+    rows = rows.select("_id", "_t", F.explode(runs).alias("_r"))
+    first = F.get("_r", F.lit(0))["i"]
+    key = F.array_join(F.transform("_r", lambda x: F.concat(x["d"], (x["i"] - first).cast("string"))), ",")
+    return rows.select("_id", "_t", first.alias("_from"), F.get("_r", F.size("_r") - 1)["i"].alias("_to"), F.unhex(F.md5(key.cast("binary"))).alias("_c"))
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: its id, ``text`` without removed lines, ``n_lines`` and ``n_removed``, as :func:`dedup_lines` gives them.
+
+    Removed is each line of a run of two lines with words or more, with over ``PASSAGE_WORDS`` words in all, that also occurs at
+    an earlier place: in a lesser id (null last), or further up. Lines are compared by the MD5 of their bytes, blank ones between
+    them by their number. Null texts, repeated rows and what is left of a text are as in :func:`dedup_lines`.
+    """
+    made = common.cut(windows(docs, id_col, text_col))
+    repeated = common.cut(made.groupBy("_c").agg(F.count("*").alias("n")).where("n > 1").select("_c"))
+    few = repeated.count() <= BROADCAST_HASHES
+    held = made.join(F.broadcast(repeated) if few else repeated, "_c", "left_semi")
+    at = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_t").alias("t"), F.col("_from").alias("i"))
+    held = common.cut(held.withColumn("_at", at))
+    held = common.group_lookup(held, ["_c"], common.salted("_id", "_t", "_from"), {"_first": (F.min("_at"), F.min("_p__first"))})
+    gone = held.where(F.col("_at") != F.col("_first")).select("_id", "_t", "_from", "_to")
+    before = Window.partitionBy("_id", "_t").orderBy("_from", "_to")
+    apart = F.coalesce(F.col("_from") > F.max("_to").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    gone = gone.withColumn("_new", apart.cast("int")).withColumn("_k", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    gone = gone.groupBy("_id", "_t", "_k").agg(F.min("_from").alias("a"), F.max("_to").alias("b"))
+    gone = gone.groupBy(F.col("_id").alias("_gid"), F.col("_t").alias("_gt")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_gone"), F.sum(F.col("b") - F.col("a") + 1).cast("long").alias("n_removed"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("_t", F.xxhash64("text"))
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_t") == F.col("_gt")), "left")
+    n_lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    # what stays lies between the ends of one removed run and the start of the next
+    starts = F.concat(F.array(F.lit(1)), F.transform("_gone", lambda g: g["b"] + 1))
+    ends = F.concat(F.transform("_gone", lambda g: g["a"] - 1), F.array(n_lines.cast("int")))
+    left = F.struct(F.split("text", "\n", -1).alias("l"), F.arrays_zip(starts.alias("a"), ends.alias("b")).alias("x"))
+    kept = F.array_join(common.let(left, lambda v: F.flatten(F.transform(v["x"], lambda x: F.slice(v["l"], x["a"], x["b"] - x["a"] + 1)))), "\n")
+    return rows.select(F.col("_id").alias(id_col), F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"), n_lines.alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
+
+
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = dedup_passages(common.table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 OP7_SQL = r"""
 WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 h AS (SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),

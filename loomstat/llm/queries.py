@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op7_passage_dedup": line_dedup.op7_passage_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,

@@ -286,6 +286,57 @@ def test_line_dedup_brute(spark, monkeypatch, limit):
     assert sum(g["n_removed"] for g in got) > 200 and {g["n_lines"] for g in got if g["doc_id"] in (100, 101)} == {0}
 
 
+def brute_passages(rows):
+    """By all runs of all documents: the lines of those with over 50 words that occur at an earlier place, blank lines at no end."""
+    seen, out = set(), {}
+    for i, x in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = (x or "").split("\n")
+        gone = set()
+        for a in range(len(lines)):
+            run = []
+            for b in range(a, len(lines)):
+                run.append(lines[b])
+                if lines[a].split() and lines[b].split() and sum(1 for y in run if y.split()) > 1 and len(" ".join(run).split()) > 50:
+                    if (key := "\n".join(run)) in seen:
+                        gone |= set(range(a, b + 1))
+                    seen.add(key)
+        out[i] = ("\n".join(y for k, y in enumerate(lines) if k not in gone), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_passages_brute(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", limit)
+    r = random.Random(5)
+    pool = [[" ".join(words(900 + k * 10 + j, r.choice([3, 9, 20, 60]))) for j in range(r.choice([2, 2, 3, 5, 8]))] for k in range(12)]
+    pool[0].insert(1, "")
+    rows = []
+    for i in range(50):
+        lines = [" ".join(words(i * 100 + j, 7)) for j in range(r.randrange(0, 3))]
+        for _ in range(r.randrange(3)):
+            p = r.choice(pool)
+            a = r.randrange(len(p))
+            lines += p[a : a + r.randrange(2, 9)] + [""] * r.randrange(2)
+        rows.append((i, "\n".join([*lines, " ".join(words(i * 100 + 50, 4))])))
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "\n".join(pool[3] * 3)), (104, "x\n" * 120), (None, rows[2][1])]
+    rows.append(rows[4])
+    got, want = line_dedup.dedup_passages(docs(spark, rows)).collect(), brute_passages(rows)
+    assert len(got) == len(rows)
+    for g in got:
+        assert (g["text"], g["n_removed"]) == want[g["doc_id"]], g["doc_id"]
+    assert sum(g["n_removed"] for g in got) > 100
+
+
+def test_passage_of_two_lines_goes_whole(spark):
+    """Wherever the chunk rule would cut, as it cuts after one line in four only."""
+    rows = []
+    for k in range(20):
+        passage = [" ".join(words(k * 10 + j, 30)) for j in range(2)]
+        rows += [(2 * k + n, "\n".join([f"before {k} {n}", *passage, f"after {k} {n}"])) for n in range(2)]
+    got = by_id(line_dedup.dedup_passages(docs(spark, rows)))
+    assert all(got[2 * k]["n_removed"] == 0 and got[2 * k + 1]["text"] == f"before {k} 1\nafter {k} 1" for k in range(20))
+
+
 # 8
 def test_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1], 3) == pytest.approx([187.5, 75, 37.5])
