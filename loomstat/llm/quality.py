@@ -23,6 +23,8 @@ CELLS = CLASSES**3
 LANGUAGES = 100
 #: The band: so many interquartile ranges of log perplexity below the lower and above the upper quartile.
 BELOW, ABOVE = 10.0, 10.0
+#: An interquartile range below this counts as this, so that a band is 0.42 wide at least; the four bands of sf0.1 have 0.026 to 0.038.
+LEAST_WIDTH = 0.02
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 
@@ -169,13 +171,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ``base_failed``, ``log_perplexity`` (natural log, a character), the band's ``lower`` and ``upper``, and ``kept``.
 
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. Model and bands come from all
-    rows; quartiles are taken over the rows of a language that pass the base rules (percentile_approx, error 1e-4 of the
-    rows). Null texts are empty, fail the base rules and have a null perplexity. Null languages share a model with rare
+    rows; quartiles are taken over the distinct texts of a language that pass the base rules (percentile_approx, error 1e-4
+    of the texts), and their distance is ``LEAST_WIDTH`` at least. Null texts are empty, fail the base rules and have a null perplexity. Null languages share a model with rare
     ones. Repeated rows are judged alike.
     """
     common.small_batches(docs.sparkSession)
     number, _ = language(docs, lang_col)
     rows = docs.select(F.col(id_col).alias("id"), number.cast("int").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("t", F.xxhash64("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(rows.select("lang", "text")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -184,6 +187,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             out = pd.DataFrame([rules(x) for x in b["text"]], columns=names)
             out.insert(0, "id", b["id"].to_numpy())
             out.insert(1, "lang", b["lang"].to_numpy())
+            out.insert(2, "t", b["t"].to_numpy())
             logs = np.full(len(b), np.nan)
             for lang, at in b.reset_index(drop=True).groupby("lang").indices.items():
                 found = [trigrams(x) for x in b["text"].iloc[at]]
@@ -194,12 +198,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             out["log_perplexity"] = logs
             yield out
 
-    schema = f"id {dict(docs.dtypes)[id_col]}, lang int, {', '.join(f'{n} long' for n in names)}, log_perplexity double"
+    schema = f"id {dict(docs.dtypes)[id_col]}, lang int, t long, {', '.join(f'{n} long' for n in names)}, log_perplexity double"
     scored = rows.mapInPandas(score, schema).withColumn("log_perplexity", F.nanvl("log_perplexity", F.lit(None).cast("double")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = common.cut(scored.withColumn("base_failed", failed))
-    bands = scored.where("not base_failed").groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10000).alias("q"))
-    width = F.col("q")[1] - F.col("q")[0]
+    texts = scored.where("not base_failed").groupBy("lang", "t").agg(F.min("log_perplexity").alias("log_perplexity"))
+    bands = texts.groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10000).alias("q"))
+    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_WIDTH))
     bands = bands.select("lang", (F.col("q")[0] - below * width).alias("lower"), (F.col("q")[1] + above * width).alias("upper"))
     made = scored.join(F.broadcast(bands), "lang", "left")  # LANGUAGES + 1 rows at most
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))

@@ -400,6 +400,14 @@ def test_quality_rules_and_bands(spark):
     assert all(got[i]["kept"] for i in range(1000, 1300)) and not got[500]["kept"] and not got[500]["base_failed"]
 
 
+@pytest.mark.parametrize("others", [40, 1])
+def test_quality_band_of_many_copies(spark, others):
+    """Copies of one text, over half of a language, don't set its band; nor does a language with one other text."""
+    rows = [(i, " ".join(words(7, 80)), "en") for i in range(120)] + [(1000 + i, " ".join(words(100 + i, 80)), "en") for i in range(others)]
+    got = by_id(quality.judge(docs(spark, rows)))
+    assert all(g["kept"] for g in got.values()) and all(g["upper"] - g["lower"] >= 21 * quality.LEAST_WIDTH - 1e-9 for g in got.values())
+
+
 def test_quality_model_is_a_distribution():
     text = " ".join(words(1, 3000))
     model = quality.Model({3: np.bincount(quality.trigrams(text), minlength=quality.CELLS)})
