@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import dot, norm
+
 BLOCK = 1024
 
 
@@ -103,6 +105,15 @@ def left_out_score(rows: DataFrame, group: str, d: int) -> DataFrame:
     return rows.join(rest, group).select("id", group, score.alias("score"))
 
 
+def gram_cosine(rows: DataFrame, group: str, d: int) -> DataFrame:
+    """(``a``, ``b``, ``gram_cosine``): cosine of the Gram matrices, summed outer products over the first ``d`` places, of each two groups."""
+    one = rows.select(group, "v", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("_i")).withColumn("_x", F.get("v", F.col("_i")).cast("double"))
+    one = one.groupBy(group, "_i").agg(F.array(*[F.sum(F.col("_x") * F.col("v")[j]) for j in range(d)]).alias("_g"))
+    g = one.groupBy(group).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_g"))), lambda x: x["_g"])).alias("g"))
+    a, b = (g.select(F.col(group).alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (dot(F.col("ga"), F.col("gb")) / (norm(F.col("ga")) * norm(F.col("gb")))).alias("gram_cosine"))
+
+
 def shares(df: DataFrame, item: list[str], k: str) -> DataFrame:
     """(item, k, ``share``): the share of each k in the rows of an item."""
     n = df.groupBy(*item, k).agg(F.count("*").alias("n"))

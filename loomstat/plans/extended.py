@@ -130,11 +130,12 @@ def kernel_distance(spark, d):
 
 @query(f"WITH {V}, o AS (SELECT label, i, j, sum(v[i] * v[j]) AS g FROM n, range(1, 9) a(i), range(1, 9) b(j) GROUP BY ALL) SELECT a.label AS a, b.label AS b, round(sum(a.g * b.g) / sqrt(sum(a.g * a.g) * sum(b.g * b.g)), 6) AS gram_cosine FROM o a JOIN o b ON a.i = b.i AND a.j = b.j AND a.label < b.label GROUP BY ALL")
 def gram_cosine(spark, d):
-    pairs = [(i, j) for i in range(8) for j in range(8)]
-    v = vectors(spark, d).groupBy("label").agg(*[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"_{i}_{j}") for i, j in pairs])
-    g = v.select("label", F.array(*[f"_{i}_{j}" for i, j in pairs]).alias("g"))
-    a, b = g.select(F.col("label").alias("a"), F.col("g").alias("ga")), g.select(F.col("label").alias("b"), F.col("g").alias("gb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", r(S.dot(F.col("ga"), F.col("gb")) / (S.norm(F.col("ga")) * S.norm(F.col("gb")))).alias("gram_cosine"))
+    return rounded(similarity.gram_cosine(vectors(spark, d), "label", 8), "gram_cosine")  # as its SQL sums; the whole job is gram_cosine_full
+
+
+@query()
+def gram_cosine_full(spark, d):
+    return rounded(similarity.gram_cosine(vectors(spark, d), "label", D), "gram_cosine")
 
 
 # ---- shares

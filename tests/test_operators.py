@@ -216,3 +216,15 @@ def test_unit_vectors_and_left_out_centroid(spark):
     assert one(spark, S.norm(S.unit(F.array(F.lit(3.0), F.lit(4.0))))) == pytest.approx(1.0)
     got = {r["id"]: r["score"] for r in similarity.left_out_score(df, "g", 2).collect()}
     assert got[1] == pytest.approx((3 * 2 + 4 * 2) / math.sqrt(8)) and got[2] == pytest.approx(2 * 4 / 5)
+
+
+def vector_rows(spark, n, d=6):
+    x = np.random.default_rng(1).normal(size=(n, d))
+    return x, spark.createDataFrame([(i, i % 2, x[i].tolist()) for i in range(n)], "id long, label int, v array<double>")
+
+
+def test_gram_cosine_is_over_all_places(spark):
+    x, rows = vector_rows(spark, 40, 64)
+    g, h = (x[k::2].T @ x[k::2] for k in (0, 1))
+    got = similarity.gram_cosine(rows, "label", 64).collect()
+    assert [r["gram_cosine"] for r in got] == pytest.approx([(g * h).sum() / np.sqrt((g * g).sum() * (h * h).sum())])
