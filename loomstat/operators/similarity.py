@@ -114,6 +114,23 @@ def gram_cosine(rows: DataFrame, group: str, d: int) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (dot(F.col("ga"), F.col("gb")) / (norm(F.col("ga")) * norm(F.col("gb")))).alias("gram_cosine"))
 
 
+def kernel_distance(rows: DataFrame, group: str, a, b, d: int, subsamples: int = 50, size: int = 64, order: Callable[[Column, Column], Column] = F.xxhash64) -> DataFrame:
+    """(``s``, ``d``): by subsample the unbiased distance of groups ``a`` and ``b`` under the cubic kernel (x.y / ``d`` + 1)**3.
+
+    A subsample has ``size`` rows of each group, or as many as the smaller one, drawn in the ``order`` of a hash of ``id`` and its number.
+    (``scalars.mixed_int`` is linear in both, so that its subsamples are runs of one cyclic order; SQL can repeat it.)
+    """
+    rows = rows.where(F.col(group).isin(a, b)).select("id", F.col(group).alias("l"), "v")
+    least = rows.agg(F.least(F.count(F.when(F.col("l") == a, 1)), F.count(F.when(F.col("l") == b, 1)), F.lit(size)).alias("m"))
+    w = Window.partitionBy("l", "s").orderBy(order(F.col("id"), F.col("s")), "id")
+    drawn = rows.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(subsamples)))).withColumn("k", F.row_number().over(w))
+    drawn = drawn.where(F.col("k") <= size).join(F.broadcast(least), F.col("k") <= F.col("m"))  # one row
+    x, y = (drawn.select("s", F.col("id").alias(f"i{n}"), F.col("l").alias(f"l{n}"), F.col("v").alias(f"v{n}")) for n in "xy")
+    pairs = x.join(y, "s").where("ix <> iy or lx <> ly").withColumn("f", F.pow(dot(F.col("vx"), F.col("vy")) / d + 1, F.lit(3.0)))
+    mean = lambda p, q: F.avg(F.when((F.col("lx") == p) & (F.col("ly") == q), F.col("f")))
+    return pairs.groupBy("s").agg((mean(a, a) + mean(b, b) - 2 * mean(a, b)).alias("d"))
+
+
 def shares(df: DataFrame, item: list[str], k: str) -> DataFrame:
     """(item, k, ``share``): the share of each k in the rows of an item."""
     n = df.groupBy(*item, k).agg(F.count("*").alias("n"))

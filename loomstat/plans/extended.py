@@ -117,17 +117,19 @@ KID = V + f", o AS (SELECT id, label, v, s, row_number() OVER (PARTITION BY labe
 
 @query(f"WITH {KID} SELECT round(avg(d) * 1000, 6) AS kid_x1000, round(stddev_pop(d) * 1000, 6) AS std_x1000, count(*) AS n FROM t")
 def kernel_distance(spark, d):
-    v = vectors(spark, d).where("label in (0, 1)").withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    w = Window.partitionBy("label", "s").orderBy(S.mixed_int(F.col("id"), F.col("s")), "id")
-    q = v.withColumn("k", F.row_number().over(w)).where("k <= 16")  # 16 of each set in a subsample, whatever the table
-    a, b = (q.select("s", F.col("id").alias(f"i{x}"), F.col("label").alias(f"l{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
-    f = F.pow(S.dot(F.col("va"), F.col("vb")) / D + 1, F.lit(3.0))
-    p = a.join(b, "s").where("ia <> ib or la <> lb").withColumn("f", f)
-    m = lambda x, y: F.avg(F.when((F.col("la") == x) & (F.col("lb") == y), F.col("f")))
-    t = p.groupBy("s").agg((m(0, 0) + m(1, 1) - 2 * m(0, 1)).alias("d"))
+    return kernel(spark, d, 5, 16, S.mixed_int)  # as its SQL draws; the whole job is kernel_distance_full
+
+
+def kernel(spark, d, *drawn):
+    t = similarity.kernel_distance(vectors(spark, d), "label", 0, 1, D, *drawn)
     return t.agg(r(F.avg("d") * 1000).alias("kid_x1000"), r(F.stddev_pop("d") * 1000).alias("std_x1000"), F.count("*").alias("n"))
 
 
+@query()
+def kernel_distance_full(spark, d):
+    return kernel(spark, d)
+
+
 @query(f"WITH {V}, o AS (SELECT label, i, j, sum(v[i] * v[j]) AS g FROM n, range(1, 9) a(i), range(1, 9) b(j) GROUP BY ALL) SELECT a.label AS a, b.label AS b, round(sum(a.g * b.g) / sqrt(sum(a.g * a.g) * sum(b.g * b.g)), 6) AS gram_cosine FROM o a JOIN o b ON a.i = b.i AND a.j = b.j AND a.label < b.label GROUP BY ALL")
 def gram_cosine(spark, d):
     return rounded(similarity.gram_cosine(vectors(spark, d), "label", 8), "gram_cosine")  # as its SQL sums; the whole job is gram_cosine_full

@@ -228,3 +228,14 @@ def test_gram_cosine_is_over_all_places(spark):
     g, h = (x[k::2].T @ x[k::2] for k in (0, 1))
     got = similarity.gram_cosine(rows, "label", 64).collect()
     assert [r["gram_cosine"] for r in got] == pytest.approx([(g * h).sum() / np.sqrt((g * g).sum() * (h * h).sum())])
+
+
+def test_kernel_distance_draws_fifty_subsamples(spark):
+    x, rows = vector_rows(spark, 31)
+    got = similarity.kernel_distance(rows.where("id < 28"), "label", 0, 1, 6).collect()
+    a, b = x[:28:2], x[1:28:2]  # 14 of each: all are drawn
+    k = lambda p, q: (p @ q.T / 6 + 1) ** 3
+    off = lambda p: (k(p, p).sum() - np.trace(k(p, p))) / (len(p) * (len(p) - 1))
+    assert len(got) == 50 and [r["d"] for r in got] == pytest.approx([off(a) + off(b) - 2 * k(a, b).mean()] * 50)
+    few = rows.where("label = 0 or id < 10")
+    assert len({round(r["d"], 9) for r in similarity.kernel_distance(few, "label", 0, 1, 6).collect()}) > 25  # 5 of 16 drawn
