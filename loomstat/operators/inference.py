@@ -70,7 +70,7 @@ def wilcoxon(w_plus: pd.Series, w_minus: pd.Series, n: pd.Series, ties: pd.Serie
     return pd.Series([wilcoxon_p(a, b, int(c), d, int(e)) for a, b, c, d, e in zip(w_plus, w_minus, n, ties, zeros, strict=True)])
 
 
-def bootstrap_interval(pairs: DataFrame, by: list[str], unit: str, rounds: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def bootstrap_interval(pairs: DataFrame, by: list[str], unit: str, rounds: int = 10_000, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """By group: mean difference and its percentile interval over deterministic resamples (integer hash of round and draw).
 
     The draws of a comparison are its units times ``rounds``; both are small and bounded by the study.
@@ -88,7 +88,9 @@ def bootstrap_pcg64(pairs: DataFrame, by: list[str], unit: str, rounds: int = 10
     """As :func:`bootstrap_interval` with numpy's PCG64 and an index matrix of ``rounds`` by n, units in their order."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         d = g.sort_values(unit)["d"].to_numpy()
-        lo, hi = np.percentile(d[np.random.default_rng(seed).integers(0, len(d), (rounds, len(d)))].mean(axis=1), [2.5, 97.5])
+        draw, step = np.random.default_rng(seed), max(1, (1 << 21) // len(d))  # some rounds at once; the draws are those of one matrix
+        means = [d[draw.integers(0, len(d), (min(step, rounds - k), len(d)))].mean(axis=1) for k in range(0, rounds, step)]
+        lo, hi = np.percentile(np.concatenate(means), [2.5, 97.5])
         return pd.DataFrame([[*g[by].iloc[0], len(d), d.mean(), lo, hi]], columns=[*by, "n", "diff", "ci_lo", "ci_hi"])
 
     keys = ", ".join(f"{k} {t}" for k, t in pairs.dtypes if k in by)
@@ -108,7 +110,8 @@ def holm(df: DataFrame, p: str, family: list[str], ids: list[str]) -> DataFrame:
 def compare(df: DataFrame, method: str, unit: str, metrics: dict[str, bool], comparisons: list[tuple[str, str]]) -> DataFrame:
     """A row per comparison and metric: n, means, difference, interval, p, effect size, which is better, Holm-adjusted p.
 
-    ``metrics``: name -> whether higher is better. All comparisons run in one plan.
+    ``metrics``: name -> whether higher is better. All comparisons run in one plan. The interval is of 10,000
+    resamples.
     """
     long = df.dropna(subset=[method, unit]).groupBy(method, unit).agg(*[F.avg(c).alias(c) for c in metrics]).unpivot([method, unit], list(metrics), "metric", "value").where("value is not null")
     plan = df.sparkSession.createDataFrame([(a, b, m, up) for a, b in comparisons for m, up in metrics.items()], "a string, b string, metric string, higher boolean")
@@ -119,7 +122,7 @@ def compare(df: DataFrame, method: str, unit: str, metrics: dict[str, bool], com
     by = ["a", "b", "metric"]
     means = pairs.groupBy(*by, "higher").agg(F.avg("va").alias("mean_a"), F.avg("vb").alias("mean_b"))
     ranks = signed_rank(pairs, by).select(*by, wilcoxon("w_plus", "w_minus", "n", "ties", "zeros").alias("p"), "r_rb")
-    made = means.join(bootstrap_interval(pairs, by, "unit"), by).join(ranks, by)
+    made = means.join(bootstrap_pcg64(pairs, by, "unit"), by).join(ranks, by)
     made = made.withColumn("better", F.when((F.col("diff") > 0) == F.col("higher"), "a").otherwise("b")).drop("higher")
     return holm(made.withColumn("family", F.lit("primary")), "p", ["family"], by)
 

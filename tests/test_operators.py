@@ -239,3 +239,12 @@ def test_kernel_distance_draws_fifty_subsamples(spark):
     assert len(got) == 50 and [r["d"] for r in got] == pytest.approx([off(a) + off(b) - 2 * k(a, b).mean()] * 50)
     few = rows.where("label = 0 or id < 10")
     assert len({round(r["d"], 9) for r in similarity.kernel_distance(few, "label", 0, 1, 6).collect()}) > 25  # 5 of 16 drawn
+
+
+def test_compare_takes_ten_thousand_resamples(spark):
+    d = np.random.default_rng(3).normal(size=400)
+    rows = spark.createDataFrame([(m, i, float(d[i]) if m == "A" else 0.0) for i in range(400) for m in "AN"], "method string, unit int, x double")
+    got = inference.compare(rows, "method", "unit", {"x": True}, [("A", "N")]).collect()[0]
+    whole = d[np.random.default_rng(0).integers(0, 400, (10_000, 400))].mean(axis=1)
+    assert (got["ci_lo"], got["ci_hi"]) == pytest.approx(tuple(np.percentile(whole, [2.5, 97.5])))
+    assert got["n"] == 400
