@@ -24,9 +24,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with the same text, white space runs alike, the one with the least doc_id; of rows that repeat that too, one."""
+    """Of rows with the same text, white space runs alike, the one with the least doc_id; of rows that repeat that too, one. Where no
+    row of a text has an id, one with the least hash of its text stays."""
     made = exact_dedup.refine(docs)
-    return common.keep_rows(docs, made.select(F.col("doc_id").alias("id"), F.col("text_xxhash64").alias("t"), "kept"), "doc_id", "text")
+    told = made.select(F.col("doc_id").alias("id"), F.col("text_xxhash64").alias("t"), "kept")
+    nameless = made.where("keep_id is null and not kept").groupBy("text_sha256").agg(F.min("text_xxhash64").alias("t"))
+    told = told.unionByName(nameless.select(F.lit(None).cast(told.schema["id"].dataType).alias("id"), "t", F.lit(True).alias("kept")))
+    return common.keep_rows(docs, told, "doc_id", "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,12 @@ def test_exact(steps):
     assert set(got.values()) == {1} and {(i, norm(x)) for i, x in got} == {(i, k) for k, (i, _) in best.items()}
 
 
+def test_exact_leaves_one_of_texts_without_ids(spark):
+    rows = [(None, "same text"), (None, "same  text"), (None, "same text"), (None, "alone"), (1, "other"), (None, "other")]
+    got = pairs(corpus_pipeline.drop_copies(spark, docs(spark, rows), ""))
+    assert len(got) == 3 and set(got.values()) == {1} and {(i, norm(x)) for i, x in got} == {(None, "same text"), (None, "alone"), (1, "other")}
+
+
 def test_near(steps):
     rows = list(pairs(steps[2]))
     comp = brute_components(rows, 5, 80)
