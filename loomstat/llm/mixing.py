@@ -64,8 +64,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Account, one row per row of ``docs``: the id, ``source``, ``size`` (words), ``source_size``, ``target`` of the source
     ``taken``, the words of the document that the mixture holds, repeats counted, at most ``most`` times its size, and
     ``text_xxhash64``.
-    Slots: ``shard``, ``source``, ``slot`` (counted within the source) and ``block``, an index of ``block`` words of the
-    source's stream (the last may have fewer).
+    Slots: ``shard``, ``source``, ``slot`` (counted within the source), ``block``, an index of ``block`` words of the
+    source's stream (the last may have fewer), and ``spans``, what the block holds, in order: ``at``, the document's place in
+    the stream, ``id``, ``text_xxhash64``, and its words ``from`` (0-based) up to, but not with, ``to``.
 
     Sources, by code point and null last, weigh ``weights`` in turn. Null texts have no words. Documents are ordered by
     a hash of id, source and size, so reruns agree; repeated rows are documents of their own. A source without words has a
@@ -93,17 +94,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.join(F.broadcast(facts), ["_none", "_source"])
     placed = common.running(rows.where("size > 0"), ["_s"], common.hash_bucket("_h"), ["_h", "_id", "size", "_t"], F.col("size"), "_at")
     pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))))
-    words = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("_at"), F.col("block") * block)
-    used = slots.groupBy("_s", "block").agg(F.count("*").alias("_times"))
-    pieces = pieces.select("_s", "_at", "block", words.alias("_words")).join(used, ["_s", "block"])
-    taken = pieces.groupBy("_s", "_at").agg(F.sum(F.col("_words") * F.col("_times")).alias("taken"))
+    start = F.greatest(F.col("_at"), F.col("block") * block) - F.col("_at")
+    stop = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block) - F.col("_at")
+    span = F.struct(F.col("_at").alias("at"), F.col("_id").alias("id"), F.col("_t").alias("text_xxhash64"), start.alias("from"), stop.alias("to"))
+    # a document in a block has a word there, so a block has at most its length of spans
+    blocks = pieces.groupBy("_s", "block").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    slots = slots.join(blocks, ["_s", "block"])
+    taken = slots.select("_s", F.explode("spans").alias("_x")).groupBy("_s", F.col("_x.at").alias("_at")).agg(F.sum(F.col("_x.to") - F.col("_x.from")).alias("taken"))
     account = placed.select("_s", "_at", "_id", "_t", "size", "_none", "_source", "source_size", "target").join(taken, ["_s", "_at"], "left")
     empty = rows.where("size = 0").select("_id", "_t", "size", "_none", "_source", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     account = account.select(*empty.columns[:-1], F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(empty)
     source = F.when(~F.col("_none"), F.col("_source")).alias("source")
-    return account.select(F.col("_id").alias(id_col), source, "size", "source_size", "target", "taken", F.col("_t").alias("text_xxhash64")), slots.select("shard", source, "slot", "block")
+    return account.select(F.col("_id").alias(id_col), source, "size", "source_size", "target", "taken", F.col("_t").alias("text_xxhash64")), slots.select("shard", source, "slot", "block", "spans")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     account, _ = mix(common.table(spark, sf_dir, "documents"))
     return account.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, slots = mix(common.table(spark, sf_dir, "documents"))
+    return slots

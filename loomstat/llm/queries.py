@@ -14,6 +14,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op7_passage_dedup": line_dedup.op7_passage_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op8_packed_blocks": mixing.op8_packed_blocks,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }

@@ -372,6 +372,21 @@ def test_mix_account(spark):
     assert sorted(map(tuple, got[cols].to_numpy().tolist())) == sorted(map(tuple, again[cols].to_numpy().tolist()))
 
 
+def test_mix_blocks_hold_the_words(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(words(i, r.choice([1, 5, 40, 300]))), None, r.choice(["a", "b", None])) for i in range(200)]
+    account, slots = mixing.mix(docs(spark, rows))
+    taken, held = Counter(), defaultdict(set)
+    for s in slots.collect():
+        text = [(x["id"], k) for x in s["spans"] for k in range(x["from"], x["to"])]
+        assert 0 < len(text) <= 32 and all(rows[i][3] == s["source"] and k < len(rows[i][1].split()) for i, k in text)
+        held[s["source"], s["block"]].add(tuple(text))
+        taken.update(i for i, _ in text)
+    assert all(len(x) == 1 for x in held.values())
+    once = [w for x in held.values() for w in next(iter(x))]
+    assert len(once) == len(set(once)) and {r["doc_id"]: r["taken"] for r in account.collect() if r["taken"]} == taken
+
+
 # 9
 def brute_rules(text):
     w = (text or "").encode().split()
