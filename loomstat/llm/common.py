@@ -79,6 +79,16 @@ def group_lookup(rows: DataFrame, keys: list[str], salt: Column, aggs: dict[str,
     return rows.join(told, [*keys, "_salt"]).drop("_salt")
 
 
+def tell(rows: DataFrame, keys: list[str], salt: Column, facts: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row for some of the keys; other rows go.
+
+    As in :func:`group_lookup`, facts are given back over salted keys, so that no task gets a whole group. Keys must not be null.
+    """
+    rows = rows.withColumn("_salt", salt)
+    told = rows.select(*keys, "_salt").distinct().join(facts, keys)
+    return rows.join(told, [*keys, "_salt"]).drop("_salt")
+
+
 def running(rows: DataFrame, by: list[str], bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
     """Add ``name``, the sum of ``value`` over the rows of the same ``by`` that come before, and ``<name>_all`` over all.
 

@@ -6,7 +6,12 @@ probability s, so with two choices a node a similar pair survives in some child
 Nodes of few sets are compared exhaustively by their sketches; larger ones are compared in parts and branch on. What
 sketches suggest is confirmed on full sets. Nodes whose sets are all in one confirmed component already have no link to
 add and end there; nodes that hold few sets outside of their largest component are finished by comparing those with
-all, which keeps large groups of near copies linear. At the depth limit what is left is compared completely.
+all, which keeps large groups of near copies linear. At the depth limit what is left is compared completely: that is
+the product of a node's sets and of those outside of its largest component, by blocks of ``SMALL``. Sets that agree at
+every place end in one component before that, as each level deals a node's parts anew.
+
+Tables of nodes hold ids only. What belongs to a set (its sketch, its component) is joined once for each set, to the list
+of its nodes, of which there are at most ``TREES * 2**depth``; a node's own facts are told to its rows over salted keys.
 """
 
 from __future__ import annotations
@@ -66,27 +71,45 @@ def shingles(text: str | None, k: int, hashes: WordHash) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """16 bits of the least value of each of ``PLACES`` hashes over a set."""
+def least_values(s: np.ndarray) -> np.ndarray:
+    """The least value of each of ``PLACES`` hashes over a set: its minwise tokens."""
     least = np.full(PLACES, ~np.uint64(0))
     for at in range(0, len(s), 4096):
         np.minimum(least, (s[None, at : at + 4096] * _FACTORS[:, None]).min(axis=1), out=least)
+    return least
+
+
+def sketch(least: np.ndarray) -> bytes:
+    """16 bits of each token."""
     return ((least * MIX) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def features(docs: DataFrame, k: int) -> DataFrame:
-    """(``id``, ``n``, ``s0``, ``s1``, ``sketch``, ``t``) of each row of (``id``, ``text``); s0 and s1 are a 128-bit hash of the set, t one of the text."""
+def roots(seed: int) -> np.ndarray:
+    """The two places that the root of each tree chooses."""
+    draw = np.random.default_rng([seed, PLACES])
+    return np.concatenate([draw.choice(PLACES, 2, replace=False) for _ in range(TREES)])
+
+
+def features(docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(``id``, ``n``, ``s0``, ``s1``, ``sketch``, ``roots``, ``t``) of each row of (``id``, ``text``); s0 and s1 are a 128-bit hash of the
+    set, t one of the text. ``roots`` are the children of the trees' roots that the set goes to; they tell whole tokens
+    apart, not 16 bits of them, so that sets meet there by a shared shingle only."""
     import xxhash
 
+    places = roots(seed)
+    names = (np.arange(len(places)).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
         for b in batches:
             sets = [shingles(x, k, hashes) for x in b["text"]]
+            tokens = [least_values(s) if len(s) else None for s in sets]
+            nodes = [None if x is None else ((x[places] ^ names) * MIX ^ (x[places] >> np.uint64(32))).astype(np.int64) for x in tokens]
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "s0": keys[:, 0], "s1": keys[:, 1], "sketch": [sketch(s) if len(s) else None for s in sets], "t": b["t"]})
+            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "s0": keys[:, 0], "s1": keys[:, 1], "sketch": [None if x is None else sketch(x) for x in tokens], "roots": nodes, "t": b["t"]})
 
     docs = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return docs.mapInPandas(run, "id long, n long, s0 long, s1 long, sketch binary, t long")
+    return docs.mapInPandas(run, "id long, n long, s0 long, s1 long, sketch binary, roots array<long>, t long")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], key: str, rows: int) -> Iterator[pd.DataFrame]:
@@ -236,13 +259,11 @@ def components(edges: DataFrame) -> DataFrame:
     return common.cut(label.join(least, "to").select("id", "comp"))
 
 
-def branch(rows: DataFrame, seed: int) -> DataFrame:
-    """Each row once for each of the two places that its node chooses; ``node`` becomes the child's."""
-    first = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(PLACES)).cast("int")
-    second = ((F.col("_c") + 1 + F.pmod(F.xxhash64(F.lit(seed + 1), "node"), F.lit(PLACES - 1))) % PLACES).cast("int")
-    rows = rows.withColumn("_c", first).withColumn("_c", F.explode(F.array("_c", second)))
-    child = F.xxhash64("node", "_c", F.substring("sketch", 2 * F.col("_c") + 1, F.lit(2)))
-    return rows.withColumn("node", child).drop("_c")
+def with_set(nodes: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (``node``, ``rep``, ...) with the columns of ``side`` (``rep``, ...): joined once for each rep, to the list of its rows."""
+    held = F.collect_list(F.struct(*[c for c in nodes.columns if c != "rep"])).alias("_x")
+    made = nodes.groupBy("rep").agg(held).join(side, "rep", how).withColumn("_x", F.explode("_x"))
+    return made.select("rep", "_x.*", *[c for c in side.columns if c != "rep"])
 
 
 class Join:
@@ -250,79 +271,92 @@ class Join:
 
     def __init__(self, texts: DataFrame, k: int, percent: int, seed: int = 1):
         self.texts, self.k, self.percent, self.seed = texts, k, percent, seed
-        self.rows = common.cut(features(texts, k))
-        self.classes = common.cut(self.rows.where("n > 0 and id is not null").groupBy("s0", "s1").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        self.rows = common.cut(features(texts, k, seed))
+        first = [F.first(c).alias(c) for c in ("n", "sketch", "roots")]
+        self.classes = common.cut(self.rows.where("n > 0 and id is not null").groupBy("s0", "s1").agg(F.min("id").alias("rep"), *first))
         self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
 
     def run(self) -> None:
-        roots = F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)]))
-        nodes = branch(self.classes.select(roots.alias("node"), "rep", "n", "sketch"), self.seed)
+        nodes = self.classes.select("rep", "n", F.explode("roots").alias("node"))
         for depth in range(1, DEPTH + 1):
             nodes = common.cut(self.sized(nodes))
             part = F.pmod(F.xxhash64("rep", "node"), F.col("parts"))
             self.take(nodes.withColumn("node", F.when(F.col("parts") == 1, F.col("node")).otherwise(F.xxhash64("node", part))))
-            large = self.unsettled(nodes.where("parts > 1"))
+            large = nodes.where("parts > 1")
             if large.isEmpty():
                 return
-            large = common.cut(self.spread(large))
+            large = common.cut(self.unsettled(large))
             now = F.lit(depth == DEPTH) | (F.col("outside") <= 2 * SMALL)
             if not (few := large.where(now)).isEmpty():
                 self.take(self.completed(few))
             nodes = large.where(~now)
             if nodes.isEmpty():
                 return
-            nodes = branch(nodes.select("node", "rep", "n", "sketch"), self.seed + 2 * depth)
+            nodes = self.branch(nodes.select("node", "rep", "n"), self.seed + 2 * depth)
+
+    def branch(self, nodes: DataFrame, seed: int) -> DataFrame:
+        """Each row once for each of the two places that its node chooses; ``node`` becomes the child's."""
+        rows = with_set(nodes, self.classes.select("rep", "sketch"))
+        first = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(PLACES)).cast("int")
+        second = ((F.col("_c") + 1 + F.pmod(F.xxhash64(F.lit(seed + 1), "node"), F.lit(PLACES - 1))) % PLACES).cast("int")
+        rows = rows.withColumn("_c", first).withColumn("_c", F.explode(F.array("_c", second)))
+        child = F.xxhash64("node", "_c", F.substring("sketch", 2 * F.col("_c") + 1, F.lit(2)))
+        return rows.select("rep", "n", child.alias("node"))
 
     def sized(self, nodes: DataFrame) -> DataFrame:
         """The rows of nodes of more than one set, with ``parts``, in how many pieces a node is compared."""
         sums = {"size": (F.count("*"), F.sum("_p_size")), "total": (F.sum("n"), F.sum("_p_total"))}
         rows = common.group_lookup(nodes, ["node"], common.salted("rep"), sums, having="size > 1")
         parts = F.ceil(F.greatest(F.col("size") / SMALL, F.col("total") / SMALL_SHINGLES))
-        return rows.select("node", "rep", "n", "sketch", parts.alias("parts"))
+        return rows.select("node", "rep", "n", parts.alias("parts"))
 
-    def unsettled(self, nodes: DataFrame) -> DataFrame:
-        """The rows of nodes with more than one component, with ``comp``."""
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """Add ``comp``, the component that the set is in by now."""
         if self.comps is None:
-            return nodes.withColumn("comp", F.col("rep"))
-        nodes = nodes.join(self.comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        spans = {"_lo": (F.min("comp"), F.min("_p__lo")), "_hi": (F.max("comp"), F.max("_p__hi"))}
-        return common.group_lookup(nodes, ["node"], common.salted("rep"), spans, having="_lo < _hi").drop("_lo", "_hi")
+            return rows.withColumn("comp", F.col("rep"))
+        return with_set(rows, self.comps.withColumnRenamed("id", "rep"), "left").withColumn("comp", F.coalesce("comp", "rep"))
 
-    def spread(self, nodes: DataFrame) -> DataFrame:
-        """Add the node's largest component ``main``, the number of sets ``outside`` of it, and the ``rests`` these are dealt into."""
+    def unsettled(self, nodes: DataFrame) -> DataFrame:
+        """The rows of nodes with more than one component, with ``comp``, the node's largest component ``main``, the number of sets
+        ``outside`` of it, and the ``rests`` these are dealt into."""
+        nodes = common.cut(self.labelled(nodes))
         by = nodes.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
         top = by.groupBy("node").agg(F.max(F.struct("c", "comp", "m")).alias("top"), F.sum("c").alias("all"), F.sum("m").alias("total"))
         outside, left = F.col("all") - F.col("top.c"), F.col("total") - F.col("top.m")
         rests = F.ceil(F.greatest(outside / SMALL, left / SMALL_SHINGLES))
-        return nodes.join(top.select("node", F.col("top.comp").alias("main"), outside.alias("outside"), rests.alias("rests")), "node")
+        top = top.select("node", F.col("top.comp").alias("main"), outside.alias("outside"), rests.alias("rests")).where("outside > 0")
+        return common.tell(nodes, ["node"], common.salted("rep"), top)
 
     def completed(self, nodes: DataFrame) -> DataFrame:
         """Pieces of nodes in which every two sets of different components meet: all sets, in parts, with those outside of the largest component, in rests."""
         part, rest = F.pmod(F.xxhash64("rep", "node"), F.col("parts")), F.pmod(F.xxhash64("node", "rep"), F.col("rests"))
         every = nodes.withColumn("_p", part).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
         others = nodes.where("comp <> main").withColumn("_r", rest).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        return every.unionByName(others.select(*every.columns)).select(F.xxhash64("node", "_p", "_r").alias("node"), "rep", "n", "sketch")
+        return every.unionByName(others.select(*every.columns)).select(F.xxhash64("node", "_p", "_r").alias("node"), "rep", "n")
 
     def take(self, nodes: DataFrame) -> None:
         """Compare the pairs of each node, confirm what they suggest, and add the links."""
-        spread = nodes.select("node", "rep", "n", "sketch").repartition("node").sortWithinPartitions("node", "n", "rep")
-        found = common.cut(spread.mapInPandas(suggest, "gid long, rep long").distinct())
-        if self.comps is not None:  # groups that are in one component already add nothing
-            found = found.join(self.comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            spread_ = found.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gid")
-            found = common.cut(found.join(spread_, "gid", "left_semi").select("gid", "rep"))
+        dealt = with_set(nodes.select("node", "rep", "n"), self.classes.select("rep", "sketch")).repartition("node").sortWithinPartitions("node", "n", "rep")
+        found = common.cut(dealt.select("node", "rep", "n", "sketch").mapInPandas(suggest, "gid long, rep long").distinct())
+        if found.isEmpty():
+            return
+        # groups that are in one component already add nothing
+        found = common.cut(self.labelled(found)) if self.comps is not None else self.labelled(found)
+        spans = {"a": (F.min("rep"), F.min("_p_a")), "lo": (F.min("comp"), F.min("_p_lo")), "hi": (F.max("comp"), F.max("_p_hi"))}
+        found = common.cut(common.group_lookup(found, ["gid"], common.salted("rep"), spans, having="lo < hi").select("gid", "rep", "a"))
         if found.isEmpty():
             return
-        least = found.groupBy("gid").agg(F.min("rep").alias("a"))
-        like = components(found.join(least, "gid").select("a", F.col("rep").alias("b")))
-        like = common.cut(like.join(self.classes.select(F.col("rep").alias("id"), "n"), "id").groupBy("id", "comp").agg(F.max("n").alias("n")))
+        like = components(found.select("a", F.col("rep").alias("b")))
+        like = common.cut(self.classes.select(F.col("rep").alias("id"), "n").join(like, "id"))
         sums = like.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
-        like = like.join(sums.where((F.col("c") <= UNIT_SETS) & (F.col("m") <= UNIT_SHINGLES)).select("comp", F.lit(True).alias("small")), "comp", "left")
-        like = common.cut(like.select(F.col("id").alias("rep"), "comp", F.coalesce("small", F.lit(False)).alias("small")))
-        units = like.where("small").select(F.xxhash64(F.lit("c"), "comp").alias("unit"), "rep")
-        units = units.unionByName(found.join(like.where("not small"), "rep").select(F.xxhash64(F.lit("g"), "gid").alias("unit"), "rep"))
-        joined = units.join(self.sets(like.select(F.col("rep").alias("id"))), "rep").repartition("unit").sortWithinPartitions("unit", "rep")
+        sums = sums.select("comp", ((F.col("c") <= UNIT_SETS) & (F.col("m") <= UNIT_SHINGLES)).alias("small"))
+        like = common.cut(common.tell(like, ["comp"], common.salted("id"), sums).select(F.col("id").alias("rep"), "comp", "small"))
+        units = like.where("small").select("rep", F.array(F.xxhash64(F.lit("c"), "comp")).alias("units"))
+        gids = found.groupBy("rep").agg(F.collect_list(F.xxhash64(F.lit("g"), "gid")).alias("units"))
+        units = units.unionByName(gids.join(like.where("not small").select("rep"), "rep"))
+        joined = units.join(self.sets(like.select(F.col("rep").alias("id"))), "rep").select("rep", F.explode("units").alias("unit"), "sh")
+        joined = joined.repartition("unit").sortWithinPartitions("unit", "rep")
         links = common.cut(joined.select("unit", "rep", "sh").mapInPandas(confirm(self.percent), "a long, b long").distinct())
         self.links = links if self.links is None else self.links.unionByName(links)
         self.comps = components(self.links)
@@ -353,11 +387,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common.small_batches(docs.sparkSession)
     join = Join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), k, percent, seed)
     join.run()
-    linked = join.rows.where("n > 0 and id is not null").select("id", "n", "s0", "s1", "t")
-    linked = common.group_lookup(linked, ["s0", "s1"], common.salted("id"), {"rep": (F.min("id"), F.min("_p_rep"))})
-    linked = linked.select("id", "n", "t", "rep")
+    classes = join.classes.select("s0", "s1", "rep")
     if join.comps is not None:
-        linked = linked.join(join.comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", "t", F.coalesce("comp", "rep").alias("rep"))
+        classes = classes.join(join.comps.withColumnRenamed("id", "rep"), "rep", "left").select("s0", "s1", F.coalesce("comp", "rep").alias("rep"))
+    linked = join.rows.where("n > 0 and id is not null").select("id", "n", "s0", "s1", "t")
+    linked = common.tell(linked, ["s0", "s1"], common.salted("id"), classes).select("id", "n", "t", "rep")
     rest = join.rows.where("not (n > 0 and id is not null)").select("id", "n", "t", F.col("id").alias("rep"))
     return linked.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.col("id").eqNullSafe(F.col("rep")).alias("kept"), F.col("t").alias("text_xxhash64"))
 
