@@ -1,9 +1,10 @@
 """Quality rules by n-gram perplexity.
 
-A character trigram model with modified Kneser-Ney smoothing is counted by Spark over all documents, for each language.
-Characters are folded into 64 classes, so a language's model has 64**3 entries at most whatever the corpus. The model is
-stored as arrays sorted by a hash of language and n-gram, and looked up by binary search. A document whose perplexity is
-outside its language's band is rejected.
+Spark counts the character n-grams of all documents by language, over whole code points, and smooths them after modified
+Kneser-Ney with aggregations and joins. Scored texts are among those counted, so each of their n-grams is in the model,
+which needs no contexts to fall back on: it is a table of hash and log probability that grows with the corpus. While it
+is small (its entries are counted) it is sent to the workers as sorted hash arrays; beyond that the documents' n-grams
+are joined with it. A document whose perplexity is outside its language's band is rejected.
 """
 
 from __future__ import annotations
@@ -17,134 +18,120 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CLASSES = 64
-CELLS = CLASSES**3
-#: Languages with a model of their own, the most frequent ones; all others, and null, share one. This bounds the model.
-LANGUAGES = 100
-#: The band: so many interquartile ranges of log perplexity below the lower and above the upper quartile.
-BELOW, ABOVE = 10.0, 10.0
-#: An interquartile range below this counts as this, so that a band is 0.42 wide at least; the four bands of sf0.1 have 0.026 to 0.038.
-LEAST_WIDTH = 0.02
+#: Characters of an n-gram: three code points fill a 64-bit integer.
+ORDER = 3
+BITS = 21
+#: The band: so many interquartile ranges of log perplexity below the lower and above the upper quartile, wider for texts shorter
+#: than the language's median, whose means vary more: by the root of the ratio of lengths.
+BELOW, ABOVE = 3.0, 3.0
+#: An interquartile range below this counts as this, so that a band is 0.06 wide at least; the four of sf0.1 have 0.03 to 0.04.
+LEAST_WIDTH = 0.01
+#: Entries of a model that are broadcast at most, 12 bytes each; more are joined.
+BROADCAST_ENTRIES = 4_000_000
+#: Languages whose few numbers are broadcast at most.
+BROADCAST_LANGUAGES = 100_000
+#: Distinct n-grams that a counting task holds at most.
+HELD = 2_000_000
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 
 
-def _classes() -> np.ndarray:
-    """The class of each code point under U+0250: white space 0, small letters 1-26, capitals 27-52, digits 53, sentence marks 54,
-    other marks 55, controls 56, letters beyond ASCII 57-63 in turn."""
-    t = np.zeros(0x250, np.int64)
-    for c in range(0x250):
-        x = chr(c)
-        t[c] = 0 if x.isspace() else c - 96 if "a" <= x <= "z" else c - 38 if "A" <= x <= "Z" else 53 if x.isdigit() else 54 if x in ".,;:!?'\"-" else 57 + c % 7 if x.isalpha() else 55 if x.isprintable() else 56
-    return t
-
-
-FOLD = _classes()
-
-
-def trigrams(text: str) -> np.ndarray:
-    """A number under ``CELLS`` for each character: its class and those of the two before (white space at the start)."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+def ngrams(text: str, order: int = ORDER) -> np.ndarray:
+    """For each character its code point after those of the ``order`` - 1 characters before (spaces at the start), in one integer."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
     if not len(points):
-        return np.empty(0, np.int64)
-    c = np.zeros(len(points) + 2, np.int64)
-    c[2:] = np.where(points < 0x250, FOLD[np.minimum(points, 0x24F)], 57 + points % 7)
-    return (c[:-2] << 12) + (c[1:-1] << 6) + c[2:]
+        return points
+    c = np.concatenate([np.full(order - 1, 32), points])
+    out = c[: len(points)]
+    for k in range(1, order):
+        out = (out << BITS) | c[k : k + len(points)]
+    return out
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Of counts 0, 1, 2 and 3 or more, from the numbers of n-grams that occur once to four times; fixed ones where those are few."""
-    n = np.bincount(np.minimum(counts[counts > 0], 5), minlength=6).astype(float)
-    if n[1:5].min() == 0:
-        return np.array([0, 0.5, 0.75, 0.9])
-    y = n[1] / (n[1] + 2 * n[2])
-    d = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
-    return np.array([0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))])
+def hashed(lang: int, gram: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of language and n-gram."""
+    x = gram.astype(np.uint64) ^ np.uint64(lang & ((1 << 64) - 1))
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x.view(np.int64)
 
 
-def smoothed(counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of the last axis given the others, interpolated with ``lower``; and the weights given to ``lower``."""
-    d = discounts(counts.ravel())[np.minimum(counts, 3)]
-    total = counts.sum(axis=-1, keepdims=True)
-    weight = np.where(total > 0, d.sum(axis=-1, keepdims=True) / np.maximum(total, 1), 1.0)
-    return (counts - d) / np.maximum(total, 1) + weight * lower, weight[..., 0]
+def counted(rows: DataFrame, order: int) -> DataFrame:
+    """(``lang``, ``gram``, ``h``, ``n``): how often the rows (``lang`` long, ``text``) of a language hold each n-gram, and its hash."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for lang, texts in b.groupby("lang")["text"]:
+                grams, n = np.unique(np.concatenate([ngrams(x, order) for x in texts]), return_counts=True)
+                if lang in sums:
+                    both = np.concatenate([sums[lang][0], grams])
+                    grams, at = np.unique(both, return_inverse=True)
+                    n = np.bincount(at, weights=np.concatenate([sums[lang][1], n]), minlength=len(grams)).astype(np.int64)
+                sums[lang] = grams, n
+            if sum(len(g) for g, _ in sums.values()) > HELD:
+                yield from told(sums)
+                sums.clear()
+        yield from told(sums)
+
+    def told(sums: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        for lang, (grams, n) in sums.items():
+            yield pd.DataFrame({"lang": np.full(len(grams), lang, np.int64), "gram": grams, "h": hashed(int(lang), grams), "n": n})
+
+    made = rows.mapInPandas(run, "lang long, gram long, h long, n long")
+    return made.groupBy("lang", "gram").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(``lang``, ``text``) of rows (``lang``, ``t``, ``text``), each text of a language once; only repeated texts are shuffled."""
+    again = common.cut(rows.groupBy("lang", "t").agg(F.count("*").alias("n")).where("n > 1").select("lang", "t"))
+    listed = F.broadcast(again) if again.count() <= common.BROADCAST_DROPS else again
+    once = rows.join(listed, ["lang", "t"], "left_anti").select("lang", "text")
+    return once.unionByName(rows.join(listed, ["lang", "t"], "left_semi").dropDuplicates(["lang", "t"]).select("lang", "text"))
+
+
+def by_language(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``facts``, a row for each language."""
+    facts = common.cut(facts)
+    return rows.join(F.broadcast(facts), "lang") if facts.count() <= BROADCAST_LANGUAGES else common.tell(rows, ["lang"], common.salted(*[c for c in rows.columns if c != "lang"]), facts)
+
+
+def discount(level: DataFrame) -> DataFrame:
+    """Add ``d``, what a count gives up: by its size, 1, 2, 3 or more, from the numbers of n-grams that the language has once to four
+    times; 0.5, 0.75 and 0.9 where one of these is 0."""
+    seen = level.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    n = {k: F.col(f"n{k}") for k in (1, 2, 3, 4)}
+    few = F.least(*n.values()) == 0
+    y = n[1] / (n[1] + 2 * n[2])
+    d = [F.when(few, fixed).otherwise(F.least(F.greatest(k - (k + 1) * y * n[k + 1] / n[k], F.lit(0.05)), F.lit(k - 0.05))).alias(f"d{k}") for k, fixed in ((1, 0.5), (2, 0.75), (3, 0.9))]
+    found = by_language(level, seen.select("lang", *d))
+    return found.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
 
 
-def mixed_hash(lang: int, order: int, gram: np.ndarray) -> np.ndarray:
-    """A one-to-one 64-bit hash of language, order and n-gram."""
-    x = gram.astype(np.uint64) | np.uint64(order << 24 | lang << 32)
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return x
-
-
-class Model:
-    """Sorted hashes with log probabilities of seen n-grams and log weights of contexts."""
-
-    def __init__(self, counts: dict[int, np.ndarray]):
-        keys, logs, backs = [], [], []
-        for lang, flat in sorted(counts.items()):
-            three = flat.reshape(CLASSES, CLASSES, CLASSES)
-            two = (three > 0).sum(axis=0)
-            one = (two > 0).sum(axis=0)
-            p1, _ = smoothed(one, np.full(CLASSES, 1 / CLASSES))
-            p2, w2 = smoothed(two, p1)
-            p3, w3 = smoothed(three, p2)
-            for order, seen, p, w in ((3, three, p3, None), (2, two, p2, w3), (1, np.ones(CLASSES, int), p1, w2)):
-                at = np.flatnonzero((seen > 0).ravel() | (w.ravel() < 1.0 if w is not None else False))
-                keys.append(mixed_hash(lang, order, at))
-                logs.append(np.log(p.ravel()[at]))
-                backs.append(np.log(w.ravel()[at]) if w is not None else np.zeros(len(at)))
-        keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.log, self.back = (np.concatenate(x)[order] if x else np.empty(0) for x in (logs, backs))
-
-    def _find(self, lang: int, order: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        want = mixed_hash(lang, order, gram)
-        at = np.minimum(np.searchsorted(self.keys, want), max(len(self.keys) - 1, 0))
-        return at, self.keys[at] == want
-
-    def score(self, lang: int, grams: np.ndarray) -> np.ndarray:
-        """Log probability of each trigram's last class: the longest seen n-gram's, plus the weights of contexts passed over."""
-        at3, seen3 = self._find(lang, 3, grams)
-        at2, seen2 = self._find(lang, 2, grams & 0xFFF)
-        at1, seen1 = self._find(lang, 1, grams & 0x3F)
-        c2, has2 = self._find(lang, 2, grams >> 6)
-        c1, has1 = self._find(lang, 1, (grams >> 6) & 0x3F)
-        base = np.where(seen1, self.log[at1], -np.log(CLASSES))
-        two = np.where(seen2, self.log[at2], base + np.where(has1, self.back[c1], 0.0))
-        return np.where(seen3, self.log[at3], two + np.where(has2, self.back[c2], 0.0))
-
-
-def language(docs: DataFrame, lang_col: str) -> tuple[Column, dict]:
-    """The number of a row's model, and the languages that have one of their own."""
-    rows = docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).agg(F.count("*").alias("n"))
-    own = {r[0]: i for i, r in enumerate(rows.orderBy(F.desc("n"), lang_col).limit(LANGUAGES).collect())}
-    number = F.lit(LANGUAGES)
-    if own:
-        number = F.coalesce(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col(lang_col)], number)
-    return number, own
-
-
-def train(rows: DataFrame) -> Model:
-    """Count trigrams of all rows of (``lang`` int, ``text``) and fit the model. What reaches the driver is bounded by the cells."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for lang, group in b.groupby("lang"):
-                found = np.bincount(np.concatenate([trigrams(x) for x in group["text"]]), minlength=CELLS)
-                sums[lang] = sums[lang] + found if lang in sums else found
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": np.full(len(at), lang), "gram": at, "n": n[at]})
+def smoothed(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(``lang``, ``gram``, ``h``, ``p``): the probability of the last character of each of ``grams`` (``lang``, ``gram``, ``h``, ``n``) after the others.
 
-    counts = rows.mapInPandas(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    tables = {}
-    for lang, group in counts.groupby("lang"):
-        tables[int(lang)] = np.zeros(CELLS, np.int64)
-        tables[int(lang)][group["gram"]] = group["n"]
-    return Model(tables)
+    Modified Kneser-Ney, interpolated: lower orders count how many different characters come before; the lowest is
+    interpolated with an even chance for each character of the language and one more.
+    """
+    levels = [grams]
+    for k in range(order - 1, 0, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
+        levels.append(common.cut(levels[-1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n"))))
+    below: DataFrame | None = None
+    for k, level in enumerate(reversed(levels), 1):
+        level = discount(level)
+        total, weight = F.sum("n").cast("double").alias("total"), F.sum("d").alias("weight")
+        if below is None:
+            level = by_language(level, level.groupBy("lang").agg(total, weight, F.count("*").alias("v")))
+            low = 1 / (F.col("v") + 1)
+        else:
+            level = level.withColumns({"context": F.shiftright("gram", BITS), "gram_": F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))})
+            level = level.join(level.groupBy("lang", "context").agg(total, weight), ["lang", "context"])
+            level = level.join(below.select("lang", F.col("gram").alias("gram_"), F.col("p").alias("low")), ["lang", "gram_"])
+            low = F.col("low")
+        p = (F.col("n") - F.col("d") + F.col("weight") * low) / F.col("total")
+        below = common.cut(level.select("lang", "gram", *(["h"] if k == order else []), p.alias("p")))
+    return below
 
 
 def rules(text: str) -> tuple[int, int, int, int, int]:
@@ -154,9 +141,10 @@ def rules(text: str) -> tuple[int, int, int, int, int]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     repeat = 0
     if len(words) > 3:
-        h = np.fromiter(map(hash, words), np.int64, len(words)).astype(np.uint64)
-        window = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
-        _, back, n = np.unique(window, return_inverse=True, return_counts=True)
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        pair = np.unique(w[:-1] * len(number) + w[1:], return_inverse=True)[1]
+        _, back, n = np.unique(pair[:-1] * len(number) + w[2:], return_inverse=True, return_counts=True)
         again = n[back] > 1
         if again.any():
             mark = np.zeros(len(words), bool)
@@ -166,50 +154,76 @@ def rules(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - (len(raw) - len(raw.translate(None, WHITE))), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """One row per row: its id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
-    ``base_failed``, ``log_perplexity`` (natural log, a character), the band's ``lower`` and ``upper``, and ``kept``.
+    ``base_failed``, ``log_perplexity`` (natural log, a character), the band's ``lower`` and ``upper`` for its length, and ``kept``.
 
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. Model and bands come from all
-    rows; quartiles are taken over the distinct texts of a language that pass the base rules (percentile_approx, error 1e-4
-    of the texts), and their distance is ``LEAST_WIDTH`` at least. Null texts are empty, fail the base rules and have a null perplexity. Null languages share a model with rare
-    ones. Repeated rows are judged alike.
+    rows, for each language and for the rows without one, each distinct text once; ``order``, 1 to 3, is the n of the
+    n-grams. Quartiles are taken over the texts of a language that pass the base rules (percentile_approx, error 1e-4 of the texts), and their
+    distance is ``LEAST_WIDTH`` at least; the band's edges are in it. Null texts are empty, fail the base rules and have a
+    null perplexity. Repeated rows are judged alike. An empty table gives an empty result. Builds tables while the plan is made.
     """
     common.small_batches(docs.sparkSession)
-    number, _ = language(docs, lang_col)
-    rows = docs.select(F.col(id_col).alias("id"), number.cast("int").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lang = F.when(F.col(lang_col).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(lang_col).cast("string")))
+    rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("t", F.xxhash64("text"))
-    model = docs.sparkSession.sparkContext.broadcast(train(rows.select("lang", "text")))
+    model = smoothed(common.cut(counted(distinct_texts(rows), order)), order).select("h", F.log("p").cast("float").alias("log"))
+    entries = None
+    if model.count() <= BROADCAST_ENTRIES:
+        table = model.toArrow()
+        keys, logs = (table.column(c).to_numpy() for c in ("h", "log"))
+        at = np.argsort(keys)
+        entries = docs.sparkSession.sparkContext.broadcast((keys[at], logs[at]))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = pd.DataFrame([rules(x) for x in b["text"]], columns=names)
-            out.insert(0, "id", b["id"].to_numpy())
-            out.insert(1, "lang", b["lang"].to_numpy())
-            out.insert(2, "t", b["t"].to_numpy())
-            logs = np.full(len(b), np.nan)
-            for lang, at in b.reset_index(drop=True).groupby("lang").indices.items():
-                found = [trigrams(x) for x in b["text"].iloc[at]]
-                held = np.flatnonzero(np.bincount(np.concatenate(found), minlength=CELLS))
-                table = np.zeros(CELLS)
-                table[held] = model.value.score(int(lang), held)
-                logs[at] = [-table[x].mean() if len(x) else np.nan for x in found]
-            out["log_perplexity"] = logs
+            for i, c in enumerate(("id", "lang", "t")):
+                out.insert(i, c, b[c].to_numpy())
+            out.insert(3, "n_chars", [len(x) for x in b["text"]])
+            out["log_perplexity"] = [mean_log(int(lang), x) for lang, x in zip(b["lang"], b["text"], strict=True)]
             yield out
 
-    schema = f"id {dict(docs.dtypes)[id_col]}, lang int, t long, {', '.join(f'{n} long' for n in names)}, log_perplexity double"
-    scored = rows.mapInPandas(score, schema).withColumn("log_perplexity", F.nanvl("log_perplexity", F.lit(None).cast("double")))
+    def mean_log(lang: int, text: str) -> float:
+        if entries is None or not text:
+            return np.nan
+        keys, logs = entries.value
+        return -float(logs[np.searchsorted(keys, hashed(lang, ngrams(text, order)))].mean(dtype=np.float64))
+
+    kind = dict(docs.dtypes)[id_col]
+    scored = rows.mapInPandas(score, f"id {kind}, lang long, t long, n_chars long, {', '.join(f'{n} long' for n in names)}, log_perplexity double")
+    scored = scored.withColumn("log_perplexity", F.nanvl("log_perplexity", F.lit(None).cast("double")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = common.cut(scored.withColumn("base_failed", failed))
-    texts = scored.where("not base_failed").groupBy("lang", "t").agg(F.min("log_perplexity").alias("log_perplexity"))
-    bands = texts.groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10000).alias("q"))
-    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_WIDTH))
-    bands = bands.select("lang", (F.col("q")[0] - below * width).alias("lower"), (F.col("q")[1] + above * width).alias("upper"))
-    made = scored.join(F.broadcast(bands), "lang", "left")  # LANGUAGES + 1 rows at most
+    if entries is None:
+        scored = scored.drop("log_perplexity").withColumn("_salt", common.salted("id"))
+        logs = joined_logs(rows.select("t", "lang", "text"), model, order).withColumnRenamed("lang", "_lang").withColumnRenamed("t", "_t")
+        told = scored.select("t", "lang", "_salt").distinct().join(logs, (F.col("t") == F.col("_t")) & (F.col("lang") == F.col("_lang")), "left").drop("_t", "_lang")
+        scored = common.cut(scored.join(told, ["t", "lang", "_salt"]).drop("_salt"))
+    texts = scored.where("not base_failed").groupBy("lang", "t").agg(F.min("log_perplexity").alias("x"), F.min("n_chars").alias("c"))
+    bands = texts.groupBy("lang").agg(F.percentile_approx("x", [0.25, 0.75], 10000).alias("q"), F.percentile_approx("c", 0.5, 10000).alias("usual"))
+    bands = scored.select("lang").distinct().join(bands, "lang", "left")
+    made = by_language(scored, bands)
+    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_WIDTH)) * F.greatest(F.lit(1.0), F.sqrt(F.col("usual") / F.greatest("n_chars", F.lit(1))))
+    made = made.withColumns({"lower": F.col("q")[0] - below * width, "upper": F.col("q")[1] + above * width})
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     return made.select(F.col("id").alias(id_col), *names, "base_failed", "log_perplexity", "lower", "upper", kept.alias("kept"))
 
 
+def joined_logs(rows: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """(``t``, ``lang``, ``log_perplexity``) of each distinct text of rows (``t``, ``lang``, ``text``), by a join of its n-grams with the model."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t, lang, text in zip(b["t"], b["lang"], b["text"], strict=True):
+                grams, n = np.unique(ngrams(text, order), return_counts=True)
+                yield pd.DataFrame({"t": np.full(len(grams), t, np.int64), "lang": np.full(len(grams), lang, np.int64), "h": hashed(int(lang), grams), "n": n})
+
+    grams = common.cut(rows.mapInPandas(run, "t long, lang long, h long, n long"))
+    found = common.tell(grams, ["h"], common.salted("t"), model)
+    return found.groupBy("t", "lang").agg((-F.sum(F.col("n") * F.col("log").cast("double")) / F.sum("n")).alias("log_perplexity"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "documents"))

@@ -1,6 +1,7 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -420,22 +421,63 @@ def test_quality_band_of_many_copies(spark, others):
     """Copies of one text, over half of a language, don't set its band; nor does a language with one other text."""
     rows = [(i, " ".join(words(7, 80)), "en") for i in range(120)] + [(1000 + i, " ".join(words(100 + i, 80)), "en") for i in range(others)]
     got = by_id(quality.judge(docs(spark, rows)))
-    assert all(g["kept"] for g in got.values()) and all(g["upper"] - g["lower"] >= 21 * quality.LEAST_WIDTH - 1e-9 for g in got.values())
-
-
-def test_quality_model_is_a_distribution():
-    text = " ".join(words(1, 3000))
-    model = quality.Model({3: np.bincount(quality.trigrams(text), minlength=quality.CELLS)})
-    for context in (0, 5 << 6 | 1, 63 << 6 | 62):
-        p = np.exp(model.score(3, (context << 6) + np.arange(64)))
-        assert p.sum() == pytest.approx(1.0)
-    assert (np.diff(model.keys.astype(object)) > 0).all()
-
-
-def test_discounts_of_few_counts():
-    assert quality.discounts(np.array([0, 0])).tolist() == [0, 0.5, 0.75, 0.9]
-    d = quality.discounts(np.array([1] * 50 + [2] * 20 + [3] * 9 + [4] * 5))
-    assert 0 < d[1] < 1 and d[1] < d[2] < 2 and d[3] < 3
+    assert all(g["kept"] for g in got.values()) and all(g["upper"] - g["lower"] >= 6 * quality.LEAST_WIDTH - 1e-9 for g in got.values())
+
+
+def brute_perplexity(texts):
+    """Mean negative log probability of each text's characters by an interpolated modified Kneser-Ney trigram model of the distinct ones."""
+    grams = {x: [("  " + x)[i : i + 3] for i in range(len(x))] for x in set(texts) if x}
+    counts = [Counter(g for x in grams.values() for g in x)]
+    for _ in range(2):
+        counts.append(Counter(g[1:] for g in counts[-1]))
+
+    def given_up(level):
+        n = [0, *(sum(v == k for v in level.values()) for k in (1, 2, 3, 4))]
+        if min(n[1:]) == 0:
+            return [0, 0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))]
+
+    low = {"": 1 / (len(counts[-1]) + 1)}
+    for level in reversed(counts):
+        d, total, weight = given_up(level), Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            weight[g[:-1]] += d[min(n, 3)]
+        low = {g: (n - d[min(n, 3)] + weight[g[:-1]] * low[g[1:]]) / total[g[:-1]] for g, n in level.items()}
+    return {x: -sum(math.log(low[g]) for g in found) / len(found) for x, found in grams.items()}
+
+
+@pytest.mark.parametrize("entries", [10**6, 0])
+def test_quality_perplexity_and_verdict_brute(spark, monkeypatch, entries):
+    monkeypatch.setattr(quality, "BROADCAST_ENTRIES", entries)
+    monkeypatch.setattr(quality, "HELD", 200)
+    r = random.Random(3)
+    rows = [(i, " ".join(words(i % 30, r.randrange(40, 120) if i < 30 else 60)), "en") for i in range(45)]
+    rows += [(100 + i, " ".join(r.choice(["日本", "語の", "文章", "です", "é"]) for _ in range(60 + i)), "ja") for i in range(12)]
+    rows += [(200, " ".join(f"w{i}#{i}" for i in range(70)), "en"), (201, "😀 ok " * 20, "ja"), (202, None, "en"), (203, "", None), (204, "alone", None), (205, "word " * 70, "one"), (None, rows[0][1], "en"), (1, rows[1][1], "en")]
+    got = quality.judge(docs(spark, rows)).collect()
+    told = {}
+    for lang in {x[2] for x in rows}:
+        mine = {x[1] or "" for x in rows if x[2] == lang}
+        logs = brute_perplexity(mine)
+        passing = sorted(x for x in mine if not ((w := brute_rules(x))[0] < 50 or 100 * w[4] > 50 * w[0]))
+        at = lambda v, q: sorted(v)[max(math.ceil(q * len(v)) - 1, 0)]
+        for x in mine:
+            low = up = None
+            if passing:
+                a, b = (at([logs[p] for p in passing], q) for q in (0.25, 0.75))
+                wide = max(b - a, quality.LEAST_WIDTH) * max(1.0, math.sqrt(at([len(p) for p in passing], 0.5) / max(len(x), 1)))
+                low, up = a - quality.BELOW * wide, b + quality.ABOVE * wide
+            told[lang, x] = logs.get(x), low, up, x in passing and low <= logs[x] <= up
+    langs = {(i, x or ""): lang for i, x, lang in rows}
+    assert len(got) == len(rows)
+    texts = {i: x or "" for i, x, _ in rows}
+    for g in got:
+        want = told[langs[g["doc_id"], texts[g["doc_id"]]], texts[g["doc_id"]]]
+        assert g["log_perplexity"] == (None if want[0] is None else pytest.approx(want[0], abs=1e-5)), g
+        assert g["lower"] == (None if want[1] is None else pytest.approx(want[1], abs=1e-4)) and g["kept"] == want[3], g
+    assert not all(g["kept"] or g["base_failed"] for g in got)
 
 
 # 10
