@@ -104,6 +104,11 @@ def running(rows: DataFrame, by: list[str], bucket: Column, order: list[str], va
     return made.drop("_bucket", "_value", "_before")
 
 
+def bucket_bits(rows: int, each: int = 10_000) -> int:
+    """For :func:`hash_bucket`, so that a bucket has about ``each`` of ``rows`` rows at most, whatever their number."""
+    return min(max((rows // each).bit_length(), 4), 30)
+
+
 def hash_bucket(h: str, bits: int = 10) -> Column:
     """The upper bits of a 64-bit hash: in its order, and even."""
     return F.shiftright(h, 64 - bits).cast("int")

@@ -16,6 +16,8 @@ from . import common
 
 WEIGHTS = (5.0, 2.0, 1.0)
 ROUNDS = 12
+#: Slots that are made from one row, and about so many by a task.
+PIECE, TASK_SLOTS = 1 << 12, 1 << 16
 
 
 def word_count(text: str) -> Column:
@@ -35,15 +37,14 @@ def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
 
 
 def draw(slots: int, shares: np.ndarray, most: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Counts by shard and source. A shard's whole expected counts are fixed and the rest is a multinomial draw, which keeps
-    sums near their targets; no source gets more than ``most`` slots in all."""
-    out = np.zeros((shards, len(shares)), np.int64)
+    """Counts by shard and source: each shard's are a multinomial draw by what the sources' expected numbers lack after the
+    shards before, so that a sum is off its target by the chance of about one shard. No source gets more than ``most`` slots."""
+    out, lack = np.zeros((shards, len(shares)), np.int64), slots * shares
     for k in range(shards):
-        mean = (slots * (k + 1) // shards - slots * k // shards) * shares
-        out[k] = np.floor(mean)
-        rest = mean - out[k]
-        if n := round(rest.sum()):
-            out[k] += np.random.default_rng([seed, k]).multinomial(n, rest / rest.sum())
+        n, left = slots * (k + 1) // shards - slots * k // shards, np.clip(lack, 0, None)
+        if n and left.sum() > 0:
+            out[k] = np.random.default_rng([seed, k]).multinomial(n, left / left.sum())
+        lack = lack - out[k]
     used = np.minimum(np.cumsum(out, axis=0), most)
     return np.diff(used, axis=0, prepend=0)
 
@@ -58,7 +59,7 @@ def permuted(i: Column, n: Column, *keys: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i, turn)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: float = 3.0, block: int = 32, shards: int = 8, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: float = 3.0, block: int = 32, shards: int = 64, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Two tables: the documents' account, and the mixture's slots.
 
     Account, one row per row of ``docs``: the id, ``source``, ``size`` (words), ``source_size``, ``target`` of the source
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the stream, ``id``, ``text_xxhash64``, and its words ``from`` (0-based) up to, but not with, ``to``.
 
     Sources, by code point and null last, weigh ``weights`` in turn. Null texts have no words. Documents are ordered by
-    a hash of id, source and size, so reruns agree; repeated rows are documents of their own. A source without words has a
+    a hash of id, source, size and text, so reruns agree; repeated rows are documents of their own. A source without words has a
     target of 0. One row for each source, and one for each source and shard, reaches the driver; documents never do.
     """
     spark = docs.sparkSession
@@ -84,15 +85,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     facts = spark.createDataFrame([(i, a, b, n, g, -(-n // block)) for i, ((a, b, n), g) in enumerate(zip(found, goal, strict=True))], "_s int, _none boolean, _source string, source_size long, target double, _blocks long")
     first = np.cumsum(counts, axis=0) - counts
     plan = spark.createDataFrame([(k, i, int(first[k, i]), int(counts[k, i])) for k in range(shards) for i in range(len(sizes)) if counts[k, i]], "shard int, _s int, _first long, _n long")
-    # long runs of slots are dealt out in pieces before they are made
-    plan = plan.withColumn("_from", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1, F.lit(1 << 16).cast("long"))))
-    plan = plan.repartition("_s", "_from").withColumn("slot", F.explode(F.sequence("_from", F.least(F.col("_from") + (1 << 16), F.col("_first") + F.col("_n")) - 1)))
+    # long runs of slots are dealt out in pieces before they are made, over a number of tasks that follows their number
+    plan = plan.withColumn("_from", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1, F.lit(PIECE).cast("long"))))
+    plan = plan.repartition(max(1, int(counts.sum()) // TASK_SLOTS))
+    plan = plan.withColumn("slot", F.explode(F.sequence("_from", F.least(F.col("_from") + PIECE, F.col("_first") + F.col("_n")) - 1)))
     slots = plan.join(F.broadcast(facts), "_s")
     index = permuted(F.pmod("slot", "_blocks"), F.col("_blocks"), F.lit(seed), F.col("_s"), F.floor(F.col("slot") / F.col("_blocks")))
     slots = slots.select("shard", "_s", "_none", "_source", "slot", index.alias("block"))
 
     rows = rows.join(F.broadcast(facts), ["_none", "_source"])
-    placed = common.running(rows.where("size > 0"), ["_s"], common.hash_bucket("_h"), ["_h", "_id", "size", "_t"], F.col("size"), "_at")
+    placed = common.running(rows.where("size > 0"), ["_s"], common.hash_bucket("_h", common.bucket_bits(rows.count())), ["_h", "_id", "size", "_t"], F.col("size"), "_at")
     pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))))
     start = F.greatest(F.col("_at"), F.col("block") * block) - F.col("_at")
     stop = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * block) - F.col("_at")
