@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CUTS = 4096
-
-
 def interleave(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
     """One row per row: its id, ``source``, ``size`` (UTF-8 bytes of the text plus 8), ``text_crc32``, ``shard``, ``slot``.
 
     Shards hold numbers of rows that differ by one at most; slots count from 0 in each. Null texts are empty, and a
-    null source is a source of its own. Rows alike in id, text and source may change places with each other only. An
+    null source is a source of its own. Rows with equal texts are rows like others: each has its own place, so a group of
+    copies is spread over the shards as its sources are. Rows alike in id, text and source may change places with each other only. An
     empty table gives an empty result; with fewer rows than shards, some shards are empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -29,10 +27,11 @@ def interleave(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     )
     rows = common.cut(rows.withColumn("_h", F.xxhash64(F.lit(seed), "_id", "text_crc32", "size")))
     tie = ["_h", "_id", "text_crc32", "size"]
-    ranked = common.running(rows, ["_none", "_source"], common.hash_bucket("_h"), tie, F.lit(1).cast("long"), "_rank")
+    bits = common.bucket_bits(rows.count())
+    ranked = common.running(rows, ["_none", "_source"], common.hash_bucket("_h", bits), tie, F.lit(1).cast("long"), "_rank")
     ranked = ranked.withColumn("_part", (F.col("_rank") + 0.5) / F.col("_rank_all"))
-    # one group of CUTS sums at most: its window is one small task
-    placed = common.running(ranked.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col("_part") * CUTS).cast("int"), ["_part", "_none", "_source", *tie], F.lit(1).cast("long"), "_at")
+    # one sum for some 10,000 rows: their window is one small task
+    placed = common.running(ranked.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col("_part") * (1 << bits)).cast("int"), ["_part", "_none", "_source", *tie], F.lit(1).cast("long"), "_at")
     n = F.col("_at_all")
     placed = placed.withColumn("shard", F.expr(f"cast(_at * {shards} div _at_all as int)"))
     first = F.expr(f"(shard * _at_all + {shards - 1}) div {shards}")
