@@ -42,8 +42,11 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
         full = full.withColumn("_open", F.coalesce("_open", F.lit(False)))
         sha = F.sha2("_text", 256) if with_hash else F.when(F.col("_open"), F.sha2("_text", 256))
         full = common.cut(full.select("_id", "_t", "_open", F.unhex(sha).alias("_sha")))
-    else:  # too many keys for a broadcast: hash where the text is read rather than shuffle texts
-        full = common.cut(full.select("_id", "_t", F.lit(True).alias("_open"), F.unhex(F.sha2("_text", 256)).alias("_sha")))
+    else:  # too many keys for a broadcast: texts stay where they are read; ids, keys and hashes meet the keys over a shuffle
+        full = common.cut(full.select("_id", "_t", "_len", "_prefix", F.unhex(F.sha2("_text", 256)).alias("_sha")).withColumn("_salt", common.salted("_id", "_t")))
+        told = full.select("_len", "_prefix", "_salt").distinct().join(keys.withColumn("_open", F.lit(True)), ["_len", "_prefix"], "left")
+        full = full.join(told, ["_len", "_prefix", "_salt"]).withColumn("_open", F.coalesce("_open", F.lit(False)))
+        full = common.cut(full.select("_id", "_t", "_open", (F.col("_sha") if with_hash else F.when(F.col("_open"), F.col("_sha"))).alias("_sha")))
     size, least = F.count("*"), F.min("_id")
     groups = common.group_lookup(full.where("_open").select("_id", "_t", "_sha"), ["_sha"], common.salted("_id"), {"keep_id": (least, F.min("_p_keep_id")), "group_size": (size, F.sum("_p_group_size"))})
     alone = full.where("not _open").select("_id", "_t", "_sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
