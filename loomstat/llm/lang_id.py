@@ -138,7 +138,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     common.small_batches(docs.sparkSession)
     counts = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model(list(sizes), counts.select("word", "lang", "n").orderBy("word", "lang").toPandas().itertuples(index=False, name=None))
+    told = counts.select("word", "lang", "n").orderBy("word", "lang").toArrow()
+    return Model(list(sizes), (row for b in told.to_batches(max_chunksize=10_000) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)))
 
 
 def told(spark: SparkSession, model: Model, text_col: str) -> Column:
