@@ -1,15 +1,16 @@
 """Token counts: Arrow batches go in, lengths come out.
 
 Each Arrow batch is regrouped by bytes, so that a batch of the encoder holds about ``BATCH_BYTES`` whatever the texts'
-lengths. Long texts are split where no token can span: before a space between two ASCII letters. The pattern that
-cuts texts into words starts a word there in any context, and no special string holds a space.
+lengths. Long texts are split where no token can span: before a space between two letters or digits, and between a
+sentence mark and a letter. The pattern that cuts texts into words starts a word there in any context, and no special
+string holds either.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,8 @@ from . import common
 
 BATCH_BYTES = 1 << 18
 SPLIT_CHARS = 1 << 15
-#: Texts that the rank encoder isn't used for: code points whose class may differ between the libraries' Unicode
-#: tables, or a run whose merging it does in quadratic time.
-PLAIN = re.compile(r"[\x00-ɏ]*\Z")
-RUN = re.compile(r"\S{400}|\s{400}")
-SPECIAL = "<|endoftext|>"
+#: A safe boundary is after the match. The letters listed are letters in any version of Unicode.
+SAFE = re.compile(r"[^\W_](?= [^\W_])|[.,;:!?。、，；：！？](?=[A-Za-zА-яぁ-ゖァ-ヺ一-龥가-힣])")
 
 
 def pieces(text: str, chars: int = SPLIT_CHARS) -> Iterator[str]:
@@ -38,59 +36,31 @@ def pieces(text: str, chars: int = SPLIT_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
-
-
-class Counter:
-    """Counts of one worker process. The library of the vocabulary file decides; for plain texts its ranks give the same, sooner."""
-
-    def __init__(self, path: str, ranks: str | None = None):
+def encoder(path: str, made: dict = {}) -> Callable[[list[str]], list[int]]:  # noqa: B006  one for each process
+    """Token counts of a batch of texts by the library of the vocabulary file."""
+    if path not in made:
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.slow = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+            made[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(path)
             tok.no_truncation()
             tok.no_padding()
-            self.slow = lambda texts: [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
-        self.fast = None
-        if ranks:
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={SPECIAL: len(table)})
-            self.fast = lambda text: len(enc.encode(text, allowed_special="all"))
-
-    def count(self, texts: list[str]) -> list[int]:
-        out, late = [0] * len(texts), []
-        for i, x in enumerate(texts):
-            if self.fast and PLAIN.match(x) and not RUN.search(x):
-                out[i] = self.fast(x)
-            else:
-                late.append(i)
-        for i, n in zip(late, self.slow([texts[i] for i in late]) if late else [], strict=True):
-            out[i] = n
-        return out
-
-
-def _counter(path: str, ranks: str | None, made: dict = {}) -> Counter:  # noqa: B006  one for each process
-    if (path, ranks) not in made:
-        made[path, ranks] = Counter(path, ranks)
-    return made[path, ranks]
-
-
-def lengths(counter: Counter, texts: list[str], cut: bool = True) -> list[int]:
+            made[path] = lambda texts: [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    return made[path]
+
+
+def lengths(count: Callable[[list[str]], list[int]], texts: list[str], cut: bool = True) -> list[int]:
     """Tokens of each text, encoded in batches balanced by bytes."""
     out, part, owner, n = [0] * len(texts), [], [], 0
 
     def flush() -> None:
-        for i, k in zip(owner, counter.count(part), strict=True):
+        for i, k in zip(owner, count(part) if part else [], strict=True):
             out[i] += k
         part.clear()
         owner.clear()
@@ -99,7 +69,7 @@ def lengths(counter: Counter, texts: list[str], cut: bool = True) -> list[int]:
         for p in pieces(x) if cut else (x,):
             part.append(p)
             owner.append(i)
-            n += len(p)
+            n += len(p) if p.isascii() else len(p.encode())
             if n >= BATCH_BYTES:
                 flush()
                 n = 0
@@ -107,22 +77,22 @@ def lengths(counter: Counter, texts: list[str], cut: bool = True) -> list[int]:
     return out
 
 
-def count_tokens(docs: DataFrame, path: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: its id, ``n_bytes`` (UTF-8) and ``n_tokens``. Only these leave the workers.
 
-    ``path``: a tokenizers ``.json`` or a sentencepiece ``.model``. ``ranks``: a file of the same byte-level vocabulary
-    as ranks, used for texts that both read alike (see ``PLAIN`` and ``RUN``); special strings in texts are special
-    either way. Null texts are empty and have no tokens. Rows are independent: repeats and null ids give rows alike.
+    ``path``: a tokenizers ``.json`` or a sentencepiece ``.model``, whose texts stay whole; special strings in texts are
+    handled as the library does by default. Null texts are empty and have no tokens. Rows are independent: repeats and
+    null ids give rows alike. An empty table gives an empty result.
     """
     common.small_batches(docs.sparkSession)
     cut = not path.endswith(".model")
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path, ranks)
+        count = encoder(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(lengths(counter, texts, cut), pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(lengths(count, texts, cut), pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
@@ -132,5 +102,5 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents")
-    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
