@@ -1,8 +1,11 @@
 """Line deduplication by content-defined chunks of lines, with DataFrame functions only.
 
-A rolling hash over the hashes of neighbouring lines chooses where chunks end, so that a passage is cut at the same
-places wherever it stands and whatever stands before it. Chunks of several lines whose hash occurs more than once are
-candidates; only their texts are shuffled, grouped byte for byte, and all but the first occurrence removed.
+Two ways to choose chunks. ``dedup_lines``: a rolling hash over the hashes of neighbouring lines chooses where chunks end,
+so that a passage is cut at the same places wherever it stands and whatever stands before it; chunks of several lines
+whose hash occurs more than once are grouped byte for byte, and all but the first occurrence removed. It loses what lies
+before the first and behind the last boundary of a shared passage, and short passages altogether. ``dedup_passages``,
+which the query uses: a chunk starts, and one ends, at every line, and reaches as far as it has over ``PASSAGE_WORDS``
+words; chunks overlap, and every shared passage is covered by the repeated ones in it, wherever it stands.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from . import common
 EVERY = 4
 #: Hashes of repeated chunks that are broadcast at most; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
+#: Documents that lose lines, and runs that they lose, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_GONE, BROADCAST_RUNS = 500_000, 2_000_000
 #: A passage has more words than this.
 PASSAGE_WORDS = 50
 
@@ -85,11 +90,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(F.col("_id").alias(id_col), F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"), n_lines.alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = dedup_lines(common.table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
-
-
 def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For each line with a word the shortest runs of two such lines or more with over ``PASSAGE_WORDS`` words that begin and that end
     with it: ``_from`` and ``_to`` (1-based line numbers) and ``_c``, an MD5 over the lines' MD5s and places.
@@ -120,7 +120,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removed is each line of a run of two lines with words or more, with over ``PASSAGE_WORDS`` words in all, that also occurs at
     an earlier place: in a lesser id (null last), or further up. Lines are compared by the MD5 of their bytes, blank ones between
-    them by their number. Null texts, repeated rows and what is left of a text are as in :func:`dedup_lines`.
+    them by their number. Null texts, repeated rows, empty tables and what is left of a text are as in :func:`dedup_lines`.
+    Texts that lose nothing aren't shuffled while the list of what goes is small (``BROADCAST_GONE``).
     """
     made = common.cut(windows(docs, id_col, text_col))
     repeated = common.cut(made.groupBy("_c").agg(F.count("*").alias("n")).where("n > 1").select("_c"))
@@ -137,7 +138,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = gone.groupBy(F.col("_id").alias("_gid"), F.col("_t").alias("_gt")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_gone"), F.sum(F.col("b") - F.col("a") + 1).cast("long").alias("n_removed"))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("_t", F.xxhash64("text"))
-    rows = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_t") == F.col("_gt")), "left")
+    gone = common.cut(gone)
+    n, runs = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+    gone = F.broadcast(gone) if n <= BROADCAST_GONE and runs <= BROADCAST_RUNS else gone.hint("shuffle_hash")
+    rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_t") == F.col("_gt")), "left")
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     # what stays lies between the ends of one removed run and the start of the next
     starts = F.concat(F.array(F.lit(1)), F.transform("_gone", lambda g: g["b"] + 1))
@@ -147,21 +151,22 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.select(F.col("_id").alias(id_col), F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"), n_lines.alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
-def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = dedup_passages(common.table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 OP7_SQL = r"""
-WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-h AS (SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
-r AS (SELECT *, substr(md5(line), 1, 16) AS h, lag(substr(md5(line), 1, 16), 1, '') OVER w AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-e AS (SELECT *, CASE WHEN i = n OR (ascii(h) + CASE WHEN p = '' THEN 0 ELSE ascii(p) END) % 4 = 0 THEN 1 ELSE 0 END AS ends FROM r),
-j AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS j FROM e),
-c AS (SELECT doc_id, j, count(*) AS k, string_agg(line, chr(10) ORDER BY i) AS chunk FROM j GROUP BY doc_id, j),
-f AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, j) AS occ FROM c WHERE k >= 2 AND regexp_matches(chunk, '[^\x20\x09-\x0D]')),
-g AS (SELECT c.doc_id, c.j, c.k, c.chunk, coalesce(f.occ > 1, false) AS gone FROM c LEFT JOIN f USING (doc_id, j)),
-d AS (SELECT doc_id, coalesce(sum(k) FILTER (gone), 0)::BIGINT AS n_removed, coalesce(string_agg(chunk, chr(10) ORDER BY j) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM t),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+p AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w),
+v AS (SELECT doc_id, i, p, p - w AS s FROM p WHERE w > 0),
+x AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.i > a.i AND b.p - a.s > 50 GROUP BY a.doc_id, a.i
+  UNION SELECT b.doc_id, max(a.i), b.i FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.i > a.i AND b.p - a.s > 50 GROUP BY b.doc_id, b.i),
+r AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(lines[a:b], chr(10)) ORDER BY doc_id, a) > 1 AS again FROM x JOIN t USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM r WHERE again),
+k AS (SELECT l.doc_id, count(g.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
 SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(lines) END::BIGINT AS n_lines, n_removed, length(kept)::BIGINT AS n_chars, sha256(kept) AS text_sha256
-FROM l JOIN d USING (doc_id)
+FROM t JOIN k USING (doc_id)
 """

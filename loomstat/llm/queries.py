@@ -12,7 +12,6 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_line_dedup": line_dedup.op7_line_dedup,
-    "op7_passage_dedup": line_dedup.op7_passage_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op8_packed_blocks": mixing.op8_packed_blocks,
     "op9_quality": quality.op9_quality,
