@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,26 @@ def contains_any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts], F.lit(False))
 
 
+def template(text: str, **values: Column) -> Column:
+    """``text`` with each ``{name}`` replaced by a value; null if one of them is."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def before_dot(path: Column, parts: int) -> Column:
+    """The first ``parts`` parts of a dotted path."""
+    return F.substring_index(path, ".", parts)
+
+
+def bits_over_median(v: Column) -> Column:
+    """64 bits of 64 numbers: which are over their median (the mean of the middle two)."""
+    s = F.array_sort(v)
+    middle = (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2
+    held = F.struct(v.alias("v"), middle.alias("m"))
+    bit = lambda h: F.aggregate(h["v"], F.struct(F.lit(0).cast("long").alias("b")), lambda acc, x: F.struct(F.shiftleft(acc["b"], 1).bitwiseOR((x > h["m"]).cast("long")).alias("b")))["b"]
+    return F.get(F.transform(F.array(held), bit), F.lit(0))
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     return a / F.greatest(b, F.lit(1))
 

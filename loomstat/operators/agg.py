@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def two_stage_mean(df: DataFrame, method: str, unit: str, measures: list[str]) -> DataFrame:
@@ -39,14 +40,45 @@ def describe_long(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame
 
 
 def quantile_band(c: str, low: float, high: float) -> list[Column]:
-    """Lower quantile, median and upper quantile, by linear interpolation."""
-    return [F.percentile(c, F.lit(q)).alias(n) for q, n in ((low, "low"), (0.5, "median"), (high, "high"))]
+    """Lower quantile, median and upper quantile, by linear interpolation, from one array of percentiles."""
+    q = F.percentile(c, F.array(F.lit(low), F.lit(0.5), F.lit(high)))
+    return [q[i].alias(n) for i, n in enumerate(("low", "median", "high"))]
 
 
 def medians(df: DataFrame, by: str) -> DataFrame:
     """The median of every numeric column by group."""
-    numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float") and f.name != by]
-    return df.groupBy(by).agg(*[F.median(c).alias(c) for c in numeric])
+    return df.groupBy(by).agg(*[F.median(c).alias(c) for c in numeric(df, [by])])
+
+
+def only(df: DataFrame, column: str, names: str) -> DataFrame:
+    """Rows whose ``column`` is in a list given as ``a+b+c``; all rows for an empty one."""
+    return df.where(F.col(column).isin(names.split("+"))) if names else df
+
+
+def prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
+    """All columns but ``keys`` renamed with ``prefix``."""
+    return df.select(*[F.col(c) if c in keys else F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def with_stage(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``old`` with the columns of a later stage, joined by ``key``; columns of that name that it had are replaced."""
+    return old.drop(*[c for c in new.columns if c != key]).join(new, key, "left")
+
+
+def pair_key(df: DataFrame, group: list[str], style: str, seed: str) -> DataFrame:
+    """Add ``pair``: the style where any row of the group has one, else the seed."""
+    any_style = F.max(F.col(style).isNotNull()).over(Window.partitionBy(*group))
+    return df.withColumn("pair", F.when(any_style, F.col(style).cast("string")).otherwise(F.col(seed).cast("string")))
+
+
+def numeric(df: DataFrame, but: list[str]) -> list[str]:
+    """Names of numeric columns, but those given."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in but]
+
+
+def transposed(df: DataFrame, key: str, columns: list[str], names: list[str]) -> DataFrame:
+    """A row for each of ``columns``, a column for each of the known ``names`` of ``key``."""
+    return df.unpivot([key], columns, "column", "value").groupBy("column").pivot(key, names).agg(F.first("value"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

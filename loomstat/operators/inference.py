@@ -97,6 +97,56 @@ def bootstrap_pcg64(pairs: DataFrame, by: list[str], unit: str, rounds: int = 10
     return pairs.select(*by, unit, "d").groupBy(*by).applyInPandas(run, f"{keys}, n long, diff double, ci_lo double, ci_hi double")
 
 
+def bootstrap_mean(df: DataFrame, by: list[str], value: str, order: str, rounds: int = 2000, seed: int = 0) -> DataFrame:
+    """By group: n, mean and 95 % interval of ``rounds`` PCG64 resamples of its values, nulls left out, in the order of ``order``."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x = g.sort_values(order)[value].to_numpy(np.float64)
+        draw, step = np.random.default_rng(seed), max(1, (1 << 21) // len(x))
+        means = [x[draw.integers(0, len(x), (min(step, rounds - k), len(x)))].mean(axis=1) for k in range(0, rounds, step)]
+        lo, hi = np.percentile(np.concatenate(means), [2.5, 97.5])
+        return pd.DataFrame([[*g[by].iloc[0], len(x), x.mean(), lo, hi]], columns=[*by, "n", "mean", "ci_lo", "ci_hi"])
+
+    keys = ", ".join(f"{k} {t}" for k, t in df.dtypes if k in by)
+    return df.select(*by, order, value).dropna(subset=[*by, value]).groupBy(*by).applyInPandas(run, f"{keys}, n long, mean double, ci_lo double, ci_hi double")
+
+
+def bootstrap_shared(pairs: DataFrame, tests: list[str], unit: str, rounds: int = 10_000, seed: int = 0) -> DataFrame:
+    """As :func:`bootstrap_pcg64`, but one generator draws for all tests in their order, resample by resample. What is drawn depends
+    on the tests before, so they share a task; a study's tests are few."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        draw, rows = np.random.default_rng(seed), []
+        for key, part in g.sort_values([*tests, unit]).groupby(tests, sort=True):
+            d = part["d"].to_numpy(np.float64)
+            if len(d) >= 2:
+                means = [draw.choice(d, len(d)).mean() for _ in range(rounds)]
+                rows.append([*key, len(d), d.mean(), *np.percentile(means, [2.5, 97.5])])
+        return pd.DataFrame(rows, columns=[*tests, "n", "diff", "ci_lo", "ci_hi"])
+
+    keys = ", ".join(f"{k} {t}" for k, t in pairs.dtypes if k in tests)
+    return pairs.select(*tests, unit, "d", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(run, f"{keys}, n long, diff double, ci_lo double, ci_hi double")
+
+
+def ranked(df: DataFrame, order: str, name: str, buckets: int = 1024) -> DataFrame:
+    """Add ``name``, the average rank of ``order`` over the whole table, from counts by value: values are counted, counts summed by
+    equal parts of the range (few rows in one window), and within a part by value. Nulls get no rank."""
+    n = df.where(F.col(order).isNotNull()).groupBy(F.col(order).alias("_v")).agg(F.count("*").alias("_n"))
+    ends = n.agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0)
+    n = n.crossJoin(F.broadcast(ends)).select("_v", "_n", part.alias("_b"))  # one row
+    sums = n.groupBy("_b").agg(F.sum("_n").alias("_s"))
+    before = F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = n.join(sums, "_b").select("_v", (F.col("_before") + F.coalesce(inside, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
+    return df.join(ranks, F.col(order) == F.col("_v"), "left").drop("_v")
+
+
+def negligible(diff: Column, metric: Column, least: dict[str, float], default: float) -> Column:
+    """Whether a difference is under what its metric calls a change."""
+    bound = F.coalesce(F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[metric], F.lit(default)) if least else F.lit(default)
+    return F.abs(diff) < bound
+
+
 def holm(df: DataFrame, p: str, family: list[str], ids: list[str]) -> DataFrame:
     """Add ``p_holm``: step-down adjusted p within each family; nulls stay null and don't count."""
     known = F.col(p).isNotNull()
@@ -107,6 +157,17 @@ def holm(df: DataFrame, p: str, family: list[str], ids: list[str]) -> DataFrame:
     return made.withColumn("p_holm", F.when(known, F.col("p_holm"))).drop("_step")
 
 
+def mean_differences(df: DataFrame, method: str, unit: str, metrics: list[str], comparisons: list[tuple[str, str]]) -> DataFrame:
+    """(``a``, ``b``, ``metric``, ``n``, ``mean_a``, ``mean_b``, ``diff``) over the units that both methods have: what :func:`compare` states,
+    without its tests and intervals. Methods meet in a row of the unit, so nothing is joined but the literal plan."""
+    names = sorted({m for pair in comparisons for m in pair})
+    units = df.where(F.col(method).isin(*names)).dropna(subset=[unit]).groupBy(unit).pivot(method, names).agg(*[F.avg(c).alias(c) for c in metrics])
+    value = lambda m, c: F.col(f"`{m}_{c}`" if len(metrics) > 1 else f"`{m}`")
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("metric"), value(a, c).alias("va"), value(b, c).alias("vb")) for a, b in comparisons for c in metrics]
+    long = units.select(F.explode(F.array(*each)).alias("x")).select("x.*").dropna(subset=["va", "vb"])
+    return long.groupBy("a", "b", "metric").agg(F.count("*").alias("n"), F.avg("va").alias("mean_a"), F.avg("vb").alias("mean_b"), F.avg(F.col("va") - F.col("vb")).alias("diff"))
+
+
 def compare(df: DataFrame, method: str, unit: str, metrics: dict[str, bool], comparisons: list[tuple[str, str]]) -> DataFrame:
     """A row per comparison and metric: n, means, difference, interval, p, effect size, which is better, Holm-adjusted p.
 
@@ -122,6 +183,9 @@ def compare(df: DataFrame, method: str, unit: str, metrics: dict[str, bool], com
     by = ["a", "b", "metric"]
     means = pairs.groupBy(*by, "higher").agg(F.avg("va").alias("mean_a"), F.avg("vb").alias("mean_b"))
     ranks = signed_rank(pairs, by).select(*by, wilcoxon("w_plus", "w_minus", "n", "ties", "zeros").alias("p"), "r_rb")
+    # values that are all equal but for rounding are no difference
+    close = pairs.groupBy(*by).agg(F.bool_and(F.abs("d") <= 1e-8 + 1e-5 * F.abs("vb")).alias("_same"))
+    ranks = ranks.join(close, by).withColumn("p", F.when(F.col("_same"), 1.0).otherwise(F.col("p"))).drop("_same")
     made = means.join(bootstrap_pcg64(pairs, by, "unit"), by).join(ranks, by)
     made = made.withColumn("better", F.when((F.col("diff") > 0) == F.col("higher"), "a").otherwise("b")).drop("higher")
     return holm(made.withColumn("family", F.lit("primary")), "p", ["family"], by)

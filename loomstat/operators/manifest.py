@@ -34,14 +34,16 @@ def split(files: DataFrame, size: int) -> DataFrame:
 
 
 def restore(parts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """(``path``, ``content``, ``status``): refused (unsafe path, or present in ``existing``), corrupt, or ok; contents of ok files only."""
+    """(``path``, ``content``, ``status``): refused (unsafe path, or another content in ``existing``), corrupt, present
+    (there already, and equal), or ok; contents of ok files only."""
     good = F.bool_and(F.sha2("data", 256) == F.col("part_sha256")).alias("_good")
     whole = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("_p"), good, F.min("sha256").alias("sha256"))
     content = F.unhex(F.array_join(F.transform("_p", lambda x: F.hex(x.data)), ""))
     whole = whole.withColumn("content", content)
     there = F.lit(False)
     if existing is not None:
-        whole = whole.join(existing.select("path", F.lit(True).alias("_there")), "path", "left")
-        there = F.coalesce("_there", F.lit(False))
-    status = F.when(~under_root(F.col("path")) | there, "refused").when(~F.col("_good") | (F.sha2("content", 256) != F.col("sha256")), "corrupt").otherwise("ok")
+        whole = whole.join(existing.select("path", F.sha2("content", 256).alias("_there")), "path", "left")
+        there = F.col("_there").isNotNull()
+    other = there & (F.col("_there") != F.col("sha256")) if existing is not None else F.lit(False)
+    status = F.when(~under_root(F.col("path")) | other, "refused").when(~F.col("_good") | (F.sha2("content", 256) != F.col("sha256")), "corrupt").when(there, "present").otherwise("ok")
     return whole.withColumn("status", status).select("path", F.when(F.col("status") == "ok", F.col("content")).alias("content"), "status")

@@ -26,15 +26,18 @@ def foreground(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
 
 
 def nearest_palette(pixels: DataFrame, palette: list[tuple[float, float, float]], first: int = 3) -> DataFrame:
-    """Add ``k``, the palette colour of a pixel's ``l``, ``a``, ``b``: of the ``first`` closest by distance the one with the least
-    CIEDE2000 difference, ties to the lower number. The palette is a literal of a few dozen colours."""
+    """Add ``k``, the palette colour of a pixel's ``l``, ``a``, ``b``, and ``de``, its CIEDE2000 difference: of the ``first`` closest by
+    distance the one with the least difference, ties to the closer one. The palette is a literal of a few dozen colours.
+    Row by row: nothing is shuffled, and repeated pixels stay."""
     own = tuple(F.col(c) for c in ("l", "a", "b"))
     colour = lambda p: F.array(*[F.lit(float(v)) for v in p])
     choice = F.array(*[F.struct(distance(F.array(*own), colour(p)).alias("d"), F.lit(k).alias("k"), colour(p).alias("p")) for k, p in enumerate(palette)])
-    cand = pixels.withColumn("_c", F.explode(F.slice(F.array_sort(choice), 1, first)))
-    cand = with_ciede2000(cand, own, tuple(F.col("_c.p")[i] for i in range(3)), "_de")
-    best = cand.groupBy(*pixels.columns).agg(F.min(F.struct(F.col("_de").alias("de"), F.col("_c.k").alias("k"))).alias("_b"))
-    return best.select(*pixels.columns, "_b.k", "_b.de")
+    made = pixels.withColumn("_c", F.slice(F.array_sort(choice), 1, first))
+    tried = range(min(first, len(palette)))
+    for i in tried:
+        made = with_ciede2000(made, own, tuple(F.get("_c", F.lit(i))["p"][j] for j in range(3)), f"_de{i}")
+    best = F.least(*[F.struct(F.col(f"_de{i}").alias("de"), F.lit(i).alias("i"), F.get("_c", F.lit(i))["k"].alias("k")) for i in tried]) if len(tried) > 1 else F.struct(F.col("_de0").alias("de"), F.get("_c", F.lit(0))["k"].alias("k"))
+    return made.withColumn("_b", best).select(*pixels.columns, F.col("_b.k").alias("k"), F.col("_b.de").alias("de"))
 
 
 def _neighbours() -> dict[str, Column]:
@@ -49,14 +52,32 @@ def boundaries(labels: DataFrame) -> DataFrame:
     return labels.withColumns({"_r": n["right"], "_d": n["down"]}).select(*labels.columns, (differs(F.col("_r")) | differs(F.col("_d"))).alias("edge"))
 
 
-def adjacency(labels: DataFrame) -> DataFrame:
-    """(``img``, ``i``, ``j``, ``n``): pixel sides between labels, both directions."""
+def adjacency(labels: DataFrame, of: str = "label") -> DataFrame:
+    """(``img``, ``i``, ``j``, ``n``): pixel sides between values of ``of`` (labels, or regions), both directions."""
+    labels = labels.select(*PIXEL, F.col(of).alias("label"))
     n = _neighbours()
     sides = labels.withColumns({"_r": n["right"], "_d": n["down"]}).select("img", "label", F.explode(F.array("_r", "_d")).alias("other")).where("other is not null and other <> label")
     both = sides.select("img", F.col("label").alias("i"), F.col("other").alias("j")).unionByName(sides.select("img", F.col("other").alias("i"), F.col("label").alias("j")))
     return both.groupBy("img", "i", "j").agg(F.count("*").alias("n"))
 
 
+def outlines(pixels: DataFrame, by: str) -> DataFrame:
+    """(``img``, ``by``, ``area``, ``sides``, ``holes``, ``contour``) of each connected set of pixels (``img``, ``y``, ``x``, ``by``).
+
+    From the 2 by 2 squares that a set meets: those with one, two adjacent or three of its pixels count one side, those with
+    two opposite ones two; ones less threes plus twice the opposites are four times the pieces (4-connected: one) less the holes
+    (8-connected). ``contour`` is the number of points of the outlines at
+    half height: a point for each side, and one more for each outline, which ends where it began.
+    """
+    corner = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(1 << (2 * dy + dx)).alias("bit")) for dy in (0, 1) for dx in (0, 1)])).alias("c")
+    seen = pixels.select("img", by, "y", "x", corner)
+    square = seen.groupBy("img", by, (F.col("y") - F.col("c.dy")).alias("y"), (F.col("x") - F.col("c.dx")).alias("x")).agg(F.sum("c.bit").alias("m"), F.sum((F.col("c.bit") == 1).cast("long")).alias("own"))
+    n = lambda *m: F.sum(F.col("m").isin(*m).cast("long"))
+    one, three, opposite, beside = n(1, 2, 4, 8), n(7, 11, 13, 14), n(6, 9), n(3, 5, 10, 12)
+    made = square.groupBy("img", by).agg(F.sum("own").alias("area"), (one + beside + three + 2 * opposite).alias("sides"), ((one - three + 2 * opposite) / 4).cast("long").alias("euler"))
+    return made.select("img", by, "area", "sides", (1 - F.col("euler")).alias("holes"), (F.col("sides") + 2 - F.col("euler")).alias("contour"))
+
+
 def mode_filter(labels: DataFrame, r: int) -> DataFrame:
     """The most frequent label in a disk, edges replicated, ties to the lowest label."""
     size = labels.groupBy("img").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
@@ -99,6 +120,13 @@ def far_from(edges: DataFrame, lines: DataFrame, r: int) -> DataFrame:
     return edges.join(grown(lines, r), PIXEL, "left_anti")
 
 
+def decoration(edges: DataFrame, lines: DataFrame, figure: DataFrame, r: int) -> DataFrame:
+    """(``img``, ``density``): edge pixels ``inside`` the figure and more than ``r`` from a line, for 1,000 pixels inside."""
+    far = far_from(edges, lines, r).join(figure.where("inside"), PIXEL, "left_semi").groupBy("img").agg(F.count("*").alias("n"))
+    size = figure.groupBy("img").agg(F.sum(F.col("inside").cast("long")).alias("size"))
+    return size.join(far, "img", "left").select("img", (1000.0 * F.coalesce("n", F.lit(0)) / F.greatest("size", F.lit(1))).alias("density"))
+
+
 def _grid(g: pd.DataFrame, column: str = "label") -> np.ndarray:
     out = np.zeros((g["y"].max() + 1, g["x"].max() + 1), np.int64)
     out[g["y"], g["x"]] = g[column]
@@ -130,7 +158,8 @@ def by_picture(labels: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray
         made = f(_grid(g))
         if pixels:
             made = {k: v[g["y"], g["x"]] for k, v in made.items()} | {"y": g["y"].to_numpy(), "x": g["x"].to_numpy()}
-        return pd.DataFrame(made).assign(img=g["img"].iloc[0])
+        df = pd.DataFrame(made).assign(img=g["img"].iloc[0])
+        return df if len(df) else df.astype(object)  # no rows have no type
 
     schema = f"img {dict(labels.dtypes)['img']}, {'y int, x int, ' if pixels else ''}{columns}"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -142,58 +171,106 @@ def pieces(labels: DataFrame) -> DataFrame:
     return by_picture(labels, lambda m: {"label": m, "piece": flood(m)}, "label int, piece long")
 
 
+def nearest_kept(m: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``m`` with each pixel that is ``gone`` given the value of the nearest other one (ties: first in reading order)."""
+    if not gone.any() or gone.all():
+        return m
+    ky, kx = np.nonzero(~gone)
+    sy, sx = np.nonzero(gone)
+    m = m.copy()
+    step = max(1, (1 << 22) // len(ky))  # rows of distances at once
+    for at in range(0, len(sy), step):
+        y, x = sy[at : at + step, None], sx[at : at + step, None]
+        best = ((y - ky) ** 2 + (x - kx) ** 2).argmin(axis=1)
+        m[sy[at : at + step], sx[at : at + step]] = m[ky[best], kx[best]]
+    return m
+
+
 def merge_small(m: np.ndarray, least: int, rounds: int = 3) -> np.ndarray:
     """Pixels of pieces under ``least`` take the label of the nearest kept pixel (ties: first in reading order), up to ``rounds`` times."""
     for _ in range(rounds):
-        p = flood(m)
-        small = np.bincount(p.ravel())[p] < least
+        small = sized(m) < least
         if not small.any() or small.all():
             break
-        ky, kx = np.nonzero(~small)
-        sy, sx = np.nonzero(small)
-        m = m.copy()
-        for at in range(0, len(sy), 512):
-            y, x = sy[at : at + 512, None], sx[at : at + 512, None]
-            best = ((y - ky) ** 2 + (x - kx) ** 2).argmin(axis=1)
-            m[sy[at : at + 512], sx[at : at + 512]] = m[ky[best], kx[best]]
+        m = nearest_kept(m, small)
     return m
 
 
-def containment(m: np.ndarray, ground: int = -1, base: float = 0.25) -> dict[str, np.ndarray]:
-    """The piece tree: ``parent`` and ``depth`` of each piece. Pieces with ``base`` of their border or more on the picture's edge or on
-    ``ground`` lie at depth 1 without parent; then, the most enclosed first (ties: the lower number), each lies on the
-    placed neighbour it shares most border with (ties: the higher number)."""
+def sized(m: np.ndarray) -> np.ndarray:
+    """The number of pixels of each pixel's piece."""
     p = flood(m)
+    return np.bincount(p.ravel())[p]
+
+
+def regions(m: np.ndarray, ground: int) -> np.ndarray:
+    """0 for the ground colour, which is one board wherever it shows, and 1, 2, ... for the pieces of all others, by label, then in reading order."""
+    p = flood(m)
+    label = np.zeros(p.max() + 1, np.int64)
+    label[p] = m
+    held = np.flatnonzero(label != ground)
+    number = np.zeros(len(label), np.int64)
+    number[held[np.argsort(label[held], kind="stable")]] = np.arange(1, len(held) + 1)
+    return number[p]
+
+
+def containment(m: np.ndarray, ground: int = 0, base: float = 0.25) -> dict[str, np.ndarray]:
+    """The tree of regions on the board (region 0, the ground colour): ``parent``, ``depth`` and ``ancestors`` (itself first) of each.
+
+    One region after another is laid: always the one with the largest share of its border on what lies already (ties: the
+    lower number). With ``base`` of its border or more on the board, or none on anything, it lies on the board; else on the
+    laid region that it shares most border with (ties: the higher number). The picture's edge is no border.
+    """
+    p = regions(m, ground)
     n = int(p.max()) + 1
-    border = np.zeros((n + 1, n + 1), np.int64)
-    framed = np.pad(p, 1, constant_values=n)
-    for a, b in ((framed[:, 1:], framed[:, :-1]), (framed[1:], framed[:-1])):
+    border = np.zeros((n, n), np.int64)
+    for a, b in ((p[:, 1:], p[:, :-1]), (p[1:], p[:-1])):
         cut = a != b
         np.add.at(border, (a[cut], b[cut]), 1)
         np.add.at(border, (b[cut], a[cut]), 1)
-    label = np.zeros(n, np.int64)
+    label = np.full(n, ground, np.int64)
     label[p] = m
-    outside = border[:n, n] + border[:n, :n] @ (label == ground)
-    total = np.maximum(border[:n].sum(axis=1), 1)
-    parent, depth = np.full(n, -1), np.where((outside / total >= base) | (label == ground), 1, 0)
-    while (depth == 0).any():
-        placed = border[:n, :n] * (depth > 0)
-        enclosed = np.where(depth == 0, placed.sum(axis=1) / total, -1.0)
-        k = int(enclosed.argmax())
-        top = placed[k]
-        j = int(n - 1 - top[::-1].argmax()) if top.max() else -1
-        parent[k], depth[k] = j, depth[j] + 1 if j >= 0 else 1
-    return {"piece": np.arange(n), "label": label, "area": np.bincount(p.ravel(), minlength=n), "parent": parent, "depth": depth}
-
-
-def layer_statistics(tree: DataFrame) -> DataFrame:
-    """By picture: pieces, layers, pieces by depth, share of area above the base, largest and median piece, colours."""
+    total = border.sum(axis=1)
+    parent, depth, laid = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    laid[0] = True
+    touching = border[:, 0].astype(float)
+    for _ in range(n - 1):
+        share = np.where(laid, -1.0, np.where(total > 0, touching / np.maximum(total, 1), 2.0))
+        k = int(share.argmax())
+        if total[k] and touching[k] and border[k, 0] / total[k] < base:
+            on = np.where(laid, border[k], -1)
+            parent[k] = n - 1 - int(on[::-1].argmax())
+        depth[k] = depth[parent[k]] + 1
+        laid[k] = True
+        touching += border[:, k]
+    lines = []
+    for k in range(1, n):
+        line = [k]
+        while parent[line[-1]]:
+            line.append(int(parent[line[-1]]))
+        lines.append(line)
+    own = np.arange(1, n)
+    return {"region": own, "label": label[1:], "area": np.bincount(p.ravel(), minlength=n)[1:], "parent": parent[1:], "depth": depth[1:], "ancestors": lines}
+
+
+TREE = "region long, label long, area long, parent long, depth long, ancestors array<long>"
+
+
+def layer_statistics(labels: DataFrame, ground: int = 0, mm: float = 1.0) -> DataFrame:
+    """The fifteen figures of each picture as cut paper in layers, ``mm`` to a pixel: a piece's shape is its region with all that
+    lies on it. Pictures of bare ground have no row. ``medians`` are of the pieces' shapes."""
+    tree = by_picture(labels, lambda m: containment(m, ground), TREE, pixels=False)
+    flat = by_picture(labels, lambda m: {"region": regions(m, ground)}, "region long").where("region > 0")
+    shape = flat.join(tree.select("img", "region", "ancestors"), ["img", "region"]).select(*PIXEL, F.explode("ancestors").alias("region"))
+    rows = tree.join(outlines(flat, "region").select("img", "region", F.col("contour").alias("flat_cut"), "holes"), ["img", "region"])
+    rows = rows.join(outlines(shape, "region").select("img", "region", F.col("area").alias("whole"), F.col("contour").alias("whole_cut")), ["img", "region"])
     at = lambda p: F.sum(p.cast("long"))
-    above = F.sum(F.when(F.col("depth") > 1, F.col("area")).otherwise(0))
-    return tree.groupBy("img").agg(
-        F.count("*").alias("pieces"), F.max("depth").cast("long").alias("layers"), at(F.col("depth") == 1).alias("base_pieces"), at(F.col("depth") == 2).alias("depth2"),
-        at(F.col("depth") == 3).alias("depth3"), at(F.col("depth") >= 4).alias("depth4plus"), (above / F.sum("area")).alias("decoration_share"),
-        F.max("area").alias("largest"), F.median("area").alias("median"), F.count_distinct("label").alias("colours"),
+    d = F.col("depth")
+    return rows.groupBy("img").agg(
+        F.count("*").alias("pieces"), F.max("depth").alias("layers"), at(d == 1).alias("base_pieces"), at(d == 2).alias("depth2"), at(d == 3).alias("depth3"),
+        at((d == 4) | (d == 5)).alias("depth4plus"), F.avg((d >= 2).cast("int")).alias("decoration_share"), F.count_distinct("label").alias("colours"),
+        F.count_distinct(F.when(d == 1, F.col("label"))).alias("base_colours"), (F.sum(F.when(d == 1, F.col("area")).otherwise(0)) / F.sum("area")).alias("base_area_share"),
+        (F.max("whole") * mm**2).alias("largest_piece_mm2"), (F.median("whole") * mm**2).alias("median_piece_mm2"), (F.sum("flat_cut") * mm).alias("cut_length_flat_mm"),
+        (F.sum("whole_cut") * mm).alias("cut_length_layered_mm"), F.sum("holes").alias("holes_flat"),
     )
 
 
@@ -206,16 +283,31 @@ def symmetry(pixels: DataFrame) -> DataFrame:
     return both.groupBy("img").agg((1 - F.least(F.greatest(mean / 100, F.lit(0.0)), F.lit(1.0))).alias("symmetry"))
 
 
-def energy_terms(pixels: DataFrame, palette: list[tuple[float, float, float]], tau: float = 5.0, sigma: float = 10.0) -> DataFrame:
-    """By picture: mean soft-min palette distance -tau*log(sum exp(-d/tau)) and mean Welsch flatness 1-exp(-g^2/sigma^2) of the gradient to the right and below."""
+def energy_terms(pixels: DataFrame, palette: list[tuple[float, float, float]], tau: float = 4.0, sigma: float = 8.0, edge: float = 12.0, weights: tuple[float, float, float, float] = (1.0, 1.0, 0.0, 0.0)) -> DataFrame:
+    """By picture of ``l``, ``a``, ``b``, ``line`` (0 to 1) and ``ground`` (0 to 1): the terms of the cutting energy.
+
+    ``palette``: mean soft-min distance -tau*log(sum exp(-d/tau)), 0 at least. ``flat``: mean of 1-exp(-g^2/sigma^2) over the
+    steps to the right plus that over the steps down, g^2 over all of Lab. ``edge``: the mean over line pixels of exp(-(g/edge)^2),
+    which is 0 where a cut supports the line, with g the largest gradient within two pixels. ``on_ground``: mean distance to the last palette colour
+    where ground is. ``total``: weighted, palette and ground by a tenth.
+    """
     own = F.array("l", "a", "b")
-    soft = sum((F.exp(-distance(own, F.array(*map(F.lit, map(float, p)))) / tau) for p in palette), F.lit(0.0))
+    far = lambda p: distance(own, F.array(*map(F.lit, map(float, p))))
+    soft = sum((F.exp(-far(p) / tau) for p in palette), F.lit(0.0))
     row, col = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
-    gx = F.coalesce(F.lead("l").over(row) - F.col("l"), F.lit(0.0))
-    gy = F.coalesce(F.lead("l").over(col) - F.col("l"), F.lit(0.0))
-    made = pixels.withColumns({"_gx": gx, "_gy": gy})
-    g2 = F.pow("_gx", F.lit(2.0)) + F.pow("_gy", F.lit(2.0))
-    return made.groupBy("img").agg(F.avg(-tau * F.log(soft + 1e-12)).alias("palette"), F.avg(1 - F.exp(-g2 / sigma**2)).alias("flat"))
+    square = lambda w: sum((F.pow(F.lead(c).over(w) - F.col(c), F.lit(2.0)) for c in ("l", "a", "b")), F.lit(0.0))
+    made = pixels.withColumns({"_gx": square(row), "_gy": square(col)})
+    made = made.withColumn("_g", F.sqrt(F.coalesce("_gx", F.lit(0.0)) + F.coalesce("_gy", F.lit(0.0)) + 1e-6))
+    made = made.withColumn("_g", F.max("_g").over(row.rowsBetween(-2, 2))).withColumn("_g", F.max("_g").over(col.rowsBetween(-2, 2)))
+    welsch = lambda c: F.avg(1 - F.exp(-F.col(c) / sigma**2))
+    ground = F.sqrt(F.pow(far(palette[-1]), F.lit(2.0)) + 1e-6)
+    made = made.groupBy("img").agg(
+        F.avg(F.greatest(-tau * F.log(soft), F.lit(0.0))).alias("palette"), (welsch("_gx") + welsch("_gy")).alias("flat"),
+        (F.sum(F.col("line") * F.exp(-F.pow("_g", F.lit(2.0)) / edge**2)) / F.greatest(F.sum("line"), F.lit(1.0))).alias("edge"),
+        (F.sum(F.col("ground") * ground) / F.greatest(F.sum("ground"), F.lit(1.0))).alias("on_ground"),
+    )
+    p, f, e, g = weights
+    return made.withColumn("total", p * F.col("palette") / 10 + f * F.col("flat") + e * F.col("edge") + g * F.col("on_ground") / 10)
 
 
 def otsu(values: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,39 @@ def display_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> Data
     return df.withColumns({"line": F.floor(at / n).cast("int"), "place": (at % n).cast("int")})
 
 
+def padded_rows(df: DataFrame, by: list[str], order: list[str], n: int, value: str) -> DataFrame:
+    """(``by``, ``line``, ``place``, ``value``): display rows of ``n`` places, the last filled up with nulls."""
+    at = display_rows(df, by, order, n)
+    lines = at.groupBy(*by).agg(F.max("line").alias("_last")).select(*by, F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("line"))
+    cells = lines.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return cells.join(at.select(*by, "line", "place", value), [*by, "line", "place"], "left")
+
+
+def rater_order(raters: DataFrame, rater: str, items: DataFrame, item: str, again: str, key: Callable[..., Column]) -> DataFrame:
+    """(rater, item, ``repeat``, ``place``): each rater's own order of the items, hash-drawn, with those that are asked ``again``
+    repeated at hash-drawn places in the last third. ``items`` are a study's few dozens."""
+    each = raters.select(rater).join(F.broadcast(items.select(item, again)))  # every rater sees every item
+    w = Window.partitionBy(rater)
+    drawn = each.withColumns({"_at": F.row_number().over(w.orderBy(key(F.col(rater), F.col(item), F.lit(1)), item)) - 1, "_n": F.count("*").over(w)})
+    low = F.floor(F.col("_n") * 2 / 3)
+    spot = low + F.pmod(key(F.col(rater), F.col(item), F.lit(2)), F.col("_n") - low + 1)
+    first = drawn.select(rater, item, F.lit(False).alias("repeat"), F.col("_at").cast("double").alias("_p"))
+    second = drawn.where(again).select(rater, item, F.lit(True).alias("repeat"), (spot - 0.5).cast("double").alias("_p"))
+    place = F.row_number().over(w.orderBy("_p", "repeat", item)) - 1
+    return first.unionByName(second).withColumn("place", place).drop("_p")
+
+
+def phase(df: DataFrame, step: str, of: str, start: float, stop: float) -> DataFrame:
+    """Rows whose step, as a share of all, is from ``start`` up to ``stop``."""
+    share = F.col(step) / F.col(of)
+    return df.where((share >= start) & (share < stop))
+
+
+def stacked(df: DataFrame, keys: list[str], runs: str, name: str) -> DataFrame:
+    """A row for each element of each series in a map from ``name`` to an array of structs."""
+    return df.select(*keys, F.explode(runs).alias(name, "_s")).select(*keys, name, F.inline("_s"))
+
+
 def above_or_best(df: DataFrame, by: str, ident: str, score: str, least: float) -> DataFrame:
     """All rows over ``least``; of a group without any, its best (ties to the least id)."""
     w = Window.partitionBy(by)
@@ -66,5 +101,9 @@ def table_row(cells: list[Column], sep: str = " & ", end: str = r" \\") -> Colum
     return F.concat(F.concat_ws(sep, *cells), F.lit(end))
 
 
+def markdown_head(names: list[str]) -> list[str]:
+    return ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
+
+
 def markdown_row(cells: list[Column]) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import dot, norm
 
@@ -64,6 +65,84 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = True)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def near_or_alike(rows: DataFrame, least: float, most: int) -> DataFrame:
+    """(``a``, ``b``, ``sim``, ``bits``) of all rows (``id``, ``v``, ``h``) with a < b and a dot product over ``least`` or at most ``most`` of 64 bits
+    of ``h`` different. The hash rides along as the last place of ``v``, in two halves that doubles hold."""
+    halves = F.array(F.shiftrightunsigned("h", 32).cast("double"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).cast("double"))
+    packed = rows.select("id", F.concat(F.transform("v", lambda x: x.cast("double")), halves).alias("v"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "sim": [], "bits": []})
+        one, two = _matrix(x), _matrix(y)
+        sim = one[:, :-2] @ two[:, :-2].T
+        signs = [np.unpackbits(m[:, -2:].astype("<u4").view(np.uint8).reshape(len(m), 8), axis=1).astype(np.float32) * 2 - 1 for m in (one, two)]
+        bits = np.rint((64 - signs[0] @ signs[1].T) / 2).astype(np.int64)
+        a, b = x["id"].to_numpy(), y["id"].to_numpy()
+        i, j = np.nonzero(((sim > least) | (bits <= most)) & (a[:, None] < b[None]))
+        return pd.DataFrame({"a": a[i], "b": b[j], "sim": sim[i, j], "bits": bits[i, j]})
+
+    return _blocks(packed, packed, run, "a long, b long, sim double, bits long")
+
+
+@F.pandas_udf(T.LongType())
+def phash(grey: pd.Series) -> pd.Series:
+    """The perceptual hash of a 32 by 32 grey picture, given as 1,024 numbers: which of the 8 by 8 lowest cosine coefficients are over
+    their median, the first in the highest bit."""
+    k, n = np.arange(8)[:, None], np.arange(32)[None]
+    basis = np.cos(np.pi * k * (2 * n + 1) / 64) * np.where(k == 0, np.sqrt(1 / 32), np.sqrt(2 / 32))
+    out = []
+    for g in grey:
+        low = basis @ np.asarray(g, np.float64).reshape(32, 32) @ basis.T
+        out.append(int.from_bytes(np.packbits((low > np.median(low)).ravel()).tobytes(), "big", signed=True))
+    return pd.Series(out, dtype="int64")
+
+
+def ref_scores(rows: DataFrame, refs: DataFrame, group: str, skip: DataFrame) -> DataFrame:
+    """(``id``, ``best_own``, ``mean_other``): the largest dot product with the refs of the row's own group, and the mean over all refs but
+    those that ``skip`` (group, ``ref``) lists for it. ``refs`` (``ref``, group, ``v``) are a few of each group; sums of vectors
+    stand in for pairs where a mean is asked."""
+    own = rows.join(refs.select(group, F.col("v").alias("_r")), group).groupBy("id").agg(F.max(dot(F.col("v"), F.col("_r"))).alias("best_own"))
+    place = F.posexplode("v").alias("_i", "_x")
+    total = refs.select(place).groupBy("_i").agg(F.sum(F.col("_x").cast("double")).alias("_t"), F.count("*").alias("_n"))
+    out = skip.join(refs.select("ref", "v"), "ref").select(group, place).groupBy(group, "_i").agg(F.sum(F.col("_x").cast("double")).alias("_t2"), F.count("*").alias("_n2"))
+    rest = rows.select(group).distinct().crossJoin(F.broadcast(total)).join(out, [group, "_i"], "left")  # groups by places
+    rest = rest.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_i", ((F.col("_t") - F.coalesce("_t2", F.lit(0.0))) / (F.col("_n") - F.coalesce("_n2", F.lit(0)))).alias("m")))).alias("_m"))
+    rest = rest.select(group, F.transform("_m", lambda x: x["m"]).alias("_m"))
+    return rows.join(rest, group).select("id", dot(F.col("v"), F.col("_m")).alias("mean_other")).join(own, "id", "left")
+
+
+def above_or_nearest(queries: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """(``query``, ``id``, ``sim``): all rows with a dot product over ``least``, and the best of each block of rows, itself left out."""
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query": [], "id": [], "sim": []})
+        y = y.sort_values("id")
+        sim, a, b = _matrix(x) @ _matrix(y).T, x["id"].to_numpy(), y["id"].to_numpy()
+        sim[a[:, None] == b[None]] = -np.inf
+        hit = sim > least
+        hit[np.arange(len(a)), np.round(sim, 12).argmax(axis=1)] = True
+        i, j = np.nonzero(hit & np.isfinite(sim))
+        return pd.DataFrame({"query": a[i], "id": b[j], "sim": sim[i, j]})
+
+    return _blocks(queries, rows, run, "query long, id long, sim double")
+
+
+def kmeans_centres(rows: DataFrame, vector: str, k: int, starts: int = 8, seed: int = 0) -> DataFrame:
+    """(``place``, ``centre``, ``weight``): the best of ``starts`` k-means fits over all dimensions, the heaviest centre first. Ties by centre."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    points = rows.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")).persist()
+    fits = [KMeans(k=k, seed=seed + i, maxIter=50).fit(points) for i in range(starts)]
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    n = best.transform(points).groupBy("prediction").agg(F.count("*").alias("n"))
+    centres = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())], "prediction int, centre array<double>")
+    made = centres.join(n, "prediction")  # k rows
+    total = made.agg(F.sum("n").alias("all"))
+    return made.crossJoin(total).select((F.row_number().over(Window.orderBy(F.desc("n"), "centre")) - 1).alias("place"), "centre", (F.col("n") / F.col("all")).alias("weight"))
+
+
 def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(``id``, ``comp``): the least id that each end of ``edges`` (a, b) is connected with.
 

@@ -116,9 +116,9 @@ def describe_long(spark, d):
     return rounded(rounded(made, "mean", "q25", "median", "q75"), "std", n=4)
 
 
-@query(f"WITH {M}, a(alpha) AS (VALUES (0.01), (0.03), (0.05), (0.08)) SELECT alpha::DOUBLE AS alpha, method, round(quantile_cont(price, 0.25), 6) AS low, round(median(price), 6) AS median, round(quantile_cont(price, 0.75), 6) AS high FROM m JOIN a ON disc > alpha GROUP BY ALL")
+@query(f"WITH {M}, a(alpha) AS (VALUES (0.0), (0.01), (0.02), (0.03), (0.04), (0.05), (0.06), (0.08)) SELECT alpha::DOUBLE AS alpha, method, round(quantile_cont(price, 0.25), 6) AS low, round(median(price), 6) AS median, round(quantile_cont(price, 0.75), 6) AS high FROM m JOIN a ON disc > alpha GROUP BY ALL")
 def quantile_band(spark, d):
-    rows = measures(spark, d).withColumn("alpha", F.explode(F.array(*map(F.lit, (0.01, 0.03, 0.05, 0.08))))).where("disc > alpha")
+    rows = measures(spark, d).withColumn("alpha", F.explode(F.array(*map(F.lit, (0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08))))).where("disc > alpha")
     return rounded(rows.groupBy("alpha", "method").agg(*agg.quantile_band("price", 0.25, 0.75)), "low", "median", "high")
 
 
@@ -195,7 +195,7 @@ def paired_diff(spark, d):
 
 @query("SELECT p_partkey, (rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2e0) AS rk FROM part")
 def average_rank(spark, d):
-    return readers.table(spark, d, "part").select("p_partkey", inference.average_rank("p_size").alias("rk"))
+    return inference.ranked(readers.table(spark, d, "part").select("p_partkey", "p_size"), "p_size", "rk").select("p_partkey", "rk")
 
 
 @query(f"WITH {SIGNED} SELECT count(*) AS n, round(CASE WHEN count(*) = 0 THEN 0 ELSE (coalesce(sum(rk) FILTER (d > 0), 0) - coalesce(sum(rk) FILTER (d < 0), 0)) / sum(rk) END, 9) AS r_rb FROM k")
@@ -258,8 +258,13 @@ q AS (SELECT x.method AS a, y.method AS b, x.metric, x.unit, x.value AS va, y.va
 
 @query(f"WITH {CMP} SELECT a, b, metric, count(*) AS n, round(avg(va), 6) AS mean_a, round(avg(vb), 6) AS mean_b, round(avg(d), 6) AS diff, CASE WHEN (avg(d) > 0) = (metric <> 'tax') THEN 'a' ELSE 'b' END AS better FROM q GROUP BY a, b, metric")
 def comparison_table(spark, d):
-    made = compared(spark, d)
-    return rounded(made.select("a", "b", "metric", "n", "mean_a", "mean_b", "diff", "better"), "mean_a", "mean_b", "diff")
+    made = differences(spark, d)
+    better = F.when((F.col("diff") > 0) == (F.col("metric") != "tax"), "a").otherwise("b")
+    return rounded(made.withColumn("better", better), "mean_a", "mean_b", "diff")
+
+
+def differences(spark, d):
+    return inference.mean_differences(measures(spark, d), "method", "unit", MEASURES, [("A", "N"), ("R", "N"), ("A", "R")])
 
 
 def compared(spark, d):
@@ -274,7 +279,7 @@ def comparison_inference(spark, d):
 
 @query(f"WITH {CMP} SELECT a, b, round(avg(vb) FILTER (metric = 'qty'), 6) AS qty_before, round(avg(va) FILTER (metric = 'qty'), 6) AS qty_after, round(avg(d) FILTER (metric = 'qty'), 6) AS qty_diff, round(avg(vb) FILTER (metric = 'tax'), 6) AS tax_before, round(avg(va) FILTER (metric = 'tax'), 6) AS tax_after, round(avg(d) FILTER (metric = 'tax'), 6) AS tax_diff FROM q GROUP BY a, b")
 def plugin_matrix(spark, d):
-    made = compared(spark, d).groupBy("a", "b").pivot("metric", ["qty", "tax"]).agg(F.first("mean_b").alias("before"), F.first("mean_a").alias("after"), F.first("diff").alias("diff"))
+    made = differences(spark, d).groupBy("a", "b").pivot("metric", ["qty", "tax"]).agg(F.first("mean_b").alias("before"), F.first("mean_a").alias("after"), F.first("diff").alias("diff"))
     return rounded(made, *[c for c in made.columns if c not in ("a", "b")])
 
 
@@ -282,7 +287,7 @@ def plugin_matrix(spark, d):
 SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(median(abs(x - y)), 6) AS median_abs FROM r""")
 def pearson_spearman(spark, d):
     rows = readers.table(spark, d, "part").select(F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
-    rows = rows.withColumns({"rx": inference.average_rank("x"), "ry": inference.average_rank("y")})
+    rows = inference.ranked(inference.ranked(rows, "x", "rx"), "y", "ry")
     return rows.agg(r(F.corr("x", "y")).alias("pearson"), r(F.corr("rx", "ry")).alias("spearman"), r(F.avg("x")).alias("mean_x"), r(F.avg("y")).alias("mean_y"), r(F.median(F.abs(F.col("x") - F.col("y")))).alias("median_abs"))
 
 

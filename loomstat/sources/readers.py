@@ -24,9 +24,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """By header name, in any column order; columns that the file lacks are null, empty fields too. A byte order mark is dropped."""
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+def csv(spark: SparkSession, path: str, schema: str, keep_empty: bool = False) -> DataFrame:
+    """By header name, in any column order; columns that the file lacks are null, and so are empty fields, which stay empty text with
+    ``keep_empty``. A byte order mark is dropped."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"')
+    if keep_empty:
+        raw = raw.fillna("")
     raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
     want = T._parse_datatype_string(schema).fields if isinstance(schema, str) else schema.fields
     return raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])

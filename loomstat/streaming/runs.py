@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; one is set only where the session names none, as in tests."""
+    """A new folder in the shared checkpoint folder; where the session names none, as in tests, in the warehouse, which is shared too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomstat-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
     return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
@@ -31,7 +32,7 @@ def stream(spark: SparkSession, folder: str, name: str, time: str) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over all input that is there now, once, and read the result. A checkpoint makes reruns resume."""
+    """Run the stream over all input that is there now, once, in a new folder, and read the result. :func:`watch` resumes."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     if mode == "append":
         query = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
@@ -42,6 +43,39 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
+def watch(df: DataFrame, out: str, state: str) -> DataFrame:
+    """Append what the stream makes of input that came since the last run to ``out``; ``state`` remembers which input was done, so
+    each file is scored once, also after a stop in between."""
+    query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def missing(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What is still to do of a batch: the wanted rows whose key isn't among the done ones."""
+    return wanted.join(done.select(key).distinct(), key, "left_anti")
+
+
+def jobs(work: dict[str, Callable[[], None]], done: Callable[[str], bool], workers: int = 2) -> dict[str, str]:
+    """Run the jobs that aren't ``done``, ``workers`` at a time, and tell of each: skipped, ok, or its error. One that fails stops no other."""
+    def run(name: str) -> str:
+        if done(name):
+            return "skipped"
+        try:
+            work[name]()
+        except Exception as e:  # told, not raised: the others go on
+            return f"{type(e).__name__}: {e}"
+        return "ok"
+
+    with ThreadPoolExecutor(workers) as pool:
+        return dict(zip(work, pool.map(run, work), strict=True))
+
+
+def once(events: DataFrame, time: str, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """The first of events with equal ``keys`` that come within ``late`` of each other."""
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
 def windowed(events: DataFrame, time: str, size: str, slide: str | None, by: list[str], aggs: list, late: str = "1 hour") -> DataFrame:
     w = F.window(time, size, slide) if slide else F.window(time, size)
     made = events.withWatermark(time, late).groupBy(w.alias("w"), *by).agg(*aggs)

@@ -141,8 +141,8 @@ def test_flood_merge_and_tree():
     assert raster.merge_small(m, 2)[0, 7] == 0 and (raster.merge_small(m, 2) == np.where(m == 3, 0, m)).all()
     t = raster.containment(m)
     depth = dict(zip(t["label"].tolist(), t["depth"].tolist()))
-    assert depth == {0: 1, 3: 1, 1: 2, 2: 3}
-    assert t["parent"][t["label"] == 2] == t["piece"][t["label"] == 1]
+    assert depth == {3: 1, 1: 1, 2: 2}  # label 0 is the board
+    assert t["parent"][t["label"] == 2] == t["region"][t["label"] == 1]
 
 
 def test_selection(spark):
@@ -157,7 +157,7 @@ def test_selection(spark):
 def test_manifest_round_trip_and_corruption(spark):
     files = spark.createDataFrame([("a/x", bytes(range(256)) * 9), ("b", b""), ("../up", b"no")], "path string, content binary")
     parts = manifest.split(files, 1000)
-    got = {r["path"]: (r["status"], r["content"]) for r in manifest.restore(parts, files.where("path = 'b'").select("path")).collect()}
+    got = {r["path"]: (r["status"], r["content"]) for r in manifest.restore(parts, files.where("path = 'b'").withColumn("content", F.lit(b"other"))).collect()}
     assert got["a/x"] == ("ok", bytes(range(256)) * 9) and got["b"][0] == "refused" and got["../up"] == ("refused", None)
     bad = parts.withColumn("data", F.when(F.col("part") == 1, F.lit(b"?")).otherwise(F.col("data")))
     assert {r["path"]: r["status"] for r in manifest.restore(bad).collect()}["a/x"] == "corrupt"

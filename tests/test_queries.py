@@ -6,10 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomstat.plans import core, extended
+from loomstat.plans import core, extended, pictures, relational
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = {**core.QUERIES, **extended.QUERIES}, {**core.SQL, **extended.SQL}
+PLANS = (core, extended, pictures, relational)
+QUERIES, SQL = ({k: v for p in PLANS for k, v in getattr(p, n).items()} for n in ("QUERIES", "SQL"))
 
 
 @pytest.fixture(scope="module")
