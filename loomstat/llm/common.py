@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,12 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the folder that the cluster shares (``spark.checkpoint.dir``), and read again.
 
     This cuts the lineage, survives lost executors, and gives later plans the true size (a checkpoint keeps estimates, whose
-    products grow without bound over the rounds of a loop). The folder is set here only where the session names none,
-    as in tests on one machine. :func:`sweep` deletes what was written.
+    products grow without bound over the rounds of a loop). Where the session names no folder, the warehouse, which is
+    shared too, holds one. :func:`sweep` deletes what was written.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomstat-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.parquet(path)

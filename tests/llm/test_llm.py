@@ -75,6 +75,51 @@ def test_language_odd_rows(spark):
     assert lang_id.predict(df, lang_id.train(df)).count() == len(ODD)
 
 
+def test_language_scores_brute(spark):
+    """Scores by plain counting: known words by log frequency, unseen ones by the longest known n-grams."""
+    r = random.Random(11)
+    make = {"aa": "lo mi ra su ten".split(), "bb": "grok strum lo blik".split(), "cc": "éta ñu mi öl".split()}
+    rows = [(i, " ".join("".join(r.choice(make[k]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(3, 30))), k) for i, k in enumerate(r.choices(list(make), k=90))]
+    rows += [(500, "", "aa"), (501, None, "bb"), (502, "lo", None), (503, "lo mi", "aa"), (504, "123 !?", "cc"), (505, "zzqx grokten", "bb"), (506, " ".join(["strumblik"] * 30_000), "bb"), (503, "lo mi", "aa")]
+    df = docs(spark, rows)
+    held = {x["doc_id"]: x["m"] == 2 for x in df.select("doc_id", lang_id.remainder("doc_id").alias("m")).collect()}
+    word, gram = defaultdict(Counter), {k: defaultdict(Counter) for k in (5, 4, 3, 2, 1)}
+    cut = lambda w, k: [(f"^{w}$" if k > 1 else w)[i : i + k] for i in range(len(w) + (2 if k > 1 else 0) - k + 1)]
+    for i, x, k in rows:
+        if x is not None and k is not None and not held[i]:
+            word[k].update(w for w in re.findall(r"[^\W\d_]+", x.lower()))
+    seen = Counter(w for n in word.values() for w in n.elements())
+    for k, n in word.items():
+        for w, c in n.items():
+            for m in gram:
+                for g in cut(w, m):
+                    gram[m][k][g] += c
+    langs, known = sorted(make), {w for w, n in seen.items() if n > 1}
+
+    def logs(table, names, what):
+        return np.array([math.log((table[k][what] + 0.5) / sum(table[k][x] + 0.5 for x in names)) for k in langs])
+
+    def score(w):
+        if w in known:
+            return logs(word, known, w)
+        for m, table in gram.items():
+            names = set().union(*(set(table[k]) for k in langs))
+            if found := [g for g in cut(w, m) if g in names]:
+                return np.mean([logs(table, names, g) for g in found], axis=0)
+        return np.zeros(3)
+
+    got, cache = by_id(lang_id.predict(df, lang_id.train(df))), {}
+    for i, x, _ in rows:
+        found = re.findall(r"[^\W\d_]+", (x or "").lower())
+        if not found:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        total = sum(cache.setdefault(w, score(w)) for w in found)
+        share = np.exp(total - total.max())
+        assert got[i]["score"] == pytest.approx(share.max() / share.sum(), abs=1e-6)
+        assert total[langs.index(got[i]["lang_pred"])] == pytest.approx(total.max())
+
+
 # 2
 def test_chat_round_trip(spark):
     rows = [(1, 1, "assistant", "b</turn>\n### x: <next>"), (1, 0, "user", "\\l \\b# <"), (1, 2, "assistant", "c"), (1, 2, "assistant", None), (2, None, None, None), (None, 0, "a:b#", "x"), (3, 0, "assistant", ""), (4, 0, "user", "y" * 100_000)]
@@ -393,6 +438,49 @@ def test_mix_blocks_hold_the_words(spark):
     assert len(once) == len(set(once)) and {r["doc_id"]: r["taken"] for r in account.collect() if r["taken"]} == taken
 
 
+def test_mix_brute(spark):
+    """Blocks, slots and counts by plain loops; only the order of documents and the permutation come from Spark's hash."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    rows = [(i, " ".join(words(i, r.choice([0, 1, 5, 40, 200]))), None, r.choice(["a", "b", "b", None])) for i in range(120)]
+    df = docs(spark, rows)
+    account, slots = mixing.mix(df, block=16, shards=5, seed=3)
+    size = {i: len(x.split()) for i, x, *_ in rows}
+    h = F.xxhash64(F.lit(3), "doc_id", F.coalesce("source", F.lit("")), mixing.word_count("text"), F.xxhash64("text"))
+    order = [x["doc_id"] for x in df.select("doc_id", h.alias("h")).orderBy("h").collect()]
+    names = ["a", "b", None]
+    streams = [[(i, k) for i in order if rows[i][3] == s for k in range(size[i])] for s in names]
+    goal = np.array(mixing.targets([len(s) for s in streams], [5, 2, 1], 3))
+    total = sum(size.values())
+    n = round(total / 16)
+    lack, taken, used, first, want = goal / total * n, Counter(), [0, 0, 0], [0, 0, 0], {}
+    for k in range(5):
+        m = n * (k + 1) // 5 - n * k // 5
+        left = np.maximum(lack, 0)
+        got = np.random.default_rng([3, k]).multinomial(m, left / left.sum())
+        lack = lack - got
+        for s in range(3):
+            blocks = -(-len(streams[s]) // 16)
+            for _ in range(min(int(got[s]), 3 * blocks - used[s])):
+                want[names[s], used[s]] = k, blocks
+                used[s] += 1
+    back = {(x["source"], x["slot"]): x for x in slots.collect()}
+    assert set(back) == set(want)
+    for (s, slot), (k, blocks) in want.items():
+        x, held = back[s, slot], streams[names.index(s)]
+        assert x["shard"] == k and 0 <= x["block"] < blocks
+        words_ = [(p["id"], w) for p in x["spans"] for w in range(p["from"], p["to"])]
+        assert words_ == held[16 * x["block"] : 16 * x["block"] + 16]
+        taken.update(i for i, _ in words_)
+    for s in names:  # each pass over a source takes each of its blocks once
+        blocks = -(-len(streams[names.index(s)]) // 16)
+        for p in range(3):
+            seen = [x["block"] for (t, slot), x in back.items() if t == s and slot // max(blocks, 1) == p]
+            assert len(seen) == len(set(seen))
+    assert {x["doc_id"]: x["taken"] for x in account.collect()} == {i: taken[i] for i, *_ in rows}
+
+
 # 9
 def brute_rules(text):
     w = (text or "").encode().split()
@@ -486,6 +574,27 @@ def test_quality_perplexity_and_verdict_brute(spark, monkeypatch, entries):
 
 
 # 10
+def test_sharding_brute(spark):
+    """Fractional ranks and cuts by plain sorting; only the shuffle's hash comes from Spark."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(7)
+    rows = [(i, "t" * r.randrange(9), None, r.choice(["a"] * 8 + ["b", "c", None])) for i in range(403)]
+    df = docs(spark, rows)
+    key = df.select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.crc32(F.col("text").cast("binary")).alias("c"), (F.octet_length("text") + 8).cast("long").alias("n"))
+    key = key.withColumn("h", F.xxhash64(F.lit(1), "doc_id", "c", "n")).collect()
+    by = defaultdict(list)
+    for x in key:
+        by[x["s"]].append((x["h"], x["doc_id"]))
+    placed = sorted(((k + 0.5) / len(v), s == "", s, h, i) for s, v in by.items() for k, (h, i) in enumerate(sorted(v)))
+    want, count = {}, Counter()
+    for at, (*_, i) in enumerate(placed):
+        shard = at * 24 // len(placed)
+        want[i] = shard, count[shard]
+        count[shard] += 1
+    assert {x["doc_id"]: (x["shard"], x["slot"]) for x in sharding.interleave(df, shards=24).collect()} == want
+
+
 def test_sharding_matches_the_mixture(spark):
     r = random.Random(6)
     rows = [(i, "t" * r.randrange(50), None, r.choice(["a"] * 8 + ["b", None])) for i in range(1007)] + [(5, None, None, "a"), (5, None, None, "a"), (None, "x", None, "b")]
