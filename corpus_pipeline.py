@@ -16,7 +16,8 @@ MIN_SCORE = 0.5
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is in a learned language; null texts and texts without a letter go."""
+    """Rows whose text is in a learned language; null texts and texts without a letter go. Repeated rows go or stay alike; an empty
+    table, or one without a language to learn, leaves no rows."""
     common.small_batches(spark)
     told = common.fresh(docs, "_told")
     made = docs.withColumn(told, lang_id.told(spark, lang_id.train(docs), "text"))
@@ -34,13 +35,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows connected by links of similarity 0.8 or more on five-word shingles, the one with the least doc_id."""
+    """Of rows connected by links of similarity 0.8 or more on five-word shingles, the one with the least doc_id. Null texts, and texts
+    without words, have no links and stay."""
     made = near_dedup.near_duplicates(docs)
     return common.keep_rows(docs, made.select(F.col("doc_id").alias("id"), F.col("text_xxhash64").alias("t"), "kept"), "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mixture takes its words: the whole times, and once more with the chance that the rest is of its size."""
+    """Each row as often as the mixture takes its words: the whole times, and once more with the chance that the rest is of its size. Null
+    texts, and texts without words, have none to take and go; rows that repeat id and text are repeated alike."""
     account, _ = mixing.mix(docs)
     times = account.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_xxhash64").alias("_u")).agg(F.avg(F.col("taken") / F.col("size")).alias("x"))
     chance = F.pmod(F.xxhash64(F.lit("copies"), "_id", "_u"), F.lit(1 << 30)) / float(1 << 30)
@@ -54,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
+    """doc_id, n_tokens, ids, and whether decoding the ids gives the text back. A null text is empty and has no ids."""
     return bpe.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
