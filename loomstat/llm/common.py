@@ -108,9 +108,9 @@ def bucket_bits(rows: int, each: int = 10_000) -> int:
     return min(max((rows // each).bit_length(), 4), 30)
 
 
-def hash_bucket(h: str, bits: int = 10) -> Column:
-    """The upper bits of a 64-bit hash: in its order, and even."""
-    return F.shiftright(h, 64 - bits).cast("int")
+def hash_bucket(h: str, bits: int = 10, width: int = 64) -> Column:
+    """The upper bits of a hash of ``width`` bits: in its order, and even."""
+    return F.shiftright(h, width - bits).cast("int")
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -34,4 +34,5 @@ SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_near_dedup": OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op10_sharding": sharding.OP10_SQL,
 }

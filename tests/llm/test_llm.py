@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -575,17 +576,14 @@ def test_quality_perplexity_and_verdict_brute(spark, monkeypatch, entries):
 
 # 10
 def test_sharding_brute(spark):
-    """Fractional ranks and cuts by plain sorting; only the shuffle's hash comes from Spark."""
-    from pyspark.sql import functions as F
-
+    """Fractional ranks and cuts by plain sorting."""
     r = random.Random(7)
     rows = [(i, "t" * r.randrange(9), None, r.choice(["a"] * 8 + ["b", "c", None])) for i in range(403)]
     df = docs(spark, rows)
-    key = df.select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.crc32(F.col("text").cast("binary")).alias("c"), (F.octet_length("text") + 8).cast("long").alias("n"))
-    key = key.withColumn("h", F.xxhash64(F.lit(1), "doc_id", "c", "n")).collect()
     by = defaultdict(list)
-    for x in key:
-        by[x["s"]].append((x["h"], x["doc_id"]))
+    for i, t, _, source in rows:
+        own = f"1-{i}-{zlib.crc32(t.encode())}-{len(t) + 8}"
+        by[source or ""].append((int(hashlib.md5(own.encode()).hexdigest()[:15], 16), i))
     placed = sorted(((k + 0.5) / len(v), s == "", s, h, i) for s, v in by.items() for k, (h, i) in enumerate(sorted(v)))
     want, count = {}, Counter()
     for at, (*_, i) in enumerate(placed):
