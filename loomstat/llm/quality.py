@@ -226,4 +226,44 @@ def joined_logs(rows: DataFrame, model: DataFrame, order: int) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.table(spark, sf_dir, "documents"))
+    made = judge(common.table(spark, sf_dir, "documents"))
+    return made.withColumns({c: F.round(c, 3) for c in ("log_perplexity", "lower", "upper")})
+
+
+def _level(k: int) -> str:
+    """SQL of the order ``k``: ``s`` holds the numbers of n-grams seen once to four times, ``d`` what counts give up, ``p`` probabilities."""
+    seen = ", ".join(f"count(*) FILTER (n = {i})::DOUBLE AS n{i}" for i in (1, 2, 3, 4))
+    give = " ".join(f"WHEN {when} THEN CASE WHEN least(n1, n2, n3, n4) = 0 THEN {fixed} ELSE least(greatest({i} - {i + 1} * n1 / (n1 + 2 * n2) * n{i + 1} / n{i}, 0.05), {i} - 0.05) END" for i, fixed, when in ((1, 0.5, "n = 1"), (2, 0.75, "n = 2"), (3, 0.9, "n > 2")))
+    low = "1 / (v + 1)" if k == 1 else "b.p"
+    below = "" if k == 1 else f" JOIN p{k - 1} b ON b.lang = a.lang AND b.g = substr(a.g, 2)"
+    return f"""s{k} AS (SELECT lang, {seen} FROM g{k} GROUP BY lang),
+d{k} AS (SELECT lang, g, n, CASE {give} END::DOUBLE AS d FROM g{k} JOIN s{k} USING (lang)),
+t{k} AS (SELECT lang, left(g, {k - 1}) AS c, sum(n)::DOUBLE AS total, sum(d) AS weight, count(*) AS v FROM d{k} GROUP BY ALL),
+p{k} AS (SELECT a.lang, a.g, (a.n - a.d + weight * {low}) / total AS p FROM d{k} a JOIN t{k} t ON t.lang = a.lang AND t.c = left(a.g, {k - 1}){below})"""
+
+
+WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
+OP9_SQL = rf"""
+WITH r AS (SELECT row_number() OVER () AS i, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+u AS (SELECT row_number() OVER () AS i, lang, text FROM (SELECT DISTINCT lang, text FROM r)),
+w AS (SELECT i, lang, text, regexp_extract_all(text, {WORDS_SQL}) AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {WORDS_SQL})) AS l FROM u),
+x AS (SELECT i, unnest(range(1, len(w) - 1)) AS j, unnest(list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) AS t FROM w WHERE len(w) > 2),
+m AS (SELECT i, unnest([j, j + 1, j + 2]) AS j FROM (SELECT i, j, count(*) OVER (PARTITION BY i, t) AS n FROM x) WHERE n > 1),
+o AS (SELECT i, count(DISTINCT j) AS n_repeat_words FROM m GROUP BY i),
+f AS (SELECT w.i, lang, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN o USING (i)),
+c AS (SELECT i, lang, list_concat([' ', ' '], regexp_extract_all(text, '(?s).')) AS c FROM u),
+e AS (SELECT i, lang, unnest(list_transform(range(1, len(c) - 1), lambda j: c[j] || c[j + 1] || c[j + 2])) AS g FROM c WHERE len(c) > 2),
+g3 AS (SELECT lang, g, count(*) AS n FROM e GROUP BY ALL),
+g2 AS (SELECT lang, substr(g, 2) AS g, count(*) AS n FROM g3 GROUP BY ALL),
+g1 AS (SELECT lang, substr(g, 2) AS g, count(*) AS n FROM g2 GROUP BY ALL),
+{_level(1)},
+{_level(2)},
+{_level(3)},
+a AS (SELECT i, -avg(ln(p)) AS x FROM e JOIN p3 USING (lang, g) GROUP BY i),
+z AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f LEFT JOIN a USING (i)),
+q AS (SELECT lang, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3, quantile_disc(length(text), 0.5) AS usual FROM z WHERE NOT base_failed GROUP BY lang),
+b AS (SELECT z.*, q1 - {BELOW} * width AS lower, q3 + {ABOVE} * width AS upper FROM z LEFT JOIN (SELECT * FROM q) USING (lang), LATERAL (SELECT greatest(q3 - q1, {LEAST_WIDTH}) * greatest(1.0, sqrt(usual / greatest(length(text), 1))) AS width))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(x, 3) AS log_perplexity, round(lower, 3) AS lower, round(upper, 3) AS upper, NOT base_failed AND coalesce(x BETWEEN lower AND upper, false) AS kept
+FROM r JOIN b USING (lang, text)
+"""

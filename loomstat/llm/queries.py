@@ -34,5 +34,6 @@ SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_near_dedup": OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op9_quality": quality.OP9_SQL,
     "op10_sharding": sharding.OP10_SQL,
 }
