@@ -41,19 +41,33 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return common.keep_rows(docs, made.select(F.col("doc_id").alias("id"), F.col("text_xxhash64").alias("t"), "kept"), "doc_id", "text")
 
 
+#: Parts of one that chances of a further copy are summed in.
+PARTS = 1 << 20
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mixture takes its words: the whole times, and once more with the chance that the rest is of its size. Null
-    texts, and texts without words, have none to take and go; rows that repeat id and text are repeated alike."""
+    """Each row as often as the mixture takes its words: the whole times, and once more for a rest. Rests are drawn systematically: in each
+    source, in the order of classes of size, one row more is taken wherever the sum of the rests passes a whole number, so a source's
+    words are off what the mixture takes by about one document. Null texts, and texts without words, have none to take and go; rows
+    that repeat id, text and source are repeated alike."""
     account, _ = mixing.mix(docs)
-    times = account.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_xxhash64").alias("_u")).agg(F.avg(F.col("taken") / F.col("size")).alias("x"))
-    chance = F.pmod(F.xxhash64(F.lit("copies"), "_id", "_u"), F.lit(1 << 30)) / float(1 << 30)
-    times = times.select("_id", "_u", (F.floor("x") + (chance < F.col("x") - F.floor("x")).cast("int")).cast("int").alias("_n")).where("_n > 0")
-    key, n, copy = (common.fresh(docs, c) for c in ("_t", "_times", "_copy"))
+    own = ["_none", "_source", "_id", "_u"]
+    times = account.where("taken > 0").select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), F.col("doc_id").alias("_id"), F.col("text_xxhash64").alias("_u"), "size", "taken")
+    times = times.groupBy(*own).agg(F.max("size").alias("size"), (F.sum("taken") / F.sum("size")).alias("x"))
+    times = times.withColumns({"_h": F.xxhash64(F.lit("copies"), *own), "_class": F.floor(4 * F.log2("size")).cast("int"), "_rest": F.floor((F.col("x") - F.floor("x")) * PARTS).cast("long")})
+    times = common.cut(times)
+    bits = common.bucket_bits(times.count(), 100_000)
+    place = F.col("_class").cast("long") * (1 << bits) + common.hash_bucket("_h", bits) + (1 << (bits - 1))  # in the order of class and hash
+    times = common.running(times, ["_none", "_source"], place, ["_class", "_h", "_id", "_u"], F.col("_rest"), "_sum")
+    passed = lambda upto: F.floor((upto + PARTS // 2) / PARTS)
+    n = F.floor("x") + passed(F.col("_sum") + F.col("_rest")) - passed(F.col("_sum"))
+    key, times_n, copy = (common.fresh(docs, c) for c in ("_t", "_times", "_copy"))
+    times = times.select(*own, n.cast("int").alias(times_n)).where(F.col(times_n) > 0)
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    times = times.withColumnRenamed("_n", n)
-    made = rows.join(times, rows["doc_id"].eqNullSafe(times["_id"]) & (rows[key] == times["_u"]))
-    made = made.select(*[rows[c] for c in docs.columns], times[n])
-    return made.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(copy, n)
+    source = F.coalesce(rows["source"].cast("string"), F.lit(""))
+    same = rows["doc_id"].eqNullSafe(times["_id"]) & (rows[key] == times["_u"]) & (rows["source"].isNull() == times["_none"]) & (source == times["_source"])
+    made = rows.join(times, same).select(*[rows[c] for c in docs.columns], times[times_n])
+    return made.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times_n)))).drop(copy, times_n)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
