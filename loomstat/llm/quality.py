@@ -26,7 +26,7 @@ BITS = 21
 BELOW, ABOVE = 3.0, 3.0
 #: An interquartile range below this counts as this, so that a band is 0.06 wide at least; the four of sf0.1 have 0.03 to 0.04.
 LEAST_WIDTH = 0.01
-#: Entries of a model that are broadcast at most, 12 bytes each; more are joined.
+#: Entries of a model that are broadcast at most, 16 bytes each; more are joined.
 BROADCAST_ENTRIES = 4_000_000
 #: Languages whose few numbers are broadcast at most.
 BROADCAST_LANGUAGES = 100_000
@@ -168,7 +168,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     lang = F.when(F.col(lang_col).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(lang_col).cast("string")))
     rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("t", F.xxhash64("text"))
-    model = smoothed(common.cut(counted(distinct_texts(rows), order)), order).select("h", F.log("p").cast("float").alias("log"))
+    model = smoothed(common.cut(counted(distinct_texts(rows), order)), order).select("h", F.log("p").alias("log"))
     entries = None
     if model.count() <= BROADCAST_ENTRIES:
         table = model.toArrow()
@@ -190,7 +190,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         if entries is None or not text:
             return np.nan
         keys, logs = entries.value
-        return -float(logs[np.searchsorted(keys, hashed(lang, ngrams(text, order)))].mean(dtype=np.float64))
+        return -float(logs[np.searchsorted(keys, hashed(lang, ngrams(text, order)))].mean())
 
     kind = dict(docs.dtypes)[id_col]
     scored = rows.mapInPandas(score, f"id {kind}, lang long, t long, n_chars long, {', '.join(f'{n} long' for n in names)}, log_perplexity double")
@@ -222,7 +222,7 @@ def joined_logs(rows: DataFrame, model: DataFrame, order: int) -> DataFrame:
 
     grams = common.cut(rows.mapInPandas(run, "t long, lang long, h long, n long"))
     found = common.tell(grams, ["h"], common.salted("t"), model)
-    return found.groupBy("t", "lang").agg((-F.sum(F.col("n") * F.col("log").cast("double")) / F.sum("n")).alias("log_perplexity"))
+    return found.groupBy("t", "lang").agg((-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("log_perplexity"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

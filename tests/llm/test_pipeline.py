@@ -64,6 +64,10 @@ def test_mixing(steps):
     assert set(after) <= set(before) and max(after.values()) <= 3
     taken = {r["doc_id"]: r["taken"] / r["size"] for r in mixing.mix(steps[3])[0].collect() if r["size"]}
     assert all(int(taken[i]) <= after[i, x] <= int(taken[i]) + 1 for i, x in before)
+    source = {r["doc_id"]: r["source"] for r in steps[3].collect()}
+    for s in ("a", "b", None):  # a source's words are off by less than its largest document
+        mine = {(i, x): len(x.split()) for i, x in before if source[i] == s}
+        assert abs(sum(after[k] * n for k, n in mine.items()) - sum(taken[k[0]] * n for k, n in mine.items())) <= max(mine.values())
 
 
 def test_encoding(steps):
