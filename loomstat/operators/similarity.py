@@ -6,7 +6,7 @@ passes, so neither side is broadcast and no pair is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ..functions.scalars import dot, norm
 
 BLOCK = 1024
+#: Pivots that rows are dealt to at most: a square of them is on the driver.
+PIVOTS = 1024
 
 
 def _blocks(left: DataFrame, right: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -34,17 +36,67 @@ def _matrix(df: pd.DataFrame) -> np.ndarray:
     return np.array(df["v"].tolist(), np.float64).reshape(len(df), -1)
 
 
+def _directions(rows: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
+    """Pivots, up to ``PIVOTS`` of the ``n`` rows drawn by hash, as unit vectors; and the rows with the pivot ``c`` that is closest by angle,
+    the ``angle`` and their ``norm``. The draw bears on the work only, not on results."""
+    drawn = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // 256))).collect()]
+    p = np.array(drawn, np.float64).reshape(len(drawn), -1)
+    p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            m = _matrix(b)
+            size = np.linalg.norm(m, axis=1)
+            cos = (m / np.maximum(size, 1e-300)[:, None]) @ p.T
+            c = cos.argmax(axis=1)
+            yield b.assign(c=c, angle=np.arccos(np.clip(cos[np.arange(len(c)), c], -1, 1)), norm=size)
+
+    return p, rows.select("id", "v").mapInPandas(run, "id long, v array<double>, c int, angle double, norm double")
+
+
+def live_pairs(p: np.ndarray, angle: np.ndarray, norm: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows about pivots i and j, no further than ``angle`` from them and no longer than ``norm``, can have a dot product over
+    ``least``: directions are no closer than those of the pivots less both angles. All can if ``least`` is negative."""
+    apart = np.arccos(np.clip(p @ p.T, -1, 1)) - angle[:, None] - angle[None] - 1e-6
+    return (norm[:, None] * norm[None] * np.cos(np.clip(apart, 0, np.pi)) > least - 1e-9) | (least < 0)
+
+
 def near_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(``a``, ``b``, ``sim``) of all rows (``id``, ``v``) with a < b and dot product over ``least``."""
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    """(``a``, ``b``, ``sim``) of all rows (``id``, ``v``) with a < b and dot product over ``least``.
+
+    Rows are dealt to the closest of a bounded number of pivots. Only pairs of pivots whose rows can be close enough are compared,
+    in blocks of about ``BLOCK`` rows, each pair of blocks once. Few are for a high ``least`` and rows in groups, all for a low one and
+    rows in all directions. Pivots, and three numbers for each, are on the driver; rows never are.
+    """
+    n = rows.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "a long, b long, sim double")
+    p, dealt = _directions(rows, n)
+    facts = dealt.groupBy("c").agg(F.count("*").alias("n"), F.max("angle").alias("angle"), F.max("norm").alias("norm")).collect()
+    blocks, angle, norms = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p))
+    for f in facts:
+        blocks[f["c"]], angle[f["c"]], norms[f["c"]] = -(-f["n"] // BLOCK), f["angle"], f["norm"]
+    one, two = np.nonzero(np.triu(live_pairs(p, angle, norms, least)) & (blocks[:, None] > 0) & (blocks[None] > 0))
+    met = rows.sparkSession.createDataFrame(pd.DataFrame({"c1": one, "n1": blocks[one], "c2": two, "n2": blocks[two]}) if len(one) else [], "c1 int, n1 long, c2 int, n2 long")
+    own, alike = lambda m: F.pmod(F.xxhash64("id"), F.col(m)), F.col("c1") == F.col("c2")
+    left = dealt.join(F.broadcast(met), F.col("c") == F.col("c1")).withColumn("i", own("n1"))
+    left = left.select("id", "v", "c1", "i", "c2", F.explode(F.sequence(F.when(alike, F.col("i")).otherwise(0), F.col("n2") - 1)).alias("j"), F.lit(0).alias("side"))
+    right = dealt.join(F.broadcast(met), F.col("c") == F.col("c2")).withColumn("j", own("n2"))
+    right = right.withColumn("last", F.when(alike, F.col("j")).otherwise(F.col("n1")) - 1).where("last >= 0")
+    right = right.select("id", "v", "c1", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i"), "c2", "j", F.lit(1).alias("side"))
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        x = g[g["side"] == 0]
+        same = key[0] == key[2] and key[1] == key[3]
+        y = x if same else g[g["side"] == 1]
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "sim": []})
         sim = _matrix(x) @ _matrix(y).T
         a, b = x["id"].to_numpy(), y["id"].to_numpy()
-        i, j = np.nonzero((sim > least) & (a[:, None] < b[None]))
-        return pd.DataFrame({"a": a[i], "b": b[j], "sim": sim[i, j]})
+        i, j = np.nonzero((sim > least) & ((a[:, None] < b[None]) | ((a[:, None] > b[None]) & (not same))))
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "sim": sim[i, j]})
 
-    return _blocks(rows, rows, run, "a long, b long, sim double")
+    return left.unionByName(right).groupBy("c1", "i", "c2", "j").applyInPandas(run, "a long, b long, sim double")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = True) -> DataFrame:

@@ -131,6 +131,31 @@ def test_block_search_over_several_blocks(spark, monkeypatch):
     assert {(r["query"], r["rank"]): r["id"] for r in got} == {(i, k + 1): int(j) for i in range(0, 70, 20) for k, j in enumerate(np.argsort(-sim[i])[:3])}
 
 
+@pytest.mark.parametrize(("block", "pivots"), [(1024, 1024), (16, 40), (7, 1)])
+@pytest.mark.parametrize("least", [0.95, 0.4, -0.2])
+def test_near_pairs_brute(spark, monkeypatch, block, pivots, least):
+    """Groups, copies, a zero vector, vectors of other lengths, and none at all."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "PIVOTS", pivots)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(30, 8))
+    m = np.concatenate([np.repeat(centres, 10, axis=0) + 0.1 * r.normal(size=(300, 8)), np.repeat(centres[:1], 40, axis=0)])
+    m = np.concatenate([m / np.linalg.norm(m, axis=1, keepdims=True), np.zeros((1, 8)), 1.5 * centres[:2]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    got = {(x["a"], x["b"]): x["sim"] for x in similarity.near_pairs(df, least).collect()}
+    sim = m @ m.T
+    want = {(i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if sim[i, j] > least}
+    assert set(got) == want and all(abs(s - sim[k]) < 1e-9 for k, s in got.items())
+    assert similarity.near_pairs(df.limit(0), least).count() == 0
+
+
+def test_far_pivots_are_not_compared():
+    p = np.eye(4)
+    live = similarity.live_pairs(p, np.full(4, 0.2), np.ones(4), 0.95)
+    assert (live == np.eye(4, dtype=bool)).all()
+    assert similarity.live_pairs(p, np.full(4, 0.8), np.ones(4), 0.95).all()
+
+
 def test_flood_merge_and_tree():
     m = np.zeros((8, 8), int)
     m[2:6, 2:6] = 1
