@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -31,18 +33,47 @@ def share_where(p: Column) -> Column:
     return F.avg(p.cast("int"))
 
 
-def describe_long(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each column, one row per group and column."""
-    long = df.unpivot(by, columns, "column", "value")
-    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    made = long.groupBy(*by, "column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"))
-    return made.select(*by, "column", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max")
-
-
-def quantile_band(c: str, low: float, high: float) -> list[Column]:
-    """Lower quantile, median and upper quantile, by linear interpolation, from one array of percentiles."""
-    q = F.percentile(c, F.array(F.lit(low), F.lit(0.5), F.lit(high)))
-    return [q[i].alias(n) for i, n in enumerate(("low", "median", "high"))]
+def describe_long(df: DataFrame, by: list[str], columns: list[str], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """count, mean, std, min, quartiles and max of each column, one row per group and column. Null groups are left out."""
+    long = df.dropna(subset=by).unpivot(by, columns, "column", "value")
+    made = long.groupBy(*by, "column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    made = made.join(quantiles(long, [*by, "column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, cut), [*by, "column"], "left")
+    return made.select(*by, "column", "n", "mean", "std", "min", "q25", "median", "q75", "max")
+
+
+#: Groups whose bounds are broadcast at most; more are joined by a shuffle.
+BROADCAST_GROUPS = 10_000
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], cut: Callable[[DataFrame], DataFrame], bins: int = 32) -> DataFrame:
+    """By group, a column for each name in ``at``: that exact quantile of ``value``, by linear interpolation.
+
+    No group is held in one task: values are counted, then dealt by bounds (approximate quantiles of the distinct values;
+    the result is exact whatever they are) into ``bins`` ranges. Sums over ranges tell which of them hold a wanted rank,
+    and only these are sorted. Nulls are skipped; rows with a null key, and groups without a value, are left out. ``cut``
+    writes a table and reads it.
+    """
+    counts = cut(df.dropna(subset=[*by, value]).groupBy(*by, value).agg(F.count("*").alias("_n")))
+    steps = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    bounds = cut(counts.groupBy(*by).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("_b")))
+    few = bounds.count() <= BROADCAST_GROUPS
+    rows = counts.join(F.broadcast(bounds) if few else bounds, by)
+    past = sum(((F.col(value) > F.get("_b", F.lit(i))).cast("int") for i in range(bins - 1)), F.lit(0))  # the approximation may give fewer bounds
+    rows = rows.withColumn("_bin", F.coalesce(past, F.lit(0))).drop("_b")
+    group = Window.partitionBy(*by)
+    sums = rows.groupBy(*by, "_bin").agg(F.sum("_n").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "_bin", "_s", before.alias("_before"), F.sum("_s").over(group).alias("_all"))
+    place = {n: (F.col("_all") - 1) * F.lit(float(q)) for n, q in at.items()}
+    ranks = {f"_{end}_{n}": f(x) for n, x in place.items() for end, f in (("lo", F.floor), ("hi", F.ceil))}
+    wanted = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_s")) for r in ranks.values()]
+    sums = sums.where(F.greatest(*wanted)).drop("_s")
+    rows = rows.join(F.broadcast(sums) if few else sums, [*by, "_bin"])
+    inside = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    found = [F.max(F.when((F.col("_from") <= r) & (r < F.col("_from") + F.col("_n")), F.col(value))).alias(n) for n, r in ranks.items()]
+    made = rows.groupBy(*by).agg(F.max("_all").alias("_all"), *found)
+    return made.select(*by, *[(F.col(f"_lo_{n}") + (x - F.floor(x)) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n, x in place.items()])
 
 
 def medians(df: DataFrame, by: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import agg, inference, selection
 from ..sources import readers
+from ..streaming import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,14 +113,14 @@ def mixed_aggs(spark, d):
 @query(f"""WITH {M}, l AS (UNPIVOT (SELECT method, qty, price, disc FROM m) ON qty, price, disc INTO NAME "column" VALUE value)
 SELECT method, "column", count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS max FROM l GROUP BY ALL""")
 def describe_long(spark, d):
-    made = agg.describe_long(measures(spark, d).select("method", "qty", "price", "disc"), ["method"], ["qty", "price", "disc"])
+    made = agg.describe_long(measures(spark, d).select("method", "qty", "price", "disc"), ["method"], ["qty", "price", "disc"], runs.written)
     return rounded(rounded(made, "mean", "q25", "median", "q75"), "std", n=4)
 
 
 @query(f"WITH {M}, a(alpha) AS (VALUES (0.0), (0.01), (0.02), (0.03), (0.04), (0.05), (0.06), (0.08)) SELECT alpha::DOUBLE AS alpha, method, round(quantile_cont(price, 0.25), 6) AS low, round(median(price), 6) AS median, round(quantile_cont(price, 0.75), 6) AS high FROM m JOIN a ON disc > alpha GROUP BY ALL")
 def quantile_band(spark, d):
     rows = measures(spark, d).withColumn("alpha", F.explode(F.array(*map(F.lit, (0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08))))).where("disc > alpha")
-    return rounded(rows.groupBy("alpha", "method").agg(*agg.quantile_band("price", 0.25, 0.75)), "low", "median", "high")
+    return rounded(agg.quantiles(rows, ["alpha", "method"], "price", {"low": 0.25, "median": 0.5, "high": 0.75}, runs.written), "low", "median", "high")
 
 
 @query(f"WITH {M} SELECT method, round(avg((price < 20000)::INT), 9) AS cheap, round(avg((disc >= 0.05)::INT), 9) AS discounted, round(sum(price * disc) / sum(price), 9) AS ratio FROM m GROUP BY method")

@@ -67,6 +67,21 @@ def test_two_stage_mean_and_blank_rule(spark):
     assert df.agg(agg.covered(F.col("x"), 0.9)).collect()[0][0] is None
 
 
+@pytest.mark.parametrize("groups", [10_000, 0])
+def test_quantiles_brute(spark, monkeypatch, groups):
+    monkeypatch.setattr(agg, "BROADCAST_GROUPS", groups)
+    draw = np.random.default_rng(5)
+    held = {"one": [3.0], "tied": [2.0] * 50, "hot": list(np.round(draw.exponential(100.0, 3000), 1)), "two": [1.0, -4.0], "none": [None]}
+    rows = [(g, None if v is None else float(v)) for g, vs in held.items() for v in vs] + [(None, 1.0), ("hot", None)]
+    at = {"lo": 0.0, "a": 0.25, "b": 0.5, "c": 0.975, "hi": 1.0}
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in agg.quantiles(df, ["g"], "v", at, runs.written).collect()}
+    assert set(got) == {"one", "tied", "hot", "two"}
+    for g, r in got.items():
+        assert [r[n] for n in at] == pytest.approx([np.quantile(held[g], q) for q in at.values()])
+    assert agg.quantiles(df.where("false"), ["g"], "v", at, runs.written).count() == 0
+
+
 def test_wilcoxon_by_enumeration():
     d = [3.1, -1.2, 0.4, 2.2, -0.9, 5.0, 1.7]
     ranks = np.argsort(np.argsort(np.abs(d))) + 1
