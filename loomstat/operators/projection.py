@@ -136,6 +136,72 @@ def slivers(m: np.ndarray, ground: int, share: float) -> int:
     return int(small.sum()) - len(np.unique(p[eroded(small[p], 1)]))
 
 
+def plan_checks(m: np.ndarray, ground: int, least: int, r: int, thin: int) -> dict:
+    """What a cutter would object to in a plan: pieces under ``least`` pixels, pieces with over ``thin`` pixels that no disk of radius ``r``
+    inside them covers, the share of such pixels, and holes: parts beyond the first that a piece leaves of the picture.
+
+    ``smallest`` is null without pieces.
+    """
+    p = raster.flood(m)
+    count = p.max() + 1
+    label = np.zeros(count, np.int64)
+    label[p] = m
+    mine = label != ground
+    area = np.bincount(p.ravel())
+    strip = np.zeros(m.shape, bool)
+    for k in np.unique(label[mine]):
+        strip |= (m == k) & ~opened(m == k, r)  # a disk lies in one piece, so a label's pieces can be opened together
+    rest = np.bincount(p[strip], minlength=count)
+    holes = 0
+    for i in np.flatnonzero(mine):
+        y, x = np.nonzero(p == i)
+        part = p[max(y.min() - 1, 0) : y.max() + 2, max(x.min() - 1, 0) : x.max() + 2] != i  # what lies further out hangs together
+        holes += max(0, len(np.unique(raster.flood(part.astype(np.int64))[part])) - 1)
+    some = bool(mine.any())
+    return {"pieces": int(mine.sum()), "below": int((area[mine] < least).sum()), "thin_pieces": int((rest[mine] > thin).sum()), "thin_share": float(rest[mine].sum() / max(area[mine].sum(), 1)), "holes": int(holes), "smallest": int(area[mine].min()) if some else None}
+
+
+def structure(cut: np.ndarray, lines: np.ndarray, r: int) -> dict:
+    """Recall of the drawing's lines by a plan's boundaries within ``r`` pixels, their precision, and F1 (0 where both are 0)."""
+    edge = np.zeros(cut.shape, bool)
+    edge[:, :-1] |= cut[:, :-1] != cut[:, 1:]
+    edge[:-1] |= cut[:-1] != cut[1:]
+    recall = (lines & dilated(edge, r)).sum() / max(lines.sum(), 1)
+    precision = (edge & dilated(lines, r)).sum() / max(edge.sum(), 1)
+    return {"recall": float(recall), "precision": float(precision), "f1": float(2 * recall * precision / (recall + precision)) if recall + precision else 0.0}
+
+
+def ablated(m: np.ndarray, ground: int, share: float, bare: np.ndarray) -> dict[str, np.ndarray]:
+    """The plan with parts of the projection left out."""
+    return {
+        "colour only": m,
+        "ground only": np.where(bare, ground, m),
+        "colour + merge (no ground)": projected(m, ground, share)[0],
+        "full projection": projected(m, ground, share, bare=bare)[0],
+    }
+
+
+def disturbed(pixels: DataFrame, noise: float = 4.0) -> DataFrame:
+    """Pixels (``img``, ``y``, ``x``, ``l``, ``a``, ``b``) in four ``condition``s: original, blurred (mean of 3 by 3), noisy (by hash, evenly
+    within ``noise``), shaded (lightness from 0.65 at the top to 1.25 at the bottom on the figure only)."""
+    from pyspark.sql import Window
+
+    row, col = Window.partitionBy("img", "y").orderBy("x").rowsBetween(-1, 1), Window.partitionBy("img", "x").orderBy("y").rowsBetween(-1, 1)
+    px = pixels.select(*raster.PIXEL, *[F.col(c).cast("double").alias(c) for c in "lab"])
+    px = px.withColumns({f"r{c}": F.sum(c).over(row) for c in "lab"} | {"rn": F.count("*").over(row)})
+    px = px.withColumns({f"s{c}": F.sum(f"r{c}").over(col) / F.sum("rn").over(col) for c in "lab"})
+    px = px.withColumn("down", F.col("y") / F.greatest(F.max("y").over(Window.partitionBy("img")), F.lit(1)))
+    even = lambda i: (F.pmod(F.xxhash64("img", "y", "x", F.lit(i)), F.lit(20_001)) / 10_000.0 - 1) * noise
+    light = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(100.0))
+    shaded = F.when(raster.foreground(F.col("l"), F.col("a"), F.col("b")), light(F.col("l") * (0.65 + 0.6 * F.col("down")))).otherwise(F.col("l"))
+    made = {
+        "original": [F.col(c) for c in "lab"], "blurred": [F.col(f"s{c}") for c in "lab"],
+        "noisy": [light(F.col("l") + even(0)), F.col("a") + even(1), F.col("b") + even(2)], "shaded": [shaded, F.col("a"), F.col("b")],
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("condition"), *[c.alias(k) for k, c in zip("lab", v, strict=True)]) for n, v in made.items()])
+    return px.select(*raster.PIXEL, F.inline(each))
+
+
 def window_of_most(mask: np.ndarray, size: int) -> tuple[int, int, int]:
     """Top, left and number of set pixels of the ``size`` by ``size`` window with most of them; ties to the first in reading order."""
     size = min(size, *mask.shape)

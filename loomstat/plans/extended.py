@@ -187,11 +187,32 @@ def grid(spark, d, size: int = H):
     return g.withColumns({"label": (S.mixed_int(F.col("img"), F.expr("y div 4"), F.expr("x div 3")) % 4).cast("int"), "h": h})
 
 
-@query()
+PALETTE = [(20.0, 0.0, 0.0), (95.0, 0.0, 2.0), (50.0, 60.0, 40.0), (60.0, -40.0, 30.0), (40.0, 20.0, -50.0), (80.0, 0.0, 70.0)]
+
+
+def palette_sql(palette: list[tuple[float, float, float]]) -> str:
+    """``t``: pixels of ``c`` with each palette colour ``k``, and its place ``i`` by distance, from 1."""
+    values = ", ".join(f"({k}, {l}, {a}, {b})" for k, (l, a, b) in enumerate(palette))
+    far = "sqrt((l - l2) ** 2 + (a - a2) ** 2 + (b - b2) ** 2)"
+    return f"q(k, l2, a2, b2) AS (VALUES {values}), t AS (SELECT c.*, k, l2::DOUBLE AS l2, a2::DOUBLE AS a2, b2::DOUBLE AS b2, row_number() OVER (PARTITION BY img, y, x ORDER BY {far}, k) AS i FROM c, q)"
+
+
+#: The published difference of (l, a, b) and (l2, a2, b2) for the rows of ``t``, in steps.
+DE2000 = """e1 AS (SELECT *, (sqrt(a * a + b * b) + sqrt(a2 * a2 + b2 * b2)) / 2 AS m FROM t),
+e2 AS (SELECT *, a * (1.5 - 0.5 * sqrt(m ** 7 / (m ** 7 + 25e0 ** 7))) AS p, a2 * (1.5 - 0.5 * sqrt(m ** 7 / (m ** 7 + 25e0 ** 7))) AS p2 FROM e1),
+e3 AS (SELECT *, sqrt(p * p + b * b) AS c1, sqrt(p2 * p2 + b2 * b2) AS c2, CASE WHEN p = 0 AND b = 0 THEN 0 ELSE (degrees(atan2(b, p)) + 360) % 360 END AS h1, CASE WHEN p2 = 0 AND b2 = 0 THEN 0 ELSE (degrees(atan2(b2, p2)) + 360) % 360 END AS h2 FROM e2),
+e4 AS (SELECT *, (c1 + c2) / 2 AS mc, (l + l2) / 2 AS ml, CASE WHEN c1 * c2 = 0 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS turn,
+  CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS mh FROM e3),
+e5 AS (SELECT *, 1 - 0.17 * cos(radians(mh - 30)) + 0.24 * cos(radians(2 * mh)) + 0.32 * cos(radians(3 * mh + 6)) - 0.2 * cos(radians(4 * mh - 63)) AS w FROM e4),
+e6 AS (SELECT *, (l2 - l) / (1 + 0.015 * (ml - 50) ** 2 / sqrt(20 + (ml - 50) ** 2)) AS dl, (c2 - c1) / (1 + 0.045 * mc) AS dc, 2 * sqrt(c1 * c2) * sin(radians(turn / 2)) / (1 + 0.015 * mc * w) AS dh,
+  -2 * sqrt(mc ** 7 / (mc ** 7 + 25e0 ** 7)) * sin(radians(60 * exp(-(((mh - 275) / 25) ** 2)))) AS rt FROM e5),
+e AS (SELECT *, sqrt(dl ** 2 + dc ** 2 + dh ** 2 + rt * dc * dh) AS de FROM e6)"""
+
+
+@query(f"WITH {G}, c AS (SELECT img, y, x, (h % 101)::DOUBLE AS l, (h % 121 - 60)::DOUBLE AS a, (h % 127 - 63)::DOUBLE AS b FROM l), {palette_sql(PALETTE)}, {DE2000} SELECT img, y, x, l, a, b, arg_min(k, (de, i)) AS k, round(min(de), 6) AS de, NOT (l > 90 AND sqrt(a * a + b * b) < 10) AS fg FROM e WHERE i <= 3 GROUP BY img, y, x, l, a, b")
 def nearest_palette(spark, d):
-    palette = [(20.0, 0.0, 0.0), (95.0, 0.0, 2.0), (50.0, 60.0, 40.0), (60.0, -40.0, 30.0), (40.0, 20.0, -50.0), (80.0, 0.0, 70.0)]
     px = grid(spark, d).select("img", "y", "x", (F.col("h") % 101).cast("double").alias("l"), (F.col("h") % 121 - 60).cast("double").alias("a"), (F.col("h") % 127 - 63).cast("double").alias("b"))
-    return rounded(raster.nearest_palette(px, palette).withColumn("fg", raster.foreground(F.col("l"), F.col("a"), F.col("b"))), "de")
+    return rounded(raster.nearest_palette(px, PALETTE).withColumn("fg", raster.foreground(F.col("l"), F.col("a"), F.col("b"))), "de")
 
 
 @query(f"WITH {G} SELECT img, y, x, coalesce(lead(label) OVER (PARTITION BY img, y ORDER BY x) <> label, false) OR coalesce(lead(label) OVER (PARTITION BY img, x ORDER BY y) <> label, false) AS edge FROM l")

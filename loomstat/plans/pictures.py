@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import projection, raster
 from .core import hash_sql, r, rounded
-from .extended import LAB, MASK, PIECE, G, H, grid, lab, masks, near_sql
+from .extended import LAB, MASK, PIECE, G, H, grid, lab, masks, near_sql, palette_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,7 +49,7 @@ def cut_projection(spark, d):
     return projection.pictures(px, ["label", "bare"], run, "islands_first long, islands_merged long, layers long, below long, slivers long, changed double")
 
 
-@query()
+@query(f"WITH {LAB}, {palette_sql(PALETTE)}, n AS (SELECT img, y, x, k FROM t WHERE i = 1), v AS (SELECT p.img, p.y, p.x, q.k, count(*) AS n FROM n p JOIN n q ON q.img = p.img AND q.y BETWEEN p.y - 2 AND p.y + 2 AND q.x BETWEEN p.x - 2 AND p.x + 2 GROUP BY ALL) SELECT img, y, x, arg_max(k, (n, -k)) AS label FROM v GROUP BY img, y, x")
 def fast_projection(spark, d):
     px = raster.nearest_palette(lab(spark, d), PALETTE, 1)
     return raster.by_picture(px.select("img", "y", "x", F.col("k").alias("label")), lambda m: {"label": projection.voted(m, 2, disk=False)}, "label int")
@@ -195,6 +195,37 @@ def plan_protocol(spark, d):
     return projection.pictures(px, ["label", "bare"], run, "setting string, sheets long, pieces long, smallest_mm2 double, changed double")
 
 
+@query()
+def plan_validation(spark, d):
+    """Projected plans with the hard constraints, and without, as a cutter sees them."""
+    def run(m):
+        plans = {"plain": projection.projected(m, 0, ALPHA)[0], "enforced": projection.projected(m, 0, 1.1 * ALPHA, width=3)[0]}
+        return [{"plan": name} | projection.plan_checks(cut, 0, 20, 1, 4) for name, cut in plans.items()]
+
+    return projection.pictures(labels(spark, d), ["label"], run, "plan string, pieces long, below long, thin_pieces long, thin_share double, holes long, smallest long")
+
+
+@query()
+def projection_ablation(spark, d):
+    """How well boundaries keep the drawing's lines when parts of the projection are left out."""
+    def run(m, bare, lines):
+        plans = projection.ablated(m, 0, ALPHA, bare.astype(bool))
+        return [{"variant": name} | projection.structure(cut, lines.astype(bool), 3) for name, cut in plans.items()]
+
+    px = grid(spark, d).select("img", "y", "x", "label", (F.col("y") < 2).cast("int").alias("bare"), (F.col("h") % 13 < 2).cast("int").alias("line"))
+    made = projection.pictures(px, ["label", "bare", "line"], run, "variant string, recall double, precision double, f1 double")
+    return rounded(made.groupBy("variant").agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "f1")]), "recall", "precision", "f1")
+
+
+@query()
+def perturbation_check(spark, d):
+    """Medians of the craft figures of pictures as they are, blurred, noisy and shaded."""
+    px = projection.disturbed(lab(spark, d)).select(F.concat_ws("|", "condition", "img").alias("img"), "y", "x", "l", "a", "b")
+    made = projection.craft(px, PALETTE, ALPHA).withColumn("condition", F.split("img", r"\|")[0])
+    figures = ("purity", "palette_de", "cut_residual", "fragments")
+    return rounded(made.groupBy("condition").agg(*[F.median(c).cast("double").alias(c) for c in figures]), *figures)
+
+
 @query()
 def cutline_maps(spark, d):
     """Boundary pixels of a dense and of a coarse projection, and pieces of each."""

@@ -183,7 +183,12 @@ def hash_pairs(spark, d):
     return similarity.near_or_alike(v.withColumn("h", S.bits_over_median(F.col("v"))), 2.0, 20).select("a", "b", "bits")
 
 
-@query()
+GREY = f"g AS (SELECT s_suppkey::INT AS img, id // 32 AS y, id % 32 AS x FROM supplier, range(1024) t(id)), l AS (SELECT img, y, x, ({hash_sql('img', 'y', 'x')}) % 256 AS g FROM g)"
+
+
+@query(f"""WITH {GREY}, w AS (SELECT k, n, cos(pi() * k * (2 * n + 1) / 64) * sqrt((CASE k WHEN 0 THEN 1 ELSE 2 END) / 32e0) AS w FROM range(8) i(k), range(32) j(n)), a AS (SELECT img, y, k, sum(g * w) AS s FROM l JOIN w ON n = x GROUP BY ALL),
+b AS (SELECT img, w.k * 8 + a.k AS place, sum(s * w) AS s FROM a JOIN w ON n = y GROUP BY ALL), m AS (SELECT img, median(s) AS m FROM b GROUP BY img), h AS (SELECT img, sum(CASE WHEN s > m THEN 1::HUGEINT << (63 - place)::HUGEINT ELSE 0 END)::HUGEINT AS h FROM (SELECT img, place, s, m FROM b JOIN m USING (img)) GROUP BY img)
+SELECT img, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS phash FROM h""")
 def picture_hashes(spark, d):
     grey = grid(spark, d, 32).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("y", "x", (F.col("h") % 256).cast("double").alias("g")))).alias("p"))
     return grey.select("img", similarity.phash(F.transform("p", lambda p: p["g"])).alias("phash"))
@@ -342,7 +347,18 @@ def svg_layers(spark, d):
     return sinks.svg(grid(spark, d), {3: "#c00", 1: "#06c"}, 0.5).select("img", F.sha2("svg", 256).alias("digest"))
 
 
-@query()
+@query(f"WITH {G} SELECT img, count(*) FILTER (label = 3) AS reds, count(*) FILTER (label = 1) AS blues, 1e0 AS agreement FROM l WHERE label IN (1, 3) GROUP BY img")
+def svg_pixels(spark, d):
+    """Pixels read back from the layers of :func:`svg_layers`, against the label map."""
+    colours = {3: "#c00", 1: "#06c"}
+    drawn = readers.svg_pixels(sinks.svg(grid(spark, d), colours, 0.5))
+    both = grid(spark, d).where("label in (1, 3)").join(drawn, raster.PIXEL, "full")
+    same = F.coalesce(F.col("fill") == F.when(F.col("label") == 3, colours[3]).otherwise(colours[1]), F.lit(False))
+    n = lambda c: F.count(F.when(F.col("fill") == c, 1))
+    return both.groupBy("img").agg(n(colours[3]).alias("reds"), n(colours[1]).alias("blues"), F.avg(same.cast("int")).alias("agreement"))
+
+
+@query("""SELECT '<!doctype html><meta charset="utf-8"><title>Survey</title><script type="application/json" id="data">' || replace('[' || string_agg('{"id":' || n_nationkey || ',"text":"' || n_name || ' </script>"}', ',' ORDER BY n_nationkey) || ']', '</', '<\\/') || '</script>' AS html FROM nation""")
 def survey_page(spark, d):
     return sinks.survey(t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.col("n_name"), F.lit(" </script>")).alias("text")), ["id"], "Survey")
 

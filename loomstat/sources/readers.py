@@ -120,3 +120,12 @@ def label_maps(found: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"path": path, "y": y.ravel(), "x": x.ravel(), "label": m.ravel().astype(np.int32)})
 
     return found.select("path", "content").mapInPandas(run, "path string, y int, x int, label int")
+
+
+def svg_pixels(pictures: DataFrame) -> DataFrame:
+    """Pixel rows (``img``, ``y``, ``x``, ``fill``) of pictures (``img``, ``svg``) whose paths are boxes one pixel high, as ``sinks.svg`` draws
+    them. A picture without paths has no rows."""
+    path = pictures.select("img", F.explode(F.regexp_extract_all("svg", F.lit('<path fill="[^"]*" d="[^"]*"/>'), F.lit(0))).alias("p"))
+    box = path.select("img", F.regexp_extract("p", 'fill="([^"]*)"', 1).alias("fill"), F.explode(F.regexp_extract_all("p", F.lit(r"M\d+ \d+h\d+v1h-\d+z"), F.lit(0))).alias("b"))
+    x, y, n = (F.regexp_extract("b", r"M(\d+) (\d+)h(\d+)", i).cast("int") for i in (1, 2, 3))
+    return box.select("img", "fill", y.alias("y"), F.explode(F.sequence(x, x + n - 1)).alias("x")).select("img", "y", "x", "fill")

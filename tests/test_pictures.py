@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions import scalars as S
 from loomstat.operators import inference, projection, raster, similarity
-from loomstat.sources import sinks
+from loomstat.sources import readers, sinks
 from loomstat.streaming import runs
 
 
@@ -246,3 +246,54 @@ def test_jobs_and_watcher(spark, tmp_path):
 def test_survey_holds_its_questions(spark):
     page = sinks.survey(spark.createDataFrame([(2, "b </script>"), (1, "a")], "id int, text string"), ["id"], "T").first()["html"]
     assert page.count("</script>") == 1 and page.index('"id":1') < page.index('"id":2')
+
+
+def test_plan_checks_brute():
+    for m in [*maps(6), np.zeros((5, 5), int), np.ones((5, 5), int)]:
+        cells = [(y, x) for y, x in np.ndindex(m.shape)]
+        pieces = [set(c) for k in (1, 2, 3) for c in comps([p for p in cells if m[p] == k], FOUR)]
+        rest, holes = [], 0
+        for c in pieces:
+            own = np.array([[(y, x) in c for x in range(m.shape[1])] for y in range(m.shape[0])])
+            rest.append(int((own & ~brute_disk(brute_disk(own, 1, all), 1, any)).sum()))
+            holes += max(0, len(comps([p for p in cells if p not in c], FOUR)) - 1)
+        got = projection.plan_checks(m, 0, 8, 1, 2)
+        assert got["pieces"] == len(pieces) and got["below"] == sum(len(c) < 8 for c in pieces) and got["holes"] == holes
+        assert got["thin_pieces"] == sum(r > 2 for r in rest) and got["smallest"] == min(map(len, pieces), default=None)
+        assert got["thin_share"] == pytest.approx(sum(rest) / max(sum(map(len, pieces)), 1))
+
+
+def test_structure_brute():
+    draw = np.random.default_rng(3)
+    for m in [*maps(4), np.zeros((14, 14), int)]:
+        lines = draw.random(m.shape) < 0.05
+        edge = {(y, x) for y, x in np.ndindex(m.shape) if (x < 13 and m[y, x] != m[y, x + 1]) or (y < 13 and m[y, x] != m[y + 1, x])}
+        drawn = {tuple(p) for p in np.argwhere(lines).tolist()}
+        near = lambda a, b: sum(any((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 4 for q in b) for p in a) / max(len(a), 1)
+        recall, precision = near(drawn, edge), near(edge, drawn)
+        got = projection.structure(m, lines, 2)
+        assert (got["recall"], got["precision"]) == pytest.approx((recall, precision))
+        assert got["f1"] == pytest.approx(2 * recall * precision / (recall + precision) if recall + precision else 0)
+    bare = np.zeros(m.shape, bool)
+    assert all((v == m).all() for v in projection.ablated(m, 0, 0.02, bare).values())
+
+
+def test_disturbed_pictures(spark):
+    draw = np.random.default_rng(4)
+    v = draw.uniform(0, 80, (3, 6, 6))
+    df = spark.createDataFrame([(1, y, x, *map(float, v[:, y, x])) for y in range(6) for x in range(6)], "img int, y int, x int, l double, a double, b double")
+    got = {(r["condition"], r["y"], r["x"]): (r["l"], r["a"], r["b"]) for r in projection.disturbed(df, 4.0).collect()}
+    assert len(got) == 4 * 36
+    for y, x in np.ndindex(6, 6):
+        assert got["original", y, x] == pytest.approx(tuple(v[:, y, x]))
+        assert got["blurred", y, x] == pytest.approx(tuple(v[:, max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2].mean((1, 2))))
+        assert max(abs(p - q) for p, q in zip(got["noisy", y, x], v[:, y, x], strict=True)) <= 4
+        assert got["shaded", y, x][0] == pytest.approx(min(v[0, y, x] * (0.65 + 0.6 * y / 5), 100))
+
+
+def test_pictures_drawn_are_read_again(spark):
+    m = maps(1)[0]
+    drawn = sinks.svg(pixels(spark, m), {2: "#c00", 1: "#06c"}, 0.5)
+    got = {(r["y"], r["x"]): r["fill"] for r in readers.svg_pixels(drawn).collect()}
+    assert got == {(y, x): {1: "#06c", 2: "#c00"}[m[y, x]] for y, x in np.ndindex(m.shape) if m[y, x] in (1, 2)}
+    assert readers.svg_pixels(sinks.svg(pixels(spark, m * 0), {1: "#06c"}, 0.5)).count() == 0
