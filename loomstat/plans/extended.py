@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import manifest, raster, selection, similarity
+from ..operators import agg, manifest, raster, selection, similarity
 from ..sources import readers, sinks
 from ..streaming import runs
 from .core import hash_sql, measures, r, rounded
@@ -399,7 +399,9 @@ def display_rows(spark, d):
 @query("SELECT event_type, round(median(value), 6) AS median, round(min(value), 6) AS min, round(max(value), 6) AS max, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k > 1 GROUP BY event_type")
 def timing_summary(spark, d):
     rows = readers.table(spark, d, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("k > 1")
-    return rows.groupBy("event_type").agg(r(F.median("value")).alias("median"), r(F.min("value")).alias("min"), r(F.max("value")).alias("max"), F.count("*").alias("n"))
+    rows = runs.written(rows.select("event_type", "value"))
+    made = rows.groupBy("event_type").agg(r(F.min("value")).alias("min"), r(F.max("value")).alias("max"), F.count("*").alias("n"))
+    return made.join(rounded(agg.quantiles(rows, ["event_type"], "value", {"median": 0.5}, runs.written), "median"), "event_type", "left")
 
 
 @query("SELECT p_brand, arg_min(p_partkey, (round(p_size + 0.5 * greatest(0, p_retailprice - 1000), 6), p_partkey)) AS best FROM part GROUP BY p_brand")
