@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, lang_id, line_dedup, mixing, near_dedup, quality, sharding, token_counts
+from . import bpe, chat, exact_dedup, lang_id, line_dedup, mixing, near_dedup, periodic, quality, secret_scan, sharding, token_counts, vector_codes
 
 QUERIES = {
     "op1_lang_id": lang_id.op1_lang_id,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_packed_blocks": mixing.op8_packed_blocks,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 #: Near duplicates by the definition: all pairs that share a shingle, and what links connect.
 OP5_SQL = r"""
@@ -36,4 +39,6 @@ SQL = {
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_quality": quality.OP9_SQL,
     "op10_sharding": sharding.OP10_SQL,
+    "op11_periodic_runs": periodic.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
