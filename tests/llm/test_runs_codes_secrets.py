@@ -248,6 +248,18 @@ def test_scan_odd_rows(spark):
     assert [tuple(s) for s in r["spans"]] == [("assign", 200_000, 200_013), ("hex", 200_014, 300_014)]
 
 
+def test_secret_query_brute(spark, tmp_path):
+    rows, clean, hidden = secret_rows()
+    docs(spark, rows + clean + hidden + [(500, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs(spark, rows + clean + hidden + [(500, None)])).collect()}
+    for r in secret_scan.op13_secret_scan(spark, str(tmp_path)).collect():
+        text = dict(rows + clean + hidden + [(500, None)])[r["doc_id"]] or ""
+        base = brute_base(text)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert r["spans"] == ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans[r["doc_id"]])
+
+
 def test_digests_of_the_queries(spark):
     spans = spark.createDataFrame([([("assign", 1, 5), ("hex", 3, 9)],), ([],)], "spans array<struct<kind: string, start: long, end: long>>")
     assert [r[0] for r in spans.select(secret_scan.listed("spans")).collect()] == ["assign:1:5,hex:3:9", ""]
