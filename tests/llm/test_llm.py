@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomstat.llm import bpe, chat, common, exact_dedup, lang_id, line_dedup, mixing, near_dedup, quality, sharding, token_counts
@@ -42,7 +43,7 @@ def test_empty_tables(spark):
     none = docs(spark, [])
     assert exact_dedup.refine(none).count() == 0
     assert near_dedup.near_duplicates(none).count() == 0
-    assert line_dedup.dedup_lines(none).count() == 0
+    assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_passages(none).count() == 0
     assert mixing.mix(none)[0].count() == 0
     assert sharding.interleave(none).count() == 0
     assert quality.judge(none).count() == 0
@@ -338,27 +339,32 @@ def test_line_dedup_brute(spark, monkeypatch, limit):
 
 
 def brute_passages(rows):
-    """By all runs of all documents: the lines of those with over 50 words that occur at an earlier place, blank lines at no end."""
-    seen, out = set(), {}
+    """By all runs of all documents: the lines of those with over 50 words that occur at an earlier place, in a document before or further
+    up without a line in common; blank lines at no end and all alike."""
+    seen, out = {}, {}
     for i, x in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         lines = (x or "").split("\n")
         gone = set()
         for a in range(len(lines)):
-            run = []
+            run, n, with_words = [], 0, 0
             for b in range(a, len(lines)):
-                run.append(lines[b])
-                if lines[a].split() and lines[b].split() and sum(1 for y in run if y.split()) > 1 and len(" ".join(run).split()) > 50:
-                    if (key := "\n".join(run)) in seen:
+                run.append(lines[b] if lines[b].split() else "")
+                n, with_words = n + len(lines[b].split()), with_words + bool(lines[b].split())
+                if lines[a].split() and lines[b].split() and with_words > 1 and n > 50:
+                    where, end = seen.setdefault("\n".join(run), (i, b))
+                    if where != i or a > end:
                         gone |= set(range(a, b + 1))
-                    seen.add(key)
         out[i] = ("\n".join(y for k, y in enumerate(lines) if k not in gone), len(gone))
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_passages_brute(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "digits"), [(0, 16), (10**6, 16), (10**6, 1)])
+def test_passages_brute(spark, monkeypatch, limit, digits):
+    """With hashes of one digit lines are told apart by their bytes only."""
     monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", limit)
     monkeypatch.setattr(line_dedup, "BROADCAST_GONE", limit)
+    if digits == 1:
+        monkeypatch.setattr(line_dedup, "line_hash", lambda x: F.pmod(F.xxhash64(x.cast("binary")), F.lit(7)))
     r = random.Random(5)
     pool = [[" ".join(words(900 + k * 10 + j, r.choice([3, 9, 20, 60]))) for j in range(r.choice([2, 2, 3, 5, 8]))] for k in range(12)]
     pool[0].insert(1, "")
@@ -370,7 +376,7 @@ def test_passages_brute(spark, monkeypatch, limit):
             a = r.randrange(len(p))
             lines += p[a : a + r.randrange(2, 9)] + [""] * r.randrange(2)
         rows.append((i, "\n".join([*lines, " ".join(words(i * 100 + 50, 4))])))
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "\n".join(pool[3] * 3)), (104, "x\n" * 120), (None, rows[2][1])]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "\n".join(pool[3] * 3)), (104, "x\n" * 120), (105, "a b c d e f\nb\nc d\n" * 30), (106, "\n \n".join(pool[0])), (None, rows[2][1])]
     rows.append(rows[4])
     got, want = line_dedup.dedup_passages(docs(spark, rows)).collect(), brute_passages(rows)
     assert len(got) == len(rows)
@@ -379,6 +385,18 @@ def test_passages_brute(spark, monkeypatch, limit):
     assert sum(g["n_removed"] for g in got) > 100
 
 
+def test_first_occurrence_stays_whole(spark):
+    """Repeats inside of one text, of some megabytes too."""
+    line = " ".join(words(3, 6))
+    three = [" ".join(words(k, 20)) for k in range(3)]
+    six = [" ".join(words(k, 6)) for k in range(3)]
+    rows = [(1, "\n".join([line] * 200_000)), (2, "\n".join(three * 6)), (3, "\n".join(six * 6)), (4, "\n".join(f"{k} {line}" for k in range(50_000)))]
+    got = by_id(line_dedup.dedup_passages(docs(spark, rows)))
+    assert got[1]["text"] == "\n".join([line] * 9) and got[1]["n_removed"] == 199_991  # nine lines are the first with over 50 words
+    assert got[2]["text"] == "\n".join(three) and got[3]["text"] == "\n".join(six * 3)
+    assert got[4]["n_removed"] == 0
+
+
 def test_passage_of_two_lines_goes_whole(spark):
     """Wherever the chunk rule would cut, as it cuts after one line in four only."""
     rows = []
