@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Keys of the second step that are broadcast at most, about 50 MB in memory; more take the shuffled way.
+#: Keys of the second step that are broadcast at most, about 50 MB in memory; of more a table of bits is, and keys take the shuffled way.
 BROADCAST_KEYS = 1_000_000
+#: Bits of that table: 64 MB whatever the number of keys, in rows of 32,768.
+BITS = 1 << 29
 
 
 def normalised(text: str | Column) -> Column:
@@ -21,6 +23,20 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def hashed(rows: DataFrame, keys: DataFrame, with_hash: bool = False) -> DataFrame:
+    """``_id``, ``_t``, ``_len``, ``_prefix`` and ``_sha`` of ``rows``, hashed where length and prefix are one of ``keys``, or share a bit with one:
+    of keys n that is a part n / ``BITS`` of the others. The table of bits is all that is broadcast."""
+    bit = 1 + F.pmod(F.xxhash64("_len", "_prefix"), F.lit(BITS))
+    table = keys.select(bit.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    rows = rows.withColumn("_h", bit)
+    at = F.bitmap_bit_position("_h")
+    rows = rows.join(F.broadcast(table), F.bitmap_bucket_number("_h") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
+    sha = F.sha2("_text", 256)
+    return rows.select("_id", "_t", "_len", "_prefix", F.unhex(sha if with_hash else F.when(may, sha)).alias("_sha"))
+
+
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, with_hash: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and ``text_xxhash64``.
 
@@ -42,8 +58,8 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
         full = full.withColumn("_open", F.coalesce("_open", F.lit(False)))
         sha = F.sha2("_text", 256) if with_hash else F.when(F.col("_open"), F.sha2("_text", 256))
         full = common.cut(full.select("_id", "_t", "_open", F.unhex(sha).alias("_sha")))
-    else:  # too many keys for a broadcast: texts stay where they are read; ids, keys and hashes meet the keys over a shuffle
-        full = common.cut(full.select("_id", "_t", "_len", "_prefix", F.unhex(F.sha2("_text", 256)).alias("_sha")).withColumn("_salt", common.salted("_id", "_t")))
+    else:  # texts stay where they are read; those that may be open are hashed, and ids, keys and hashes meet the keys over a shuffle
+        full = common.cut(hashed(full, keys, with_hash).withColumn("_salt", common.salted("_id", "_t")))
         told = full.select("_len", "_prefix", "_salt").distinct().join(keys.withColumn("_open", F.lit(True)), ["_len", "_prefix"], "left")
         full = full.join(told, ["_len", "_prefix", "_salt"]).withColumn("_open", F.coalesce("_open", F.lit(False)))
         full = common.cut(full.select("_id", "_t", "_open", (F.col("_sha") if with_hash else F.when(F.col("_open"), F.col("_sha"))).alias("_sha")))

@@ -159,6 +159,17 @@ def test_exact_dedup_brute(spark, monkeypatch, limit):
     assert sorted(map(repr, (tuple(r)[:5] for r in got))) == sorted(map(repr, want))
 
 
+def test_exact_dedup_hashes_open_rows_only(spark):
+    """Beyond the broadcast bound too: rows that share a length and prefix, out of 3,000."""
+    rows = [(i, f"{i:05d} " + "x" * (i % 700)) for i in range(3000)] + [(5000 + i, f"{i:05d} " + "x" * (i % 700)) for i in range(40)]
+    text = docs(spark, rows).selectExpr("doc_id as _id", "xxhash64(text) as _t", "text as _text", "octet_length(text) as _len", "xxhash64(text) as _prefix")
+    keys = text.groupBy("_len", "_prefix").count().where("count > 1").select("_len", "_prefix")
+    got = {r["_id"]: r["_sha"] for r in exact_dedup.hashed(text, keys).collect()}
+    open_ = {*range(40), *range(5000, 5040)}
+    assert open_ <= {i for i, h in got.items() if h is not None} and sum(h is not None for h in got.values()) <= len(open_) + 2
+    assert all(bytes(got[i]).hex() == hashlib.sha256(dict(rows)[i].encode()).hexdigest() for i in open_)
+
+
 # 4 and 6
 def odd_texts():
     r = random.Random(3)
