@@ -55,6 +55,7 @@ class Bpe:
         vocab, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_starts = {x[0] for x in self.special if x}
         self.pre = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         symbols = byte_symbols()
         self.of_symbol = {c: b for b, c in enumerate(symbols)}
@@ -137,7 +138,7 @@ class Bpe:
 
     def words(self, text: str) -> list[str | int]:
         """The words of ``text`` in order; special strings as their ids."""
-        if not self.split_special or "<" not in text:
+        if not self.split_special or not any(c in text for c in self.special_starts):
             return self._plain_words(text)
         out: list[str | int] = []
         for i, part in enumerate(self.split_special.split(text)):

@@ -16,28 +16,43 @@ SALTS = 64
 _WRITTEN: list[str] = []
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``. Only a session on one machine may leave it out; tables are then in its
+    warehouse. A cluster's executors couldn't read what is written there."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the folder that the cluster shares (``spark.checkpoint.dir``), and read again.
+    """``df`` written once as Parquet in the shared :func:`folder`, and read again.
 
     This cuts the lineage, survives lost executors, and gives later plans the true size (a checkpoint keeps estimates, whose
-    products grow without bound over the rounds of a loop). Where the session names no folder, the warehouse, which is
-    shared too, holds one. :func:`sweep` deletes what was written.
+    products grow without bound over the rounds of a loop). :func:`sweep` deletes what was written.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all that :func:`cut` wrote for results that are no longer read."""
+def written() -> int:
+    """How many tables :func:`cut` has written, for :func:`sweep`."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Delete what :func:`cut` wrote after the first ``since`` tables, but for the ``last`` ones: for results that are no longer read."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    upto = len(_WRITTEN) - last
+    for path in _WRITTEN[since:upto]:
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(conf).delete(path, True)
+    del _WRITTEN[since:upto]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
