@@ -36,7 +36,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows connected by links of similarity 0.8 or more on five-word shingles, the one with the least doc_id. Null texts, and texts
-    without words, have no links and stay."""
+    without words, have no links and stay. Rows that repeat id and text are left once; an empty table leaves no rows. Columns of any name
+    are kept as they are."""
     made = near_dedup.near_duplicates(docs)
     return common.keep_rows(docs, made.select(F.col("doc_id").alias("id"), F.col("text_xxhash64").alias("t"), "kept"), "doc_id", "text")
 
@@ -71,7 +72,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether decoding the ids gives the text back. A null text is empty and has no ids."""
+    """doc_id, n_tokens, ids, and whether decoding the ids gives the text back. A null text is empty and has no ids. Rows that repeat are encoded
+    alike, each once; an empty table gives an empty result; other columns, of any name, aren't read."""
     return bpe.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -87,9 +89,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """What the last stage makes of the documents. Tables that a stage wrote on its way go when its result is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = common.cut(docs)
+            common.sweep(spark, before, 1)
     return docs

@@ -114,6 +114,20 @@ def rgb_lab(r: Column, g: Column, b: Column) -> list[Column]:
     return [116.0 * y - 16.0, 500.0 * (x - y), 200.0 * (y - z)]
 
 
+#: The inverse of ``XYZ``, as published.
+RGB = ((3.240479, -1.537150, -0.498535), (-0.969256, 1.875992, 0.041556), (0.055648, -0.204043, 1.057311))
+
+
+def lab_rgb(l: Column, a: Column, b: Column) -> list[Column]:  # noqa: E741
+    """sRGB channels of CIELAB as whole numbers from 0 to 255, the nearest that there are."""
+    y = (l + 16.0) / 116.0
+    ratios = [a / 500.0 + y, y, y - b / 200.0]
+    x, y, z = (F.when(t > 0.2068966, t * t * t).otherwise((t - 16.0 / 116.0) / 7.787) * w for t, w in zip(ratios, WHITE, strict=True))
+    linear = [x * row[0] + y * row[1] + z * row[2] for row in RGB]
+    coded = [F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0)), 1 / 2.4) - 0.055).otherwise(12.92 * c) for c in linear]
+    return [F.round(255 * F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))).cast("int") for c in coded]
+
+
 def with_ciede2000(df: DataFrame, one: tuple[Column, Column, Column], two: tuple[Column, Column, Column], name: str) -> DataFrame:
     """Add ``name``, the CIEDE2000 difference of two Lab colours, by its published formula with unit weights.
 

@@ -45,8 +45,26 @@ def describe_long(df: DataFrame, by: list[str], columns: list[str], cut: Callabl
 BROADCAST_GROUPS = 10_000
 
 
+#: Groups with more different values than this, estimated, are dealt by range; of others a task counts each value, for up to 128 groups at a time.
+COUNTED = 200_000
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], cut: Callable[[DataFrame], DataFrame], bins: int = 32) -> DataFrame:
-    """By group, a column for each name in ``at``: that exact quantile of ``value``, by linear interpolation.
+    """By group, a column for each name in ``at``: that exact quantile of ``value``, by linear interpolation. Groups with many different values go by
+    :func:`ranged_quantiles`, others by ``percentile``, which counts values before and behind one shuffle. Nulls are skipped; rows with a
+    null key, and groups without a value, are left out."""
+    rows = df.dropna(subset=[*by, value])
+    large = cut(rows.groupBy(*by).agg(F.approx_count_distinct(value, 0.02).alias("_d")).where(F.col("_d") > COUNTED).select(*by))
+    n = large.count()
+    listed = F.broadcast(large) if n <= BROADCAST_GROUPS else large
+    few = rows.join(listed, by, "left_anti") if n else rows
+    made = few.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in at.values()])).alias("_q"))
+    made = made.select(*by, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(at)])
+    return made.unionByName(ranged_quantiles(rows.join(listed, by, "left_semi"), by, value, at, cut, bins)) if n else made
+
+
+def ranged_quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], cut: Callable[[DataFrame], DataFrame], bins: int = 32) -> DataFrame:
+    """As :func:`quantiles`, for groups of any size.
 
     No group is held in one task: values are counted, then dealt by bounds (approximate quantiles of the distinct values;
     the result is exact whatever they are) into ``bins`` ranges. Sums over ranges tell which of them hold a wanted rank,
@@ -115,3 +133,19 @@ def transposed(df: DataFrame, key: str, columns: list[str], names: list[str]) ->
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``old`` whose key isn't in ``new``, and ``new``. Columns that one side lacks are null there."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def sheets(pixels: DataFrame, ground: int, least: float) -> DataFrame:
+    """(``img``, ``label``, ``n``, ``share``, ``sheet``) of pixel rows with ``label`` and its ``light``: the labels but for ``ground`` that cover more than
+    ``least`` of a picture, their share of all that isn't ground, and their number from the darkest on."""
+    n = pixels.groupBy("img", "label").agg(F.count("*").alias("n"), F.min("light").alias("light"))  # a row for each colour of a picture
+    all_ = Window.partitionBy("img")
+    n = n.withColumns({"_all": F.sum("n").over(all_), "_figure": F.sum(F.when(F.col("label") != ground, F.col("n")).otherwise(0)).over(all_)})
+    n = n.where((F.col("label") != ground) & (F.col("n") > least * F.col("_all")))
+    return n.select("img", "label", "n", (F.col("n") / F.col("_figure")).alias("share"), F.row_number().over(all_.orderBy("light", "label")).alias("sheet"))
+
+
+def presence(df: DataFrame) -> DataFrame:
+    """(``column``, ``n``, ``present``): how many values each column has, and whether there are any."""
+    n = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n"), (F.col(c) > 0).alias("present")) for c in df.columns])))

@@ -126,13 +126,14 @@ def bootstrap_shared(pairs: DataFrame, tests: list[str], unit: str, rounds: int
     return pairs.select(*tests, unit, "d", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(run, f"{keys}, n long, diff double, ci_lo double, ci_hi double")
 
 
-def ranked(df: DataFrame, order: str, name: str, buckets: int = 1024) -> DataFrame:
-    """Add ``name``, the average rank of ``order`` over the whole table, from counts by value: values are counted, counts summed by
-    equal parts of the range (few rows in one window), and within a part by value. Nulls get no rank."""
+def ranked(df: DataFrame, order: str, name: str, parts: int = 256) -> DataFrame:
+    """Add ``name``, the average rank of ``order`` over the whole table, from counts by value: values are counted, dealt to ``parts`` by bounds that
+    are approximate quantiles of the different values (ranks are exact whatever they are), counts summed by part (few rows in one
+    window), and within a part by value. Nulls get no rank."""
     n = df.where(F.col(order).isNotNull()).groupBy(F.col(order).alias("_v")).agg(F.count("*").alias("_n"))
-    ends = n.agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0)
-    n = n.crossJoin(F.broadcast(ends)).select("_v", "_n", part.alias("_b"))  # one row
+    bounds = n.agg(F.array_distinct(F.percentile_approx("_v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(20 * parts))).alias("_bounds"))
+    n = n.crossJoin(F.broadcast(bounds))  # one row
+    n = n.select("_v", "_n", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_b"))
     sums = n.groupBy("_b").agg(F.sum("_n").alias("_s"))
     before = F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))

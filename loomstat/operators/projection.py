@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import raster
+from . import grids, raster, tracing
 
 
 def _shifted(m: np.ndarray, dy: int, dx: int, outside) -> np.ndarray:
@@ -75,12 +75,16 @@ def contour(m: np.ndarray) -> np.ndarray:
 
 def voted(m: np.ndarray, r: int, disk: bool = True) -> np.ndarray:
     """The most frequent label around each pixel, ties to the lowest: in a disk with the edge repeated, or in the part of a square inside."""
-    best, most = np.zeros_like(m), np.full(m.shape, -1)
-    for k in np.unique(m):
-        mine = m == k
-        n = sum(_shifted(mine, dy, dx, None if disk else False).astype(int) for dy, dx in raster.offsets(r, disk))
-        best, most = np.where(n > most, k, best), np.maximum(most, n)
-    return best
+    h, w = m.shape
+    known = np.unique(m)
+    framed = np.pad(np.searchsorted(known, m), r, mode="edge") if disk else np.pad(np.searchsorted(known, m), r, constant_values=-1)
+    best, most = np.zeros(m.shape, np.int64), np.full(m.shape, -1, np.int16)
+    for k in range(len(known)):
+        mine = (framed == k).astype(np.int16)
+        n = sum(mine[r + dy : r + dy + h, r + dx : r + dx + w] for dy, dx in raster.offsets(r, disk))
+        more = n > most
+        best[more], most[more] = k, n[more]
+    return known[best]
 
 
 def constrained(m: np.ndarray, ground: int, least: int, width: int, rounds: int = 10) -> np.ndarray:
@@ -128,12 +132,13 @@ def pieces_below(m: np.ndarray, ground: int, share: float) -> int:
 
 
 def slivers(m: np.ndarray, ground: int, share: float) -> int:
-    """Pieces under ``share`` of which nothing is left when the small pieces are eroded together by one pixel."""
+    """Pieces under ``share`` of which nothing is left when the small pieces of their label are eroded by one pixel. Maps are voted before."""
     p = raster.flood(m)
     label = np.zeros(p.max() + 1, np.int64)
     label[p] = m
     small = (np.bincount(p.ravel()) < share * m.size) & (label != ground)
-    return int(small.sum()) - len(np.unique(p[eroded(small[p], 1)]))
+    left = [np.unique(p[eroded(small[p] & (m == k), 1)]) for k in np.unique(label[small])]
+    return int(small.sum()) - sum(map(len, left))
 
 
 def plan_checks(m: np.ndarray, ground: int, least: int, r: int, thin: int) -> dict:
@@ -161,14 +166,99 @@ def plan_checks(m: np.ndarray, ground: int, least: int, r: int, thin: int) -> di
     return {"pieces": int(mine.sum()), "below": int((area[mine] < least).sum()), "thin_pieces": int((rest[mine] > thin).sum()), "thin_share": float(rest[mine].sum() / max(area[mine].sum(), 1)), "holes": int(holes), "smallest": int(area[mine].min()) if some else None}
 
 
-def structure(cut: np.ndarray, lines: np.ndarray, r: int) -> dict:
-    """Recall of the drawing's lines by a plan's boundaries within ``r`` pixels, their precision, and F1 (0 where both are 0)."""
-    edge = np.zeros(cut.shape, bool)
-    edge[:, :-1] |= cut[:, :-1] != cut[:, 1:]
-    edge[:-1] |= cut[:-1] != cut[1:]
-    recall = (lines & dilated(edge, r)).sum() / max(lines.sum(), 1)
-    precision = (edge & dilated(lines, r)).sum() / max(edge.sum(), 1)
-    return {"recall": float(recall), "precision": float(precision), "f1": float(2 * recall * precision / (recall + precision)) if recall + precision else 0.0}
+def figure(l: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:  # noqa: E741
+    """The foreground of a Lab picture, closed by a disk of radius 2 (what lies beyond the picture bears on nothing) and filled."""
+    m = ~((l > 90) & (np.hypot(a, b) < 10))
+    return filled(~grids.disk_grown(~grids.disk_grown(m, 2), 2))
+
+
+def bare_ground(lines: np.ndarray, margin: float, r: int = 3) -> np.ndarray:
+    """What lies more than ``margin`` pixels outside of a drawing's silhouette."""
+    return ~grids.disk_grown(silhouette(lines, r), margin)
+
+
+def evaluation(l: np.ndarray, a: np.ndarray, b: np.ndarray, lines: np.ndarray, shape: np.ndarray, sigma: float = 2.0) -> dict[str, float]:  # noqa: E741
+    """A Lab picture against its drawing: its edges and the thinned lines within 2, 3 and 5 pixels, the contours of its figure and of the
+    drawing's ``shape`` within 3, the areas of both over each other, and edges inside the shape that are more than 3 from a line for
+    1,000 of its pixels. Scores are 0 where a side is empty."""
+    edges, thin, own = grids.edge_map(l, a, b, sigma), skeleton(lines), figure(l, a, b)
+    far = grids.gaps(edges), grids.gaps(thin)
+    out = {}
+    for tol in (2, 3, 5):
+        precision, recall, f1 = grids.scores(edges, thin, tol, far)
+        out |= {f"line_recall_t{tol}": recall, f"edge_prec_t{tol}": precision, f"edge_f1_t{tol}": f1}
+    out["contour_f"] = grids.scores(contour(own), contour(shape), 3)[2]
+    out["sil_iou"] = float((own & shape).sum() / max((own | shape).sum(), 1))
+    out["decoration_density"] = float(1000 * (edges & (far[1] > 9) & shape).sum() / max(shape.sum(), 1))
+    return out
+
+
+EVALUATION = ", ".join(f"{k} double" for t in (2, 3, 5) for k in (f"line_recall_t{t}", f"edge_prec_t{t}", f"edge_f1_t{t}")) + ", contour_f double, sil_iou double, decoration_density double"
+
+
+def of_colours(m: np.ndarray, palette: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A plan as a Lab picture."""
+    return tuple(palette[m].transpose(2, 0, 1))
+
+
+def variants(lab: tuple[np.ndarray, ...], m: np.ndarray, palette: np.ndarray, ground: int, share: float, bare: np.ndarray) -> dict[str, tuple[np.ndarray, ...]]:
+    """The Lab picture with parts of the projection left out: as it is, and on bare ground; the plans of :func:`ablated`."""
+    plans = ablated(m, ground, share, bare)
+    made = {"raw": lab, "ground only": tuple(np.where(bare, palette[ground][i], c) for i, c in enumerate(lab))}
+    return made | {k: of_colours(v, palette) for k, v in plans.items() if k != "ground only"}
+
+
+def protocol(lab: tuple[np.ndarray, ...], m: np.ndarray, palette: np.ndarray, ground: int, lines: np.ndarray, shape: np.ndarray, bare: np.ndarray, settings: list[tuple[str, float, bool]], mm2: float, sigma: float = 2.0) -> list[dict]:
+    """For each setting (name, share below which pieces are merged or 0 for none, whether on bare ground) the plan's sheets (of over a
+    thousandth of the picture), pieces, the smallest one where the picture has ``mm2``, how it keeps the lines and the figure, and
+    the mean difference from the picture."""
+    rows = []
+    for name, share, on_ground in settings:
+        cut = projected(m, ground, share, bare=bare if on_ground else None)[0] if share else m
+        p = raster.flood(cut)
+        label = np.zeros(p.max() + 1, np.int64)
+        label[p] = cut
+        area = np.bincount(p.ravel())[label != ground]
+        plan = of_colours(cut, palette)
+        precision, recall, f1 = grids.scores(grids.edge_map(*plan, sigma), skeleton(lines), 3)
+        own = figure(*plan)
+        rows.append({
+            "setting": name, "sheets": int(sum((cut == k).mean() > 1e-3 for k in np.unique(cut) if k != ground)), "pieces": len(area), "smallest_mm2": float(area.min() / m.size * mm2) if len(area) else None,
+            "edge_f1": f1, "recall": recall, "prec": precision, "sil_iou": float((own & shape).sum() / max((own | shape).sum(), 1)), "change_de": float(grids.delta_e(lab, plan).mean()),
+        })
+    return rows
+
+
+def cut_lines(m: np.ndarray, lab: tuple[np.ndarray, ...], ground: int, plans: dict[str, tuple[float, int]], mm: float, sigma: float = 2.0) -> dict:
+    """Boundaries of plans (share of merged pieces and radius of the vote for each), thinned, with their lengths at ``mm`` a pixel and pieces, and
+    the picture's thinned edges: their length, and the share of each more than 3 pixels from the first plan's boundaries and back."""
+    out, thin = {}, {}
+    for name, (share, smooth) in plans.items():
+        cut = projected(m, ground, share, smooth)[0]
+        edge = np.zeros(cut.shape, bool)
+        edge[:, :-1] |= cut[:, :-1] != cut[:, 1:]
+        edge[:-1] |= cut[:-1] != cut[1:]
+        thin[name] = skeleton(edge)
+        out |= {f"{name}_len_mm": float(thin[name].sum() * mm), f"{name}_pieces": len(np.unique(raster.flood(cut)[cut != ground]))}
+    edges, first = skeleton(grids.edge_map(*lab, sigma)), next(iter(thin.values()))
+    apart = lambda a, b: float((a & (grids.gaps(b) > 9)).sum() / max(a.sum(), 1))
+    return out | {"edge_len_mm": float(edges.sum() * mm), "edge_spurious": apart(edges, first), "cut_missed": apart(first, edges)}
+
+
+CUT_LINES = "dense_len_mm double, dense_pieces long, coarse_len_mm double, coarse_pieces long, edge_len_mm double, edge_spurious double, cut_missed double"
+PROTOCOL = "setting string, sheets long, pieces long, smallest_mm2 double, edge_f1 double, recall double, prec double, sil_iou double, change_de double"
+
+
+def delivered(cut: np.ndarray, colours: list[str], ground: int, least: int, r: int, thin: int, palette: np.ndarray, lines: np.ndarray, tolerance: float, sigma: float = 2.0) -> dict:
+    """:func:`plan_checks` of a plan as it is read back from its traced file, with the file's paths, those that aren't the outline of an area, the
+    share of pixels that it shows as planned, and the recall of the drawing's lines."""
+    text = tracing.svg(cut, colours, ground, tolerance)
+    shown = tracing.painted(text, colours, ground)
+    recall = grids.scores(grids.edge_map(*of_colours(cut, palette), sigma), skeleton(lines), 3)[1]
+    return plan_checks(shown, ground, least, r, thin) | tracing.checks(text) | {"agreement": float((shown == cut).mean()), "line_recall": recall}
+
+
+DELIVERED = "pieces long, below long, thin_pieces long, thin_share double, holes long, smallest long, paths long, invalid_paths long, agreement double, line_recall double"
 
 
 def ablated(m: np.ndarray, ground: int, share: float, bare: np.ndarray) -> dict[str, np.ndarray]:
@@ -293,3 +383,24 @@ def _fit(m: np.ndarray, ground: int, share: float) -> tuple[np.ndarray, ...]:
 def _rows(cut: np.ndarray, region: np.ndarray, inner: np.ndarray, islands: int) -> list[dict]:
     y, x = np.indices(cut.shape)
     return pd.DataFrame({"y": y.ravel(), "x": x.ravel(), "cut": cut.ravel(), "region": region.ravel(), "inner": inner.ravel(), "islands": islands}).to_dict("records")
+
+
+@F.udtf(returnType="alpha double, pieces long, change double")
+class swept:  # noqa: N801
+    """A row for each share: the pieces of the plan of a label map (``labels`` in reading order, ``width``; the ground is 0) whose pieces under this
+    share are merged, and the part of its pixels that changed. The voted map and its first labelling serve all shares."""
+
+    def eval(self, labels: list[int], width: int, shares: list[float]):
+        m = np.array(labels, np.int64).reshape(-1, width)
+        base = voted(m, 2)
+        area = raster.sized(base)
+        for share in sorted(shares):
+            least = max(1, int(share * m.size))
+            cut, small = base, area < least
+            for _ in range(3):
+                if not small.any() or small.all():
+                    break
+                cut = raster.nearest_kept(cut, small)
+                small = raster.sized(cut) < least
+            p = raster.flood(cut)
+            yield float(share), int(len(np.unique(p[cut != 0]))), float((cut != m).mean())

@@ -5,6 +5,7 @@ A picture is the unit of distribution: windows and neighbour joins are keyed by
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance, with_ciede2000
+from . import grids
+from .similarity import components
 
 PIXEL = ["img", "y", "x"]
 
@@ -52,6 +55,14 @@ def boundaries(labels: DataFrame) -> DataFrame:
     return labels.withColumns({"_r": n["right"], "_d": n["down"]}).select(*labels.columns, (differs(F.col("_r")) | differs(F.col("_d"))).alias("edge"))
 
 
+def labels_beside(labels: DataFrame) -> DataFrame:
+    """Add ``sides``: how many of the four neighbours of a pixel have another label."""
+    n = _neighbours()
+    made = labels.withColumns({f"_{k}": c for k, c in n.items()})
+    differs = [F.coalesce((F.col(f"_{k}") != F.col("label")).cast("int"), F.lit(0)) for k in n]
+    return made.select(*labels.columns, sum(differs[1:], differs[0]).alias("sides"))
+
+
 def adjacency(labels: DataFrame, of: str = "label") -> DataFrame:
     """(``img``, ``i``, ``j``, ``n``): pixel sides between values of ``of`` (labels, or regions), both directions."""
     labels = labels.select(*PIXEL, F.col(of).alias("label"))
@@ -101,13 +112,17 @@ def eroded(mask: DataFrame, r: int, height: int, width: int) -> DataFrame:
     return mask.select(*PIXEL).join(grown(inside.join(mask, PIXEL, "left_anti"), r), PIXEL, "left_anti")
 
 
-def tolerance_scores(found: DataFrame, wanted: DataFrame, r: int) -> DataFrame:
-    """(``img``, ``precision``, ``recall``): shares of ``found`` within ``r`` of ``wanted`` and the other way round."""
-    def share(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        near = a.join(grown(b, r).withColumn("_hit", F.lit(1)), PIXEL, "left")
-        return near.groupBy("img").agg((F.count("_hit") / F.count("*")).alias(name))
+def tolerance_scores(masks: DataFrame, radii: tuple[int, ...]) -> DataFrame:
+    """(``img``, ``tol``, ``precision``, ``recall``, ``f1``) of each picture of pixel rows with ``found`` and ``wanted``: shares of one within a radius
+    of the other, and F1; all 0 where one is empty. One distance transform a mask serves all radii."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        found, wanted = (_grid(g, c) > 0 for c in ("found", "wanted"))
+        far = grids.gaps(found), grids.gaps(wanted)
+        rows = [(tol, *grids.scores(found, wanted, tol, far)) for tol in radii]
+        return pd.DataFrame(rows, columns=["tol", "precision", "recall", "f1"]).assign(img=g["img"].iloc[0])[["img", "tol", "precision", "recall", "f1"]]
 
-    return share(found, wanted, "precision").join(share(wanted, found, "recall"), "img", "full")
+    rows = masks.select(*PIXEL, F.col("found").cast("int").alias("found"), F.col("wanted").cast("int").alias("wanted"))
+    return rows.groupBy("img").applyInPandas(run, f"img {dict(masks.dtypes)['img']}, tol int, precision double, recall double, f1 double")
 
 
 def iou(masks: DataFrame) -> DataFrame:
@@ -135,21 +150,7 @@ def _grid(g: pd.DataFrame, column: str = "label") -> np.ndarray:
 
 def flood(labels: np.ndarray) -> np.ndarray:
     """4-connected pieces of equal label, numbered from 0 in reading order of their first pixels."""
-    h, w = labels.shape
-    piece = np.arange(h * w).reshape(h, w)
-    right, down = labels[:, 1:] == labels[:, :-1], labels[1:] == labels[:-1]
-    while True:
-        new = piece.copy()
-        low = np.minimum(piece[:, 1:], piece[:, :-1])
-        for part, other in ((np.s_[:, 1:], right), (np.s_[:, :-1], right)):
-            new[part] = np.where(other, np.minimum(new[part], low), new[part])
-        low = np.minimum(new[1:], new[:-1])
-        for part in (np.s_[1:], np.s_[:-1]):
-            new[part] = np.where(down, np.minimum(new[part], low), new[part])
-        new = new.ravel()[new]
-        if (new == piece).all():
-            return np.unique(piece, return_inverse=True)[1].reshape(h, w)
-        piece = new
+    return grids.labelled(labels)
 
 
 def by_picture(labels: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], columns: str, pixels: bool = True) -> DataFrame:
@@ -171,19 +172,44 @@ def pieces(labels: DataFrame) -> DataFrame:
     return by_picture(labels, lambda m: {"label": m, "piece": flood(m)}, "label int, piece long")
 
 
+def tiled_pieces(labels: DataFrame, side: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pixel rows with ``label`` and ``piece``, the (``img``, ``y``, ``x``) of the first pixel of their 4-connected piece, of pictures of any size.
+
+    Squares of ``side`` pixels are labelled alone, and no task holds more than one; pieces that meet over the border of two squares
+    are joined as components of a graph, which ``cut`` materialises. Only border pixels and pieces of squares are in it.
+    """
+    square = {"ty": F.floor(F.col("y") / side).cast("int"), "tx": F.floor(F.col("x") / side).cast("int")}
+    rows = labels.select(*PIXEL, "label").withColumns(square)
+
+    def alone(g: pd.DataFrame) -> pd.DataFrame:
+        y, x = g["y"].min(), g["x"].min()
+        m = np.full((g["y"].max() - y + 1, g["x"].max() - x + 1), np.iinfo(np.int64).min)
+        m[g["y"] - y, g["x"] - x] = g["label"]
+        p = flood(m)
+        first = np.unique(p, return_index=True)[1]
+        own = first[p[g["y"] - y, g["x"] - x]]
+        return g.assign(py=y + own // m.shape[1], px=x + own % m.shape[1])
+
+    kinds = dict(labels.dtypes)
+    pixel = ", ".join(f"{c} {kinds[c]}" for c in (*PIXEL, "label"))
+    done = cut(rows.groupBy("img", "ty", "tx").applyInPandas(alone, f"{pixel}, ty int, tx int, py int, px int"))
+    node = F.struct("img", F.col("py").alias("y"), F.col("px").alias("x"))
+    meets = []
+    for along, across in (("x", "y"), ("y", "x")):
+        near = done.where(F.col(along) % side == side - 1).select("img", across, (F.col(along) + 1).alias(along), "label", node.alias("a"))
+        meets.append(near.join(done.where(F.col(along) % side == 0).select(*PIXEL, "label", node.alias("b")), [*PIXEL, "label"]).select("a", "b"))
+    pieces_ = components(meets[0].unionByName(meets[1]).distinct(), cut)
+    facts = done.select("img", "ty", "tx", "py", "px").distinct().withColumn("id", node).join(pieces_, "id", "left")
+    facts = facts.select("img", "ty", "tx", "py", "px", F.coalesce("comp", "id").alias("piece"))
+    return done.join(facts, ["img", "ty", "tx", "py", "px"]).select(*PIXEL, "label", "piece")
+
+
 def nearest_kept(m: np.ndarray, gone: np.ndarray) -> np.ndarray:
     """``m`` with each pixel that is ``gone`` given the value of the nearest other one (ties: first in reading order)."""
     if not gone.any() or gone.all():
         return m
-    ky, kx = np.nonzero(~gone)
-    sy, sx = np.nonzero(gone)
-    m = m.copy()
-    step = max(1, (1 << 22) // len(ky))  # rows of distances at once
-    for at in range(0, len(sy), step):
-        y, x = sy[at : at + step, None], sx[at : at + step, None]
-        best = ((y - ky) ** 2 + (x - kx) ** 2).argmin(axis=1)
-        m[sy[at : at + step], sx[at : at + step]] = m[ky[best], kx[best]]
-    return m
+    y, x = grids.nearest(~gone)
+    return m[y, x]
 
 
 def merge_small(m: np.ndarray, least: int, rounds: int = 3) -> np.ndarray:
@@ -218,30 +244,39 @@ def containment(m: np.ndarray, ground: int = 0, base: float = 0.25) -> dict[str,
 
     One region after another is laid: always the one with the largest share of its border on what lies already (ties: the
     lower number). With ``base`` of its border or more on the board, or none on anything, it lies on the board; else on the
-    laid region that it shares most border with (ties: the higher number). The picture's edge is no border.
+    laid region that it shares most border with (ties: the higher number). The picture's edge is no border. Regions wait in a heap, and
+    again whenever their share grows.
     """
     p = regions(m, ground)
     n = int(p.max()) + 1
-    border = np.zeros((n, n), np.int64)
+    sides = []
     for a, b in ((p[:, 1:], p[:, :-1]), (p[1:], p[:-1])):
         cut = a != b
-        np.add.at(border, (a[cut], b[cut]), 1)
-        np.add.at(border, (b[cut], a[cut]), 1)
+        sides += [a[cut] * n + b[cut], b[cut] * n + a[cut]]
+    pair, length = np.unique(np.concatenate(sides), return_counts=True)
+    border: list[dict[int, int]] = [{} for _ in range(n)]  # in proportion to the borders that there are
+    for a, b, k in zip((pair // n).tolist(), (pair % n).tolist(), length.tolist(), strict=True):
+        border[a][b] = k
     label = np.full(n, ground, np.int64)
     label[p] = m
-    total = border.sum(axis=1)
-    parent, depth, laid = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    laid[0] = True
-    touching = border[:, 0].astype(float)
-    for _ in range(n - 1):
-        share = np.where(laid, -1.0, np.where(total > 0, touching / np.maximum(total, 1), 2.0))
-        k = int(share.argmax())
-        if total[k] and touching[k] and border[k, 0] / total[k] < base:
-            on = np.where(laid, border[k], -1)
-            parent[k] = n - 1 - int(on[::-1].argmax())
+    total = [sum(x.values()) for x in border]
+    parent, depth, laid = np.zeros(n, np.int64), np.zeros(n, np.int64), [True] + [False] * (n - 1)
+    touching = [x.get(0, 0) for x in border]
+    share = lambda k: touching[k] / total[k] if total[k] else 2.0
+    heap = [(-share(k), k) for k in range(1, n)]
+    heapq.heapify(heap)
+    while heap:
+        s, k = heapq.heappop(heap)
+        if laid[k] or -s != share(k):  # laid meanwhile, or in the heap again with more
+            continue
+        if total[k] and touching[k] and border[k].get(0, 0) / total[k] < base:
+            parent[k] = max((size, j) for j, size in border[k].items() if laid[j])[1]
         depth[k] = depth[parent[k]] + 1
         laid[k] = True
-        touching += border[:, k]
+        for j, size in border[k].items():
+            if not laid[j]:
+                touching[j] += size
+                heapq.heappush(heap, (-share(j), j))
     lines = []
     for k in range(1, n):
         line = [k]
@@ -255,14 +290,44 @@ def containment(m: np.ndarray, ground: int = 0, base: float = 0.25) -> dict[str,
 TREE = "region long, label long, area long, parent long, depth long, ancestors array<long>"
 
 
+def outline(mask: np.ndarray) -> tuple[int, int]:
+    """Holes, and points of the outlines, of one connected mask, as :func:`outlines` counts them."""
+    f = np.pad(mask, 1).astype(np.int64)
+    n = np.bincount((f[:-1, :-1] + 2 * f[:-1, 1:] + 4 * f[1:, :-1] + 8 * f[1:, 1:]).ravel(), minlength=16)
+    one, three, opposite, beside = (int(n[list(k)].sum()) for k in ((1, 2, 4, 8), (7, 11, 13, 14), (6, 9), (3, 5, 10, 12)))
+    euler = (one - three + 2 * opposite) // 4
+    return 1 - euler, one + beside + three + 2 * opposite + 2 - euler
+
+
+def layered(m: np.ndarray, ground: int) -> dict[str, np.ndarray]:
+    """The :func:`containment` of a picture with, for each region, ``flat_cut`` and ``holes`` of itself, and ``whole`` (the area) and ``whole_cut`` of its shape
+    with all that lies on it. Shapes are cut out by their extent, children before parents."""
+    tree = containment(m, ground)
+    p, n = regions(m, ground), len(tree["region"]) + 1
+    y, x = np.indices(p.shape)
+    ends = [np.full(n, big) for big in (p.size, p.size, -1, -1)]
+    for end, f, v in ((0, np.minimum, y), (1, np.minimum, x), (2, np.maximum, y), (3, np.maximum, x)):
+        f.at(ends[end], p.ravel(), v.ravel())
+    on: list[list[int]] = [[k] for k in range(n)]
+    for k in sorted(range(1, n), key=lambda k: -tree["depth"][k - 1]):
+        if parent := tree["parent"][k - 1]:
+            on[parent] += on[k]
+    held, out = np.zeros(n, bool), {"flat_cut": [], "holes": [], "whole": [], "whole_cut": []}
+    for k in range(1, n):
+        cut = lambda ids: p[min(ends[0][ids]) : max(ends[2][ids]) + 1, min(ends[1][ids]) : max(ends[3][ids]) + 1]
+        holes, flat = outline(cut([k]) == k)
+        held[on[k]] = True
+        shape = held[cut(on[k])]
+        held[on[k]] = False
+        for name, v in zip(out, (flat, holes, int(shape.sum()), outline(shape)[1]), strict=True):
+            out[name].append(v)
+    return tree | {name: np.array(v, np.int64) for name, v in out.items()}
+
+
 def layer_statistics(labels: DataFrame, ground: int = 0, mm: float = 1.0) -> DataFrame:
     """The fifteen figures of each picture as cut paper in layers, ``mm`` to a pixel: a piece's shape is its region with all that
     lies on it. Pictures of bare ground have no row. ``medians`` are of the pieces' shapes."""
-    tree = by_picture(labels, lambda m: containment(m, ground), TREE, pixels=False)
-    flat = by_picture(labels, lambda m: {"region": regions(m, ground)}, "region long").where("region > 0")
-    shape = flat.join(tree.select("img", "region", "ancestors"), ["img", "region"]).select(*PIXEL, F.explode("ancestors").alias("region"))
-    rows = tree.join(outlines(flat, "region").select("img", "region", F.col("contour").alias("flat_cut"), "holes"), ["img", "region"])
-    rows = rows.join(outlines(shape, "region").select("img", "region", F.col("area").alias("whole"), F.col("contour").alias("whole_cut")), ["img", "region"])
+    rows = by_picture(labels, lambda m: layered(m, ground), TREE + ", flat_cut long, holes long, whole long, whole_cut long", pixels=False)
     at = lambda p: F.sum(p.cast("long"))
     d = F.col("depth")
     return rows.groupBy("img").agg(

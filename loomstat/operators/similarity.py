@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import dot, norm
 
-BLOCK = 1024
+#: Rows of a block that is shuffled, and of those whose products with another block are held at once.
+BLOCK, CHUNK = 8192, 1024
 #: Pivots that rows are dealt to at most: a square of them is on the driver.
 PIVOTS = 1024
 
@@ -28,7 +29,11 @@ def _blocks(left: DataFrame, right: DataFrame, run: Callable, schema: str) -> Da
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.select("id", "v", at(nl).alias("i"), each(nr).alias("j"), F.lit(0).alias("side"))
     right = right.select("id", "v", each(nl).alias("i"), at(nr).alias("j"), F.lit(1).alias("side"))
-    both = lambda g: run(g[g["side"] == 0], g[g["side"] == 1])
+
+    def both(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g[g["side"] == 0], g[g["side"] == 1]
+        return pd.concat([run(x[at : at + CHUNK], y) for at in range(0, max(len(x), 1), CHUNK)])
+
     return left.unionByName(right).groupBy("i", "j").applyInPandas(both, schema)
 
 
@@ -36,11 +41,18 @@ def _matrix(df: pd.DataFrame) -> np.ndarray:
     return np.array(df["v"].tolist(), np.float64).reshape(len(df), -1)
 
 
-def _directions(rows: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
-    """Pivots, up to ``PIVOTS`` of the ``n`` rows drawn by hash, as unit vectors; and the rows with the pivot ``c`` that is closest by angle,
-    the ``angle`` and their ``norm``. The draw bears on the work only, not on results."""
-    drawn = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // 256))).collect()]
-    p = np.array(drawn, np.float64).reshape(len(drawn), -1)
+#: Rows that principal directions are taken from, and directions that bound a dot product.
+DRAWN, PREFIX = 4096, 12
+
+
+def _directions(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Pivots, up to ``PIVOTS`` of the ``n`` rows drawn by hash, as unit vectors; the principal directions of up to ``DRAWN`` rows as columns, the
+    longest first; and the rows with the pivot ``c`` that is closest by angle, the ``angle``, their ``norm``, their parts in the first ``PREFIX``
+    directions and the length of the ``rest``. The draws bear on the work only, not on results."""
+    drawn = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(DRAWN).collect()], np.float64)
+    drawn = drawn.reshape(len(drawn), -1)
+    turn = np.linalg.eigh(drawn.T @ drawn)[1][:, ::-1]
+    p = drawn[: min(PIVOTS, -(-n // 256))]
     p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,9 +61,34 @@ def _directions(rows: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
             size = np.linalg.norm(m, axis=1)
             cos = (m / np.maximum(size, 1e-300)[:, None]) @ p.T
             c = cos.argmax(axis=1)
-            yield b.assign(c=c, angle=np.arccos(np.clip(cos[np.arange(len(c)), c], -1, 1)), norm=size)
+            turned = m @ turn
+            yield b.assign(c=c, angle=np.arccos(np.clip(cos[np.arange(len(c)), c], -1, 1)), norm=size, prefix=list(turned[:, :PREFIX]), rest=np.linalg.norm(turned[:, PREFIX:], axis=1))
+
+    return p, turn, rows.select("id", "v").mapInPandas(run, "id long, v array<double>, c int, angle double, norm double, prefix array<double>, rest double")
 
-    return p, rows.select("id", "v").mapInPandas(run, "id long, v array<double>, c int, angle double, norm double")
+
+def boxed_pairs(low: np.ndarray, high: np.ndarray, rest: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of cells i and j, whose parts in the first directions are from ``low`` to ``high`` and whose other parts are no longer than
+    ``rest``, can have a dot product over ``least``."""
+    bound = rest[:, None] * rest[None]
+    for lo, hi in zip(low.T, high.T, strict=True):
+        bound = bound + np.maximum(np.maximum(lo[:, None] * lo, lo[:, None] * hi), np.maximum(hi[:, None] * lo, hi[:, None] * hi))
+    return bound > least - 1e-9
+
+
+def close(x: np.ndarray, y: np.ndarray, turn: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and dot products over ``least`` of rows of ``x`` and ``y``: those whose parts in the first directions, and the lengths of the rest, allow it
+    are multiplied whole."""
+    one, two = x @ turn, y @ turn
+    bound = one[:, :PREFIX] @ two[:, :PREFIX].T + np.outer(np.linalg.norm(one[:, PREFIX:], axis=1), np.linalg.norm(two[:, PREFIX:], axis=1))
+    may = bound > least - 1e-9
+    if np.count_nonzero(may) * 20 > may.size:  # few pairs are left out: all products at once are faster
+        sim = x @ y.T
+        i, j = np.nonzero(sim > least)
+        return i, j, sim[i, j]
+    i, j = np.nonzero(may)
+    sim = np.einsum("ij,ij->i", x[i], y[j])
+    return i[sim > least], j[sim > least], sim[sim > least]
 
 
 def live_pairs(p: np.ndarray, angle: np.ndarray, norm: np.ndarray, least: float) -> np.ndarray:
@@ -64,19 +101,25 @@ def live_pairs(p: np.ndarray, angle: np.ndarray, norm: np.ndarray, least: float)
 def near_pairs(rows: DataFrame, least: float) -> DataFrame:
     """(``a``, ``b``, ``sim``) of all rows (``id``, ``v``) with a < b and dot product over ``least``.
 
-    Rows are dealt to the closest of a bounded number of pivots. Only pairs of pivots whose rows can be close enough are compared,
-    in blocks of about ``BLOCK`` rows, each pair of blocks once. Few are for a high ``least`` and rows in groups, all for a low one and
-    rows in all directions. Pivots, and three numbers for each, are on the driver; rows never are.
+    Rows are dealt to the closest of a bounded number of pivots. Only pairs of pivots whose rows can be close enough are compared, by angle
+    and by their extent in principal directions, in blocks of about ``BLOCK`` rows, each pair of blocks once; in these, pairs of rows that
+    the principal directions rule out aren't multiplied. Few are left for a high ``least`` and rows in groups, all for a low one and
+    rows in all directions. Pivots, directions and some numbers for each pivot are on the driver; rows never are but for the drawn ones.
     """
     n = rows.count()
     if not n:
         return rows.sparkSession.createDataFrame([], "a long, b long, sim double")
-    p, dealt = _directions(rows, n)
-    facts = dealt.groupBy("c").agg(F.count("*").alias("n"), F.max("angle").alias("angle"), F.max("norm").alias("norm")).collect()
-    blocks, angle, norms = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p))
+    p, turn, dealt = _directions(rows, n)
+    k = min(PREFIX, len(turn))
+    ends = [f(F.get("prefix", F.lit(i))).alias(f"{name}{i}") for i in range(k) for name, f in (("lo", F.min), ("hi", F.max))]
+    facts = dealt.groupBy("c").agg(F.count("*").alias("n"), F.max("angle").alias("angle"), F.max("norm").alias("norm"), F.max("rest").alias("rest"), *ends).collect()
+    blocks, angle, norms, rest = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p)), np.zeros(len(p))
+    low, high = np.zeros((len(p), k)), np.zeros((len(p), k))
     for f in facts:
-        blocks[f["c"]], angle[f["c"]], norms[f["c"]] = -(-f["n"] // BLOCK), f["angle"], f["norm"]
-    one, two = np.nonzero(np.triu(live_pairs(p, angle, norms, least)) & (blocks[:, None] > 0) & (blocks[None] > 0))
+        blocks[f["c"]], angle[f["c"]], norms[f["c"]], rest[f["c"]] = -(-f["n"] // BLOCK), f["angle"], f["norm"], f["rest"]
+        low[f["c"]], high[f["c"]] = ([f[f"{end}{i}"] for i in range(k)] for end in ("lo", "hi"))
+    live = live_pairs(p, angle, norms, least) & boxed_pairs(low, high, rest, least)
+    one, two = np.nonzero(np.triu(live) & (blocks[:, None] > 0) & (blocks[None] > 0))
     met = rows.sparkSession.createDataFrame(pd.DataFrame({"c1": one, "n1": blocks[one], "c2": two, "n2": blocks[two]}) if len(one) else [], "c1 int, n1 long, c2 int, n2 long")
     own, alike = lambda m: F.pmod(F.xxhash64("id"), F.col(m)), F.col("c1") == F.col("c2")
     left = dealt.join(F.broadcast(met), F.col("c") == F.col("c1")).withColumn("i", own("n1"))
@@ -91,10 +134,13 @@ def near_pairs(rows: DataFrame, least: float) -> DataFrame:
         y = x if same else g[g["side"] == 1]
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "sim": []})
-        sim = _matrix(x) @ _matrix(y).T
-        a, b = x["id"].to_numpy(), y["id"].to_numpy()
-        i, j = np.nonzero((sim > least) & ((a[:, None] < b[None]) | ((a[:, None] > b[None]) & (not same))))
-        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "sim": sim[i, j]})
+        one, two, a, b, out = _matrix(x), _matrix(y), x["id"].to_numpy(), y["id"].to_numpy(), []
+        for at in range(0, len(x), CHUNK):
+            i, j, sim = close(one[at : at + CHUNK], two, turn, least)
+            i = i + at
+            once = (a[i] < b[j]) | ((a[i] > b[j]) & (not same))
+            out.append(pd.DataFrame({"a": np.minimum(a[i], b[j])[once], "b": np.maximum(a[i], b[j])[once], "sim": sim[once]}))
+        return pd.concat(out)
 
     return left.unionByName(right).groupBy("c1", "i", "c2", "j").applyInPandas(run, "a long, b long, sim double")
 
@@ -117,6 +163,30 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = True)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def js_nearest(rows: DataFrame) -> DataFrame:
+    """(``query``, ``id``, ``js``): for each row (``id``, ``v``, shares that sum to 1) the other row with the least Jensen-Shannon distance; ties, to nine
+    places, by least id. In blocks, of which no task holds more than two."""
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query": [], "id": [], "js": []})
+        y = y.sort_values("id")
+        one, two, a, b = _matrix(x), _matrix(y), x["id"].to_numpy(), y["id"].to_numpy()
+        total = np.zeros((len(x), len(y)))
+        for p, q in zip(one.T, two.T, strict=True):
+            p, q = np.broadcast_arrays(p[:, None], q[None])
+            m = (p + q) / 2
+            for part in (p, q):
+                total += np.where(part > 0, part * np.log2(np.where(part > 0, part, 1) / np.where(m > 0, m, 1)), 0)
+        js = np.where(a[:, None] == b[None], np.inf, np.round(np.sqrt(np.maximum(total / 2, 0)), 9))
+        at = js.argmin(axis=1)
+        made = pd.DataFrame({"query": a, "id": b[at], "js": js[np.arange(len(a)), at]})
+        return made[np.isfinite(made["js"])]
+
+    found = _blocks(rows, rows, run, "query long, id long, js double")
+    best = found.groupBy("query").agg(F.min(F.struct("js", "id")).alias("b"))
+    return best.select("query", F.col("b.id").alias("id"), F.col("b.js").alias("js"))
+
+
 def near_or_alike(rows: DataFrame, least: float, most: int) -> DataFrame:
     """(``a``, ``b``, ``sim``, ``bits``) of all rows (``id``, ``v``, ``h``) with a < b and a dot product over ``least`` or at most ``most`` of 64 bits
     of ``h`` different. The hash rides along as the last place of ``v``, in two halves that doubles hold."""
@@ -137,6 +207,32 @@ def near_or_alike(rows: DataFrame, least: float, most: int) -> DataFrame:
     return _blocks(packed, packed, run, "a long, b long, sim double, bits long")
 
 
+def alike_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """(``a``, ``b``, ``bits``) of all rows (``id``, ``h``) with a < b and at most ``most`` of the 64 bits of ``h`` different.
+
+    The bits are cut into ``most`` + 1 bands, of which such a pair shares one: different hashes are joined by band and value, a value
+    with over ``BLOCK`` of them in as many parts as needed, and checked; a pair is told by the first band that it shares. Rows with one
+    hash meet at the end. With many bits for ``most`` bands are short and most pairs are looked at: :func:`near_or_alike` is for these.
+    """
+    ends = [64 * i // (most + 1) for i in range(most + 2)]
+    masks = [((1 << z) - 1) ^ ((1 << a) - 1) for a, z in zip(ends, ends[1:], strict=False)]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    band = lambda h: F.array(*[F.struct(F.lit(i).alias("band"), h.bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)])
+    each = rows.select("h").distinct().select("h", F.inline(band(F.col("h"))))
+    parts = each.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    each = each.join(parts, ["band", "value"])
+    left = each.select("band", "value", F.col("h").alias("h1"), F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"))
+    right = each.select("band", "value", F.col("h").alias("h2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    differ = F.col("h1").bitwiseXOR(F.col("h2"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(masks)])
+    met = left.join(right, ["band", "value", "part"]).where((F.col("h1") < F.col("h2")) & (F.bit_count(differ) <= most) & (first == F.col("band")))
+    met = met.select("h1", "h2", F.bit_count(differ).cast("long").alias("bits"))
+    one, two = rows.select(F.col("id").alias("i"), F.col("h").alias("h1")), rows.select(F.col("id").alias("j"), F.col("h").alias("h2"))
+    apart = met.join(one, "h1").join(two, "h2").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "bits")
+    equal = one.join(two, F.col("h1") == F.col("h2")).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).cast("long").alias("bits"))
+    return apart.unionByName(equal)
+
+
 @F.pandas_udf(T.LongType())
 def phash(grey: pd.Series) -> pd.Series:
     """The perceptual hash of a 32 by 32 grey picture, given as 1,024 numbers: which of the 8 by 8 lowest cosine coefficients are over

@@ -153,9 +153,8 @@ SELECT item, arg_min(other, (round(js, 9), other)) AS nearest, round(min(js), 6)
 def nn_jsd(spark, d):
     held = item_shares(spark, d).groupBy("item").pivot("k", TYPES).agg(F.first("share"))
     x = held.select("item", F.array(*[F.coalesce(F.col(k), F.lit(0.0)) for k in TYPES]).alias("p"))
-    both = x.join(x.select(F.col("item").alias("other"), F.col("p").alias("q")), F.col("item") != F.col("other"))
-    both = both.withColumn("js", similarity.js_distance(F.col("p"), F.col("q")))
-    return both.groupBy("item").agg(F.min(F.struct(F.round("js", 9).alias("j"), "other"))["other"].alias("nearest"), r(F.min("js")).alias("js"))
+    near = similarity.js_nearest(x.select(F.col("item").cast("long").alias("id"), F.col("p").alias("v")))
+    return near.select(F.col("query").alias("item"), F.col("id").alias("nearest"), r("js").alias("js"))
 
 
 @query(f"WITH {SH}, h AS (SELECT item, k FROM s WHERE share >= 0.18) SELECT a.k AS i, b.k AS j, round(count(*) / (SELECT count(DISTINCT item) FROM s), 6) AS share FROM h a JOIN h b ON a.item = b.item AND a.k < b.k GROUP BY ALL HAVING count(*) / (SELECT count(DISTINCT item) FROM s) >= 0.05")
@@ -172,6 +171,15 @@ def category_shares(spark, d):
 
 @query()
 def kmeans_palette(spark, d):
+    """The palette of all pictures' figures: eight mean Lab colours, the heaviest first, and their hex codes."""
+    px = lab(spark, d).where(raster.foreground(F.col("l"), F.col("a"), F.col("b"))).select(F.array("l", "a", "b").alias("lab"))
+    made = similarity.kmeans_centres(px, "lab", 8)
+    channels = S.lab_rgb(*[F.get("centre", F.lit(i)) for i in range(3)])
+    return made.withColumns({f"_{c}": x for c, x in zip("rgb", channels, strict=True)}).select("place", "centre", "weight", S.rgb_hex(F.col("_r"), F.col("_g"), F.col("_b")).alias("hex"))
+
+
+@query()
+def vector_centres(spark, d):
     return similarity.kmeans_centres(readers.table(spark, d, "embeddings").select("embedding"), "embedding", 8)
 
 
@@ -271,15 +279,15 @@ def near_sql(a: str, b: str, r2: int) -> str:
 
 
 def pr_sql(tol: int) -> str:
-    return f"""SELECT img, {tol} AS tol, precision, recall FROM (SELECT img, avg(({near_sql('f', 'w', tol * tol)})::INT) AS precision FROM f GROUP BY img)
-    FULL JOIN (SELECT img, avg(({near_sql('w', 'f', tol * tol)})::INT) AS recall FROM w GROUP BY img) USING (img)"""
+    """Both 0 where a mask is empty."""
+    return f"""SELECT i.img, {tol} AS tol, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall FROM (SELECT DISTINCT img FROM l) i
+    LEFT JOIN (SELECT img, avg(({near_sql('f', 'w', tol * tol)})::INT) AS precision FROM f GROUP BY img) p ON p.img = i.img LEFT JOIN (SELECT img, avg(({near_sql('w', 'f', tol * tol)})::INT) AS recall FROM w GROUP BY img) q ON q.img = i.img"""
 
 
 @query(f"WITH {MASK}, s AS ({pr_sql(2)} UNION ALL {pr_sql(3)} UNION ALL {pr_sql(5)}) SELECT img, tol, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM s")
 def tolerance_pr(spark, d):
-    found, wanted = masks(spark, d)
-    made = [raster.tolerance_scores(found, wanted, tol).withColumn("tol", F.lit(tol)) for tol in (2, 3, 5)]
-    return rounded(made[0].unionByName(made[1]).unionByName(made[2]).withColumn("f1", S.f1(F.col("precision"), F.col("recall"))), "precision", "recall", "f1")
+    px = grid(spark, d).withColumns({"found": F.col("h") % 11 == 0, "wanted": F.col("h") % 13 < 2})
+    return rounded(raster.tolerance_scores(px, (2, 3, 5)), "precision", "recall", "f1")
 
 
 @query(f"WITH {G} SELECT img, round(count(*) FILTER (label < 2 AND h % 3 > 0) / greatest(count(*) FILTER (label < 2 OR h % 3 > 0), 1), 6) AS iou FROM l GROUP BY img")
@@ -353,10 +361,14 @@ def otsu_threshold(spark, d):
     return raster.otsu(grid(spark, d).select("img", (F.col("h") % 32).alias("v")))
 
 
-@query(f"WITH {G}, n AS (SELECT img, label, count(*) AS n FROM l GROUP BY ALL) SELECT img, label, n, round(n / 576, 6) AS share FROM n WHERE n / 576 > 0.2")
+#: Lightness of the sheets; label 0 is the ground.
+LIGHT = {1: 50.0, 2: 60.0, 3: 40.0}
+
+
+@query(f"WITH {G}, n AS (SELECT img, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY img) AS figure, CASE label WHEN 1 THEN 50 WHEN 2 THEN 60 ELSE 40 END AS light FROM l WHERE label > 0 GROUP BY img, label) SELECT img, label, n, round(n / figure, 6) AS share, row_number() OVER (PARTITION BY img ORDER BY light, label) AS sheet FROM n WHERE n > 1e-3 * 576")
 def sheet_composition(spark, d):
-    n = grid(spark, d).groupBy("img", "label").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("img"))).where("share > 0.2").withColumn("share", r("share"))
+    px = grid(spark, d)
+    return rounded(agg.sheets(px.withColumn("light", F.create_map(*[F.lit(x) for p in LIGHT.items() for x in p])[F.col("label")]), 0, 1e-3), "share")
 
 
 # ---- selection, order, layout
@@ -495,14 +507,37 @@ def counted():
 
 @query(window_sql("6 hours"))
 def tumbling(spark, d):
-    return plain(runs.drain(runs.windowed(runs.stream(spark, d, "events", "ts"), "ts", "6 hours", None, ["event_type"], counted()), "complete"))
+    return plain(runs.closed(spark, d, "events", "ts", lambda e: runs.windowed(e, "ts", "6 hours", None, ["event_type"], counted())))
 
 
 @query("WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') - k * INTERVAL '1 day' AS start, event_type, value FROM events, range(2) t(k)) SELECT start, start + INTERVAL '2 days' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL")
 def sliding(spark, d):
-    return plain(runs.drain(runs.windowed(runs.stream(spark, d, "events", "ts"), "ts", "2 days", "1 day", ["event_type"], counted()), "complete"))
+    return plain(runs.closed(spark, d, "events", "ts", lambda e: runs.windowed(e, "ts", "2 days", "1 day", ["event_type"], counted())))
 
 
 @query("WITH s AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '4 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s) SELECT min(ts) AS start, max(ts) + INTERVAL '4 hours' AS \"end\", user_id, count(*) AS n, round(sum(value), 4) AS total FROM k GROUP BY user_id, k")
 def session(spark, d):
-    return plain(runs.drain(runs.sessions(runs.stream(spark, d, "events", "ts"), "ts", "4 hours", ["user_id"], counted()), "complete"))
+    return plain(runs.closed(spark, d, "events", "ts", lambda e: runs.sessions(e, "ts", "4 hours", ["user_id"], counted())))
+
+
+def halves(spark, d):
+    """The events as a log that comes in two parts."""
+    e = readers.table(spark, d, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    middle = e.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    early = F.unix_micros(F.col("ts").cast("timestamp")) < (middle or 0)
+    return [e.where(early), e.where(~early)]
+
+
+@query("SELECT user_id, event_type, round(sum(value), 6) AS dwell, round(arg_max(value, (ts, event_id)), 6) AS score, count(*) AS visits FROM events GROUP BY ALL")
+def dwell_stream(spark, d):
+    """As :func:`keyed_dwell`, from keyed state over two runs of a stream with a restart between."""
+    made = runs.stepwise(halves(spark, d), "ts", lambda e: runs.dwell_state(e, ["user_id", "event_type"], "value", "value", "ts", "event_id", 6 * 3600))
+    made = made.groupBy("user_id", "event_type").agg(F.sum("dwell").alias("dwell"), F.max_by("score", "until").alias("score"), F.sum("visits").alias("visits"))
+    return rounded(made, "dwell", "score")
+
+
+@query("WITH k AS (SELECT event_type, row_number() OVER w AS step, avg(value) OVER (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_type, step, round(mean, 6) AS mean FROM k WHERE step % 20 = 0")
+def log_reports(spark, d):
+    """The mean of the last 50 values at each 20th of a kind of event, as a stream over an appended log reports them."""
+    made = runs.stepwise(halves(spark, d), "ts", lambda e: runs.trailing_reports(e.where("event_type is not null"), "event_type", "value", "ts", "event_id", 20, 50))
+    return rounded(made, "mean")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import projection, raster
+from ..operators import agg, drawings, grids, projection, raster, tracing
+from ..sources import png, readers, sinks
+from ..streaming import runs
 from .core import hash_sql, r, rounded
 from .extended import LAB, MASK, PIECE, G, H, grid, lab, masks, near_sql, palette_sql
 
@@ -75,19 +80,13 @@ CROSS = "(VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx)"
 RIM = G + ", a AS (SELECT img, y, x FROM l WHERE label < 2), b AS (SELECT img, y, x FROM l WHERE h % 3 > 0), " + ", ".join(f"{n} AS (SELECT DISTINCT {m}.img, {m}.y, {m}.x FROM {m}, {CROSS} WHERE NOT EXISTS (SELECT 1 FROM {m} q WHERE q.img = {m}.img AND q.y = {m}.y + dy AND q.x = {m}.x + dx))" for n, m in (("f", "a"), ("w", "b")))
 
 
-def rim(mask: DataFrame) -> DataFrame:
-    """Pixels of the mask with a side outside of it."""
-    ways = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))])).alias("o")
-    seen = mask.select("img", "y", "x", ways).groupBy("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    seen = seen.agg(F.count("*").alias("n"), F.bool_or((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("own"))
-    return seen.where("own and n < 5").select("img", "y", "x")
-
-
-@query(f"WITH {RIM}, p AS (SELECT img, avg(({near_sql('f', 'w', 9)})::INT) AS precision FROM f GROUP BY img), q AS (SELECT img, avg(({near_sql('w', 'f', 9)})::INT) AS recall FROM w GROUP BY img) SELECT img, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS contour_f FROM p JOIN q USING (img)")
+@query(f"WITH {RIM}, p AS (SELECT img, avg(({near_sql('f', 'w', 9)})::INT) AS precision FROM f GROUP BY img), q AS (SELECT img, avg(({near_sql('w', 'f', 9)})::INT) AS recall FROM w GROUP BY img) SELECT i.img, round(CASE WHEN coalesce(precision + recall, 0) = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS contour_f FROM (SELECT DISTINCT img FROM l) i LEFT JOIN p ON p.img = i.img LEFT JOIN q ON q.img = i.img")
 def contour_f(spark, d):
-    g = grid(spark, d)
-    a, b = (rim(g.where(c).select("img", "y", "x")) for c in ("label < 2", "h % 3 > 0"))
-    return raster.tolerance_scores(a, b, 3).select("img", r(S.f1(F.col("precision"), F.col("recall"))).alias("contour_f"))
+    def run(a, b):
+        return {"contour_f": grids.scores(projection.contour(a > 0), projection.contour(b > 0), 3)[2]}
+
+    px = grid(spark, d).select("img", "y", "x", (F.col("label") < 2).cast("int").alias("a"), (F.col("h") % 3 > 0).cast("int").alias("b"))
+    return rounded(projection.pictures(px, ["a", "b"], run, "contour_f double"), "contour_f")
 
 
 @query(f"WITH {MASK}, c AS (SELECT img, CASE WHEN {near_sql('f', 'w', 4)} THEN 'shared' ELSE 'only_a' END AS class FROM f UNION ALL SELECT img, CASE WHEN {near_sql('w', 'f', 4)} THEN 'shared' ELSE 'only_b' END FROM w) SELECT img, class, count(*) AS n FROM c GROUP BY ALL")
@@ -143,17 +142,72 @@ def line_gaps(spark, d):
 
 @query()
 def line_fragments(spark, d):
-    """Lines thinned, cut at their junctions (three neighbours or more), and every fourth fragment by hash dropped."""
-    def run(m):
-        thin = projection.skeleton(m > 0)
-        n = sum(projection._shifted(thin, dy, dx, False).astype(int) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
-        apart = thin & (n < 3)
-        p = raster.flood(apart.astype(np.int64))
-        ids = np.unique(p[apart])
-        kept = ids[(ids * 2654435761 % 4294967296) >= 1 << 30]
-        return {"skeleton": int(thin.sum()), "fragments": len(ids), "kept": len(kept), "pixels": int(np.isin(p, kept).sum())}
+    """Lines thinned and cut at their junctions, a quarter of the fragments dropped by a seeded draw and gaps made, and what of the lines is near."""
+    def run(img, m):
+        left, n, kept = drawings.fragmented(m > 0, int(img[0, 0]), gaps=4, gap=2)
+        return {"lines": int((m > 0).sum()), "fragments": n, "kept": kept, "pixels": int(left.sum())}
+
+    px = grid(spark, d).withColumns({"m": (F.col("h") % 3 == 0).cast("int"), "seed": F.col("img")})
+    return projection.pictures(px, ["seed", "m"], run, "lines long, fragments long, kept long, pixels long")
+
+
+@query()
+def perturbed_drawings(spark, d):
+    """Drawings broken, thickened, thinned and displaced: their lines, and how many of the original's are within a pixel."""
+    def run(img, m):
+        out, ink = [], m > 0
+        for kind in drawings.KINDS:
+            made = drawings.perturbed(ink, kind, 1000 + int(img[0, 0]), gaps=5, gap=3, grow=1, amplitude=2, sigma=3, few=3)
+            out.append({"kind": kind, "pixels": int(made.sum()), "recall": grids.scores(made, ink, 1)[1]})
+        return out
+
+    px = drawn(spark, d).withColumn("seed", F.col("img"))
+    return rounded(projection.pictures(px, ["seed", "line"], run, "kind string, pixels long, recall double"), "recall")
+
+
+@query()
+def line_strokes(spark, d):
+    """Grey pictures as lines of one width, by Otsu's threshold."""
+    def run(g):
+        lines, t = drawings.strokes(g, 3, 4)
+        return {"threshold": t, "pixels": int(lines.sum())}
+
+    return projection.pictures(grid(spark, d).withColumn("g", (F.col("label") * 60 + F.col("h") % 40).cast("int")), ["g"], run, "threshold long, pixels long")
+
+
+@query(f"WITH {G} SELECT img, 24 AS height, 24 AS width, true AS equal, round(avg(h % 256) / 255e0, 6) AS red FROM l GROUP BY img")
+def png_round_trip(spark, d):
+    """Label maps written as PNG pictures (the first value is a hash, the second the label) and read again."""
+    def write(h, label):
+        return {"content": png.encode(np.stack([h, label, h // 2], axis=2))}
 
-    return projection.pictures(grid(spark, d).withColumn("m", (F.col("h") % 3 == 0).cast("int")), ["m"], run, "skeleton long, fragments long, kept long, pixels long")
+    px = grid(spark, d).withColumn("h", (F.col("h") % 256).cast("int"))
+    files = projection.pictures(px, ["h", "label"], write, "content binary").withColumn("path", F.col("img").cast("string"))
+    shown = readers.pictures(files).select(F.col("path").cast("int").alias("img"), "height", "width", F.posexplode("rgb").alias("i", "v"))
+    byte = F.round(F.col("v") * 255).cast("int")
+    shown = shown.withColumns({"y": F.expr("cast(i div (3 * width) as int)"), "x": F.expr("cast(i div 3 % width as int)"), "c": F.col("i") % 3, "byte": byte})
+    same = F.when(F.col("c") == 0, F.col("byte") == F.col("h")).when(F.col("c") == 1, F.col("byte") == F.col("label")).otherwise(F.col("byte") == F.expr("h div 2"))
+    made = shown.join(px, raster.PIXEL).groupBy("img").agg(F.max("height").alias("height"), F.max("width").alias("width"), F.bool_and(same).alias("equal"), F.avg(F.when(F.col("c") == 0, F.col("byte"))).alias("red"))
+    return made.withColumn("red", r(F.col("red") / 255.0))
+
+
+#: Shares of a picture under which pieces are merged.
+SWEPT = [5e-3, 1e-2, 2e-2, 3e-2, 5e-2, 8e-2, 0.12, 0.2]
+
+
+@query()
+def alpha_sweep(spark, d):
+    """Pieces and change of plans over eight shares, by a table function called on each picture's array: medians and quartiles by share."""
+    maps = sinks.maps(labels(spark, d)).select("img", "width", "labels")
+    spark.udtf.register("swept", projection.swept)
+    maps.createOrReplaceTempView("loomstat_maps")
+    rows = spark.sql("SELECT img, s.* FROM loomstat_maps, LATERAL swept(labels, width, array(" + ", ".join(f"{a}D" for a in SWEPT) + ")) s")
+    rows = runs.written(rows)
+    made = rows.groupBy("alpha").agg(F.count("*").alias("pictures"))
+    for c in ("pieces", "change"):
+        q = agg.quantiles(rows, ["alpha"], c, {f"{c}_q25": 0.25, f"{c}_median": 0.5, f"{c}_q75": 0.75}, runs.written)
+        made = made.join(rounded(q, f"{c}_q25", f"{c}_median", f"{c}_q75"), "alpha")
+    return made
 
 
 @query(f"WITH {LAB}, s AS (SELECT p.img, p.y, p.x, avg(q.l) AS l, avg(q.a) AS a, avg(q.b) AS b FROM c p JOIN c q ON q.img = p.img AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL) SELECT c.img, round(avg(sqrt((s.l - c.l) ** 2 + (s.a - c.a) ** 2 + (s.b - c.b) ** 2)), 6) AS blurred, round(avg(abs(c.l * (c.x / 23e0) - c.l)), 6) AS shaded FROM c JOIN s USING (img, y, x) GROUP BY c.img")
@@ -174,47 +228,90 @@ def craft_figures(spark, d):
     return rounded(projection.craft(lab(spark, d), PALETTE, ALPHA), "fg_frac", "palette_de", "flatness", "interior_de", "cut_residual", "chroma", "conformance", "purity")
 
 
+#: Paper colours of the labels of made pictures: the ground, and three sheets.
+PAPER = np.array([(95.0, 0.0, 2.0), (50.0, 60.0, 40.0), (60.0, -40.0, 30.0), (40.0, 20.0, -50.0)])
+HEX = ["#ffffff", "#d83a2e", "#6aa84f", "#27408b"]
+SHOWN = ["label", "l", "a", "b", "line"]
+
+
+def drawn(spark, d):
+    """Pictures in the colours of their labels, off by up to 5 by hash, with the drawing that they follow: a third of the labels' boundaries."""
+    px = raster.boundaries(grid(spark, d).drop("h"))
+    off = lambda i: F.pmod(S.mixed_int(F.col("img"), F.col("y"), F.col("x") + 24 * i), F.lit(101)) / 10.0 - 5
+    tint = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in PAPER])
+    line = F.col("edge") & (S.mixed_int(F.col("img"), F.expr("y div 4"), F.col("x")) % 3 == 0)
+    return px.select("img", "y", "x", "label", *[(F.get(F.get(tint, F.col("label")), F.lit(i)) + off(i)).alias(c) for i, c in enumerate("lab")], line.cast("int").alias("line"))
+
+
+@query()
+def drawing_evaluation(spark, d):
+    """Pictures and their plans against the drawing."""
+    def run(m, *shown):
+        lab, lines = shown[:3], shown[3] > 0
+        shape = projection.silhouette(lines, 2)
+        plan = projection.of_colours(projection.projected(m, 0, ALPHA, bare=projection.bare_ground(lines, 2, 2))[0], PAPER)
+        return [{"picture": n} | projection.evaluation(*x, lines, shape, 1.0) for n, x in (("raw", lab), ("plan", plan))]
+
+    made = projection.pictures(drawn(spark, d), SHOWN, run, "picture string, " + projection.EVALUATION)
+    return rounded(made, *[c for c, t in made.dtypes if t == "double"])
+
+
+@query()
+def edge_maps(spark, d):
+    """Edge pixels of each picture."""
+    def run(l, a, b):  # noqa: E741
+        y, x = np.nonzero(grids.edge_map(l, a, b, 1.0))
+        return pd.DataFrame({"y": y, "x": x}).to_dict("records")
+
+    return projection.pictures(drawn(spark, d), ["l", "a", "b"], run, "y int, x int")
+
+
 @query()
 def plan_protocol(spark, d):
-    """Sheets, pieces and the smallest piece of each picture under six settings of filter and ground."""
+    """Plans of each picture under six settings of filter and ground, by the published nine figures."""
     settings = [("unfiltered", 0.0, False), ("alpha=5e-3", 5e-3, True), ("alpha=2e-2", 2e-2, True), ("alpha=5e-2", 5e-2, True), ("alpha=0.1", 0.1, True), ("alpha=2e-2, no ground", 2e-2, False)]
 
-    def run(m, bare):
-        rows = []
-        for name, share, ground in settings:
-            cut = m if share == 0 else projection.projected(m, 0, share, bare=bare.astype(bool) if ground else None)[0]
-            p = raster.flood(cut)
-            label = np.zeros(p.max() + 1, np.int64)
-            label[p] = cut
-            area = np.bincount(p.ravel())[label != 0]
-            sheets = sum((cut == k).mean() > 1e-3 for k in np.unique(cut) if k)
-            rows.append({"setting": name, "sheets": int(sheets), "pieces": len(area), "smallest_mm2": float(area.min() * 0.25) if len(area) else None, "changed": float((cut != m).mean())})
-        return rows
+    def run(m, *shown):
+        lines = shown[3] > 0
+        return projection.protocol(shown[:3], m, PAPER, 0, lines, projection.silhouette(lines, 2), projection.bare_ground(lines, 2, 2), settings, 40_000.0, 1.0)
 
-    px = labels(spark, d).withColumn("bare", (F.col("y") < 2).cast("int"))
-    return projection.pictures(px, ["label", "bare"], run, "setting string, sheets long, pieces long, smallest_mm2 double, changed double")
+    made = projection.pictures(drawn(spark, d), SHOWN, run, projection.PROTOCOL)
+    return rounded(made, *[c for c, t in made.dtypes if t == "double"])
 
 
 @query()
 def plan_validation(spark, d):
-    """Projected plans with the hard constraints, and without, as a cutter sees them."""
+    """Projected plans with the hard constraints, and without, as a cutter sees them in their traced files; only the latter are simplified."""
+    def run(m, *shown):
+        bare = projection.bare_ground(shown[3] > 0, 2, 2)
+        plans = {"plain": (projection.projected(m, 0, ALPHA, bare=bare)[0], 1.0), "enforced": (projection.projected(m, 0, 1.1 * ALPHA, bare=bare, width=3)[0], 0.0)}
+        return [{"plan": name} | projection.delivered(cut, HEX, 0, 20, 1, 4, PAPER, shown[3] > 0, tolerance, 1.0) for name, (cut, tolerance) in plans.items()]
+
+    return rounded(projection.pictures(drawn(spark, d), SHOWN, run, "plan string, " + projection.DELIVERED), "thin_share", "agreement", "line_recall")
+
+
+@query()
+def traced_plans(spark, d):
+    """Each label map as a traced file with a backing sheet, by its digest, and the share of pixels that it shows when it is read again."""
     def run(m):
-        plans = {"plain": projection.projected(m, 0, ALPHA)[0], "enforced": projection.projected(m, 0, 1.1 * ALPHA, width=3)[0]}
-        return [{"plan": name} | projection.plan_checks(cut, 0, 20, 1, 4) for name, cut in plans.items()]
+        text = tracing.svg(m, HEX, 0, 0.0, backing=2)
+        return {"digest": hashlib.sha256(text.encode()).hexdigest(), "rings": tracing.checks(text)["paths"], "agreement": float((tracing.painted(text, HEX, 0) == m).mean())}
 
-    return projection.pictures(labels(spark, d), ["label"], run, "plan string, pieces long, below long, thin_pieces long, thin_share double, holes long, smallest long")
+    return projection.pictures(labels(spark, d), ["label"], run, "digest string, rings long, agreement double")
 
 
 @query()
 def projection_ablation(spark, d):
-    """How well boundaries keep the drawing's lines when parts of the projection are left out."""
-    def run(m, bare, lines):
-        plans = projection.ablated(m, 0, ALPHA, bare.astype(bool))
-        return [{"variant": name} | projection.structure(cut, lines.astype(bool), 3) for name, cut in plans.items()]
+    """How the drawing's lines and the figure fare when parts of the projection are left out."""
+    def run(m, *shown):
+        lines = shown[3] > 0
+        shape = projection.silhouette(lines, 2)
+        made = projection.variants(shown[:3], m, PAPER, 0, ALPHA, projection.bare_ground(lines, 2, 2))
+        return [{"variant": name} | projection.evaluation(*x, lines, shape, 1.0) for name, x in made.items()]
 
-    px = grid(spark, d).select("img", "y", "x", "label", (F.col("y") < 2).cast("int").alias("bare"), (F.col("h") % 13 < 2).cast("int").alias("line"))
-    made = projection.pictures(px, ["label", "bare", "line"], run, "variant string, recall double, precision double, f1 double")
-    return rounded(made.groupBy("variant").agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "f1")]), "recall", "precision", "f1")
+    figures = ("line_recall_t3", "edge_prec_t3", "edge_f1_t3", "contour_f", "sil_iou")
+    made = projection.pictures(drawn(spark, d), SHOWN, run, "variant string, " + projection.EVALUATION)
+    return rounded(made.groupBy("variant").agg(*[F.avg(c).alias(c) for c in figures]), *figures)
 
 
 @query()
@@ -228,18 +325,52 @@ def perturbation_check(spark, d):
 
 @query()
 def cutline_maps(spark, d):
-    """Boundary pixels of a dense and of a coarse projection, and pieces of each."""
+    """A dense and a coarse plan's boundaries and the picture's edges, thinned: lengths at half a millimetre a pixel, pieces of the plans,
+    the share of edges more than 3 pixels from a dense boundary and of dense boundaries as far from an edge."""
+    def run(m, l, a, b):  # noqa: E741
+        return projection.cut_lines(m, (l, a, b), 0, {"dense": (5e-3, 1), "coarse": (5e-2, 2)}, 0.5, 1.0)
+
+    made = projection.pictures(drawn(spark, d), ["label", "l", "a", "b"], run, projection.CUT_LINES)
+    return rounded(made, *[c for c, t in made.dtypes if t == "double"])
+
+
+#: Made pictures side by side: up to 25 by 25 of them, 600 pixels wide, so that their number grows with the table.
+ACROSS = 25
+
+
+def large(spark, d):
+    px = labels(spark, d)
+    key = F.col("img")
+    place = key % (ACROSS * ACROSS)
+    return px.select(F.floor(key / (ACROSS * ACROSS)).cast("int").alias("img"), (F.floor(place / ACROSS).cast("int") * H + F.col("y")).alias("y"), (place % ACROSS * H + F.col("x")).alias("x"), "label")
+
+
+@query()
+def large_projection(spark, d):
+    """Plans of large pictures with the published share, and with the hard constraints."""
     def run(m):
-        out = {}
-        for name, share, smooth in (("dense", 5e-3, 1), ("coarse", 5e-2, 2)):
-            cut = projection.projected(m, 0, share, smooth)[0]
-            edge = np.zeros(cut.shape, bool)
-            edge[:, :-1] |= cut[:, :-1] != cut[:, 1:]
-            edge[:-1] |= cut[:-1] != cut[1:]
-            out |= {f"{name}_px": int(edge.sum()), f"{name}_pieces": len(np.unique(raster.flood(cut)[cut != 0]))}
+        out = []
+        for plan, width in (("plain", 0), ("enforced", 4)):
+            cut, first, merged = projection.projected(m, 0, 2e-4, width=width)
+            out.append({"plan": plan, "pixels": m.size, "islands_first": first, "islands_merged": merged, "pieces": int(raster.flood(cut).max()) + 1, "changed": float((cut != m).mean())})
         return out
 
-    return projection.pictures(labels(spark, d), ["label"], run, "dense_px long, dense_pieces long, coarse_px long, coarse_pieces long")
+    return rounded(projection.pictures(large(spark, d), ["label"], run, "plan string, pixels long, islands_first long, islands_merged long, pieces long, changed double"), "changed")
+
+
+SHEET = f"g AS (SELECT s_suppkey AS k, (id // {H})::INT AS v, (id % {H})::INT AS u FROM supplier, range({H * H}) t(id)), l AS (SELECT (k // {ACROSS * ACROSS})::INT AS img, (k % {ACROSS * ACROSS} // {ACROSS} * {H} + v)::INT AS y, (k % {ACROSS} * {H} + u)::INT AS x, ({hash_sql('k', 'v // 4', 'u // 3')}) % 4 AS label FROM g)"
+BESIDE = "(VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx)"
+
+
+@query(f"""WITH RECURSIVE {SHEET}, s AS (SELECT l.img, l.y * 1000 + l.x AS p, c.y * 1000 + c.x AS q FROM l, {BESIDE} JOIN l c ON c.img = l.img AND c.y = l.y + dy AND c.x = l.x + dx AND c.label = l.label),
+w AS (SELECT img, y * 1000 + x AS p, y * 1000 + x AS q FROM l UNION SELECT w.img, w.p, s.q FROM w JOIN s ON w.img = s.img AND w.q = s.p), o AS (SELECT img, p, min(q) AS root FROM w GROUP BY ALL),
+n AS (SELECT l.img, l.y * 1000 + l.x AS p, count(*) AS sides FROM l, {BESIDE} JOIN l c ON c.img = l.img AND c.y = l.y + dy AND c.x = l.x + dx AND c.label <> l.label GROUP BY ALL)
+SELECT o.img, (root // 1000)::INT AS y, (root % 1000)::INT AS x, any_value(label) AS label, count(*) AS area, coalesce(sum(sides), 0)::BIGINT AS border FROM o JOIN l ON l.img = o.img AND p = l.y * 1000 + l.x LEFT JOIN n ON n.img = o.img AND n.p = o.p GROUP BY o.img, root""")
+def tiled_pieces(spark, d):
+    """The pieces of large pictures, labelled in squares of 64 pixels: their first pixels, areas and sides towards others."""
+    px = raster.tiled_pieces(large(spark, d), 64, runs.written)
+    near = raster.labels_beside(px)
+    return near.groupBy("piece").agg(F.max("label").alias("label"), F.count("*").alias("area"), F.sum("sides").cast("long").alias("border")).select("piece.*", "label", "area", "border")
 
 
 assert H == 24, "the SQL of these queries states pictures of 24 by 24"

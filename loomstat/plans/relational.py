@@ -183,6 +183,12 @@ def hash_pairs(spark, d):
     return similarity.near_or_alike(v.withColumn("h", S.bits_over_median(F.col("v"))), 2.0, 20).select("a", "b", "bits")
 
 
+@query(f"WITH {BITS} SELECT a, b, bits::BIGINT AS bits FROM p WHERE bits <= 8")
+def alike_hashes(spark, d):
+    v = vectors(spark, d).select("id", "v")
+    return similarity.alike_pairs(v.select("id", S.bits_over_median(F.col("v")).alias("h")), 8)
+
+
 GREY = f"g AS (SELECT s_suppkey::INT AS img, id // 32 AS y, id % 32 AS x FROM supplier, range(1024) t(id)), l AS (SELECT img, y, x, ({hash_sql('img', 'y', 'x')}) % 256 AS g FROM g)"
 
 
@@ -231,13 +237,35 @@ def palette_sweep(spark, d):
     train, rest = v.where("vec_id % 5 < 4"), v.where("vec_id % 5 = 4")
     rows = None
     for k in (8, 12, 16, 24):
-        c = similarity.kmeans_centres(train, "v", k, starts=2).agg(F.collect_list("centre").alias("c"), F.min("weight").alias("w"))
+        c = similarity.kmeans_centres(train, "v", k).agg(F.collect_list("centre").alias("c"), F.min("weight").alias("w"))
         far = F.array_min(F.transform("c", lambda x: S.distance(F.col("v"), x)))
         one = rest.crossJoin(F.broadcast(c)).agg(F.lit(k).alias("k"), r(F.avg(far)).alias("distance"), r(F.max("w")).alias("smallest_weight"))  # one row of k centres
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
+@query("SELECT '{\"event_type\":\"' || event_type || '\",\"n\":' || count(*) || ',\"users\":' || count(DISTINCT user_id) || '}' AS json FROM events GROUP BY event_type")
+def summary_documents(spark, d):
+    """A JSON document for each kind of event."""
+    return sinks.document(t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")))
+
+
+@query("SELECT c AS \"column\", n, n > 0 AS present FROM (SELECT count(p_partkey) AS p_partkey, count(p_size) AS p_size, 0::BIGINT AS never FROM part) UNPIVOT (n FOR c IN (p_partkey, p_size, never))")
+def column_presence(spark, d):
+    """Which columns of a table hold a value at all; what rests on the others is left out of a report."""
+    return agg.presence(t(spark, d, "part").select("p_partkey", "p_size", F.lit(None).cast("double").alias("never")))
+
+
+@query(f"WITH {PIECE}, t AS (SELECT img, piece, max(label) AS label, count(*) AS area, round(avg(x) * 0.5, 6) AS cx_mm, round(avg(y) * 0.5, 6) AS cy_mm FROM k GROUP BY img, piece) SELECT img, row_number() OVER (PARTITION BY img ORDER BY label, cy_mm, cx_mm, piece) AS number, label, area * 0.25 AS area_mm2, cx_mm, cy_mm FROM t")
+def pieces_file(spark, d):
+    """The cutting list of each picture, written as a file and read by its header."""
+    p = raster.pieces(grid(spark, d).drop("h")).groupBy("img", "piece").agg(F.max("label").alias("label"), (F.count("*") * 0.25).alias("area_mm2"), r(F.avg("x") * 0.5).alias("cx_mm"), r(F.avg("y") * 0.5).alias("cy_mm"))
+    p = p.withColumn("number", F.row_number().over(Window.partitionBy("img").orderBy("label", "cy_mm", "cx_mm", "piece")))
+    path = runs.scratch(spark)
+    sinks.csv(p.select("img", "number", "label", "area_mm2", "cx_mm", "cy_mm"), path)
+    return readers.csv(spark, path, "img int, number int, label int, area_mm2 double, cx_mm double, cy_mm double")
+
+
 # ---- series, sets, orders
 STEPS = "e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, count(*) OVER (PARTITION BY user_id) AS n, value FROM events)"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import key_parts
+from . import png
 
 METRICS = "file string, content string, `set` string, style int, seed int, fg_frac double, purity double, palette_de double, flatness double, interior_de double, cut_residual double, fragments int, chroma double, edge_p double, edge_r double, edge_f1 double, sil_iou double, clip_style double, clip_text double, dino_styleref double, dino_gt double, clip_gt double, palette_js double"
 LAYERED = "pieces int, layers int, base_pieces int, depth2 int, depth3 int, depth4plus int, decoration_share double, colours int, base_colours int, base_area_share double, largest_piece_mm2 double, median_piece_mm2 double, cut_length_flat_mm double, cut_length_layered_mm double, holes_flat int, file string, content string"
@@ -129,3 +131,23 @@ def svg_pixels(pictures: DataFrame) -> DataFrame:
     box = path.select("img", F.regexp_extract("p", 'fill="([^"]*)"', 1).alias("fill"), F.explode(F.regexp_extract_all("p", F.lit(r"M\d+ \d+h\d+v1h-\d+z"), F.lit(0))).alias("b"))
     x, y, n = (F.regexp_extract("b", r"M(\d+) (\d+)h(\d+)", i).cast("int") for i in (1, 2, 3))
     return box.select("img", "fill", y.alias("y"), F.explode(F.sequence(x, x + n - 1)).alias("x")).select("img", "y", "x", "fill")
+
+
+def pictures(found: DataFrame, size: int | None = None) -> DataFrame:
+    """(``path``, ``height``, ``width``, ``rgb``) of ``.png`` files (``path``, ``content``): values from 0 to 1 in reading order, red, green and blue, on
+    white; with a ``size`` in the middle of a square of so many pixels. All null but the path where a file can't be read."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    rgb = png.on_white(png.decode(bytes(content)))
+                    if size is not None:
+                        rgb = png.resized(png.squared(rgb), size)
+                    out.append((path, *rgb.shape[:2], rgb.ravel().astype(np.float32)))
+                except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error):
+                    out.append((path, None, None, None))
+            made = pd.DataFrame(out, columns=["path", "height", "width", "rgb"])
+            yield made.astype({"height": "Int32", "width": "Int32"})
+
+    return found.select("path", "content").mapInPandas(run, "path string, height int, width int, rgb array<float>")

@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+
+#: Folders that :func:`scratch` has named in this process.
+_NAMED: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; where the session names none, as in tests, in the warehouse, which is shared too."""
+    """A new folder in the one that the cluster shares, ``spark.checkpoint.dir``. Only a session on one machine may leave that out; the folder is
+    then in its warehouse. :func:`sweep` deletes them."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
+    _NAMED.append(f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the folders of results that are no longer read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _NAMED:
+        path = jvm.org.apache.hadoop.fs.Path(_NAMED.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -51,6 +72,38 @@ def watch(df: DataFrame, out: str, state: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def last_row(spark: SparkSession, schema: StructType, time: str) -> DataFrame:
+    """A row far in the future (pandas holds no time after 2262), null but for its time: it moves the watermark past all others, and never closes itself."""
+    return spark.range(1).select(*[(F.lit("2250-01-01 00:00:00") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def closed(spark: SparkSession, folder: str, name: str, time: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` appends for a table as a stream of files with a watermark, to the end: state goes as the watermark passes it, each result is
+    written once, and a last row, in a run that resumes the first, closes what is open."""
+    path, schema = scratch(spark), spark.read.parquet(f"{folder}/{name}.parquet").schema
+    end = last_row(spark, schema, time)
+    end.limit(0).write.parquet(f"{path}/last")
+
+    def run() -> DataFrame:
+        ends = spark.readStream.schema(schema).parquet(f"{path}/last").withColumn(time, F.col(time).cast("timestamp"))
+        return watch(make(stream(spark, folder, name, time).unionByName(ends)), f"{path}/out", f"{path}/state")
+
+    run()
+    end.write.mode("append").parquet(f"{path}/last")
+    return run()
+
+
+def stepwise(parts: list[DataFrame], time: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` appends for a log that grows by ``parts``, with a restart after each, and is closed by a last row."""
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    path = scratch(spark)
+    for part in [*parts, last_row(spark, schema, time)]:
+        part.write.mode("append").parquet(f"{path}/log")
+        log = spark.readStream.schema(schema).parquet(f"{path}/log").withColumn(time, F.col(time).cast("timestamp"))
+        made = watch(make(log), f"{path}/out", f"{path}/state")
+    return made
+
+
 def missing(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is still to do of a batch: the wanted rows whose key isn't among the done ones."""
     return wanted.join(done.select(key).distinct(), key, "left_anti")
@@ -90,3 +143,49 @@ def sessions(events: DataFrame, time: str, gap: str, by: list[str], aggs: list,
 def dwell(visits: DataFrame, keys: list[str], seconds: str, score: str, time: str, tie: str) -> DataFrame:
     """By key: seconds summed over visits, the latest score, and the number of visits. Works on batches and on streams."""
     return visits.groupBy(*keys).agg(F.sum(seconds).alias("dwell"), F.max(F.struct(F.col(time), F.col(tie), F.col(score)))[score].alias("score"), F.count("*").alias("visits"))
+
+
+def dwell_state(visits: DataFrame, keys: list[str], seconds: str, score: str, time: str, tie: str, idle: int, late: str = "1 hour") -> DataFrame:
+    """As :func:`dwell`, on a stream with keyed state: a row for each period of a key's visits without a gap of over ``idle`` seconds, with ``until``,
+    its last visit. State goes when its timer ends."""
+    kinds = dict(visits.dtypes)
+    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", dwell double, score double, visits long, until long"
+
+    def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            total, at, _, last, n = state.get
+            state.remove()
+            yield pd.DataFrame([(*key, total, last, n, at)], columns=[*keys, "dwell", "score", "visits", "until"])
+            return
+        total, at, number, last, n = state.get if state.exists else (0.0, -(1 << 62), -(1 << 62), None, 0)
+        for f in frames:
+            f = f.sort_values(["_at", tie], na_position="first")
+            total, n, top = total + float(f[seconds].sum()), n + len(f), f.iloc[-1]
+            place = int(top["_at"]), -(1 << 62) if pd.isna(top[tie]) else int(top[tie])
+            if place >= (at, number):
+                (at, number), last = place, None if pd.isna(top[score]) else float(top[score])
+        state.update((total, at, number, last, n))
+        state.setTimeoutTimestamp(max(at // 1000 + 1000 * idle, state.getCurrentWatermarkMs() + 1))
+
+    rows = visits.withWatermark(time, late).withColumn("_at", F.unix_micros(time))
+    made = rows.groupBy(*keys).applyInPandasWithState(each, out, "total double, at long, number long, last double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return made.withColumn("until", F.timestamp_micros("until"))
+
+
+def trailing_reports(log: DataFrame, run: str, value: str, time: str, tie: str, every: int, over: int) -> DataFrame:
+    """(``run``, ``step``, ``mean``): at each ``every``-th row of a run, in the order of ``time`` and ``tie``, the mean of its last ``over`` values, on a
+    stream whose state is these values and the number of rows. Rows must not come before ones that an earlier batch has held."""
+    def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, held = state.get if state.exists else (0, [])
+        rows = pd.concat(list(frames)).sort_values([time, tie])
+        values, out = [*held, *rows[value].astype(float)], []
+        for i in range(len(held), len(values)):
+            n += 1
+            if n % every == 0:
+                last = values[max(i + 1 - over, 0) : i + 1]
+                out.append((*key, n, sum(last) / len(last)))
+        state.update((n, values[-over:]))
+        if out:
+            yield pd.DataFrame(out, columns=[run, "step", "mean"])
+
+    return log.groupBy(run).applyInPandasWithState(each, f"{run} {dict(log.dtypes)[run]}, step long, mean double", "n long, held array<double>", "append", GroupStateTimeout.NoTimeout)

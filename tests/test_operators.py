@@ -67,9 +67,11 @@ def test_two_stage_mean_and_blank_rule(spark):
     assert df.agg(agg.covered(F.col("x"), 0.9)).collect()[0][0] is None
 
 
-@pytest.mark.parametrize("groups", [10_000, 0])
-def test_quantiles_brute(spark, monkeypatch, groups):
+@pytest.mark.parametrize(("groups", "counted"), [(10_000, 200_000), (10_000, 40), (0, 0)])
+def test_quantiles_brute(spark, monkeypatch, groups, counted):
+    """All groups counted, those with few values only, and none."""
     monkeypatch.setattr(agg, "BROADCAST_GROUPS", groups)
+    monkeypatch.setattr(agg, "COUNTED", counted)
     draw = np.random.default_rng(5)
     held = {"one": [3.0], "tied": [2.0] * 50, "hot": list(np.round(draw.exponential(100.0, 3000), 1)), "two": [1.0, -4.0], "none": [None]}
     rows = [(g, None if v is None else float(v)) for g, vs in held.items() for v in vs] + [(None, 1.0), ("hot", None)]

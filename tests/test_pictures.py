@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstat.functions import scalars as S
-from loomstat.operators import inference, projection, raster, similarity
+from loomstat.operators import inference, projection, raster, similarity, tracing
 from loomstat.sources import readers, sinks
 from loomstat.streaming import runs
 
@@ -38,6 +38,41 @@ def comps(cells, ways):
     return sorted(out)
 
 
+def brute_edges(v, sigma, low, high):
+    """The published steps, pixel by pixel."""
+    h, w = v.shape
+    r = int(4 * sigma + 0.5)
+    g = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)}
+    s = np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            inside = [(g[a] * g[b], v[y + a, x + b]) for a in g for b in g if 0 <= y + a < h and 0 <= x + b < w]
+            s[y, x] = sum(k * z for k, z in inside) / sum(k for k, _ in inside)
+    at = lambda y, x: s[min(max(y, 0), h - 1), min(max(x, 0), w - 1)]
+    dy = np.array([[sum(k * (at(y + 1, x + b) - at(y - 1, x + b)) for b, k in ((-1, 1), (0, 2), (1, 1))) for x in range(w)] for y in range(h)])
+    dx = np.array([[sum(k * (at(y + a, x + 1) - at(y + a, x - 1)) for a, k in ((-1, 1), (0, 2), (1, 1))) for x in range(w)] for y in range(h)])
+    size = np.sqrt(dy**2 + dx**2)
+    ridge = {}
+    for y in range(1, h - 1):
+        for x in range(1, w - 1):
+            gy, gx = float(dy[y, x]), float(dx[y, x])
+            if size[y, x] < low:
+                continue
+            sy, sx = (gy > 0) - (gy < 0), (gx > 0) - (gx < 0)
+            if abs(gy) > abs(gx):
+                t, one, two = abs(gx) / abs(gy), size[y + sy, x], size[y - sy, x]
+            else:
+                t, one, two = abs(gy) / abs(gx), size[y, x + sx], size[y, x - sx]
+            if (1 - t) * one + t * size[y + sy, x + sx] <= size[y, x] and (1 - t) * two + t * size[y - sy, x - sx] <= size[y, x]:
+                ridge[y, x] = size[y, x]
+    out = np.zeros((h, w), bool)
+    for c in comps(list(ridge), EIGHT):
+        if any(ridge[p] >= high for p in c):
+            for p in c:
+                out[p] = True
+    return out
+
+
 FOUR = [(0, 1), (0, -1), (1, 0), (-1, 0)]
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
@@ -161,8 +196,9 @@ def test_projection_brute():
         assert (projection.constrained(m, 0, 12, 3) == brute_constrained(m, 12)).all()
         assert projection.pieces_below(cut, 0, 10 / 196) <= merged
         below = [c for k in (1, 2, 3) for c in comps([tuple(p) for p in np.argwhere(m == k).tolist()], FOUR) if len(c) < 10]
-        left = brute_disk(np.isin(np.arange(196).reshape(14, 14), [y * 14 + x for c in below for y, x in c]), 1, all)
-        assert projection.slivers(m, 0, 10 / 196) == sum(not any(left[p] for p in c) for c in below)
+        at = lambda cells: np.isin(np.arange(196).reshape(14, 14), [y * 14 + x for y, x in cells])
+        left = {k: brute_disk(at([p for c in below for p in c if m[p] == k]), 1, all) for k in (1, 2, 3)}
+        assert projection.slivers(m, 0, 10 / 196) == sum(not any(left[m[c[0]]][p] for p in c) for c in below)
 
 
 def test_craft_of_flat_and_of_bare_pictures(spark):
@@ -263,19 +299,84 @@ def test_plan_checks_brute():
         assert got["thin_share"] == pytest.approx(sum(rest) / max(sum(map(len, pieces)), 1))
 
 
-def test_structure_brute():
+LABS = np.array([(95.0, 0.0, 2.0), (50.0, 60.0, 40.0), (60.0, -40.0, 30.0), (40.0, 20.0, -50.0)])
+
+
+def near_scores(found, wanted, tol):
+    near = lambda a, b: np.mean([min((y - v) ** 2 + (x - u) ** 2 for v, u in b) <= tol * tol for y, x in a])
+    a, b = np.argwhere(found).tolist(), np.argwhere(wanted).tolist()
+    if not a or not b:
+        return 0.0, 0.0, 0.0
+    p, r = near(a, b), near(b, a)
+    return p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+
+def brute_figure(l, a, b):  # noqa: E741
+    """Closed by a disk and filled; beyond the picture nothing keeps a pixel from being closed."""
+    m = ~((l > 90) & (np.hypot(a, b) < 10))
+    grown = brute_disk(m, 2, any)
+    shut = ~brute_disk(~grown, 2, any)
+    outside = [c for c in comps([(y, x) for y in range(-1, m.shape[0] + 1) for x in range(-1, m.shape[1] + 1) if not (0 <= y < m.shape[0] and 0 <= x < m.shape[1] and shut[y, x])], FOUR) if (-1, -1) in c][0]
+    return ~np.isin(np.arange(m.size).reshape(m.shape), [y * m.shape[1] + x for y, x in outside if 0 <= y < m.shape[0] and 0 <= x < m.shape[1]])
+
+
+def test_evaluation_brute():
+    draw = np.random.default_rng(2)
+    for m in maps(4, 24, 4):
+        lab = [LABS[m][..., i] + draw.normal(0, 1, m.shape) for i in range(3)]
+        lines = draw.random(m.shape) < 0.08
+        shape = projection.silhouette(lines, 2)
+        got = projection.evaluation(*lab, lines, shape, sigma=1.0)
+        edges = brute_edges(lab[0], 1.0, 4, 10) | brute_edges(0.6 * lab[1], 1.0, 4, 10) | brute_edges(0.6 * lab[2], 1.0, 4, 10)
+        thin, own = projection.skeleton(lines), brute_figure(*lab)
+        for tol in (2, 3, 5):
+            assert (got[f"edge_prec_t{tol}"], got[f"line_recall_t{tol}"], got[f"edge_f1_t{tol}"]) == pytest.approx(near_scores(edges, thin, tol))
+        rim = lambda x: x & ~brute_disk(x, 1, all)
+        assert got["contour_f"] == pytest.approx(near_scores(rim(own), rim(shape), 3)[2])
+        assert got["sil_iou"] == (own & shape).sum() / max((own | shape).sum(), 1)
+        far = [p for p in np.argwhere(edges & shape).tolist() if min((p[0] - v) ** 2 + (p[1] - u) ** 2 for v, u in np.argwhere(thin).tolist()) > 9]
+        assert got["decoration_density"] == pytest.approx(1000 * len(far) / max(shape.sum(), 1))
+        assert (projection.bare_ground(lines, 4, 2) == ~brute_disk(shape, 4, any)).all()
+
+
+def test_protocol_and_variants_brute(spark):
     draw = np.random.default_rng(3)
-    for m in [*maps(4), np.zeros((14, 14), int)]:
-        lines = draw.random(m.shape) < 0.05
-        edge = {(y, x) for y, x in np.ndindex(m.shape) if (x < 13 and m[y, x] != m[y, x + 1]) or (y < 13 and m[y, x] != m[y + 1, x])}
-        drawn = {tuple(p) for p in np.argwhere(lines).tolist()}
-        near = lambda a, b: sum(any((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 4 for q in b) for p in a) / max(len(a), 1)
-        recall, precision = near(drawn, edge), near(edge, drawn)
-        got = projection.structure(m, lines, 2)
-        assert (got["recall"], got["precision"]) == pytest.approx((recall, precision))
-        assert got["f1"] == pytest.approx(2 * recall * precision / (recall + precision) if recall + precision else 0)
-    bare = np.zeros(m.shape, bool)
-    assert all((v == m).all() for v in projection.ablated(m, 0, 0.02, bare).values())
+    settings = [("none", 0.0, False), ("some", 0.02, True), ("most", 0.2, False)]
+    for m in maps(3, 20, 4):
+        lab = tuple(LABS[m][..., i] + draw.normal(0, 2, m.shape) for i in range(3))
+        lines, bare = draw.random(m.shape) < 0.1, np.arange(20)[:, None] + 0 * m < 3
+        shape = projection.silhouette(lines, 2)
+        rows = projection.protocol(lab, m, LABS, 0, lines, shape, bare, settings, 100.0, 1.0)
+        for row, (name, share, ground) in zip(rows, settings, strict=True):
+            cut = projection.projected(m, 0, share, bare=bare if ground else None)[0] if share else m
+            sizes = [len(c) for k in (1, 2, 3) for c in comps([tuple(p) for p in np.argwhere(cut == k).tolist()], FOUR)]
+            plan = [np.array([[LABS[cut[y, x]][i] for x in range(20)] for y in range(20)]) for i in range(3)]
+            e = projection.evaluation(*plan, lines, shape, 1.0)
+            assert (row["setting"], row["pieces"], row["sheets"]) == (name, len(sizes), sum((cut == k).mean() > 1e-3 for k in (1, 2, 3)))
+            assert row["smallest_mm2"] == (min(sizes) * 0.25 if sizes else None)
+            assert [row["prec"], row["recall"], row["edge_f1"], row["sil_iou"]] == [e["edge_prec_t3"], e["line_recall_t3"], e["edge_f1_t3"], e["sil_iou"]]
+            px = spark.createDataFrame([tuple(float(c[y, x]) for c in (*lab, *plan)) for y in range(20) for x in range(20)], "l double, a double, b double, l2 double, a2 double, b2 double")
+            each = S.with_ciede2000(px, tuple(F.col(c) for c in "lab"), tuple(F.col(f"{c}2") for c in "lab"), "de").agg(F.avg("de")).first()[0]
+            assert row["change_de"] == pytest.approx(each)
+        made = projection.variants(lab, m, LABS, 0, 0.02, bare)
+        assert list(made) == ["raw", "ground only", "colour only", "colour + merge (no ground)", "full projection"]
+        assert all((x == y).all() for x, y in zip(made["raw"], lab, strict=True))
+        assert all((x == np.where(bare, LABS[0][i], y)).all() for i, (x, y) in enumerate(zip(made["ground only"], lab, strict=True)))
+        full = projection.projected(m, 0, 0.02, bare=bare)[0]
+        assert all((x == LABS[full][..., i]).all() for i, x in enumerate(made["full projection"]))
+
+
+def test_delivered_plans_brute():
+    colours = ["#ffffff", "#aa0000", "#00bb00", "#0000cc"]
+    for m in maps(3, 20, 4):
+        lines = np.random.default_rng(1).random(m.shape) < 0.1
+        exact = projection.delivered(m, colours, 0, 8, 1, 2, LABS, lines, 0.0, 1.0)
+        assert exact["agreement"] == 1.0 and exact["invalid_paths"] == 0
+        assert {k: exact[k] for k in ("pieces", "below", "holes", "smallest")} == {k: v for k, v in projection.plan_checks(m, 0, 8, 1, 2).items() if k in ("pieces", "below", "holes", "smallest")}
+        assert exact["paths"] == sum(len(tracing.rings(m == k)) for k in (1, 2, 3))
+        rough = projection.delivered(m, colours, 0, 8, 1, 2, LABS, lines, 1.5, 1.0)
+        shown = tracing.painted(tracing.svg(m, colours, 0, 1.5), colours, 0)
+        assert rough["agreement"] == (shown == m).mean() < 1 and rough["pieces"] == projection.plan_checks(shown, 0, 8, 1, 2)["pieces"]
 
 
 def test_disturbed_pictures(spark):
