@@ -45,8 +45,9 @@ def describe_long(df: DataFrame, by: list[str], columns: list[str], cut: Callabl
 BROADCAST_GROUPS = 10_000
 
 
-#: Groups with more different values than this, estimated, are dealt by range; of others a task counts each value, for up to 128 groups at a time.
-COUNTED = 200_000
+#: Groups with more different values than this, estimated, are dealt by range; of others (some 20 MB each) a task counts each value, for up to 128
+#: groups at a time.
+COUNTED = 250_000
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], cut: Callable[[DataFrame], DataFrame], bins: int = 32) -> DataFrame:

@@ -42,7 +42,7 @@ def _matrix(df: pd.DataFrame) -> np.ndarray:
 
 
 #: Rows that principal directions are taken from, and directions that bound a dot product.
-DRAWN, PREFIX = 4096, 12
+DRAWN, PREFIX = 4096, 16
 
 
 def _directions(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
