@@ -54,14 +54,16 @@ def silhouette(lines: np.ndarray, r: int = 3) -> np.ndarray:
 
 def skeleton(m: np.ndarray) -> np.ndarray:
     """Lines one pixel wide, by the two-step thinning of Zhang and Suen."""
+    h, w = m.shape
     m = m.astype(bool)
     around = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
     while True:
         before = m
         for first in (True, False):
-            n = [_shifted(m, dy, dx, False) for dy, dx in around]
-            count = sum(x.astype(int) for x in n)
-            turns = sum((~a & b).astype(int) for a, b in zip(n, n[1:] + n[:1], strict=True))
+            framed = np.pad(m, 1)
+            n = [framed[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in around]
+            count = sum(x.astype(np.int8) for x in n)
+            turns = sum((~a & b).astype(np.int8) for a, b in zip(n, n[1:] + n[:1], strict=True))
             up, right, down, left = n[0], n[2], n[4], n[6]
             free = ~(up & right & down) & ~(right & down & left) if first else ~(up & right & left) & ~(up & down & left)
             m = m & ~((count >= 2) & (count <= 6) & (turns == 1) & free)
@@ -212,7 +214,8 @@ def protocol(lab: tuple[np.ndarray, ...], m: np.ndarray, palette: np.ndarray, gr
     """For each setting (name, share below which pieces are merged or 0 for none, whether on bare ground) the plan's sheets (of over a
     thousandth of the picture), pieces, the smallest one where the picture has ``mm2``, how it keeps the lines and the figure, and
     the mean difference from the picture."""
-    rows = []
+    rows, thin = [], skeleton(lines)
+    far = grids.gaps(thin)
     for name, share, on_ground in settings:
         cut = projected(m, ground, share, bare=bare if on_ground else None)[0] if share else m
         p = raster.flood(cut)
@@ -220,8 +223,8 @@ def protocol(lab: tuple[np.ndarray, ...], m: np.ndarray, palette: np.ndarray, gr
         label[p] = cut
         area = np.bincount(p.ravel())[label != ground]
         plan = of_colours(cut, palette)
-        precision, recall, f1 = grids.scores(grids.edge_map(*plan, sigma), skeleton(lines), 3)
-        own = figure(*plan)
+        edges, own = grids.edge_map(*plan, sigma), figure(*plan)
+        precision, recall, f1 = grids.scores(edges, thin, 3, (grids.gaps(edges), far))
         rows.append({
             "setting": name, "sheets": int(sum((cut == k).mean() > 1e-3 for k in np.unique(cut) if k != ground)), "pieces": len(area), "smallest_mm2": float(area.min() / m.size * mm2) if len(area) else None,
             "edge_f1": f1, "recall": recall, "prec": precision, "sil_iou": float((own & shape).sum() / max((own | shape).sum(), 1)), "change_de": float(grids.delta_e(lab, plan).mean()),

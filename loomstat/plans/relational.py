@@ -183,10 +183,15 @@ def hash_pairs(spark, d):
     return similarity.near_or_alike(v.withColumn("h", S.bits_over_median(F.col("v"))), 2.0, 20).select("a", "b", "bits")
 
 
-@query(f"WITH {BITS} SELECT a, b, bits::BIGINT AS bits FROM p WHERE bits <= 8")
+FLIPPED = BITS[: BITS.index(", p AS (")] + ", u AS (SELECT id, h FROM h UNION ALL SELECT id + 1000000, list_transform(h, lambda x, i: CASE WHEN i > 64 - id % 12 THEN 1 - x ELSE x END) FROM h), p AS (SELECT a.id AS a, b.id AS b, 64 - list_sum(list_transform(list_zip(a.h, b.h), lambda z: (z[1] = z[2])::INT)) AS bits FROM u a JOIN u b ON a.id < b.id)"
+
+
+@query(f"WITH {FLIPPED} SELECT a, b, bits::BIGINT AS bits FROM p WHERE bits <= 8")
 def alike_hashes(spark, d):
-    v = vectors(spark, d).select("id", "v")
-    return similarity.alike_pairs(v.select("id", S.bits_over_median(F.col("v")).alias("h")), 8)
+    """Hashes, and copies of which up to eleven bits are flipped, that differ in eight bits at most."""
+    own = vectors(spark, d).select("id", S.bits_over_median(F.col("v")).alias("h"))
+    flipped = own.select((F.col("id") + 1000000).alias("id"), F.col("h").bitwiseXOR(F.expr("shiftleft(1L, cast(id % 12 as int)) - 1")).alias("h"))
+    return similarity.alike_pairs(own.unionByName(flipped), 8)
 
 
 GREY = f"g AS (SELECT s_suppkey::INT AS img, id // 32 AS y, id % 32 AS x FROM supplier, range(1024) t(id)), l AS (SELECT img, y, x, ({hash_sql('img', 'y', 'x')}) % 256 AS g FROM g)"
