@@ -213,6 +213,18 @@ def test_token_counts_are_the_librarys(spark, monkeypatch):
     assert all(len(list(token_counts.pieces(x, 50))) > 3 for x in texts[-4:])
 
 
+@pytest.mark.parametrize(("kept", "chars"), [(30, 48), (600_000, 5), (600_000, 48)])
+def test_token_counts_with_few_kept_parts(monkeypatch, kept, chars):
+    monkeypatch.setattr(token_counts, "KEPT", kept)
+    monkeypatch.setattr(token_counts, "KEPT_CHARS", chars)
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 300)
+    lib, count, known = Tokenizer.from_file(JSON), token_counts.encoder(JSON), {}
+    for k in range(4):
+        texts = [*odd_texts()[k::4], " ".join(words(k, 300)), "One.Two, three;four!" * 20, "", " ", "x" * 3000]
+        assert token_counts.lengths(count, texts, True, known) == [len(lib.encode(x, add_special_tokens=False).ids) for x in texts]
+        assert all(len(p) <= chars for p in known) and len(known) <= kept
+
+
 def test_token_counts_of_a_sentencepiece_model(spark):
     import sentencepiece
 
