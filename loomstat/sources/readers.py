@@ -26,6 +26,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Values that one part of a table holds once its rows are expanded.
+PART = 1 << 18
+
+
+def dealt(rows: DataFrame, key: str, each: int) -> DataFrame:
+    """``rows`` dealt by ``key`` into parts of about ``PART`` values, before each of them is expanded into ``each``. A file of few bytes is one part, which one
+    task would expand. What is grouped by ``key`` afterwards isn't shuffled again."""
+    parts = max(-(-rows.count() * each // PART), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts, key)
+
+
 def csv(spark: SparkSession, path: str, schema: str, keep_empty: bool = False) -> DataFrame:
     """By header name, in any column order; columns that the file lacks are null, and so are empty fields, which stay empty text with
     ``keep_empty``. A byte order mark is dropped."""
