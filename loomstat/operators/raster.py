@@ -6,7 +6,7 @@ A picture is the unit of distribution: windows and neighbour joins are keyed by
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,6 +100,67 @@ def mode_filter(labels: DataFrame, r: int) -> DataFrame:
     return best.select("img", F.col("ty").alias("y"), F.col("tx").alias("x"), (-F.col("b.m")).alias("label"))
 
 
+#: Pixels that a task holds as arrays at once, unless one picture has more.
+STACK = 1 << 16
+
+
+def stacked(pixels: DataFrame, columns: list[str], f: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """The rows of ``f`` of pictures of pixel rows, many at once: it takes their ``img``, the places of their pixels as three arrays (number of the
+    picture, ``y``, ``x``), and for each of ``columns`` an array of pictures of one size, 0 where a pixel is missing.
+
+    Rows come by picture, so that a task holds ``STACK`` pixels, or one picture; a picture isn't parted."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def done(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        starts = np.flatnonzero(g["_k"].to_numpy() == 1)
+        img, y, x = (g[c].to_numpy() for c in PIXEL)
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(g))))
+        sizes, kind = np.unique(np.stack([np.maximum.reduceat(y, starts), np.maximum.reduceat(x, starts)]), axis=1, return_inverse=True)
+        kind = kind.ravel()
+        for i, (bottom, right) in enumerate(sizes.T):
+            here = kind == i
+            rows = here[number]
+            at = (np.cumsum(here) - 1)[number[rows]], y[rows], x[rows]
+            arrays = []
+            for c in columns:
+                v = g[c].to_numpy()[rows]
+                arrays.append(np.zeros((here.sum(), bottom + 1, right + 1), v.dtype))
+                arrays[-1][at] = v
+            made = f(img[starts[here]], at, *arrays)
+            if len(made):
+                yield made[names]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, most = [], 0, STACK
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= most:
+                g = pd.concat(held)
+                last = int(np.flatnonzero(g["_k"].to_numpy() == 1)[-1])
+                if last:
+                    yield from done(g.iloc[:last])
+                held, n = [g.iloc[last:]], len(g) - last
+                most = max(STACK, 2 * n)
+        if n:
+            yield from done(pd.concat(held))
+
+    own = Window.partitionBy("img").orderBy("y", "x")
+    return pixels.select(*PIXEL, *columns).withColumn("_k", F.row_number().over(own)).mapInPandas(run, schema)
+
+
+def with_near(pixels: DataFrame, masks: list[str], r: int, also: list[str] = ()) -> DataFrame:
+    """Pixel rows with boolean ``masks``, the columns ``also``, and for each mask ``near_`` it: whether a pixel of the mask is within ``r``."""
+    kinds = dict(pixels.dtypes)
+
+    def run(img: np.ndarray, at: tuple, *m: np.ndarray) -> pd.DataFrame:
+        made = {c: v[at] for c, v in zip([*masks, *also], m, strict=True)} | {f"near_{c}": grids.disks(v, r)[at] for c, v in zip(masks, m, strict=False)}
+        return pd.DataFrame({"img": img[at[0]], "y": at[1], "x": at[2]} | made)
+
+    schema = ", ".join([f"img {kinds['img']}, y int, x int", *[f"{c} {kinds[c]}" for c in (*masks, *also)], *[f"near_{c} boolean" for c in masks]])
+    return stacked(pixels, [*masks, *also], run, schema)
+
+
 def grown(mask: DataFrame, r: int) -> DataFrame:
     """Distinct pixels within Euclidean distance ``r`` of the pixels of ``mask``."""
     each = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets(r)])).alias("o")
