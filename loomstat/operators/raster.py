@@ -192,15 +192,12 @@ def iou(masks: DataFrame) -> DataFrame:
     return masks.groupBy("img").agg((both / F.greatest(any_, F.lit(1))).alias("iou"))
 
 
-def far_from(edges: DataFrame, lines: DataFrame, r: int) -> DataFrame:
-    return edges.join(grown(lines, r), PIXEL, "left_anti")
-
-
-def decoration(edges: DataFrame, lines: DataFrame, figure: DataFrame, r: int) -> DataFrame:
-    """(``img``, ``density``): edge pixels ``inside`` the figure and more than ``r`` from a line, for 1,000 pixels inside."""
-    far = far_from(edges, lines, r).join(figure.where("inside"), PIXEL, "left_semi").groupBy("img").agg(F.count("*").alias("n"))
-    size = figure.groupBy("img").agg(F.sum(F.col("inside").cast("long")).alias("size"))
-    return size.join(far, "img", "left").select("img", (1000.0 * F.coalesce("n", F.lit(0)) / F.greatest("size", F.lit(1))).alias("density"))
+def decoration(pixels: DataFrame, r: int) -> DataFrame:
+    """(``img``, ``density``) of pixel rows with booleans ``edge``, ``line`` and ``inside``: edge pixels inside the figure and more than ``r`` from a line, for
+    1,000 pixels inside."""
+    near = with_near(pixels, ["line"], r, ["edge", "inside"])
+    n = lambda c: F.sum(c.cast("long"))
+    return near.groupBy("img").agg((1000.0 * n(F.col("edge") & F.col("inside") & ~F.col("near_line")) / F.greatest(n(F.col("inside")), F.lit(1))).alias("density"))
 
 
 def _grid(g: pd.DataFrame, column: str = "label") -> np.ndarray:
