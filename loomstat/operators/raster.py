@@ -167,10 +167,9 @@ def grown(mask: DataFrame, r: int) -> DataFrame:
     return mask.select(*PIXEL, each).select("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
 
 
-def eroded(mask: DataFrame, r: int, height: int, width: int) -> DataFrame:
-    """Pixels whose whole disk lies in ``mask`` or outside of the picture."""
-    inside = mask.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("img", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    return mask.select(*PIXEL).join(grown(inside.join(mask, PIXEL, "left_anti"), r), PIXEL, "left_anti")
+def eroded(pixels: DataFrame, r: int) -> DataFrame:
+    """Pixels of the boolean ``mask`` whose whole disk lies in it or outside of the picture."""
+    return with_near(pixels.withColumn("out", ~F.col("mask")), ["out"], r).where("not out and not near_out").select(*PIXEL)
 
 
 def tolerance_scores(masks: DataFrame, radii: tuple[int, ...]) -> DataFrame:
