@@ -161,12 +161,6 @@ def with_near(pixels: DataFrame, masks: list[str], r: int, also: list[str] = ())
     return stacked(pixels, [*masks, *also], run, schema)
 
 
-def grown(mask: DataFrame, r: int) -> DataFrame:
-    """Distinct pixels within Euclidean distance ``r`` of the pixels of ``mask``."""
-    each = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets(r)])).alias("o")
-    return mask.select(*PIXEL, each).select("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
-
-
 def eroded(pixels: DataFrame, r: int) -> DataFrame:
     """Pixels of the boolean ``mask`` whose whole disk lies in it or outside of the picture."""
     return with_near(pixels.withColumn("out", ~F.col("mask")), ["out"], r).where("not out and not near_out").select(*PIXEL)
