@@ -175,6 +175,27 @@ def disk_grown(m: np.ndarray, r: float) -> np.ndarray:
     return gaps(m) <= r * r
 
 
+def offsets(r: int, disk: bool = True) -> list[tuple[int, int]]:
+    return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if not disk or dy * dy + dx * dx <= r * r]
+
+
+def voted(m: np.ndarray, r: int, disk: bool = True) -> np.ndarray:
+    """The most frequent label around each pixel of a picture or of a stack, ties to the lowest: in a disk with the edge repeated, or in the part of a
+    square inside."""
+    h, w = m.shape[-2:]
+    known = np.unique(m)
+    place, frame = np.searchsorted(known, m), [(0, 0)] * (m.ndim - 2) + [(r, r), (r, r)]
+    framed = np.pad(place, frame, mode="edge") if disk else np.pad(place, frame, constant_values=-1)
+    best, most = np.zeros(m.shape, np.int64), np.full(m.shape, -1, np.int16)
+    for k in range(len(known)):
+        mine, n = (framed == k).astype(np.int16), np.zeros(m.shape, np.int16)
+        for dy, dx in offsets(r, disk):
+            n += mine[..., r + dy : r + dy + h, r + dx : r + dx + w]
+        more = n > most
+        best[more], most[more] = k, n[more]
+    return known[best]
+
+
 def disks(m: np.ndarray, r: int) -> np.ndarray:
     """As :func:`disk_grown` with a small whole radius, of a picture or a stack of them: of each row of the disk, sums along the picture's rows."""
     h, w = m.shape[-2:]

@@ -25,12 +25,12 @@ def _shifted(m: np.ndarray, dy: int, dx: int, outside) -> np.ndarray:
 
 
 def dilated(m: np.ndarray, r: int) -> np.ndarray:
-    return np.logical_or.reduce([_shifted(m, dy, dx, False) for dy, dx in raster.offsets(r)])
+    return np.logical_or.reduce([_shifted(m, dy, dx, False) for dy, dx in grids.offsets(r)])
 
 
 def eroded(m: np.ndarray, r: int) -> np.ndarray:
     """Pixels whose whole disk is set; beyond the picture nothing is."""
-    return np.logical_and.reduce([_shifted(m, dy, dx, False) for dy, dx in raster.offsets(r)])
+    return np.logical_and.reduce([_shifted(m, dy, dx, False) for dy, dx in grids.offsets(r)])
 
 
 def opened(m: np.ndarray, r: int) -> np.ndarray:
@@ -75,20 +75,6 @@ def contour(m: np.ndarray) -> np.ndarray:
     return m & ~eroded(m, 1)
 
 
-def voted(m: np.ndarray, r: int, disk: bool = True) -> np.ndarray:
-    """The most frequent label around each pixel, ties to the lowest: in a disk with the edge repeated, or in the part of a square inside."""
-    h, w = m.shape
-    known = np.unique(m)
-    framed = np.pad(np.searchsorted(known, m), r, mode="edge") if disk else np.pad(np.searchsorted(known, m), r, constant_values=-1)
-    best, most = np.zeros(m.shape, np.int64), np.full(m.shape, -1, np.int16)
-    for k in range(len(known)):
-        mine = (framed == k).astype(np.int16)
-        n = sum(mine[r + dy : r + dy + h, r + dx : r + dx + w] for dy, dx in raster.offsets(r, disk))
-        more = n > most
-        best[more], most[more] = k, n[more]
-    return known[best]
-
-
 def constrained(m: np.ndarray, ground: int, least: int, width: int, rounds: int = 10) -> np.ndarray:
     """``m`` without parts narrower than ``width`` pixels (what an opening takes away, ground aside) and pieces under ``least``: they
     take the nearest other pixel's label, until none is left or ``rounds`` times."""
@@ -110,7 +96,7 @@ def projected(m: np.ndarray, ground: int, share: float, smooth: int = 2, bare: n
     if bare is not None:
         m = np.where(bare, ground, m)
     if smooth:
-        m = voted(m, smooth)
+        m = grids.voted(m, smooth)
     least = max(1, int(share * m.size))
     counts = []
     for _ in range(3):
@@ -395,7 +381,7 @@ class swept:  # noqa: N801
 
     def eval(self, labels: list[int], width: int, shares: list[float]):
         m = np.array(labels, np.int64).reshape(-1, width)
-        base = voted(m, 2)
+        base = grids.voted(m, 2)
         area = raster.sized(base)
         for share in sorted(shares):
             least = max(1, int(share * m.size))

@@ -20,10 +20,6 @@ from .similarity import components
 PIXEL = ["img", "y", "x"]
 
 
-def offsets(r: int, disk: bool = True) -> list[tuple[int, int]]:
-    return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if not disk or dy * dy + dx * dx <= r * r]
-
-
 def foreground(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
     return ~((l > 90) & (F.hypot(a, b) < 10))
 
@@ -89,17 +85,6 @@ def outlines(pixels: DataFrame, by: str) -> DataFrame:
     return made.select("img", by, "area", "sides", (1 - F.col("euler")).alias("holes"), (F.col("sides") + 2 - F.col("euler")).alias("contour"))
 
 
-def mode_filter(labels: DataFrame, r: int) -> DataFrame:
-    """The most frequent label in a disk, edges replicated, ties to the lowest label."""
-    size = labels.groupBy("img").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
-    clamp = lambda c, top: F.least(F.greatest(c, F.lit(0)), top)
-    seen = labels.join(size, "img").select("img", F.col("y").alias("ty"), F.col("x").alias("tx"), "_h", "_w", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets(r)])).alias("o"))
-    seen = seen.select("img", "ty", "tx", clamp(F.col("ty") + F.col("o.dy"), F.col("_h")).alias("y"), clamp(F.col("tx") + F.col("o.dx"), F.col("_w")).alias("x"))
-    votes = seen.join(labels.select(*PIXEL, "label"), PIXEL).groupBy("img", "ty", "tx", "label").agg(F.count("*").alias("n"))
-    best = votes.groupBy("img", "ty", "tx").agg(F.max(F.struct("n", (-F.col("label")).alias("m"))).alias("b"))
-    return best.select("img", F.col("ty").alias("y"), F.col("tx").alias("x"), (-F.col("b.m")).alias("label"))
-
-
 #: Pixels that a task holds as arrays at once, unless one picture has more.
 STACK = 1 << 16
 
@@ -161,6 +146,15 @@ def with_near(pixels: DataFrame, masks: list[str], r: int, also: list[str] = ())
     return stacked(pixels, [*masks, *also], run, schema)
 
 
+def mode_filter(labels: DataFrame, r: int) -> DataFrame:
+    """The most frequent label in a disk, edges replicated, ties to the lowest label."""
+    def run(img: np.ndarray, at: tuple, m: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"img": img[at[0]], "y": at[1], "x": at[2], "label": grids.voted(m, r)[at]})
+
+    kinds = dict(labels.dtypes)
+    return stacked(labels, ["label"], run, f"img {kinds['img']}, y int, x int, label {kinds['label']}")
+
+
 def eroded(pixels: DataFrame, r: int) -> DataFrame:
     """Pixels of the boolean ``mask`` whose whole disk lies in it or outside of the picture."""
     return with_near(pixels.withColumn("out", ~F.col("mask")), ["out"], r).where("not out and not near_out").select(*PIXEL)
