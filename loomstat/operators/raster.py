@@ -386,11 +386,16 @@ def layer_statistics(labels: DataFrame, ground: int = 0, mm: float = 1.0) -> Dat
 
 def symmetry(pixels: DataFrame) -> DataFrame:
     """1 - clip(mean Lab distance of mirrored pixels / 100) over pixels that are foreground on either side."""
-    width = pixels.groupBy("img").agg((F.max("x")).alias("_w"))
-    mirror = pixels.join(width, "img").select("img", "y", (F.col("_w") - F.col("x")).alias("x"), F.array("l", "a", "b").alias("_m"), F.col("fg").alias("_f"))
-    both = pixels.join(mirror, PIXEL).where(F.col("fg") | F.col("_f"))
-    mean = F.avg(distance(F.array("l", "a", "b"), F.col("_m")))
-    return both.groupBy("img").agg((1 - F.least(F.greatest(mean / 100, F.lit(0.0)), F.lit(1.0))).alias("symmetry"))
+    def run(img: np.ndarray, at: tuple, l: np.ndarray, a: np.ndarray, b: np.ndarray, fg: np.ndarray) -> pd.DataFrame:  # noqa: E741
+        there = np.zeros(fg.shape, bool)
+        there[at] = True
+        both = there & there[..., ::-1] & (fg | fg[..., ::-1])
+        far = np.sqrt(sum((c - c[..., ::-1]) ** 2 for c in (l, a, b)))
+        n = both.sum((1, 2))
+        mean = np.where(both, far, 0).sum((1, 2)) / np.maximum(n, 1)
+        return pd.DataFrame({"img": img, "symmetry": 1 - np.clip(mean / 100, 0, 1)})[n > 0]
+
+    return stacked(pixels, ["l", "a", "b", "fg"], run, f"img {dict(pixels.dtypes)['img']}, symmetry double")
 
 
 def energy_terms(pixels: DataFrame, palette: list[tuple[float, float, float]], tau: float = 4.0, sigma: float = 8.0, edge: float = 12.0, weights: tuple[float, float, float, float] = (1.0, 1.0, 0.0, 0.0)) -> DataFrame:
