@@ -30,26 +30,30 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def labelled(m: np.ndarray, eight: bool = False) -> np.ndarray:
-    """Connected pieces of equal value, numbered from 0 in reading order of their first pixels; ``eight``: corners connect too.
+    """Connected pieces of equal value, numbered from 0 in reading order of their first pixels; ``eight``: corners connect too. Pictures of a stack are
+    numbered one after another.
 
     Rows are cut into runs of one value, and runs that touch in neighbouring rows are united, once for each place where they meet.
     """
     if not m.size:
         return np.zeros(m.shape, np.int64)
+    shape, m = m.shape, m.reshape(-1, m.shape[-1])
+    joins = np.ones((len(m) - 1, 1), bool)  # whether a row and the next are of one picture
+    joins[shape[-2] - 1 :: shape[-2]] = False
     starts = np.ones(m.shape, bool)
     starts[:, 1:] = m[:, 1:] != m[:, :-1]
     run = starts.ravel().cumsum().reshape(m.shape) - 1
-    same = m[1:] == m[:-1]
+    same = (m[1:] == m[:-1]) & joins
     meet = same.copy()
     meet[:, 1:] &= starts[1:, 1:] | starts[:-1, 1:] | ~same[:, :-1]
     a, b = [run[:-1][meet]], [run[1:][meet]]
     if eight:
         for here, there in ((np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])):
-            corner = (m[here] == m[there]) & starts[1:, 1:] & starts[:-1, 1:]
+            corner = (m[here] == m[there]) & joins & starts[1:, 1:] & starts[:-1, 1:]
             a.append(run[here][corner])
             b.append(run[there][corner])
     top = joined(int(run[-1, -1]) + 1, np.concatenate(a), np.concatenate(b))
-    return (np.cumsum(top == np.arange(len(top))) - 1)[top][run]
+    return (np.cumsum(top == np.arange(len(top))) - 1)[top][run].reshape(shape)
 
 
 def nearest(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

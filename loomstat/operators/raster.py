@@ -212,9 +212,15 @@ def by_picture(labels: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray
     return labels.groupBy("img").applyInPandas(lambda g: run(g)[names], schema)
 
 
-def pieces(labels: DataFrame) -> DataFrame:
-    """Pixel rows with ``label`` and ``piece``."""
-    return by_picture(labels, lambda m: {"label": m, "piece": flood(m)}, "label int, piece long")
+def pieces(labels: DataFrame, *also: str) -> DataFrame:
+    """Pixel rows with ``label``, ``piece`` and the columns ``also``."""
+    def run(img: np.ndarray, at: tuple, m: np.ndarray, *more: np.ndarray) -> pd.DataFrame:
+        p = grids.labelled(m)
+        made = {"label": m[at], "piece": (p - p[:, :1, :1])[at]} | {c: v[at] for c, v in zip(also, more, strict=True)}
+        return pd.DataFrame({"img": img[at[0]], "y": at[1], "x": at[2]} | made)
+
+    kinds = dict(labels.dtypes)
+    return stacked(labels, ["label", *also], run, ", ".join([f"img {kinds['img']}, y int, x int, label int, piece long", *[f"{c} {kinds[c]}" for c in also]]))
 
 
 def tiled_pieces(labels: DataFrame, side: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -115,7 +115,7 @@ def group_members(spark, d):
 @query(f"WITH {PIECE}, c AS (SELECT img, y, x, (h % 101)::DOUBLE AS l FROM l), m AS (SELECT k.img, piece, avg(l) AS m FROM k JOIN c USING (img, y, x) GROUP BY ALL), z AS (SELECT k.img, piece, l - m AS off FROM k JOIN c USING (img, y, x) JOIN m USING (img, piece)) SELECT img, round(avg(abs(off)), 6) AS interior FROM z GROUP BY img")
 def regional_means(spark, d):
     """How far pixels are from the mean of their piece."""
-    px = raster.pieces(grid(spark, d).drop("h")).join(grid(spark, d).select("img", "y", "x", (F.col("h") % 101).cast("double").alias("l")), ["img", "y", "x"])
+    px = raster.pieces(grid(spark, d).withColumn("l", (F.col("h") % 101).cast("double")), "l")
     off = F.abs(F.col("l") - F.avg("l").over(Window.partitionBy("img", "piece")))
     return px.select("img", off.alias("off")).groupBy("img").agg(r(F.avg("off")).alias("interior"))
 
