@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import distance, with_ciede2000
+from ..functions.scalars import distance
 from . import grids
 from .similarity import components
 
 PIXEL = ["img", "y", "x"]
+offsets = grids.offsets
 
 
 def foreground(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
@@ -28,15 +29,15 @@ def nearest_palette(pixels: DataFrame, palette: list[tuple[float, float, float]]
     """Add ``k``, the palette colour of a pixel's ``l``, ``a``, ``b``, and ``de``, its CIEDE2000 difference: of the ``first`` closest by
     distance the one with the least difference, ties to the closer one. The palette is a literal of a few dozen colours.
     Row by row: nothing is shuffled, and repeated pixels stay."""
-    own = tuple(F.col(c) for c in ("l", "a", "b"))
-    colour = lambda p: F.array(*[F.lit(float(v)) for v in p])
-    choice = F.array(*[F.struct(distance(F.array(*own), colour(p)).alias("d"), F.lit(k).alias("k"), colour(p).alias("p")) for k, p in enumerate(palette)])
-    made = pixels.withColumn("_c", F.slice(F.array_sort(choice), 1, first))
-    tried = range(min(first, len(palette)))
-    for i in tried:
-        made = with_ciede2000(made, own, tuple(F.get("_c", F.lit(i))["p"][j] for j in range(3)), f"_de{i}")
-    best = F.least(*[F.struct(F.col(f"_de{i}").alias("de"), F.lit(i).alias("i"), F.get("_c", F.lit(i))["k"].alias("k")) for i in tried]) if len(tried) > 1 else F.struct(F.col("_de0").alias("de"), F.get("_c", F.lit(0))["k"].alias("k"))
-    return made.withColumn("_b", best).select(*pixels.columns, F.col("_b.k").alias("k"), F.col("_b.de").alias("de"))
+    colours = np.array(palette, np.float64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            made = grids.matched(*(g[c].to_numpy(np.float64) for c in "lab"), colours, first)
+            yield g.assign(k=made[0], de=made[1])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pixels.dtypes)
+    return pixels.mapInPandas(run, f"{kinds}, k int, de double")
 
 
 def _neighbours() -> dict[str, Column]:
@@ -131,7 +132,7 @@ def stacked(pixels: DataFrame, columns: list[str], f: Callable[..., pd.DataFrame
             yield from done(pd.concat(held))
 
     own = Window.partitionBy("img").orderBy("y", "x")
-    return pixels.select(*PIXEL, *columns).withColumn("_k", F.row_number().over(own)).mapInPandas(run, schema)
+    return pixels.select(*PIXEL, *columns).withColumn("_k", F.row_number().over(own)).sortWithinPartitions(*PIXEL).mapInPandas(run, schema)
 
 
 def with_near(pixels: DataFrame, masks: list[str], r: int, also: list[str] = ()) -> DataFrame:
@@ -146,10 +147,10 @@ def with_near(pixels: DataFrame, masks: list[str], r: int, also: list[str] = ())
     return stacked(pixels, [*masks, *also], run, schema)
 
 
-def mode_filter(labels: DataFrame, r: int) -> DataFrame:
-    """The most frequent label in a disk, edges replicated, ties to the lowest label."""
+def mode_filter(labels: DataFrame, r: int, disk: bool = True) -> DataFrame:
+    """The most frequent label in a disk, edges replicated, or in the part of a square inside; ties to the lowest label."""
     def run(img: np.ndarray, at: tuple, m: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"img": img[at[0]], "y": at[1], "x": at[2], "label": grids.voted(m, r)[at]})
+        return pd.DataFrame({"img": img[at[0]], "y": at[1], "x": at[2], "label": grids.voted(m, r, disk)[at]})
 
     kinds = dict(labels.dtypes)
     return stacked(labels, ["label"], run, f"img {kinds['img']}, y int, x int, label {kinds['label']}")
@@ -200,16 +201,18 @@ def flood(labels: np.ndarray) -> np.ndarray:
 
 def by_picture(labels: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], columns: str, pixels: bool = True) -> DataFrame:
     """Apply ``f`` to each picture's label map. With ``pixels``, its arrays have the map's shape and become pixel columns."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        made = f(_grid(g))
-        if pixels:
-            made = {k: v[g["y"], g["x"]] for k, v in made.items()} | {"y": g["y"].to_numpy(), "x": g["x"].to_numpy()}
-        df = pd.DataFrame(made).assign(img=g["img"].iloc[0])
-        return df if len(df) else df.astype(object)  # no rows have no type
-
     schema = f"img {dict(labels.dtypes)['img']}, {'y int, x int, ' if pixels else ''}{columns}"
     names = [c.split()[0] for c in schema.split(", ")]
-    return labels.groupBy("img").applyInPandas(lambda g: run(g)[names], schema)
+
+    def run(img: np.ndarray, at: tuple, m: np.ndarray) -> pd.DataFrame:
+        made = [f(one) for one in m.astype(np.int64)]
+        if pixels:
+            return pd.DataFrame({"img": img[at[0]], "y": at[1], "x": at[2]} | {c: np.stack([x[c] for x in made])[at] for c in names[3:]})
+        rows = [pd.DataFrame(x).assign(img=i) for i, x in zip(img, made, strict=True)]
+        rows = [x for x in rows if len(x)]  # no rows have no type
+        return pd.concat(rows) if rows else pd.DataFrame()
+
+    return stacked(labels, ["label"], run, schema)
 
 
 def pieces(labels: DataFrame, *also: str) -> DataFrame:
@@ -257,6 +260,8 @@ def tiled_pieces(labels: DataFrame, side: int, cut: Callable[[DataFrame], DataFr
 
 def nearest_kept(m: np.ndarray, gone: np.ndarray) -> np.ndarray:
     """``m`` with each pixel that is ``gone`` given the value of the nearest other one (ties: first in reading order)."""
+    if m.ndim == 3:  # a stack, each picture of which has pixels of both kinds
+        return m[np.arange(len(m))[:, None, None], *grids.nearest(~gone)]
     if not gone.any() or gone.all():
         return m
     y, x = grids.nearest(~gone)
