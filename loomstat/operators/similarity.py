@@ -16,14 +16,17 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import dot, norm
 
-#: Rows of a block that is shuffled, and of those whose products with another block are held at once.
+#: Rows of a block that is shuffled, and of those whose products with another block are held at once at most.
 BLOCK, CHUNK = 8192, 1024
+#: Products that a task holds at once, values of a block of rows that are dealt by hash, and such blocks where there are rows enough for one task each.
+PRODUCTS, VALUES, SPREAD = 1 << 21, 1 << 21, 12
 #: Pivots that rows are dealt to at most: a square of them is on the driver.
 PIVOTS = 1024
 
 
 def _blocks(left: DataFrame, right: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``run(left block, right block)`` for all pairs of blocks of rows (``id`` long, ``v`` array)."""
+    """``run(left ids, left rows, right ids, right rows)`` for all pairs of blocks of rows (``id`` long, ``v`` array), the right one by id, the left one in parts:
+    a task holds up to ``PRODUCTS`` of their products."""
     nl, nr = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
     at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -31,8 +34,12 @@ def _blocks(left: DataFrame, right: DataFrame, run: Callable, schema: str) -> Da
     right = right.select("id", "v", each(nl).alias("i"), at(nr).alias("j"), F.lit(1).alias("side"))
 
     def both(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = g[g["side"] == 0], g[g["side"] == 1]
-        return pd.concat([run(x[at : at + CHUNK], y) for at in range(0, max(len(x), 1), CHUNK)])
+        x, y = g[g["side"] == 0], g[g["side"] == 1].sort_values("id")
+        if not len(x) or not len(y):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        a, one, b, two = x["id"].to_numpy(), _matrix(x), y["id"].to_numpy(), _matrix(y)
+        step = max(1, min(CHUNK, PRODUCTS // len(y)))
+        return pd.concat([run(a[at : at + step], one[at : at + step], b, two) for at in range(0, len(x), step)])
 
     return left.unionByName(right).groupBy("i", "j").applyInPandas(both, schema)
 
@@ -76,6 +83,13 @@ def boxed_pairs(low: np.ndarray, high: np.ndarray, rest: np.ndarray, least: floa
     return bound > least - 1e-9
 
 
+def over(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and dot products over ``least`` of rows of ``x`` and ``y``."""
+    sim = x @ y.T
+    i, j = np.nonzero(sim > least)
+    return i, j, sim[i, j]
+
+
 def close(x: np.ndarray, y: np.ndarray, turn: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places and dot products over ``least`` of rows of ``x`` and ``y``: those whose parts in the first directions, and the lengths of the rest, allow it
     are multiplied whole."""
@@ -83,9 +97,7 @@ def close(x: np.ndarray, y: np.ndarray, turn: np.ndarray, least: float) -> tuple
     bound = one[:, :PREFIX] @ two[:, :PREFIX].T + np.outer(np.linalg.norm(one[:, PREFIX:], axis=1), np.linalg.norm(two[:, PREFIX:], axis=1))
     may = bound > least - 1e-9
     if np.count_nonzero(may) * 20 > may.size:  # few pairs are left out: all products at once are faster
-        sim = x @ y.T
-        i, j = np.nonzero(sim > least)
-        return i, j, sim[i, j]
+        return over(x, y, least)
     i, j = np.nonzero(may)
     sim = np.einsum("ij,ij->i", x[i], y[j])
     return i[sim > least], j[sim > least], sim[sim > least]
@@ -103,8 +115,8 @@ def near_pairs(rows: DataFrame, least: float) -> DataFrame:
 
     Rows are dealt to the closest of a bounded number of pivots. Only pairs of pivots whose rows can be close enough are compared, by angle
     and by their extent in principal directions, in blocks of about ``BLOCK`` rows, each pair of blocks once; in these, pairs of rows that
-    the principal directions rule out aren't multiplied. Few are left for a high ``least`` and rows in groups, all for a low one and
-    rows in all directions. Pivots, directions and some numbers for each pivot are on the driver; rows never are but for the drawn ones.
+    the principal directions rule out aren't multiplied. Few are left for a high ``least`` and rows in groups. Where most are, for a low one and
+    rows in all directions, rows are dealt by hash into few large blocks. Pivots, directions and some numbers for each pivot are on the driver; rows never are but for the drawn ones.
     """
     n = rows.count()
     if not n:
@@ -113,13 +125,18 @@ def near_pairs(rows: DataFrame, least: float) -> DataFrame:
     k = min(PREFIX, len(turn))
     ends = [f(F.get("prefix", F.lit(i))).alias(f"{name}{i}") for i in range(k) for name, f in (("lo", F.min), ("hi", F.max))]
     facts = dealt.groupBy("c").agg(F.count("*").alias("n"), F.max("angle").alias("angle"), F.max("norm").alias("norm"), F.max("rest").alias("rest"), *ends).collect()
-    blocks, angle, norms, rest = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p)), np.zeros(len(p))
+    blocks, size, angle, norms, rest = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p)), np.zeros(len(p))
     low, high = np.zeros((len(p), k)), np.zeros((len(p), k))
     for f in facts:
-        blocks[f["c"]], angle[f["c"]], norms[f["c"]], rest[f["c"]] = -(-f["n"] // BLOCK), f["angle"], f["norm"], f["rest"]
+        blocks[f["c"]], size[f["c"]], angle[f["c"]], norms[f["c"]], rest[f["c"]] = -(-f["n"] // BLOCK), f["n"], f["angle"], f["norm"], f["rest"]
         low[f["c"]], high[f["c"]] = ([f[f"{end}{i}"] for i in range(k)] for end in ("lo", "hi"))
     live = live_pairs(p, angle, norms, least) & boxed_pairs(low, high, rest, least)
     one, two = np.nonzero(np.triu(live) & (blocks[:, None] > 0) & (blocks[None] > 0))
+    whole = max(-(-n * len(turn) // max(VALUES, BLOCK * len(turn))), min(-(-n // BLOCK), SPREAD))
+    few = (size[one] * blocks[two] + size[two] * blocks[one]).sum() <= 2 * n * (whole + 1)
+    if not few:  # most pivots meet: their many small blocks would be shuffled once for each
+        dealt, blocks = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(whole)).cast("int").alias("c")), np.ones(whole, np.int64)
+        one, two = np.triu_indices(whole)
     met = rows.sparkSession.createDataFrame(pd.DataFrame({"c1": one, "n1": blocks[one], "c2": two, "n2": blocks[two]}) if len(one) else [], "c1 int, n1 long, c2 int, n2 long")
     own, alike = lambda m: F.pmod(F.xxhash64("id"), F.col(m)), F.col("c1") == F.col("c2")
     left = dealt.join(F.broadcast(met), F.col("c") == F.col("c1")).withColumn("i", own("n1"))
@@ -135,8 +152,9 @@ def near_pairs(rows: DataFrame, least: float) -> DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "sim": []})
         one, two, a, b, out = _matrix(x), _matrix(y), x["id"].to_numpy(), y["id"].to_numpy(), []
-        for at in range(0, len(x), CHUNK):
-            i, j, sim = close(one[at : at + CHUNK], two, turn, least)
+        step = max(1, min(CHUNK, PRODUCTS // len(y)))
+        for at in range(0, len(x), step):
+            i, j, sim = close(one[at : at + step], two, turn, least) if few else over(one[at : at + step], two, least)
             i = i + at
             once = (a[i] < b[j]) | ((a[i] > b[j]) & (not same))
             out.append(pd.DataFrame({"a": np.minimum(a[i], b[j])[once], "b": np.maximum(a[i], b[j])[once], "sim": sim[once]}))
@@ -147,11 +165,8 @@ def near_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
     """(``query``, ``id``, ``sim``, ``rank``): the ``k`` rows with the largest dot product; ties by least id."""
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query": [], "id": [], "sim": []})
-        y = y.sort_values("id")
-        sim, a, b = _matrix(x) @ _matrix(y).T, x["id"].to_numpy(), y["id"].to_numpy()
+    def run(a: np.ndarray, one: np.ndarray, b: np.ndarray, two: np.ndarray) -> pd.DataFrame:
+        sim = one @ two.T
         if skip_self:
             sim[a[:, None] == b[None]] = -np.inf
         top = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :k]
@@ -166,12 +181,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = True)
 def js_nearest(rows: DataFrame) -> DataFrame:
     """(``query``, ``id``, ``js``): for each row (``id``, ``v``, shares that sum to 1) the other row with the least Jensen-Shannon distance; ties, to nine
     places, by least id. In blocks, of which no task holds more than two."""
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query": [], "id": [], "js": []})
-        y = y.sort_values("id")
-        one, two, a, b = _matrix(x), _matrix(y), x["id"].to_numpy(), y["id"].to_numpy()
-        total = np.zeros((len(x), len(y)))
+    def run(a: np.ndarray, one: np.ndarray, b: np.ndarray, two: np.ndarray) -> pd.DataFrame:
+        total = np.zeros((len(a), len(b)))
         for p, q in zip(one.T, two.T, strict=True):
             p, q = np.broadcast_arrays(p[:, None], q[None])
             m = (p + q) / 2
@@ -193,14 +204,10 @@ def near_or_alike(rows: DataFrame, least: float, most: int) -> DataFrame:
     halves = F.array(F.shiftrightunsigned("h", 32).cast("double"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).cast("double"))
     packed = rows.select("id", F.concat(F.transform("v", lambda x: x.cast("double")), halves).alias("v"))
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "sim": [], "bits": []})
-        one, two = _matrix(x), _matrix(y)
+    def run(a: np.ndarray, one: np.ndarray, b: np.ndarray, two: np.ndarray) -> pd.DataFrame:
         sim = one[:, :-2] @ two[:, :-2].T
         signs = [np.unpackbits(m[:, -2:].astype("<u4").view(np.uint8).reshape(len(m), 8), axis=1).astype(np.float32) * 2 - 1 for m in (one, two)]
         bits = np.rint((64 - signs[0] @ signs[1].T) / 2).astype(np.int64)
-        a, b = x["id"].to_numpy(), y["id"].to_numpy()
         i, j = np.nonzero(((sim > least) | (bits <= most)) & (a[:, None] < b[None]))
         return pd.DataFrame({"a": a[i], "b": b[j], "sim": sim[i, j], "bits": bits[i, j]})
 
@@ -262,11 +269,8 @@ def ref_scores(rows: DataFrame, refs: DataFrame, group: str, skip: DataFrame) ->
 
 def above_or_nearest(queries: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(``query``, ``id``, ``sim``): all rows with a dot product over ``least``, and the best of each block of rows, itself left out."""
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query": [], "id": [], "sim": []})
-        y = y.sort_values("id")
-        sim, a, b = _matrix(x) @ _matrix(y).T, x["id"].to_numpy(), y["id"].to_numpy()
+    def run(a: np.ndarray, one: np.ndarray, b: np.ndarray, two: np.ndarray) -> pd.DataFrame:
+        sim = one @ two.T
         sim[a[:, None] == b[None]] = -np.inf
         hit = sim > least
         hit[np.arange(len(a)), np.round(sim, 12).argmax(axis=1)] = True
