@@ -7,6 +7,7 @@ passes, so neither side is broadcast and no pair is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ BLOCK, CHUNK = 8192, 1024
 PRODUCTS, VALUES, SPREAD = 1 << 21, 1 << 21, 12
 #: Pivots that rows are dealt to at most: a square of them is on the driver.
 PIVOTS = 1024
+#: Fits that run at once.
+FITS = 4
 
 
 def _blocks(left: DataFrame, right: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -281,18 +284,29 @@ def above_or_nearest(queries: DataFrame, rows: DataFrame, least: float) -> DataF
 
 
 def kmeans_centres(rows: DataFrame, vector: str, k: int, starts: int = 8, seed: int = 0) -> DataFrame:
-    """(``place``, ``centre``, ``weight``): the best of ``starts`` k-means fits over all dimensions, the heaviest centre first. Ties by centre."""
+    """(``place``, ``centre``, ``weight``): the best of ``starts`` k-means fits over all dimensions, the heaviest centre first. Ties by centre.
+
+    Equal rows are one point with their number as its weight. Points are dealt by their values and sorted, so that the draws of starts, which are by
+    partition, don't depend on files. Fits run side by side; each holds the points in memory of its own only while it runs.
+    """
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = rows.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")).persist()
-    fits = [KMeans(k=k, seed=seed + i, maxIter=50).fit(points) for i in range(starts)]
+    spark = rows.sparkSession
+    points = rows.groupBy(F.transform(vector, lambda x: x.cast("double")).alias("v")).agg(F.count("*").cast("double").alias("n"))
+    points = points.repartition(spark.sparkContext.defaultParallelism, "v").sortWithinPartitions("v")
+    points = points.persist()
+    points.count()
+    made = points.select(array_to_vector("v").alias("features"), "n")  # not persisted as such, so that a fit keeps its own blocks
+    with ThreadPoolExecutor(FITS) as pool:
+        fits = list(pool.map(inheritable_thread_target(spark)(lambda i: KMeans(k=k, seed=seed + i, maxIter=50, weightCol="n").fit(made)), range(starts)))
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    n = best.transform(points).groupBy("prediction").agg(F.count("*").alias("n"))
-    centres = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())], "prediction int, centre array<double>")
-    made = centres.join(n, "prediction")  # k rows
-    total = made.agg(F.sum("n").alias("all"))
-    return made.crossJoin(total).select((F.row_number().over(Window.orderBy(F.desc("n"), "centre")) - 1).alias("place"), "centre", (F.col("n") / F.col("all")).alias("weight"))
+    n = best.transform(made).groupBy("prediction").agg(F.sum("n").alias("n")).collect()  # k rows
+    points.unpersist()
+    centres, total = best.clusterCenters(), sum(r["n"] for r in n)
+    made = spark.createDataFrame([([float(x) for x in centres[r["prediction"]]], r["n"] / total) for r in n], "centre array<double>, weight double")
+    return made.select((F.row_number().over(Window.orderBy(F.desc("weight"), "centre")) - 1).alias("place"), "centre", "weight")
 
 
 def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:

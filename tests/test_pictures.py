@@ -267,6 +267,16 @@ def test_centres_are_means_of_their_rows(spark):
         assert r["centre"] == pytest.approx(part.mean(0).tolist())
 
 
+def test_centres_do_not_depend_on_parts_or_repeats(spark):
+    x = np.random.default_rng(5).uniform(0, 1, (120, 3)).round(3)  # no groups, so that other draws would end elsewhere
+    rows = spark.createDataFrame([([float(v) for v in p],) for p in x], "v array<double>")
+    told = [similarity.kmeans_centres(r, "v", 6, starts=2).orderBy("place").collect() for r in (rows.coalesce(1), rows.repartition(7), rows.unionByName(rows))]
+    for made in told[1:]:
+        assert [r["weight"] for r in made] == pytest.approx([r["weight"] for r in told[0]])
+        for r, w in zip(made, told[0], strict=True):
+            assert r["centre"] == pytest.approx(w["centre"])
+
+
 def test_jobs_and_watcher(spark, tmp_path):
     ran = []
     told = runs.jobs({"a": lambda: ran.append("a"), "b": lambda: ran.append("b"), "c": lambda: 1 / 0}, lambda n: n == "a")
