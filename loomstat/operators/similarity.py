@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import dot, norm
+from . import grids
 
 #: Rows of a block that is shuffled, and of those whose products with another block are held at once at most.
 BLOCK, CHUNK = 8192, 1024
@@ -114,7 +115,37 @@ def live_pairs(p: np.ndarray, angle: np.ndarray, norm: np.ndarray, least: float)
 
 
 def near_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(``a``, ``b``, ``sim``) of all rows (``id``, ``v``) with a < b and dot product over ``least``.
+    """(``a``, ``b``, ``sim``) of all rows (``id``, ``v``) with a < b and dot product over ``least``: see :func:`_near`."""
+    def run(a: np.ndarray, b: np.ndarray, same: bool, found: Iterator[tuple]) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "sim": []})]
+        for i, j, sim in found:
+            once = (a[i] < b[j]) | ((a[i] > b[j]) & (not same))
+            out.append(pd.DataFrame({"a": np.minimum(a[i], b[j])[once], "b": np.maximum(a[i], b[j])[once], "sim": sim[once]}))
+        return pd.concat(out[1:] or out)
+
+    return _near(rows, least, run, "a long, b long, sim double")
+
+
+def near_links(rows: DataFrame, least: float) -> DataFrame:
+    """(``a``, ``b``) that connect the same rows (``id``, ``v``) as the pairs of :func:`near_pairs` do: of the rows of two blocks, each that is in a set of
+    pairs there with the least one in it. They are fewer than the rows of both blocks, however many pairs there are."""
+    def run(a: np.ndarray, b: np.ndarray, same: bool, found: Iterator[tuple]) -> pd.DataFrame:
+        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        one, two, top = place[: len(a)], place[len(a) :], np.arange(len(ids))
+        for i, j, _ in found:
+            x, y = top[one[i]], top[two[j]]
+            new = np.unique(np.stack([x, y])[:, x != y], axis=1)  # most pairs meet in a set that is known
+            if new.shape[1]:
+                top = grids.joined(len(ids), *new)[top]
+        on = top != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[top[on]], "b": ids[on]})
+
+    return _near(rows, least, run, "a long, b long")
+
+
+def _near(rows: DataFrame, least: float, made: Callable, schema: str) -> DataFrame:
+    """What ``made`` tells of all rows (``id``, ``v``) with a dot product over ``least``. It takes the ids of two blocks, whether they are one, and the places in
+    them and the products of such pairs, part by part.
 
     Rows are dealt to the closest of a bounded number of pivots. Only pairs of pivots whose rows can be close enough are compared, by angle
     and by their extent in principal directions, in blocks of about ``BLOCK`` rows, each pair of blocks once; in these, pairs of rows that
@@ -123,7 +154,7 @@ def near_pairs(rows: DataFrame, least: float) -> DataFrame:
     """
     n = rows.count()
     if not n:
-        return rows.sparkSession.createDataFrame([], "a long, b long, sim double")
+        return rows.sparkSession.createDataFrame([], schema)
     p, turn, dealt = _directions(rows, n)
     k = min(PREFIX, len(turn))
     ends = [f(F.get("prefix", F.lit(i))).alias(f"{name}{i}") for i in range(k) for name, f in (("lo", F.min), ("hi", F.max))]
@@ -153,17 +184,18 @@ def near_pairs(rows: DataFrame, least: float) -> DataFrame:
         same = key[0] == key[2] and key[1] == key[3]
         y = x if same else g[g["side"] == 1]
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        one, two, a, b, out = _matrix(x), _matrix(y), x["id"].to_numpy(), y["id"].to_numpy(), []
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        one, two = _matrix(x), _matrix(y)
         step = max(1, min(CHUNK, PRODUCTS // len(y)))
-        for at in range(0, len(x), step):
-            i, j, sim = close(one[at : at + step], two, turn, least) if few else over(one[at : at + step], two, least)
-            i = i + at
-            once = (a[i] < b[j]) | ((a[i] > b[j]) & (not same))
-            out.append(pd.DataFrame({"a": np.minimum(a[i], b[j])[once], "b": np.maximum(a[i], b[j])[once], "sim": sim[once]}))
-        return pd.concat(out)
 
-    return left.unionByName(right).groupBy("c1", "i", "c2", "j").applyInPandas(run, "a long, b long, sim double")
+        def found() -> Iterator[tuple]:
+            for at in range(0, len(x), step):
+                i, j, sim = close(one[at : at + step], two, turn, least) if few else over(one[at : at + step], two, least)
+                yield i + at, j, sim
+
+        return made(x["id"].to_numpy(), y["id"].to_numpy(), same, found())
+
+    return left.unionByName(right).groupBy("c1", "i", "c2", "j").applyInPandas(run, schema)
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = True) -> DataFrame:

@@ -148,6 +148,30 @@ def test_block_search_over_several_blocks(spark, monkeypatch):
     assert {(r["query"], r["rank"]): r["id"] for r in got} == {(i, k + 1): int(j) for i in range(0, 70, 20) for k, j in enumerate(np.argsort(-sim[i])[:3])}
 
 
+@pytest.mark.parametrize("least", [-1.0, 0.5, 0.9])
+def test_near_links_connect_as_pairs_do(spark, monkeypatch, least):
+    monkeypatch.setattr(similarity, "BLOCK", 60)
+    monkeypatch.setattr(similarity, "VALUES", 480)
+    draw = np.random.default_rng(8)
+    v = draw.normal(size=(200, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    pairs, links = ([(r["a"], r["b"]) for r in f(df, least).collect()] for f in (lambda *x: similarity.near_pairs(*x).select("a", "b"), similarity.near_links))
+
+    def groups(edges):
+        top = {3 * i: 3 * i for i in range(200)}
+        for _ in range(200):
+            before = dict(top)
+            for a, b in edges:
+                top[a] = top[b] = min(top[a], top[b])
+            if before == top:
+                return top
+
+    assert groups(links) == groups(pairs)
+    blocks = 4
+    assert len(links) <= blocks * (blocks + 1) / 2 * 120 and (least > 0 or len(links) < len(pairs) / 5)
+
+
 @pytest.mark.parametrize(("block", "pivots"), [(1024, 1024), (16, 40), (7, 1)])
 @pytest.mark.parametrize("least", [0.95, 0.4, -0.2])
 def test_near_pairs_brute(spark, monkeypatch, block, pivots, least):
