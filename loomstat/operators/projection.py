@@ -272,11 +272,17 @@ PROTOCOL = "setting string, sheets long, pieces long, smallest_mm2 double, edge_
 
 def delivered(cut: np.ndarray, colours: list[str], ground: int, least: int, r: int, thin: int, palette: np.ndarray, lines: np.ndarray, tolerance: float, sigma: float = 2.0) -> dict:
     """:func:`plan_checks` of a plan as it is read back from its traced file, with the file's paths, those that aren't the outline of an area, the
-    share of pixels that it shows as planned, and the recall of the drawing's lines."""
-    text = tracing.svg(cut, colours, ground, tolerance)
-    shown = tracing.painted(text, colours, ground)
+    share of pixels that it shows as planned, and the recall of the drawing's lines. Of stacks: with a list or an array for each figure."""
+    if cut.ndim == 2:
+        return {k: v[0] for k, v in delivered(cut[None], colours, ground, least, r, thin, palette, lines[None], tolerance, sigma).items()}
+    rows = []
+    for m in cut:
+        text = tracing.svg(m, colours, ground, tolerance)
+        found = tracing.paths(text)
+        shown = tracing.painted(text, colours, ground, found)
+        rows.append(plan_checks(shown, ground, least, r, thin) | tracing.checks(text, found) | {"agreement": float((shown == m).mean())})
     recall = grids.scores(grids.edge_map(*of_colours(cut, palette), sigma), skeleton(lines), 3)[1]
-    return plan_checks(shown, ground, least, r, thin) | tracing.checks(text) | {"agreement": float((shown == cut).mean()), "line_recall": recall}
+    return {k: [row[k] for row in rows] for k in rows[0]} | {"line_recall": recall}
 
 
 DELIVERED = "pieces long, below long, thin_pieces long, thin_share double, holes long, smallest long, paths long, invalid_paths long, agreement double, line_recall double"

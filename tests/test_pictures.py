@@ -389,6 +389,18 @@ def test_delivered_plans_brute():
         assert rough["agreement"] == (shown == m).mean() < 1 and rough["pieces"] == projection.plan_checks(shown, 0, 8, 1, 2)["pieces"]
 
 
+def test_delivered_stacks_are_their_pictures():
+    colours = ["#ffffff", "#aa0000", "#00bb00", "#0000cc"]
+    m = np.stack([*maps(4, 20, 4), np.zeros((20, 20), int)])
+    lines = np.random.default_rng(2).random(m.shape) < 0.1
+    for tolerance in (0.0, 1.5):
+        made = projection.delivered(m, colours, 0, 8, 1, 2, LABS, lines, tolerance, 1.0)
+        for i in range(len(m)):
+            alone = projection.delivered(m[i], colours, 0, 8, 1, 2, LABS, lines[i], tolerance, 1.0)
+            assert {k: v[i] for k, v in made.items()} == alone
+    assert made["smallest"][-1] is None
+
+
 def test_disturbed_pictures(spark):
     draw = np.random.default_rng(4)
     v = draw.uniform(0, 80, (3, 6, 6))
