@@ -226,6 +226,19 @@ def pieces(labels: DataFrame, *also: str) -> DataFrame:
     return stacked(labels, ["label", *also], run, ", ".join([f"img {kinds['img']}, y int, x int, label int, piece long", *[f"{c} {kinds[c]}" for c in also]]))
 
 
+def region_borders(labels: DataFrame, ground: int) -> DataFrame:
+    """(``img``, ``region``, ``area``, ``sides``) of the :func:`regions` of each picture but the ground: pixels, and pixel sides on other regions or on the
+    picture's edge. Pictures are counted where they are held; a pixel is no row of its own."""
+    def run(m: np.ndarray) -> dict[str, np.ndarray]:
+        p = regions(m, ground)
+        n, q, sides = int(p.max()) + 1, np.pad(p, 1, constant_values=-1), 0
+        for other in (q[:-2, 1:-1], q[2:, 1:-1], q[1:-1, :-2], q[1:-1, 2:]):
+            sides = sides + np.bincount(p[other != p], minlength=n)
+        return {"region": np.arange(1, n), "area": np.bincount(p.ravel(), minlength=n)[1:], "sides": sides[1:]}
+
+    return by_picture(labels, run, "region long, area long, sides long", pixels=False)
+
+
 def tiled_pieces(labels: DataFrame, side: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pixel rows with ``label`` and ``piece``, the (``img``, ``y``, ``x``) of the first pixel of their 4-connected piece, of pictures of any size.
 

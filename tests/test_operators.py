@@ -314,3 +314,23 @@ def test_compare_takes_ten_thousand_resamples(spark):
     whole = d[np.random.default_rng(0).integers(0, 400, (10_000, 400))].mean(axis=1)
     assert (got["ci_lo"], got["ci_hi"]) == pytest.approx(tuple(np.percentile(whole, [2.5, 97.5])))
     assert got["n"] == 400
+
+
+def test_region_borders_are_those_of_outlines_without_pixel_rows(spark):
+    from loomstat.operators import raster
+
+    draw = np.random.default_rng(3)
+    maps = [draw.integers(0, 3, (7, 9)), np.zeros((7, 9), int), np.ones((4, 4), int)]
+    px = spark.createDataFrame([(i, y, x, int(m[y, x])) for i, m in enumerate(maps) for y in range(m.shape[0]) for x in range(m.shape[1])], "img int, y int, x int, label int")
+    made = raster.region_borders(px, 0)
+    regions = raster.by_picture(px, lambda m: {"region": raster.regions(m, 0)}, "region long")
+    want = raster.outlines(regions.where("region > 0"), "region").select("img", "region", "area", "sides")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_region_sides_has_no_row_for_each_pixel_and_region(spark):
+    from loomstat.plans import extended
+
+    plan = extended.region_sides(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Generate") == 1  # suppliers become pixels, which are not multiplied again
