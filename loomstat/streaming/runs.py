@@ -146,30 +146,12 @@ def dwell(visits: DataFrame, keys: list[str], seconds: str, score: str, time: st
 
 
 def dwell_state(visits: DataFrame, keys: list[str], seconds: str, score: str, time: str, tie: str, idle: int, late: str = "1 hour") -> DataFrame:
-    """As :func:`dwell`, on a stream with keyed state: a row for each period of a key's visits without a gap of over ``idle`` seconds, with ``until``,
-    its last visit. State goes when its timer ends."""
-    kinds = dict(visits.dtypes)
-    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", dwell double, score double, visits long, until long"
-
-    def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            total, at, _, last, n = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, total, last, n, at)], columns=[*keys, "dwell", "score", "visits", "until"])
-            return
-        total, at, number, last, n = state.get if state.exists else (0.0, -(1 << 62), -(1 << 62), None, 0)
-        for f in frames:
-            f = f.sort_values(["_at", tie], na_position="first")
-            total, n, top = total + float(f[seconds].sum()), n + len(f), f.iloc[-1]
-            place = int(top["_at"]), -(1 << 62) if pd.isna(top[tie]) else int(top[tie])
-            if place >= (at, number):
-                (at, number), last = place, None if pd.isna(top[score]) else float(top[score])
-        state.update((total, at, number, last, n))
-        state.setTimeoutTimestamp(max(at // 1000 + 1000 * idle, state.getCurrentWatermarkMs() + 1))
-
-    rows = visits.withWatermark(time, late).withColumn("_at", F.unix_micros(time))
-    made = rows.groupBy(*keys).applyInPandasWithState(each, out, "total double, at long, number long, last double, n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return made.withColumn("until", F.timestamp_micros("until"))
+    """As :func:`dwell`, on a stream: a row for each period of a key's visits without a gap of over ``idle`` seconds, with ``until``, its last visit.
+    Periods are session windows, so that no group of rows goes through Python; their state goes when the watermark passes them."""
+    period = F.session_window(time, f"{idle} seconds 1 microsecond").alias("_period")  # windows don't hold their end
+    last = F.max(F.struct(F.col(time).alias("_at"), F.col(tie).alias("_tie"), F.col(score).cast("double").alias("_score")))
+    made = visits.withWatermark(time, late).groupBy(*keys, period).agg(F.sum(F.col(seconds).cast("double")).alias("dwell"), last.alias("_last"), F.count("*").alias("visits"))
+    return made.select(*keys, "dwell", F.col("_last._score").alias("score"), "visits", F.col("_last._at").alias("until"))
 
 
 def trailing_reports(log: DataFrame, run: str, value: str, time: str, tie: str, every: int, over: int) -> DataFrame:

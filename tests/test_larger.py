@@ -126,6 +126,18 @@ def test_keyed_state_over_restarts(spark, cuts):
     assert len(got) <= len(want) and {x[5] for x in near(got)} <= {x[5] for x in near(want)}
 
 
+def test_keyed_state_needs_no_python_and_parts_at_gaps(spark):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(1, "a", None, at(0), 0), (1, "a", None, at(240), 1), (1, "a", 2.0, at(481), 2), (2, None, 1.0, at(5), 3), (2, None, 4.0, at(5), 4), (3, "a", None, at(9), 5)]
+    state = lambda e: runs.dwell_state(e, ["user", "kind"], "value", "value", "ts", "id", 4 * 3600)
+    got = [tuple(r) for r in runs.stepwise([log(spark, rows)], "ts", state).collect()]
+    want = [(1, "a", None, None, 2, at(240)), (1, "a", 2.0, 2.0, 1, at(481)), (2, None, 5.0, 4.0, 2, at(5)), (3, "a", None, None, 1, at(9))]  # four hours are no gap of over four
+    assert sorted(got, key=lambda r: (r[0], r[5])) == want
+    assert "Pandas" not in state(log(spark, rows))._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("cuts", [[300], [7, 130, 300]])
 def test_reports_over_an_appended_log(spark, cuts):
     rows = made_log()
