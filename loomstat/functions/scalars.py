@@ -173,8 +173,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    length = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / length)
+    """``a`` by its length, which is an outer lambda's variable: inside of the inner one it would be taken once for each place."""
+    return F.transform(F.array(norm(a)), lambda length: F.transform(a, lambda x: x.cast("double") / length))[0]
 
 
 def distance(a: Column, b: Column) -> Column:

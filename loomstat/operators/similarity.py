@@ -22,16 +22,24 @@ from . import grids
 BLOCK, CHUNK = 8192, 1024
 #: Products that a task holds at once, values of a block of rows that are dealt by hash, and such blocks where there are rows enough for one task each.
 PRODUCTS, VALUES, SPREAD = 1 << 21, 1 << 21, 12
+#: Wide blocks that each side of a search has at least, where there are rows enough.
+SIDE = 4
 #: Pivots that rows are dealt to at most: a square of them is on the driver.
 PIVOTS = 1024
 #: Fits that run at once.
 FITS = 4
 
 
-def _blocks(left: DataFrame, right: DataFrame, run: Callable, schema: str) -> DataFrame:
+def _blocks(left: DataFrame, right: DataFrame, run: Callable, schema: str, wide: bool = False) -> DataFrame:
     """``run(left ids, left rows, right ids, right rows)`` for all pairs of blocks of rows (``id`` long, ``v`` array), the right one by id, the left one in parts:
-    a task holds up to ``PRODUCTS`` of their products."""
-    nl, nr = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
+    a task holds up to ``PRODUCTS`` of their products. ``wide`` blocks have up to ``VALUES`` values, so that rows and what is found are copied less, but there
+    are ``SIDE`` of a side from some thousands of rows on."""
+    n = [df.count() for df in ((left,) if left is right else (left, right))]
+    most, least = BLOCK, 1
+    if wide:
+        one = right.select(F.size("v")).first() if max(n) > SIDE * BLOCK else None
+        most, least = max(BLOCK, VALUES // (one[0] or 1)) if one else BLOCK, SIDE
+    nl, nr = (max(1, -(-c // most), min(-(-c * SIDE // BLOCK), least)) for c in (n[0], n[-1]))
     at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.select("id", "v", at(nl).alias("i"), each(nr).alias("j"), F.lit(0).alias("side"))
@@ -107,6 +115,23 @@ def close(x: np.ndarray, y: np.ndarray, turn: np.ndarray, least: float) -> tuple
     return i[sim > least], j[sim > least], sim[sim > least]
 
 
+def best(x: np.ndarray, y: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and dot products of the ``k`` rows of ``y`` that are largest in ``sim``, the products, for each row of ``x``; ties, to twelve places, by place.
+
+    Only what reaches the k-th product of its row is sorted. Its products are taken again, pair by pair in one order, so that equal rows tie wherever they
+    are in a block."""
+    sim = np.where(np.isnan(sim), -np.inf, sim) if np.isnan(sim.sum()) else sim
+    k = min(k, sim.shape[1])
+    least = np.partition(sim, -k, axis=1)[:, -k]
+    i, j = np.nonzero((sim >= (least - 2e-12 - 1e-15 * np.abs(least))[:, None]) & np.isfinite(sim))
+    again = [np.einsum("ij,ij->i", x[i[at : at + BLOCK]], y[j[at : at + BLOCK]]) for at in range(0, len(i), BLOCK)]
+    sim = np.concatenate([np.zeros(0), *again])
+    order = np.lexsort((j, -np.round(sim, 12), i))
+    i, j, sim = i[order], j[order], sim[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], sim[kept]
+
+
 def live_pairs(p: np.ndarray, angle: np.ndarray, norm: np.ndarray, least: float) -> np.ndarray:
     """Whether rows about pivots i and j, no further than ``angle`` from them and no longer than ``norm``, can have a dot product over
     ``least``: directions are no closer than those of the pivots less both angles. All can if ``least`` is negative."""
@@ -199,16 +224,15 @@ def _near(rows: DataFrame, least: float, made: Callable, schema: str) -> DataFra
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
-    """(``query``, ``id``, ``sim``, ``rank``): the ``k`` rows with the largest dot product; ties by least id."""
+    """(``query``, ``id``, ``sim``, ``rank``): the ``k`` rows with the largest dot product; ties, to twelve places, by least id."""
     def run(a: np.ndarray, one: np.ndarray, b: np.ndarray, two: np.ndarray) -> pd.DataFrame:
         sim = one @ two.T
         if skip_self:
             sim[a[:, None] == b[None]] = -np.inf
-        top = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"query": np.repeat(a, top.shape[1]), "id": b[top].ravel(), "sim": np.take_along_axis(sim, top, 1).ravel()})
-        return out[np.isfinite(out["sim"])]
+        i, j, sim = best(one, two, sim, k)
+        return pd.DataFrame({"query": a[i], "id": b[j], "sim": sim})
 
-    found = _blocks(queries, rows, run, "query long, id long, sim double")
+    found = _blocks(queries, rows, run, "query long, id long, sim double", wide=True)
     w = Window.partitionBy("query").orderBy(F.desc(F.round("sim", 12)), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

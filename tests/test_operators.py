@@ -148,6 +148,29 @@ def test_block_search_over_several_blocks(spark, monkeypatch):
     assert {(r["query"], r["rank"]): r["id"] for r in got} == {(i, k + 1): int(j) for i in range(0, 70, 20) for k, j in enumerate(np.argsort(-sim[i])[:3])}
 
 
+@pytest.mark.parametrize(("block", "side", "values"), [(8192, 4, 1 << 21), (7, 4, 1 << 21), (7, 2, 60), (7, 1, 1)])
+def test_nearest_of_all_rows_with_equal_ones(spark, monkeypatch, block, side, values):
+    """Equal rows tie wherever they lie, and the least id comes first; more rows wanted than there are is no fault."""
+    for name, x in (("BLOCK", block), ("SIDE", side), ("VALUES", values)):
+        monkeypatch.setattr(similarity, name, x)
+    draw = np.random.default_rng(4)
+    v = draw.normal(size=(12, 6))[draw.integers(0, 12, 60)]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    sim = np.round([[sum(p * q for p, q in zip(x, y, strict=True)) for y in v.tolist()] for x in v.tolist()], 12)
+    for k in (4, 100):
+        want = {(i, r + 1): j for i in range(60) for r, j in enumerate(sorted((j for j in range(60) if j != i), key=lambda j: (-sim[i, j], j))[:k])}
+        got = similarity.nearest(df, df, k).collect()
+        assert {(r["query"], r["rank"]): r["id"] for r in got} == want and len(got) == len(want)
+
+
+def test_best_without_numbers():
+    x = np.array([[1.0, 0.0], [np.nan, 0.0]])
+    y = np.array([[0.5, 0.5], [np.nan, 1.0], [0.6, 0.1], [0.5, 0.2]])
+    i, j, sim = similarity.best(x, y, x @ y.T, 2)
+    assert i.tolist() == [0, 0] and j.tolist() == [2, 0] and sim.tolist() == [0.6, 0.5]
+
+
 @pytest.mark.parametrize("least", [-1.0, 0.5, 0.9])
 def test_near_links_connect_as_pairs_do(spark, monkeypatch, least):
     monkeypatch.setattr(similarity, "BLOCK", 60)

@@ -41,6 +41,13 @@ def test_query(spark, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in made.fetchall()), key=repr)
 
 
+def test_cosine_topk_asks_for_every_row(spark, duck):
+    got = {(r["query"], r["rank"]) for r in extended.cosine_topk(spark, SF).collect()}
+    ids = [x for (x,) in duck.execute("SELECT vec_id FROM embeddings").fetchall()]
+    assert len(ids) > 20 and got == {(i, k) for i in ids for k in (1, 2, 3)}
+    assert "% 20" not in SQL["cosine_topk"] and "a.id % 20 = 0" in SQL["threshold_or_best"]
+
+
 def test_scans_read_only_what_they_need(spark):
     plan = core.two_stage_mean(spark, SF)._jdf.queryExecution().toString()
     scan = next(x for x in plan.splitlines() if "l_quantity" in x and "ReadSchema" in x)
